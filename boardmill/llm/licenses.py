@@ -160,11 +160,14 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a sparse dot product: the weights of the n-grams that have any, class by class
     found = F.filter(F.transform("_grams", lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull())
     rows = lines.select("_doc", "_par", "_line", grams.alias("_grams")).withColumn("_found", found)
-    scale = F.sqrt(F.size("_grams"))
+    scale = F.sqrt(F.greatest(F.size("_grams"), F.lit(1)))
     sums = [F.aggregate(F.transform("_found", _place(c)), F.lit(0.0), lambda acc, w: acc + w) / scale + F.lit(float(model["bias"][c])) for c in range(k)]
     rows = rows.withColumn("_scores", F.array(*sums)).withColumn("_top", F.array_max("_scores"))
-    rows = rows.withColumn("_class", _constant(model["classes"], "array<string>")[(F.array_position("_scores", F.col("_top")) - 1).cast("int")]).where(F.col("_class") != NONE)
-    rows = rows.withColumn("probability", F.lit(1.0) / F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("_top"))))
+    named = _constant(model["classes"], "array<string>")[(F.array_position("_scores", F.col("_top")) - 1).cast("int")]
+    sure = F.lit(1.0) / F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("_top")))
+    # exploding what isn't ``none`` instead of a filter, which the optimizer would expand below the projections
+    hits = F.filter(F.array(F.struct(named.alias("_class"), sure.alias("probability"))), lambda h: h["_class"] != NONE)
+    rows = rows.select("*", F.inline(hits))
     rows = rows.withColumn("family", F.when(F.col("probability") >= model["limit"], F.col("_class")).otherwise(UNKNOWN))
     own = F.filter(_constant(model["templates"], "array<struct<family:string,grams:array<string>>>"), lambda t: t["family"] == F.col("family"))
     shares = F.transform(own, lambda t: F.size(F.array_intersect(t["grams"], F.col("_grams"))) / F.size(t["grams"]))

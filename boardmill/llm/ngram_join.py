@@ -74,10 +74,6 @@ def _unpack(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _batch(columns: dict[str, np.ndarray | list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else None for k, t in schema], [k for k, _ in schema])
-
-
 def _segments(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
     """kind 0: each row's set size; 1: a row whose set equals that of the document ``lead``; 2: the
     part of a document's set in a fragment that other documents have too."""
@@ -135,7 +131,7 @@ def _segments(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> D
 
     names = [("kind", pa.int32()), ("_id", pa.int64()), ("_fp", pa.int64()), ("n", pa.int32()), ("fragment", pa.int32()), ("shared", pa.int32()), ("weight", pa.int64()), ("grams", pa.binary()), ("lead", pa.int64())]
 
-    def rows(n: int, **columns: np.ndarray | list) -> pa.RecordBatch:
+    def rows(n: int, /, **columns: np.ndarray | list) -> pa.RecordBatch:
         zero = {k: np.zeros(n, np.int64) for k, t in names if t != pa.binary()} | {"grams": [None] * n}
         return pa.RecordBatch.from_arrays([pa.array((zero | columns)[k]).cast(t) for k, t in names], [k for k, _ in names])
 
