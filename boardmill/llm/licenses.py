@@ -79,6 +79,9 @@ NONE_SENTENCES = [
     "The version of the story that he told was modified.",
     "The commons were open to the public and the creative class was free.",
     "He studied at mit before the redistribution of land.",
+    "Mit.",
+    "Mit der Mit.",
+    "Die mit und das mit.",
     "The apache rode out with a copy of the map.",
     "A work of attribution in the domain of the arts.",
     "The software of the loom was granted a second form.",
