@@ -1,4 +1,4 @@
 """All registered queries of the engine's own operators."""
 
-from . import dataset_queries, evaluation_queries, layout_queries, search_queries, stream_queries  # noqa: F401
+from . import dataset_queries, evaluation_queries, layout_queries, page_queries, search_queries, stream_queries  # noqa: F401
 from .catalogue import ORACLE_SQL, QUERIES  # noqa: F401
