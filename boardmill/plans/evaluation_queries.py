@@ -93,10 +93,10 @@ def rounded_histogram(t: Tables) -> DataFrame:
     return metrics.rounded_histogram(t("part"), "p_retailprice", 10.0, ["p_brand"])
 
 
-@query("lang string, min double, p05 double, median double, max double", "SELECT lang, min(n_chars) AS min, quantile_cont(n_chars, 0.05) AS p05, median(n_chars) AS median, max(n_chars) AS max FROM documents GROUP BY lang")
+@query("lang string, min double, p05 double, median double, max double", "SELECT lang, min(n_chars) AS min, round(quantile_cont(n_chars, 0.05), 6) AS p05, median(n_chars) AS median, max(n_chars) AS max FROM documents GROUP BY lang")
 def dist_summary(t: Tables) -> DataFrame:
     """Least, fifth percentile, median and largest."""
-    return metrics.distribution(t("documents"), "n_chars", ["lang"])
+    return metrics.distribution(t("documents"), "n_chars", ["lang"]).withColumn("p05", F.round("p05", 6))
 
 
 @query("l_orderkey bigint, n bigint, low double, high double", "SELECT l_orderkey, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2 AND min(l_quantity) < 10 AND max(l_quantity) >= 10")
