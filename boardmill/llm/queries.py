@@ -85,9 +85,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        u AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+        g AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM u),
+        s AS (SELECT DISTINCT doc_id, md5(gram) AS gram FROM g WHERE i <= greatest(1, n - 4)),
+        c AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT p.a, p.b FROM p JOIN c x ON x.doc_id = p.a JOIN c y ON y.doc_id = p.b WHERE 100 * k >= 80 * (x.size + y.size - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS v, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v)
+        SELECT d.doc_id, coalesce(c.size, 0) AS n_shingles, m.root AS component_id
+        FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN (SELECT v, min(root) AS root FROM r GROUP BY v) m ON m.v = d.doc_id""",
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        u AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+        g AS (SELECT doc_id, n, i, word, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS win FROM u),
+        f AS (SELECT doc_id, i, word, i <= n - 49 AND min(doc_id) OVER (PARTITION BY win, i <= n - 49) < doc_id AS hit FROM g),
+        k AS (SELECT doc_id, i, word, coalesce(max(hit::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM f),
+        o AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op7_suffix_dedup": r"""
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        u AS (SELECT doc_id, x, length(x) // 2 AS n, unnest(range(0, length(x) // 2)) AS i FROM h),
+        g AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS byte, i <= n - 100 AS whole, md5(substr(x, 2 * i + 1, 200)) AS win FROM u),
+        f AS (SELECT doc_id, i, byte, whole AND row_number() OVER (PARTITION BY win, whole ORDER BY doc_id, i) > 1 AS hit FROM g),
+        k AS (SELECT doc_id, i, byte, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+        r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM k),
+        o AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS sha FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op8_source_mixing": r"""
+        WITH RECURSIVE c AS (SELECT source, sqrt(count(*)) AS w FROM documents GROUP BY source),
+        x AS (SELECT source, (1000 - (SELECT count(*) FROM c)) * w / (SELECT sum(w) FROM c) AS e FROM c),
+        h AS (SELECT source, CAST(1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, source) <= 1000 - (SELECT sum(1 + floor(e)) FROM x) THEN 1 ELSE 0 END AS BIGINT) AS share FROM x),
+        l AS (SELECT list(share ORDER BY source) AS a, list(source ORDER BY source) AS names FROM h),
+        z AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(a, lambda v: CAST(0 AS BIGINT)) AS m, CAST(0 AS BIGINT) AS best, CAST(0 AS BIGINT) AS j FROM l
+            UNION ALL
+            SELECT slot + 1, list_transform(m, lambda v, i: v + CASE WHEN i = pick THEN 1 ELSE 0 END), pick, m[pick] FROM (
+                SELECT slot, m, list_min(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN m[i] < a[i] AND m[i] * 1000 // a[i] <= slot + 1 THEN ((m[i] + 1) * 1000 + a[i] - 1) // a[i] * 10000 + i END)) % 10000 AS pick
+                FROM z, l WHERE slot < 999)),
+        t AS (SELECT names[best] AS source, a[best] AS share, j, slot FROM z, l WHERE slot >= 0),
+        r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place FROM documents)
+        SELECT doc_id, r.source, place // 16 AS block, place // 16 // share * 1000 + slot AS slot, (place // 16 // share * 1000 + slot) * 16 + place % 16 AS mix_position
+        FROM r JOIN t ON t.source = r.source AND t.j = (place // 16) % share""",
 }
