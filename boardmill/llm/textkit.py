@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -35,11 +35,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
         steps = np.full(size, base, U64)
         steps[0] = 1
         full = np.multiply.accumulate(steps)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[base] = full
         have = full
     return have[:n]

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -35,18 +35,28 @@ SPANS = "_id long, _fp long, begin long, stop long"
 FIELDS = ("<i8", "<i8", "<i8", "<i4", "<i4", "<i4")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id (null: the largest), _fp (so rows that share an id stay apart) and the text."""
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as planes of their bytes, which pack better than the numbers."""
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplanes(data: memoryview, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).view(kind).ravel()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, apart: bool = True) -> DataFrame:
+    """_id (null: the largest), _fp and the text.  _fp keeps rows that share an id apart; without any it is 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("_id"), F.xxhash64(text).alias("_fp"), text.alias("_text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("_id"), (F.xxhash64(text) if apart else F.lit(0).cast("long")).alias("_fp"), text.alias("_text"))
 
 
-def bucket_count(docs: DataFrame, text_col: str) -> tuple[int, int]:
-    """Partitions and buckets, so many that a bucket's size doesn't depend on the input's."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    parts = max(1, int(total * GROWTH / (BUCKET_BYTES * BUCKETS_EACH)))
-    parts = max(parts, docs.sparkSession.sparkContext.defaultParallelism)
-    return parts, parts * BUCKETS_EACH
+def measure(docs: DataFrame, id_col: str, text_col: str) -> tuple[int, int, bool]:
+    """Partitions and buckets, so many that a bucket's size doesn't depend on the input's, and whether ids repeat."""
+    row = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
+    spark = docs.sparkSession
+    parts = max(int((row[0] or 0) * GROWTH / (BUCKET_BYTES * BUCKETS_EACH)), spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts, parts * BUCKETS_EACH, row[1] != row[2]
 
 
 class Packed:
@@ -64,17 +74,22 @@ class Packed:
         at = np.cumsum(sizes) - sizes
         return Packed([f[chosen] for f in self.fields], self.raw[textkit.ranges(at[chosen], sizes[chosen])])
 
-    def to_bytes(self) -> bytes:
-        head = np.array([len(self.fields[0])], "<i8").tobytes()
-        return zstandard.ZstdCompressor(level=3).compress(head + b"".join(f.astype(t).tobytes() for f, t in zip(self.fields, FIELDS, strict=True)) + self.raw.tobytes())
+    @staticmethod
+    def write(fields: list[np.ndarray], strings: bytes) -> bytes:
+        n = len(fields[0])
+        changed = [np.diff(fields[0], prepend=0), *fields[1:5], fields[5] - fields[3]]
+        parts = [np.array([n], "<i8").tobytes(), *(_planes(f, t) for f, t in zip(changed, FIELDS, strict=True)), strings]
+        return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
     @staticmethod
-    def from_bytes(blob: bytes) -> Packed:
-        data = zstandard.ZstdDecompressor().decompress(blob)
+    def read(blob: bytes) -> Packed:
+        data = memoryview(zstandard.ZstdDecompressor().decompress(blob))
         n, at, fields = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
         for t in FIELDS:
-            fields.append(np.frombuffer(data, t, n, at))
+            fields.append(_unplanes(data[at:], t, n))
             at += n * np.dtype(t).itemsize
+        fields[0] = np.cumsum(fields[0])
+        fields[5] = fields[5] + fields[3]
         return Packed(fields, np.frombuffer(data, np.uint8, offset=at))
 
 
@@ -124,53 +139,52 @@ def repeated_spans(
     bucket and returns rows, first and last flagged window of each flagged run.
     ``within_document``: a window that stands earlier in the same document repeats as well.
     """
-    parts, buckets = bucket_count(docs, text_col)
+    parts, buckets, apart = measure(docs, id_col, text_col)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Packed] = []
-        hashes: list[np.ndarray] = []
-        minis: list[np.ndarray] = []
+        texts: list[bytes] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            got, own, mini = Packed.join(held), np.concatenate(hashes), np.concatenate(minis)
-            held.clear(), hashes.clear(), minis.clear()
-            ids, fps, place, count, *_ = got.fields
+            raw = b"".join(texts)
+            ids, fps, place, count, mini, begin, stop, own, mini_hash = (np.concatenate([h[k] for h in held]) for k in range(9))
+            texts.clear(), held.clear()
             lead = first_of_equal([own], [ids, fps, place])
-            again = (ids[lead] != ids) | (fps[lead] != fps) if not within_document else lead != np.arange(len(lead))
-            if not within_document:
-                again &= ids[lead] < ids
+            again = lead != np.arange(len(lead)) if within_document else ids[lead] < ids
             if again.any():
-                known = np.flatnonzero(again)
-                # their spans take the same way, as super-k-mers without text and a negative count
-                lone = Packed([ids[known], fps[known], place[known], -count[known], np.zeros(len(known), np.int32), np.zeros(len(known), np.int32)], np.zeros(0, np.uint8))
-                yield rows(lone, textkit.mix(fps[known].astype(np.uint64)) % np.uint64(buckets))
-            fresh = np.flatnonzero(~again)
-            yield rows(got, textkit.mix(mini[fresh]) % np.uint64(buckets), fresh)
-
-        def rows(got: Packed, bucket: np.ndarray, among: np.ndarray | None = None) -> pa.RecordBatch:
+                # their spans take the same way, as super-k-mers without text and with a negative count;
+                # those that follow each other in a document are one
+                k = np.flatnonzero(again)
+                joins = (np.diff(k) == 1) & (ids[k[1:]] == ids[k[:-1]]) & (fps[k[1:]] == fps[k[:-1]]) & (place[k[1:]] == (place + count)[k[:-1]])
+                k = k[np.r_[True, ~joins]]
+                run = np.add.reduceat(np.where(again, count, 0), k)
+                none = np.zeros(len(k), np.int64)
+                yield rows([ids[k], fps[k], place[k], -run, none, none], textkit.mix((ids[k] ^ fps[k]).astype(np.uint64)) % np.uint64(buckets))
+            k = np.flatnonzero(~again)
+            yield rows([ids[k], fps[k], place[k], count[k], mini[k], (stop - begin)[k]], textkit.mix(mini_hash[k]) % np.uint64(buckets), raw, begin[k], stop[k])
+
+        def rows(fields: list[np.ndarray], bucket: np.ndarray, raw: bytes = b"", begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> pa.RecordBatch:
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order].astype(np.int64)) != 0]) if len(order) else []
-            names, blobs = [], []
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                own = order[a:b]
-                names.append(int(bucket[own[0]]))
-                blobs.append(got.take(among[own] if among is not None else own).to_bytes())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-        size = 0
+            bucket, fields = bucket[order], [f[order] for f in fields]
+            spans = list(zip(begin[order].tolist(), stop[order].tolist(), strict=True)) if begin is not None else []
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(bucket) else []
+            blobs = [Packed.write([f[a:b] for f in fields], b"".join([raw[x:y] for x, y in spans[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        size = base = 0
         for batch, offs, data in textkit.slices(batches, "_text"):
             starts, ends, first, (doc, a, count, mini, mini_hash), own = split(data, offs)
             if not len(doc):
                 continue
             ids, fps = (np.asarray(batch.column(k))[doc] for k in (0, 1))
             begin, stop = starts[a], ends[a + count + window - 2]
-            held.append(Packed([ids, fps, a - first[doc], count, mini - a, stop - begin], data[textkit.ranges(begin, stop - begin)]))
-            hashes.append(own)
-            minis.append(mini_hash)
+            texts.append(data.tobytes())
+            held.append((ids, fps, a - first[doc], count, mini - a, begin + base, stop + base, own, mini_hash))
+            base += len(data)
             size += int((stop - begin).sum())
             if size >= FLUSH_BYTES:
                 yield from flush()
-                size = 0
+                size = base = 0
         if held:
             yield from flush()
 
@@ -180,7 +194,7 @@ def repeated_spans(
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blobs[bucket].append(blob)
         while blobs:
-            got = Packed.join([Packed.from_bytes(b) for b in blobs.popitem()[1]])
+            got = Packed.join([Packed.read(b) for b in blobs.popitem()[1]])
             ids, fps, place, count, *_ = got.fields
             known = count < 0
             out = [(ids[known], fps[known], place[known], place[known] - count[known] + window - 1)]
@@ -191,7 +205,7 @@ def repeated_spans(
                 out.append((ids[row], fps[row], place[row] + begin, place[row] + last + window))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(4)], ["_id", "_fp", "begin", "stop"])
 
-    packed = keyed(docs, id_col, text_col).mapInArrow(pack, "bucket long, blob binary")
+    packed = keyed(docs, id_col, text_col, apart).mapInArrow(pack, "bucket long, blob binary")
     return packed.repartition(parts, "bucket").mapInArrow(sort_out, SPANS)
 
 
@@ -210,10 +224,11 @@ def flagged_runs(flag: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every row of ``docs`` (id and text) with the begins and stops of its own spans, null if it has none."""
     per_row = spans.groupBy("_id", "_fp").agg(F.collect_list(F.struct("begin", "stop")).alias("_spans"))
-    per_row = per_row.select("_id", "_fp", F.col("_spans.begin").alias("_begins"), F.col("_spans.stop").alias("_stops"))
-    own: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID))
-    rows = docs.select(F.col(id_col).alias("_doc"), own.alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_fp"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.join(per_row, ["_id", "_fp"], "left").select("_doc", "_text", "_begins", "_stops")
+    per_row = per_row.select(F.col("_id").alias("_own"), "_fp", F.col("_spans.begin").alias("_begins"), F.col("_spans.stop").alias("_stops"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("_id"), text.alias("_text"))
+    mine = (F.col("_id") == F.col("_own")) & ((F.col("_fp") == 0) | (F.col("_fp") == F.xxhash64("_text")))
+    return rows.join(per_row, mine, "left").select("_doc", "_text", "_begins", "_stops")
 
 
 def merged(begins: list[int], stops: list[int]) -> list[tuple[int, int]]:
