@@ -6,7 +6,8 @@ counts overlaps of its segments alone; the partial counts of a document or pair
 the fragments.  Three such counts find the components of all links:
 
 1. per document, the n-grams that any other document has.  A linked document shares at least
-   the threshold's part of its set, so the others are done.
+   the threshold's part of its set, so the others are done; of the rest only n-grams that
+   others have go on.
 2. per document and leader.  The leader of an n-gram is its most central holder; a star of
    (holder, leader) pairs stands for all pairs of the holders.  The sum is a lower bound of the
    pair's overlap, so what reaches the threshold is a link.
@@ -14,7 +15,9 @@ the fragments.  Three such counts find the components of all links:
    threshold's part of their sets with other components.  These sums are the exact overlaps,
    which complete the links.  Pairs inside a component need no count: they can't change it.
 
-Documents with equal sets in one flush of a task travel as one.
+Documents with equal sets are one, in a flush of a task before the first shuffle and in every
+fragment after it.  Segments and partial counts travel packed, one row for each pair of task and
+bucket, so that the number of fragments, which grows with the input, costs no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +33,16 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .storage import components, written
-from .windows import MAX_ID, first_of_equal, keyed
+from .windows import MAX_ID, _planes, _unplanes, first_of_equal, keyed, least_partitions, measure
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-FLUSH_GRAMS = 4_000_000
-#: N-grams of a fragment on the average, at one for each WORD_BYTES of text; fragments of a partition.
-FRAGMENT_GRAMS, FRAGMENTS_EACH, WORD_BYTES = 1_500_000, 2, 5.5
-LOW48 = np.uint64((1 << 48) - 1)
-SEGMENT = "kind int, _id long, _fp long, n int, fragment int, shared int, weight long, grams binary, lead long"
+FLUSH_GRAMS = 1_000_000
+#: N-grams of a fragment on the average, at one for each WORD_BYTES of text.
+FRAGMENT_GRAMS, WORD_BYTES = 2_000_000, 5.5
+PACKED = "bucket int, blob binary"
+DOCUMENT = "_id long, _fp long, n int, sum1 long, sum2 long, rank double, grams binary"
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,22 +67,90 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words_each: int) -> tuple[n
     return grams[keep], np.searchsorted(owner[keep], np.arange(len(count) + 1))
 
 
-def _pack(grams: np.ndarray) -> bytes:
+def _six(grams: np.ndarray) -> bytes:
+    """The lower 48 bits of each n-gram; with its fragment they tell it apart."""
     return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
+def _unsix(raw: bytes | memoryview) -> np.ndarray:
     wide = np.zeros((len(raw) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return wide.view("<u8").ravel()
 
 
-def _segments(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """kind 0: each row's set size; 1: a row whose set equals that of the document ``lead``; 2: the
-    part of a document's set in a fragment that other documents have too."""
+def _write(columns: list[np.ndarray], grams: np.ndarray | None = None, tag: int = 0) -> bytes:
+    """Columns of whole numbers, the first as steps, and n-grams, packed."""
+    head = np.array([tag, len(columns), len(columns[0]) if columns else 0], "<i8").tobytes()
+    body = [_planes(np.diff(c, prepend=0) if k == 0 else c, "<i8") for k, c in enumerate(columns)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *body, _six(grams) if grams is not None else b""]))
+
+
+def _read(blob: bytes) -> tuple[int, list[np.ndarray], np.ndarray]:
+    data = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    tag, width, n = np.frombuffer(data, "<i8", 3).tolist()
+    columns = [_unplanes(data[24 + 8 * n * k :], "<i8", n) for k in range(width)]
+    if columns:
+        columns[0] = np.cumsum(columns[0])
+    return tag, columns, _unsix(data[24 + 8 * n * width :])
+
+
+def _rows(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    held: dict[int, list[bytes]] = defaultdict(list)
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held[bucket].append(blob)
+    while held:
+        yield held.popitem()
+
+
+def _scatter(bucket: np.ndarray, buckets: int, columns: list[np.ndarray], tag: int, grams: np.ndarray | None = None, first: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows packed by bucket; row k has the n-grams from first[k] to first[k + 1]."""
+    order = np.lexsort((columns[0], bucket))
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    names, blobs = [], []
+    for k in range(buckets):
+        own = order[bounds[k] : bounds[k + 1]]
+        if len(own):
+            names.append(k)
+            mine = None if grams is None else grams[textkit.ranges(first[own], first[own + 1] - first[own])]
+            blobs.append(_write([c[own] for c in columns], mine, tag))
+    return _rows(names, blobs)
+
+
+def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document."""
+    return (textkit.mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+SETS, SEGMENTS, COUNTS = 0, 1, 2
+
+
+def _to_fragments(ids: np.ndarray, extra: list[np.ndarray], first: np.ndarray, grams: np.ndarray, part: np.ndarray, fragments: int) -> Iterator[pa.RecordBatch]:
+    """The documents' segments, packed by fragment, each with its document's columns and its size."""
+    owner = np.repeat(np.arange(len(ids)), np.diff(first))
+    order = np.lexsort((owner, part))
+    part, owner, grams = part[order], owner[order], grams[order]
+    bounds = np.searchsorted(part, np.arange(fragments + 1))
+    names, blobs = [], []
+    for k in range(fragments):
+        a, e = bounds[k], bounds[k + 1]
+        if a < e:
+            who, times = np.unique(owner[a:e], return_counts=True)
+            names.append(k)
+            blobs.append(_write([ids[who], *(x[who] for x in extra), times], grams[a:e], SEGMENTS))
+    yield _rows(names, blobs)
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int) -> tuple[DataFrame, int]:
+    """(rows of DOCUMENT, fragments): grams holds, of documents that others may be linked with, fragment and n-gram of
+    what other documents have too, else null."""
+    _, _, apart = measure(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total / WORD_BYTES / (FRAGMENT_GRAMS * FRAGMENTS_EACH)))
-    fragments = parts * FRAGMENTS_EACH
+    parts = max(least_partitions(docs.sparkSession, total), int(total / WORD_BYTES / FRAGMENT_GRAMS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -89,34 +160,18 @@ def _segments(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> D
             held.clear()
             first = np.zeros(len(sizes) + 1, np.int64)
             np.cumsum(sizes, out=first[1:])
-            sums = [np.zeros(len(grams) + 1, np.uint64) for _ in range(2)]
-            np.cumsum(grams, out=sums[0][1:])
-            np.cumsum(textkit.mix(grams), out=sums[1][1:])
-            lead = first_of_equal([sizes, *(s[first[1:]] - s[first[:-1]] for s in sums)], [ids, fps])
-            alone = (lead == np.arange(len(lead))) & (sizes > 0)
-            follow = np.flatnonzero((lead != np.arange(len(lead))) & (sizes > 0))
-            # the sizes and the rows that follow another go along unchanged, spread over the fragments
-            step = -(-len(ids) // fragments) or 1
-            for k, a in enumerate(range(0, len(ids), step)):
-                e = a + step
-                some = follow[(follow >= a) & (follow < e)]
-                yield out(k % fragments, [np.array([len(ids[a:e]), len(some)], "<i8"), ids[a:e], fps[a:e], sizes[a:e].astype("<i8"), ids[some], ids[lead[some]]])
-            own = np.flatnonzero(alone)
+            sums = []
+            for values in (grams, textkit.mix(grams)):
+                total = np.zeros(len(grams) + 1, np.uint64)
+                np.cumsum(values, out=total[1:])
+                sums.append((total[first[1:]] - total[first[:-1]]).astype(np.int64))
+            # sizes and segments share a shuffle; a document's bucket has the number of a fragment
+            yield _scatter(_home(ids, parts), parts, [ids, fps, sizes, *sums], SETS)
+            own = np.flatnonzero((first_of_equal([sizes, *sums], [ids, fps]) == np.arange(len(ids))) & (sizes > 0))
             grams = grams[textkit.ranges(first[own], sizes[own])]
-            owner = np.repeat(np.arange(len(own)), sizes[own])
-            part = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((owner, part))
-            part, owner, grams = part[order], owner[order], grams[order]
-            bounds = np.searchsorted(part, np.arange(fragments + 1))
-            for k in range(fragments):
-                a, e = bounds[k], bounds[k + 1]
-                if a < e:
-                    who, times = np.unique(owner[a:e], return_counts=True)
-                    yield out(k, [np.array([len(who), -1], "<i8"), np.diff(ids[own[who]], prepend=0), fps[own[who]], sizes[own[who]].astype("<i4"), times.astype("<i4")], _pack(grams[a:e]))
-
-        def out(fragment: int, arrays: list[np.ndarray], tail: bytes = b"") -> pa.RecordBatch:
-            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays) + tail)
-            return pa.RecordBatch.from_arrays([pa.array([fragment], pa.int32()), pa.array([blob], pa.binary())], ["fragment", "blob"])
+            bounds = np.r_[0, np.cumsum(sizes[own])]
+            part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            yield from _to_fragments(ids[own], [fps[own]], bounds, grams, part, parts)
 
         size = 0
         for batch, offs, data in textkit.slices(batches, "_text"):
@@ -129,107 +184,203 @@ def _segments(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> D
         if held:
             yield from flush()
 
-    names = [("kind", pa.int32()), ("_id", pa.int64()), ("_fp", pa.int64()), ("n", pa.int32()), ("fragment", pa.int32()), ("shared", pa.int32()), ("weight", pa.int64()), ("grams", pa.binary()), ("lead", pa.int64())]
-
-    def rows(n: int, /, **columns: np.ndarray | list) -> pa.RecordBatch:
-        zero = {k: np.zeros(n, np.int64) for k, t in names if t != pa.binary()} | {"grams": [None] * n}
-        return pa.RecordBatch.from_arrays([pa.array((zero | columns)[k]).cast(t) for k, t in names], [k for k, _ in names])
-
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            for fragment, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blobs[fragment].append(blob)
-        while blobs:
-            fragment, packed = blobs.popitem()
+        for fragment, blobs in _by_bucket(batches):
             held = []
-            for blob in packed:
-                data = zstandard.ZstdDecompressor().decompress(blob)
-                n, m = np.frombuffer(data, "<i8", 2).tolist()
-                at = 16
-                if m >= 0:
-                    ids, fps, sizes = (np.frombuffer(data, "<i8", n, at + 8 * n * k) for k in range(3))
-                    own, lead = (np.frombuffer(data, "<i8", m, at + 24 * n + 8 * m * k) for k in range(2))
-                    yield rows(n, _id=ids, _fp=fps, n=sizes)
-                    if m:
-                        yield rows(m, kind=np.ones(m, np.int64), _id=own, lead=lead)
-                    continue
-                ids, fps = np.cumsum(np.frombuffer(data, "<i8", n, at)), np.frombuffer(data, "<i8", n, at + 8 * n)
-                sizes, times = np.frombuffer(data, "<i4", n, at + 16 * n), np.frombuffer(data, "<i4", n, at + 20 * n)
-                held.append((ids, fps, sizes, times, _unpack(data[at + 24 * n :])))
+            for blob in blobs:
+                tag, columns, grams = _read(blob)
+                if tag == SETS:  # on their way to their documents' bucket, which has this number too
+                    yield _rows([fragment], [blob])
+                else:
+                    held.append((*columns, grams))
             if not held:
                 continue
-            ids, fps, sizes, times, grams = (np.concatenate([h[k] for h in held]) for k in range(5))
-            del held, packed
-            order = np.argsort(grams)
-            ranked = grams[order]
-            begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-            df = np.empty(len(grams), np.int64)
-            df[order] = np.repeat(np.diff(np.r_[begin, len(grams)]), np.diff(np.r_[begin, len(grams)]))
-            del order, ranked
-            shared = df > 1
-            owner = np.repeat(np.arange(len(ids)), times)[shared]
+            ids, fps, times, grams = (np.concatenate([h[k] for h in held]) for k in range(4))
+            del held
+            df = np.empty(len(grams), np.int32)
+            for part in range(8):  # an eighth of the n-grams at a time: sorting takes little memory
+                some = np.flatnonzero(grams & np.uint64(7) == part)
+                order = np.argsort(grams[some])
+                ranked = grams[some[order]]
+                begin = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(some) else some
+                holders = np.diff(np.r_[begin, len(some)])
+                df[some[order]] = np.repeat(holders, holders)
+            shared = np.flatnonzero(df > 1)
+            owner = np.searchsorted(np.cumsum(times), shared, "right")
             grams, df = grams[shared], df[shared]
             first = np.searchsorted(owner, np.arange(len(ids) + 1))
-            count = np.diff(first)
-            some = np.flatnonzero(count)
+            some = np.flatnonzero(np.diff(first))
             weight = textkit.segment_sum(df, first)
-            for a in range(0, len(some), 20_000):
-                own = some[a : a + 20_000]
-                packed_grams = [_pack(grams[x:y]) for x, y in zip(first[own].tolist(), first[own + 1].tolist(), strict=True)]
-                yield rows(len(own), kind=np.full(len(own), 2), _id=ids[own], _fp=fps[own], n=sizes[own], fragment=np.full(len(own), fragment), shared=count[own], weight=weight[own], grams=packed_grams)
+            bounds = np.r_[first[some], len(grams)]
+            yield _scatter(_home(ids[some], parts), parts, [ids[some], fps[some], np.full(len(some), fragment), weight[some], np.diff(first)[some]], SEGMENTS, grams, bounds)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in _by_bucket(batches):
+            sets, segments, grams = [], [], []
+            for blob in blobs:
+                tag, columns, own = _read(blob)
+                if tag == SETS:
+                    sets.append(columns)
+                else:
+                    segments.append(columns)
+                    grams.append(own)
+            ids, fps, sizes, sum1, sum2 = (np.concatenate([c[k] for c in sets]) for k in range(5))
+            order = np.lexsort((fps, ids))
+            ids, fps, sizes, sum1, sum2 = (x[order] for x in (ids, fps, sizes, sum1, sum2))
+            rank, packed = np.zeros(len(ids)), [None] * len(ids)
+            if segments:
+                sid, sfp, fragment, weight, times = (np.concatenate([c[k] for c in segments]) for k in range(5))
+                own = np.concatenate(grams)
+                first = np.r_[0, np.cumsum(times)]
+                order = np.lexsort((sfp, sid))
+                cut_at = np.flatnonzero(np.r_[True, (np.diff(sid[order]) != 0) | (np.diff(sfp[order]) != 0)])
+                # rows that repeat id and text have one set; the first of them stands for all
+                place = {(i, f): k for k, (i, f) in reversed(list(enumerate(zip(ids.tolist(), fps.tolist(), strict=True))))}
+                for a, e in zip(cut_at.tolist(), [*cut_at[1:].tolist(), len(order)], strict=True):
+                    k = place[int(sid[order[a]]), int(sfp[order[a]])]
+                    some = order[a:e]
+                    if 100 * int(times[some].sum()) >= percent * int(sizes[k]):
+                        mine = own[textkit.ranges(first[some], times[some])]
+                        where = np.repeat(fragment[some], times[some])
+                        rank[k] = float(weight[some].sum()) / float(sizes[k])
+                        packed[k] = where.astype("<i4").tobytes() + _six(mine)
+            for a in range(0, len(ids), 5_000):
+                e = a + 5_000
+                yield pa.RecordBatch.from_arrays([pa.array(x[a:e]).cast(t) for x, t in ((ids, pa.int64()), (fps, pa.int64()), (sizes, pa.int32()), (sum1, pa.int64()), (sum2, pa.int64()), (rank, pa.float64()))] + [pa.array(packed[a:e], pa.binary())], ["_id", "_fp", "n", "sum1", "sum2", "rank", "grams"])
+
+    packed = keyed(docs, id_col, text_col, apart).mapInArrow(cut, PACKED).repartition(parts, "bucket").mapInArrow(share, PACKED)
+    return packed.repartition(parts, "bucket").mapInArrow(gather, DOCUMENT), parts
+
+
+def _cut_rows(extra: list[str], fragments: int):
+    """Document rows to packed segments with these columns besides _id."""
 
-    packed = keyed(docs, id_col, text_col).mapInArrow(cut, "fragment int, blob binary")
-    return packed.repartition(parts, "fragment").mapInArrow(share, SEGMENT)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                rows = batch.slice(at, 2_000)
+                named = {c: np.asarray(rows.column(k)) for k, c in enumerate(rows.schema.names) if c != "grams"}
+                raw = rows.column(rows.schema.get_field_index("grams")).to_pylist()
+                sizes = np.array([len(r) // 10 for r in raw], np.int64)
+                part = np.concatenate([np.frombuffer(r, "<i4", len(r) // 10) for r in raw]).astype(np.int64)
+                grams = np.concatenate([_unsix(r[len(r) // 10 * 4 :]) for r in raw])
+                yield from _to_fragments(named["_id"], [named[c] for c in extra], np.r_[0, np.cumsum(sizes)], grams, part, fragments)
 
+    return kernel
 
-def _by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
-    """For each fragment the documents' columns, and its n-grams with the place of their document."""
-    held: dict[int, list[pa.RecordBatch]] = defaultdict(list)
-    for batch in batches:
-        part = np.asarray(batch.column(batch.schema.get_field_index("fragment")))
-        for k in np.unique(part).tolist():
-            held[k].append(batch.filter(pa.array(part == k)))
-    while held:
-        rows = pa.Table.from_batches(held.popitem()[1])
-        grams = [_unpack(g) for g in rows.column("grams").to_pylist()]
-        docs = {k: rows.column(k).to_numpy() for k in rows.column_names if k not in ("grams", "fragment")}
-        yield docs, np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
 
+def _fragments(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """For each fragment the documents' columns, and its n-grams with the place of their document; equal sets once."""
+    for _, blobs in _by_bucket(batches):
+        read = [_read(b) for b in blobs]
+        columns = [np.concatenate([c[k] for _, c, _ in read]) for k in range(len(names) + 1)]
+        docs, times = dict(zip(names, columns, strict=False)), columns[-1]
+        grams = np.concatenate([g for *_, g in read])
+        del read
+        first = np.r_[0, np.cumsum(times)]
+        if "sum1" in docs:
+            keep = np.flatnonzero(first_of_equal([docs["sum1"], docs["n"], times, grams[first[:-1]]], [docs["_id"], docs["_fp"]]) == np.arange(len(times)))
+            grams = grams[textkit.ranges(first[keep], times[keep])]
+            docs, times = {k: v[keep] for k, v in docs.items()}, times[keep]
+        yield docs, grams, np.repeat(np.arange(len(times)), times)
 
-PAIR = "id1 long, fp1 long, n1 int, id2 long, fp2 long, n2 int, overlap long"
 
+def _stars(homes: int):
+    names = ["_id", "_fp", "n", "sum1", "rank"]
 
-def _pairs(docs: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, overlap: np.ndarray) -> pa.RecordBatch:
-    columns = [docs["_id"][one], docs["_fp"][one], docs["n"][one], docs["_id"][two], docs["_fp"][two], docs["n"][two], overlap]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in PAIR.split(", ")])
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, grams, owner in _fragments(batches, names):
+            lead = owner[first_of_equal([grams], [-docs["rank"][owner], docs["_id"][owner], docs["_fp"][owner]])]
+            some = lead != owner
+            total = len(docs["n"])
+            keys, times = np.unique(owner[some] * total + lead[some], return_counts=True)
+            one, two = keys // total, keys % total
+            yield _scatter(_home(docs["_id"][one], homes), homes, [docs["_id"][one], docs["_fp"][one], docs["n"][one], docs["_id"][two], docs["_fp"][two], docs["n"][two], times], COUNTS)
 
+    return kernel
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, grams, owner in _by_fragment(batches):
-        lead = owner[first_of_equal([grams], [-docs["rank"][owner], docs["_id"][owner], docs["_fp"][owner]])]
-        some = lead != owner
-        keys, times = np.unique(lead[some] * len(docs["n"]) + owner[some], return_counts=True)
-        yield _pairs(docs, keys // len(docs["n"]), keys % len(docs["n"]), times)
 
+PAIR = "a long, fa long, na int, b long, fb long, nb int, overlap long"
 
-def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, grams, owner in _by_fragment(batches):
-        component = docs["component"][owner]
-        order = np.lexsort((component, grams))
-        g, c = grams[order], component[order]
-        begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        size = np.diff(np.r_[begin, len(g)])
-        several = np.empty(len(g), bool)
-        several[order] = np.repeat(c[begin] != c[begin + size - 1], size)
-        count = np.bincount(owner[several], minlength=len(docs["n"]))
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(docs[k][some]) for k in ("_id", "_fp", "n")] + [pa.array(count[some])], ["_id", "_fp", "n", "shared"])
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed partial counts of pairs to their sums."""
+    for _, blobs in _by_bucket(batches):
+        read = [_read(b)[1] for b in blobs]
+        a, fa, na, b, fb, nb, times = (np.concatenate([c[k] for c in read]) for k in range(7))
+        order = np.lexsort((fb, b, fa, a))
+        a, fa, na, b, fb, nb, times = (x[order] for x in (a, fa, na, b, fb, nb, times))
+        begin = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(fa) != 0) | (np.diff(b) != 0) | (np.diff(fb) != 0)]) if len(a) else np.zeros(0, np.int64)
+        overlap = np.add.reduceat(times, begin) if len(begin) else times
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip((*(x[begin] for x in (a, fa, na, b, fb, nb)), overlap), kinds, strict=True)], [x.split()[0] for x in PAIR.split(", ")])
 
-def _across(percent: int):
+
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(F.expr(f"100 * overlap >= {percent} * (na + nb - overlap)")).select("a", "b")
+
+
+def _unsettled(near: DataFrame, pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(_open, _open_fp) of documents that may have links to other components.
+
+    A document and its leader in one component settle the n-grams between them unless the leader
+    has a holder elsewhere.  What isn't settled, and what the document leads itself if it has a
+    holder elsewhere, must be the threshold's part of its set.  Two documents of different
+    components that are linked both pass: of each n-gram they share one of them is elsewhere
+    than its leader.
+    """
+    component = found.select(F.col("node"), F.col("component"))
+    one, two = component.toDF("_na", "_ca"), component.toDF("_nb", "_cb")
+    placed = pairs.join(one, F.col("a") == F.col("_na"), "left").join(two, F.col("b") == F.col("_nb"), "left")
+    apart = F.coalesce("_ca", "a") != F.coalesce("_cb", "b")
+    placed = placed.select("a", "fa", "b", "fb", "overlap", apart.alias("apart"))
+    leaders = placed.where("apart").select(F.col("b").alias("_lb"), F.col("fb").alias("_lf")).distinct()
+    marked = placed.join(leaders, (F.col("b") == F.col("_lb")) & (F.col("fb") == F.col("_lf")), "left")
+    loose = F.sum(F.when(F.col("apart") | F.col("_lb").isNotNull(), F.col("overlap")).otherwise(0))
+    sums = marked.groupBy("a", "fa").agg(loose.alias("loose"), F.sum("overlap").alias("led_by_others"))
+    docs = near.select("_id", "_fp", "n").join(sums, (F.col("_id") == F.col("a")) & (F.col("_fp") == F.col("fa")), "left")
+    docs = docs.join(leaders, (F.col("_id") == F.col("_lb")) & (F.col("_fp") == F.col("_lf")), "left")
+    own = F.when(F.col("_lb").isNotNull(), F.col("n") - F.coalesce("led_by_others", F.lit(0))).otherwise(0)
+    return docs.where(100 * (F.coalesce("loose", F.lit(0)) + own) >= percent * F.col("n")).select(F.col("_id").alias("_open"), F.col("_fp").alias("_open_fp"))
+
+
+def _foreign(homes: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, grams, owner in _by_fragment(batches):
+        for docs, grams, owner in _fragments(batches, ["_id", "_fp", "n", "sum1", "component"]):
+            component = docs["component"][owner]
+            order = np.lexsort((component, grams))
+            g, c = grams[order], component[order]
+            begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            size = np.diff(np.r_[begin, len(g)])
+            several = np.empty(len(g), bool)
+            several[order] = np.repeat(c[begin] != c[begin + size - 1], size)
+            count = np.bincount(owner[several], minlength=len(docs["n"]))
+            some = np.flatnonzero(count)
+            yield _scatter(_home(docs["_id"][some], homes), homes, [docs["_id"][some], docs["_fp"][some], docs["n"][some], count[some]], COUNTS)
+
+    return kernel
+
+
+def _open(percent: int):
+    """Packed partial counts of documents to those that reach the threshold's part."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in _by_bucket(batches):
+            read = [_read(b)[1] for b in blobs]
+            ids, fps, n, count = (np.concatenate([c[k] for c in read]) for k in range(4))
+            order = np.lexsort((fps, ids))
+            ids, fps, n, count = (x[order] for x in (ids, fps, n, count))
+            begin = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(fps) != 0)]) if len(ids) else np.zeros(0, np.int64)
+            total = np.add.reduceat(count, begin) if len(begin) else count
+            good = 100 * total >= percent * n[begin]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[begin][good]), pa.array(fps[begin][good]), pa.array(total[good]).cast(pa.int64())], ["_open", "_open_fp", "foreign"])
+
+    return kernel
+
+
+def _across(percent: int, homes: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, grams, owner in _fragments(batches, ["_id", "_fp", "n", "sum1", "component", "foreign"]):
             total = len(docs["n"])
             order = np.argsort(grams, kind="stable")
             g, who = grams[order], owner[order]
@@ -245,24 +396,23 @@ def _across(percent: int):
                 one = np.repeat(np.arange(a, e), ahead[a:e])
                 two = who[one + 1 + textkit.ranges(np.zeros(e - a, np.int64), ahead[a:e])]
                 one = who[one]
-                small, large = np.minimum(docs["n"][one], docs["n"][two]), np.maximum(docs["n"][one], docs["n"][two])
-                good = (docs["component"][one] != docs["component"][two]) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64))
+                # an overlap exceeds neither what one shares with other components nor the smaller set
+                most, sizes = np.minimum(docs["foreign"][one], docs["foreign"][two]), docs["n"][one] + docs["n"][two]
+                good = (docs["component"][one] != docs["component"][two]) & (100 * most >= percent * (sizes - most))
                 one, two = one[good], two[good]
                 new, n = np.unique(np.minimum(one, two) * total + np.maximum(one, two), return_counts=True)
                 keys, back = np.unique(np.r_[keys, new], return_inverse=True)
                 times = np.bincount(back, np.r_[times, n], len(keys)).astype(np.int64)
                 a = e
-            yield _pairs(docs, keys // total, keys % total, times)
+            # the pair's order is that of (id, fp), so that all fragments name it alike
+            one, two = keys // total, keys % total
+            swap = (docs["_id"][one] > docs["_id"][two]) | ((docs["_id"][one] == docs["_id"][two]) & (docs["_fp"][one] > docs["_fp"][two]))
+            one, two = np.where(swap, two, one), np.where(swap, one, two)
+            yield _scatter(_home(docs["_id"][one], homes), homes, [docs["_id"][one], docs["_fp"][one], docs["n"][one], docs["_id"][two], docs["_fp"][two], docs["n"][two], times], COUNTS)
 
     return kernel
 
 
-def _linked(pairs: DataFrame, percent: int) -> DataFrame:
-    keys = [x.split()[0] for x in PAIR.split(", ")][:-1]
-    summed = pairs.groupBy(*keys).agg(F.sum("overlap").alias("overlap"))
-    return summed.where(F.expr(f"100 * overlap >= {percent} * (n1 + n2 - overlap)")).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-
-
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row; ids are integers.
 
@@ -274,25 +424,31 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     N-grams are told apart by 48 bits of hash and their fragment: an overlap of two documents
     can be wrong only if two different n-grams of these very documents collide.
     """
-    all_rows = written(_segments(docs, id_col, text_col, words_each), "segments")
-    segments = all_rows.where("kind = 2").select("_id", "_fp", "n", "fragment", "shared", "weight", "grams")
-    held = segments.groupBy("_id", "_fp", "n").agg(F.sum("shared").alias("all_shared"), F.sum("weight").alias("all_weight"))
-    alive = held.where(F.expr(f"100 * all_shared >= {percent} * n")).select("_id", "_fp", (F.col("all_weight") / F.col("n")).alias("rank"))
-    near = written(segments.drop("shared", "weight").join(alive, ["_id", "_fp"]), "near")
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    same = all_rows.where("kind = 1").select(F.col("_id").alias("a"), F.col("lead").alias("b"))
-    star = _linked(near.repartition(parts, "fragment").mapInArrow(_stars, PAIR), percent)
-    links = written(star.union(same), "links")
-    found = components(links)
-    placed = written(near.drop("rank").join(found.withColumnRenamed("node", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id")), "placed")
-    foreign = placed.repartition(parts, "fragment").mapInArrow(_foreign, "_id long, _fp long, n int, shared long")
-    open_rows = foreign.groupBy("_id", "_fp", "n").agg(F.sum("shared").alias("shared")).where(F.expr(f"100 * shared >= {percent} * n")).select("_id", "_fp")
-    left = written(placed.join(open_rows, ["_id", "_fp"]), "open")
-    if not left.isEmpty():
-        more = written(_linked(left.repartition(parts, "fragment").mapInArrow(_across(percent), PAIR), percent), "links")
+    rows, parts = _documents(docs, id_col, text_col, words_each, percent)
+    rows = written(rows, "sets")
+    near = rows.where("grams is not null").withColumn("rank", F.round(F.col("rank") * 1000).cast("long"))
+
+    def counted(source: DataFrame, columns: list[str], count, add, schema: str) -> DataFrame:
+        cut = source.select("_id", *columns, "grams").mapInArrow(_cut_rows(columns, parts), PACKED).repartition(parts, "bucket")
+        return cut.mapInArrow(count, PACKED).repartition(parts, "bucket").mapInArrow(add, schema)
+
+    equal = rows.where("n > 0").groupBy("sum1", "sum2", "n").agg(F.min("_id").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # the further key makes both sides of the join shuffle anew, so that Spark can split a set that many rows share
+    equal = equal.withColumn("_key", F.xxhash64("sum1", "sum2", "n"))
+    same = rows.select("_id", "sum1", "sum2", "n", F.xxhash64("sum1", "sum2", "n").alias("_key")).join(equal, ["sum1", "sum2", "n", "_key"]).where("_id > b").select(F.col("_id").alias("a"), "b")
+    pairs = written(counted(near, ["_fp", "n", "sum1", "rank"], _stars(parts), _sums, PAIR), "pairs")
+    found = components(written(_linked(pairs, percent).union(same), "links"))
+    loose = written(_unsettled(near, pairs, found, percent), "unsettled")
+    if not loose.isEmpty():
+        mine = (F.col("_id") == F.col("_open")) & (F.col("_fp") == F.col("_open_fp"))
+        placed = near.join(loose, mine, "left_semi").join(found.withColumnRenamed("node", "_node"), F.col("_id") == F.col("_node"), "left")
+        placed = written(placed.select("_id", "_fp", "n", "sum1", F.coalesce("component", "_id").alias("component"), "grams"), "placed")
+        columns = ["_fp", "n", "sum1", "component"]
+        left = placed.join(counted(placed, columns, _foreign(parts), _open(percent), "_open long, _open_fp long, foreign long"), mine)
+        more = written(_linked(counted(left, [*columns, "foreign"], _across(percent, parts), _sums, PAIR), percent), "links")
         if not more.isEmpty():
             # the stars found so far and the new links are all that is needed
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    sizes = all_rows.where("kind = 0").select("_id", F.col("n").cast("long").alias("n_shingles"))
+    sizes = rows.select("_id", F.col("n").cast("long").alias("n_shingles"))
     named = sizes.join(found.withColumnRenamed("node", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     return named.select(F.when(F.col("_id") < MAX_ID, F.col("_id")).alias(id_col), "n_shingles", F.when(F.col("component") < MAX_ID, F.col("component")).alias("component_id"))

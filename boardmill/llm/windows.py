@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -54,11 +54,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, apart: bool = True) -> Da
 def measure(docs: DataFrame, id_col: str, text_col: str) -> tuple[int, int, bool]:
     """Partitions and buckets, so many that a bucket's size doesn't depend on the input's, and whether ids repeat."""
     row = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
-    spark = docs.sparkSession
-    parts = max(int((row[0] or 0) * GROWTH / (BUCKET_BYTES * BUCKETS_EACH)), spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = row[0] or 0
+    parts = max(int(total * GROWTH / (BUCKET_BYTES * BUCKETS_EACH)), least_partitions(docs.sparkSession, total))
     return parts, parts * BUCKETS_EACH, row[1] != row[2]
 
 
+def least_partitions(spark: SparkSession, total: int) -> int:
+    """As many partitions as the session asks for, fewer for texts that wouldn't give each a quarter of a megabyte."""
+    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (256 << 10))
+    return max(spark.sparkContext.defaultParallelism, wanted)
+
+
 class Packed:
     """Super-k-mers: one array for each of FIELDS, and the strings' bytes one after another."""
 
