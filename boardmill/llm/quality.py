@@ -108,8 +108,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, flo
     return weights[:, 0].astype(np.float32), float(bias[0])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row and score, from 0 to 1.  Empty and null texts get the bias's score."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row and ``name``, its score from 0 to 1.  Empty and null texts get the bias's score."""
     weights, bias = model
     types = dict(docs.dtypes)
 
@@ -117,9 +117,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], tex
         for rows, offs, data in textkit.slices(batches, text_col):
             places, first = features(data, offs)
             dots = textkit.segment_sum(weights[places].astype(float), first) * MASS / np.maximum(1, np.diff(first)) + bias
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(probabilities(dots[:, None])[:, 0])], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(probabilities(dots[:, None])[:, 0])], [*keep, name])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{name}` double"])
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(kernel, schema)
 
 

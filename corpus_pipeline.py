@@ -24,12 +24,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.training_rows(docs, labels, "doc_id", "text", "quality"))
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, model, docs.columns, name="_quality").where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts the one with the smallest id."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    # the rows travel as one column, so that none of theirs meets a column of the result
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    return exact_dedup(rows).where("kept").select("_row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

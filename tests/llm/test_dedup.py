@@ -102,3 +102,17 @@ def test_null_ids_are_last(spark):
     docs = spark.createDataFrame(EDGES, corpus.SCHEMA)
     found = {(r.doc_id, r.kept) for r in exact_dedup(docs).where("text = 'a b c'").collect()}
     assert found == {(None, False), (2, True)}
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op4_exact_dedup", "op5_substring_dedup", "op8_source_mixing"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from boardmill.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    df, want = QUERIES[name](spark, folder), c.sql(ORACLE_SQL[name])
+    assert df.columns == want.columns
+    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
