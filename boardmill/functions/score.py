@@ -9,6 +9,8 @@ ACCEPT_CONFIDENCE = 0.80
 UNCERTAIN_SQUARE = 0.90
 # What each reason adds to a review priority.
 WEIGHTS = {"illegal": 1000.0, "orientation": 500.0, "sources": 250.0, "side": 120.0, "confidence": 100.0, "repair": 30.0, "entropy": 10.0, "rare": 5.0}
+# The names of the legality classes, worst first.
+LEGALITY = ["sintaxe", "ilegal", "lado-a-jogar", "legal"]
 # The ambiguity buckets and the largest count of each.
 BUCKETS = [("1", 1), ("2", 2), ("3-5", 5), ("6-20", 20), ("21-100", 100), (">100", None)]
 
@@ -36,8 +38,9 @@ def first_rule(rules: list[tuple[Column, Column]], otherwise: Column | None = No
 
 
 def legality(syntactic: Column, fatal: Column, legal_as_given: Column) -> Column:
-    """sintaxe, ilegal, lado-a-jogar or legal."""
-    return first_rule([(~syntactic, F.lit("sintaxe")), (fatal, F.lit("ilegal")), (~legal_as_given, F.lit("lado-a-jogar"))], F.lit("legal"))
+    """The legality class: malformed, illegal, illegal for the side to move, legal."""
+    rules = zip((~syntactic, fatal, ~legal_as_given), map(F.lit, LEGALITY), strict=False)
+    return first_rule(list(rules), F.lit(LEGALITY[-1]))
 
 
 def verdict(is_fatal: Column, orientation_ambiguous: Column, side_conflict: Column, is_legal: Column, min_confidence: Column, accept: float = ACCEPT_CONFIDENCE) -> Column:

@@ -358,3 +358,42 @@ def test_resumed_scan(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(15))
     assert incremental.compatible({"a": 1}, {"a": 1}, "m", "") and not incremental.compatible({"a": 1}, {"a": 1}, "m", "n")
     assert pd.Series(incremental.parameters_key({"b": 2, "a": "x/y"})).iloc[0] == "a=x_y_b=2"
+
+
+def test_legality_classes(spark):
+    df = spark.createDataFrame([(1, False, None, None), (2, True, True, False), (3, True, False, False), (4, True, False, True)], "k int, s boolean, f boolean, l boolean")
+    got = [r[0] for r in df.orderBy("k").select(score.legality(F.col("s"), F.col("f"), F.col("l"))).collect()]
+    assert got == score.LEGALITY
+
+
+def test_artifacts(spark, tmp_path):
+    from boardmill.sources import artifacts
+
+    (tmp_path / "a.json").write_text(json.dumps({"version": 1, "source_name": "book", "diagrams": {"3.1": {"headers": {"White": "A"}, "filled_rule": "date"}, "x": {}}}))
+    (tmp_path / "b.json").write_text("{broken")
+    rows = artifacts.read_annotations(spark, str(tmp_path / "*.json")).collect()
+    assert [(r.book, r.page, r.diagram, r.headers) for r in rows] == [("book", 3, 1, {"White": "A"})]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "one.json").write_text(json.dumps({"version": 1, "books": {"book": [{"page_index": 1, "diagram_index": 2, "games_matched": 3}]}}))
+    match = artifacts.read_matches(spark, str(tmp_path / "m")).first()
+    assert (match.book, match.games_matched, match.candidates) == ("book", 3, [])
+    hash_lines = [{"kind": "header", "version": 1}, {"source_pdf": "b", "source_page": 1, "source_diagram": 1, "hash": "f" * 16 + "0" * 47 + "1"}, {"source_pdf": "b", "hash": "zz"}]
+    (tmp_path / "h.jsonl").write_text("\n".join(map(json.dumps, hash_lines)))
+    found = artifacts.read_hash_index(spark, str(tmp_path / "h.jsonl")).orderBy("readable").collect()
+    assert [r.readable for r in found] == [False, True] and found[1].words == [-1, 0, 0, 1]
+    (tmp_path / "q.json").write_text(json.dumps({"version": 2, "items": [{"page_index": 1}]}))
+    assert artifacts.read_queue(spark, str(tmp_path / "q.json")).count() == 0
+
+
+def test_page_operators(spark):
+    from boardmill.operators import pages
+
+    lines = spark.createDataFrame([("b", p, "Chapter %d" % p, 0.0, 5.0) for p in range(4)] + [("b", 1, "0Z0Z0Z0s", 50.0, 60.0), ("b", 1, "White to move", 50.0, 60.0)], "book string, page int, text string, y0 double, y1 double").withColumn("height", F.lit(100.0))
+    assert [r.text for r in pages.body_lines(lines, ["page"], "height", ["book"]).collect()] == ["White to move"]
+    assert pages.margin_lines(lines, "height").count() == 4
+    entries = spark.createDataFrame([(0, 3, 1), (1, 3, 2), (2, 5, 1)], "position int, page int, diagram int")
+    assert [pages.position_of(entries, *at).first().position for at in ((3, 2), (3, 9), (4, 1))] == [1, 0, None]
+    got = spark.range(1).select(pages.agreement(F.lit("8/8/8/8/8/8/8/8"), F.lit("PPPPPPPP/PPPPPPPP/8/8/8/8/8/8")).alias("a")).first().a
+    assert (got.agreement, got.collapsed) == (0.75, True)
+    with pytest.raises(Exception, match="illegal position"):
+        spark.range(1).select(pages.validated_update(F.lit("8/8"), F.lit("w"), F.lit(True), F.lit(True), F.lit(False))).collect()
