@@ -211,8 +211,9 @@ def search_by_name(games: DataFrame, hits: DataFrame, pair: Column, game: list[s
 
 
 def groups_of(df: DataFrame, group: list[str], member: str) -> DataFrame:
-    """(group, members) of groups of two or more; for reports on groups that a person reads."""
-    return df.groupBy(*group).agg(F.array_sort(F.collect_list(member)).alias("members")).where(F.size("members") > 1)
+    """(group, leader, size, member): a row for each member of groups of two or more; the leader is the smallest member."""
+    sums = df.groupBy(*group).agg(F.min(member).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return df.select(*group, member).join(sums, group)
 
 
 def same_game_nearby(entries: DataFrame, book: list[str], position: str, games: str, chosen: str, radius: int = 3) -> DataFrame:

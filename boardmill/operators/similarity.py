@@ -7,6 +7,7 @@ input themselves.  Everything else is joins and aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from ..functions import geometry
 from .datasets import hamming
 
 MAX_DISTANCE, AMBIGUITY = 6, 4
+#: Rows of the query set that are broadcast at once when every index row is compared.
+QUERY_BLOCK = 1_000
 MATCH_IOU = 0.5
 SUSPECT_SIDE = 72.0
 MAX_BOARDS = 12
@@ -28,12 +31,16 @@ def nearest(samples: DataFrame, index: DataFrame, sample_key: str, row_key: str,
 
     With ``max_distance`` only rows that share one of ``max_distance + 1`` bands of bits can be
     near enough (pigeonhole), so the join is on bands; the runner-up is then exact up to
-    max_distance + margin, which decides ambiguity.  Without it every row is compared.
+    max_distance + margin, which decides ambiguity.  Without it the samples are a stated query
+    set that every row is compared with, a block of bounded size at a time.
     """
     s = samples.select(F.col(sample_key), F.col(words).alias("_a"))
     r = index.select(F.col(row_key), F.col(group), F.col(words).alias("_b"))
     if max_distance is None:
-        pairs = s.crossJoin(r)
+        blocks = max(1, -(-s.count() // QUERY_BLOCK))
+        place = F.pmod(F.xxhash64(sample_key), F.lit(blocks))
+        parts = [r.join(F.broadcast(s.where(place == k))) for k in range(blocks)]
+        pairs = reduce(DataFrame.unionByName, parts)
     else:
         bands = max_distance + margin
         pairs = _banded(s, "_a", bands).join(_banded(r, "_b", bands), ["_band", "_bits"]).drop("_band", "_bits").distinct()

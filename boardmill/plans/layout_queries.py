@@ -186,14 +186,14 @@ def decode_board(t: Tables) -> DataFrame:
     start = "".join("." if c == "." else c for c in "rnbqkbnrpppppppp" + "." * 32 + "PPPPPPPPRNBQKBNR")
     best = F.transform(F.split(F.lit(start), ""), lambda s: s)
     p = F.flatten(F.transform(F.filter(best, lambda s: s != ""), lambda s, k: F.transform(F.array(*map(F.lit, board.LETTERS)), lambda c: F.when((c == s) & ~((s == "K") & (F.col("vec_id") % 2 == 0)), 0.8).when((c == "Q") & (s == "K") & (F.col("vec_id") % 2 == 0), 0.5).otherwise(0.01))))
-    rows = t("embeddings").where("vec_id < 40").select("vec_id", p.alias("p"))
+    rows = t("embeddings").select("vec_id", p.alias("p"))
     return decode.decode_boards(rows, ["vec_id"], "p")
 
 
-@query("source string, folded string", "SELECT DISTINCT source, lower(strip_accents(substr(text, 1, 40))) AS folded FROM (SELECT source, trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g')) AS text FROM documents WHERE doc_id < 400)")
+@query("doc_id bigint, folded string", "SELECT doc_id, sha256(lower(strip_accents(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g'))))) AS folded FROM documents")
 def text_fold(t: Tables) -> DataFrame:
     """Texts without marks, in lower case."""
-    return t("documents").where("doc_id < 400").select("source", F.substring(text.fold("text"), 1, 40).alias("folded")).distinct()
+    return t("documents").select("doc_id", F.sha2(text.fold("text"), 256).alias("folded"))
 
 
 @query("name string, surname string", "SELECT name, surname FROM (VALUES ('Kasparov, Garry', 'kasparov'), ('J. R. Capablanca', 'capablanca'), ('Réti', 'reti'), ('A.', 'a.'), ('', ''), ('M. van der Wiel', 'van der wiel'), ('Müller–Groß, K', 'muller-gross')) v(name, surname)")
@@ -211,7 +211,7 @@ def caption_parse(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.explode(F.array(*map(F.lit, captions))).alias("caption")).withColumn("c", c).select("caption", "c.side", "c.exercise", "c.white", "c.black", "c.event", "c.year")
 
 
-@query("event_id bigint, spelled string, share string", "SELECT event_id, replace(format('{:,}', event_id * 1000 + 7), ',', '.') AS spelled, replace(format('{:.1f}', CAST(event_id % 1000 AS DOUBLE) / 8), '.', ',') || '%' AS share FROM events WHERE event_id % 8 = 0")
+@query("event_id bigint, spelled string, share string", "SELECT event_id, replace(format('{:,}', event_id * 1000 + 7), ',', '.') AS spelled, replace(format('{:.1f}', CAST(event_id % 1000 AS DOUBLE) / 10), '.', ',') || '%' AS share FROM events")
 def number_formats(t: Tables) -> DataFrame:
     """Numbers with points between thousands and percentages with a comma."""
-    return t("events").where("event_id % 8 = 0").select("event_id", text.thousands(F.col("event_id") * 1000 + 7).alias("spelled"), text.percent((F.col("event_id") % 1000) / F.lit(800.0)).alias("share"))
+    return t("events").select("event_id", text.thousands(F.col("event_id") * 1000 + 7).alias("spelled"), text.percent((F.col("event_id") % 1000) / F.lit(1000.0)).alias("share"))

@@ -132,10 +132,10 @@ def search_by_name(t: Tables) -> DataFrame:
     return pages.search_by_name(games, hits, F.col("c_custkey") % 9 == 0, ["o_orderkey"])
 
 
-@query("digest string, members string", "SELECT sha256(text) AS digest, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM documents WHERE lang = 'fr' GROUP BY text HAVING count(*) > 1")
+@query("doc_id bigint, leader bigint, size bigint", "SELECT doc_id, min(doc_id) OVER w AS leader, count(*) OVER w AS size FROM documents WINDOW w AS (PARTITION BY text) QUALIFY count(*) OVER w > 1")
 def groups_by_origin(t: Tables) -> DataFrame:
     """Groups of two or more of one origin."""
-    return pages.groups_of(t("documents").where("lang = 'fr'").select("doc_id", F.sha2("text", 256).alias("digest")), ["digest"], "doc_id").select("digest", F.array_join("members", ",").alias("members"))
+    return pages.groups_of(t("documents").select("doc_id", F.sha2("text", 256).alias("digest")), ["digest"], "doc_id")
 
 
 @query("conv_id bigint, turn bigint, taken string", "WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, role, CASE WHEN length(text) % 4 = 0 THEN role END AS chosen FROM conversations) SELECT a.conv_id, a.turn, arg_min(b.chosen, (abs(a.n - b.n), b.n)) AS taken FROM e a JOIN e b ON b.conv_id = a.conv_id AND abs(a.n - b.n) BETWEEN 1 AND 3 AND b.chosen IN (a.role, 'assistant') WHERE a.chosen IS NULL GROUP BY a.conv_id, a.turn")
