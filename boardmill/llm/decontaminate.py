@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from . import textkit
 
-Q = 10
+Q = 8
 #: The edit budget is this part of an item's length, rounded down, and less where the lemma's bound would fall under 1.
-EDIT_RATE = 0.07
+EDIT_RATE = 0.10
 #: Items with fewer normalised bytes match by chance and are not searched for.
 LEAST_BYTES = 24
+#: Diagonals of a band, or more where an item's budget asks for it.
 BAND = 64
 #: Bytes of benchmark text that are searched for at once; more items make more passes over the documents.
 BLOCK_BYTES = 4 << 20
@@ -99,6 +100,7 @@ class ItemIndex:
         self.budget = np.maximum(0, np.minimum((size * EDIT_RATE).astype(np.int64), (size - Q) // Q))
         self.bound = size - Q + 1 - Q * self.budget
         self.widest = int(self.budget.max()) if len(size) else 0
+        self.band = max(BAND, self.widest + 1)
         codes = [qgram_codes(x) for x in self.items]
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -126,17 +128,18 @@ class ItemIndex:
         posting = textkit.ranges(self.first[at], times)
         item, doc = self.item[posting], np.repeat(doc, times)
         diagonal = np.repeat(hit, times) - self.place[posting] - offs[doc] + (1 << 20)
-        band = diagonal // BAND
-        lower = diagonal % BAND < self.widest  # also in the band before, which reaches over
-        key = (doc * len(self.items) + item) * (1 << 36)
+        band = diagonal // self.band
+        lower = diagonal % self.band < self.widest  # also in the band before, which reaches over
+        pairs, number = np.unique(doc * len(self.items) + item, return_inverse=True)
+        key = number * (1 << 36)
         keys, count = np.unique(np.r_[key + band, (key + band - 1)[lower]], return_counts=True)
-        owner, band = keys >> 36, keys & ((1 << 36) - 1)
+        owner, band = pairs[keys >> 36], keys & ((1 << 36) - 1)
         met = count >= self.bound[owner % len(self.items)]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for pair, b in zip(owner[met].tolist(), band[met].tolist(), strict=True):
             d, k = divmod(pair, len(self.items))
-            low = b * BAND - (1 << 20)
-            found = self.align(k, data[offs[d] : offs[d + 1]], low, low + BAND + self.widest - 1)
+            low = b * self.band - (1 << 20)
+            found = self.align(k, data[offs[d] : offs[d + 1]], low, low + self.band + self.widest - 1)
             if found and ((d, k) not in best or found < best[d, k]):
                 best[d, k] = found
         return [(d, k, *v) for (d, k), v in sorted(best.items())]
