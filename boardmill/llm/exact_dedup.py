@@ -29,8 +29,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.select("_id", "_norm", F.octet_length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix"))
     # lengths are counted from the prefix groups: one pass over the texts serves both steps
     prefixes = rows.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    alike = prefixes.where("_n > 1").select("_len", "_prefix")
-    survivors = rows.join(alike, ["_len", "_prefix"], "left_semi")
+    # the further key makes both sides of the join shuffle anew, so that Spark can split a prefix that many rows share
+    alike = prefixes.where("_n > 1").select("_len", "_prefix", F.xxhash64("_len", "_prefix").alias("_key"))
+    survivors = rows.withColumn("_key", F.xxhash64("_len", "_prefix")).join(alike, ["_len", "_prefix", "_key"], "left_semi")
     full = survivors.select("_id", F.sha2("_norm", 256).alias("digest"))
     return full.groupBy("digest").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
@@ -45,13 +46,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns of the same names.
     """
     groups = duplicate_groups(docs, id_col, text_col).select(
-        F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_group_size")
+        F.col("digest").alias("_digest"), F.substring("digest", 1, 8).alias("_head"), F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_group_size")
     )
     hashed = docs.withColumn("text_sha256", F.sha2(normalised(F.col(text_col)), 256))
     return (
-        hashed.join(groups, F.col("text_sha256") == F.col("_digest"), "left")
+        hashed.join(groups, (F.col("text_sha256") == F.col("_digest")) & (F.substring("text_sha256", 1, 8) == F.col("_head")), "left")
         .withColumn("keep_id", F.when(F.col("_digest").isNull(), F.col(id_col)).otherwise(F.col("_keep_id")))
         .withColumn("group_size", F.coalesce("_group_size", F.lit(1)).cast("long"))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .drop("_digest", "_keep_id", "_group_size")
+        .drop("_digest", "_head", "_keep_id", "_group_size")
     )
