@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 QUANTUM = 1_000
 BLOCK_ROWS = 16
 #: Rows of a source whose places are counted together, on the average.
-RANK_ROWS = 20_000
+RANK_ROWS = 2_000
 
 
 def whole_shares(weights: dict[str | None, float], quantum: int = QUANTUM) -> dict[str | None, int]:
