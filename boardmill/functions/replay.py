@@ -5,6 +5,7 @@ Boards are lists of 64 letters in reading order (a8 first), '.' for empty.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -192,13 +193,19 @@ def positions(movetext: str, setup: str | None = None) -> Iterator[tuple[int, st
         yield ply, compress(game.board), game.number, game.white
 
 
+@functools.lru_cache(maxsize=2_000)
+def _recorded(movetext: str, setup: str | None) -> tuple[tuple[int, str, int, bool], ...]:
+    """The positions of a game; archives hold many games twice, often close together."""
+    return tuple(positions(movetext, setup))
+
+
 def replay(games: DataFrame, keys: list[str], movetext: str = "movetext", setup: str = "setup_fen") -> DataFrame:
     """(keys, ply, placement, move_number, white_to_move) of all positions of all games; null movetext has none."""
     kinds = dict(games.dtypes)
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(*r[:-2], *p) for r in frame.itertuples(index=False) for p in positions(r[-2] or "", r[-1] or None)]
+            rows = [(*r[:-2], *p) for r in frame.itertuples(index=False) for p in _recorded(r[-2] or "", r[-1] or None)]
             yield pd.DataFrame(rows, columns=[*keys, "ply", "placement", "move_number", "white_to_move"])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ply int, placement string, move_number int, white_to_move boolean"])

@@ -125,19 +125,18 @@ def diff_runs(before: DataFrame, after: DataFrame, key: list[str], page: list[st
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         lost = frame[frame.a_x0.notna()].sort_values(["a_y0", "a_x0"])
         gained = frame[frame.b_x0.notna()].sort_values(["b_y0", "b_x0"])
-        over = _iou(lost[fields[:4]].to_numpy(float).reshape(-1, 4), gained[fields[5:9]].to_numpy(float).reshape(-1, 4))
+        one, two = lost[fields[:5]].to_numpy(float).reshape(-1, 5), gained[fields[5:]].to_numpy(float).reshape(-1, 5)
+        over = _iou(one[:, :4], two[:, :4]) if len(one) and len(two) else np.zeros((len(one), len(two)))
         taken, out = set(), []
-        for i in range(len(lost)):
-            best = max(((over[i, j], j) for j in range(len(gained)) if j not in taken and over[i, j] >= least), default=None)
-            row = lost.iloc[i][fields[:5]].tolist()
+        for i, row in enumerate(one.tolist()):
+            best = max(((over[i, j], j) for j in range(len(two)) if j not in taken and over[i, j] >= least), default=None)
             if best is None:
                 out.append(("lost", row[4] < suspect_below, *row[:4], *[None] * 4))
             else:
                 taken.add(best[1])
-                out.append(("moved", row[4] < suspect_below, *row[:4], *gained.iloc[best[1]][fields[5:9]]))
-        for j in range(len(gained)):
+                out.append(("moved", row[4] < suspect_below, *row[:4], *two[best[1], :4].tolist()))
+        for j, row in enumerate(two.tolist()):
             if j not in taken:
-                row = gained.iloc[j][fields[5:]].tolist()
                 out.append(("gained", row[4] < suspect_below, *[None] * 4, *row[:4]))
         return pd.DataFrame(out, columns=["change", "suspect", *fields[:4], *fields[5:9]]).astype(dict.fromkeys([*fields[:4], *fields[5:9]], float))
 

@@ -177,6 +177,8 @@ def replay_search(t: Tables) -> DataFrame:
     lines = ["1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Bxc6 dxc6 5. O-O", "1. d4 d5 2. c4 e6 3. Nc3 (3. Nf3 Nf6) Nf6 4. Bg5 Be7", "1. e4 c5 2. Nf3 d6 3. d4 cxd4 4. Nxd4 Nf6 5. Nc3 a6"]
     games = t("orders").select("o_orderkey", F.get(F.array(*map(F.lit, lines)), (F.col("o_orderkey") % 3).cast("int")).alias("movetext"), F.lit(None).cast("string").alias("setup_fen"))
     wanted = t.spark.range(1).select(F.explode(F.array(F.lit("r1bqkbnr/pppp1ppp/2n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R"), F.lit("rnbqkb1r/1p2pppp/p2p1n2/8/3NP3/2N5/PPP2PPP/R1BQKB1R"))).alias("placement"))
+    # replaying is all the work, so games of a few files are dealt to every core first
+    games = games.repartition(t.spark.sparkContext.defaultParallelism)
     return replay.replay(games, ["o_orderkey"]).join(wanted, "placement", "left_semi")
 
 
