@@ -1,11 +1,15 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
-
-Each source's rows are cut into blocks.  With weight w = share / QUANTUM, its j-th block may run
-from slot floor((j - 1) / w) on and must run before slot ceil(j / w).  Of the blocks released
-the one with the earliest deadline runs in each slot.  After any number of slots every source
-has had its weight's part of them to within less than one block.  As shares are whole numbers
-that sum to QUANTUM, the schedule repeats after QUANTUM slots: one period is a table of fixed
-size, and every block finds its slot by a join with it.
+"""Mixing sources to target weights by Pfair scheduling.
+
+Each source's rows are cut into blocks.  With weight w, its part of the sum of all weights, its
+j-th block may run from slot floor((j - 1) / w) on and must run before slot ceil(j / w).  Of the
+blocks released the one with the earliest deadline runs in each slot.  After any number of slots
+every source has had its weight's part of them to within less than one block.  Weights are taken
+as the exact rationals that their doubles stand for, so the bound holds for any number of
+sources and slots.  The schedule is made once, by one task that keeps a state per source.
+
+With a ``quantum`` the weights are rounded to whole shares of it, one at least each, and the
+schedule of those shares repeats after ``quantum`` slots: the bound then holds for the shares,
+not for the weights.  The SQL of ``op8_source_mixing`` describes that schedule.
 """
 
 from __future__ import annotations
@@ -13,15 +17,21 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 QUANTUM = 1_000
 BLOCK_ROWS = 16
 #: Rows of a source whose places are counted together, on the average.
 RANK_ROWS = 2_000
+#: Rows of a batch of the schedule.
+BATCH_ROWS = 1 << 16
 
 
 def whole_shares(weights: dict[str | None, float], quantum: int = QUANTUM) -> dict[str | None, int]:
@@ -58,28 +68,68 @@ def pfair_period(shares: dict[str | None, int]) -> list[tuple[str | None, int, i
     return out
 
 
+def pfair_slots(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of the first blocks[k] blocks of each source k, by slot; other blocks' slots are left out."""
+    exact = [Fraction(w) for w in weights]
+    whole = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    parts = [int(w * whole) for w in exact]
+    total, left = sum(parts), sum(blocks)
+    waiting = [(0, k, 0) for k in range(len(parts))]
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            _, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // parts[k]), k, j))
+        _, k, j = heapq.heappop(ready)
+        if j < blocks[k]:
+            left -= 1
+            yield k, j, slot
+        heapq.heappush(waiting, ((j + 1) * total // parts[k], k, j + 1))
+        slot += 1
+
+
+def _slots(sources: DataFrame, block_rows: int) -> DataFrame:
+    """(_source, _source_null, block, slot) from (_source, _source_null, _n, _weight), in one task."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["_source_null"], r["_source"], r["_n"], r["_weight"]) for b in batches for r in b.to_pylist())
+        out: list[tuple[int, int, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            k, j, slot = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x in k]), pa.array([rows[x][0] for x in k]), pa.array(j, pa.int64()), pa.array(slot, pa.int64())], ["_source", "_source_null", "block", "slot"])
+
+        for found in pfair_slots([r[3] for r in rows], [-(-r[2] // block_rows) for r in rows]):
+            out.append(found)
+            if len(out) == BATCH_ROWS:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
+
+    return sources.select("_source", "_source_null", "_n", "_weight").repartition(1).mapInArrow(kernel, "_source string, _source_null boolean, block long, slot long")
+
+
 def temperature_weights(docs: DataFrame, source_col: str, power: float = 0.5) -> dict[str | None, float]:
     """Each source's number of rows to a power; more than QUANTUM sources are an error."""
     counts = docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(QUANTUM + 1).collect()
     return {r.s: r.n**power for r in counts}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, quantum: int | None = None) -> DataFrame:
     """``docs`` with block (from 0, in its source), slot and mix_position; to be read in order of mix_position.
 
     ``weights`` must name every source that occurs, null included (others raise no error and
-    get no rows); without it a source's weight is the square root of its rows.  Rows keep the
-    order of the md5 of their ids inside a source, rows that share an id in any order.  Slots of
-    a source that has run out stay empty, so mix_position has gaps.  No row is dropped; columns
-    of ``docs`` with the names of results are replaced.
+    get no rows), each above 0; without it a source's weight is the square root of its rows.
+    ``quantum`` rounds the weights to whole shares, see above.  Rows keep the order of the md5 of
+    their ids inside a source, rows that share an id in any order.  Slots of a source that has
+    run out stay empty, so mix_position has gaps, and the task that makes the schedule passes
+    them too.  No row is dropped; columns of ``docs`` with the names of results are replaced.
     """
     spark = docs.sparkSession
-    weights = temperature_weights(docs, source_col) if weights is None else weights
-    period = pfair_period(whole_shares(weights))
-    shares = whole_shares(weights)
-    listed = json.dumps([{"_s": s, "_s_null": s is None, "_share": shares[s], "_in_period": j, "_slot": slot} for s, j, slot in period])
-    kind = "array<struct<_s:string,_s_null:boolean,_share:int,_in_period:int,_slot:int>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))
+    if weights and not all(0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be above 0 and finite")
     total = docs.count()
     digits = max(1, math.ceil(math.log(max(total, 1) / RANK_ROWS + 1, 16)))
     rows = docs.withColumn("_source", F.col(source_col).cast("string")).withColumn("_order", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
@@ -90,11 +140,24 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     before = before.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_order", id_col))).join(before, keys)
     placed = placed.withColumn("_place", F.col("_before") + F.col("_rank") - 1).withColumn("block", F.expr(f"_place div {block_rows}"))
-    table = table.withColumn("_s", F.coalesce("_s", F.lit("")))
-    share = table.select(F.col("_s").alias("_source"), F.col("_s_null").alias("_source_null"), "_share").distinct()
-    placed = placed.join(F.broadcast(share), ["_source", "_source_null"])  # QUANTUM rows at most
-    placed = placed.withColumn("_in_period", F.expr("cast(block % _share as int)"))
-    slots = table.select(F.col("_s").alias("_source"), F.col("_s_null").alias("_source_null"), "_in_period", "_slot")
-    placed = placed.join(F.broadcast(slots), ["_source", "_source_null", "_in_period"])
-    placed = placed.withColumn("slot", F.expr(f"(block div _share) * {QUANTUM} + _slot")).withColumn("mix_position", F.expr(f"slot * {block_rows} + _place % {block_rows}"))
+    if quantum is None:
+        sources = rows.groupBy("_source", "_source_null").agg(F.count(F.lit(1)).alias("_n"))
+        if weights is None:
+            sources = sources.withColumn("_weight", F.pow("_n", F.lit(0.5)))
+        else:
+            named = spark.createDataFrame([(s or "", s is None, float(x)) for s, x in weights.items()], "_source string, _source_null boolean, _weight double")
+            sources = named.join(sources, ["_source", "_source_null"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+        placed = placed.drop("slot").join(written(_slots(sources, block_rows), "slots"), ["_source", "_source_null", "block"])
+    else:
+        shares = whole_shares(temperature_weights(docs, source_col) if weights is None else weights, quantum)
+        listed = json.dumps([{"_s": s or "", "_s_null": s is None, "_share": shares[s], "_in_period": j, "_slot": slot} for s, j, slot in pfair_period(shares)])
+        kind = "array<struct<_s:string,_s_null:boolean,_share:int,_in_period:int,_slot:int>>"
+        table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))
+        share = table.select(F.col("_s").alias("_source"), F.col("_s_null").alias("_source_null"), "_share").distinct()
+        placed = placed.join(F.broadcast(share), ["_source", "_source_null"])  # ``quantum`` rows at most
+        placed = placed.withColumn("_in_period", F.expr("cast(block % _share as int)"))
+        slots = table.select(F.col("_s").alias("_source"), F.col("_s_null").alias("_source_null"), "_in_period", "_slot")
+        placed = placed.join(F.broadcast(slots), ["_source", "_source_null", "_in_period"])
+        placed = placed.withColumn("slot", F.expr(f"(block div _share) * {quantum} + _slot"))
+    placed = placed.withColumn("mix_position", F.expr(f"slot * {block_rows} + _place % {block_rows}"))
     return placed.select(*[c for c in docs.columns if c not in ("block", "slot", "mix_position")], "block", "slot", "mix_position")

@@ -11,7 +11,7 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .langid import language_scores
 from .licenses import licence_paragraphs
-from .mixing import mix_sources
+from .mixing import QUANTUM, mix_sources
 from .ngram_join import ngram_components
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
@@ -60,7 +60,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    # whole shares of a fixed period, as the query's SQL has them
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), quantum=QUANTUM)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
