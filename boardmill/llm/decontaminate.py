@@ -4,7 +4,8 @@ A text region within edit distance k of an item of length L shares at least
 ``L - q + 1 - q * k`` of the item's q-grams, and they lie on diagonals (place in the document
 less place in the item) at most k apart.  Each document's q-grams are looked up in the items'
 index, matches are counted in diagonal bands that overlap by the largest k, bands that meet the
-bound are regions, and a banded alignment of the item in the region gives the distance.
+bound are regions, and a banded alignment of the item in the region gives the distance.  Items
+too short for a q-gram are compared, whole and exactly, with every place between word bounds.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from . import textkit
 Q = 8
 #: The edit budget is this part of an item's length, rounded down, and less where the lemma's bound would fall under 1.
 EDIT_RATE = 0.10
-#: Items with fewer normalised bytes match by chance and are not searched for.
-LEAST_BYTES = 24
 #: Diagonals of a band, or more where an item's budget asks for it.
 BAND = 64
 #: Bytes of benchmark text that are searched for at once; more items make more passes over the documents.
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 20
+#: True for ASCII letters and digits and for the bytes of all other characters.
+_WORD = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 
 
 def normalise(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +56,15 @@ def qgram_codes(data: np.ndarray) -> np.ndarray:
     return textkit.mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + eight[Q - 8 : Q - 8 + n])
 
 
+def gram_codes(data: np.ndarray, length: int) -> np.ndarray:
+    """The bytes of each run of ``length`` < 8 successive bytes as one number."""
+    n = max(0, len(data) - length + 1)
+    code = np.zeros(n, np.uint64)
+    for k in range(length):
+        code = code << np.uint64(8) | data[k : k + n].astype(np.uint64)
+    return code
+
+
 def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int]:
     """Least edit distance of ``item`` to a part of ``region`` on the diagonals low..high, and that part's end.
 
@@ -94,8 +104,14 @@ class ItemIndex:
         data, offs = normalise(data, offs)
         items = [data[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         items = [x[: len(x) - (len(x) > 0 and x[-1] == 0x20)] for x in items]
-        chosen = [k for k, x in enumerate(items) if len(x) >= LEAST_BYTES]
-        self.ids, self.items = [ids[k] for k in chosen], [items[k] for k in chosen]
+        chosen = [k for k, x in enumerate(items) if len(x) >= Q]
+        short = [k for k, x in enumerate(items) if 0 < len(x) < Q]
+        self.ids, self.items = [ids[k] for k in chosen + short], [items[k] for k in chosen]
+        #: For each length under Q the codes of the short items, in order, and their places in ``ids``.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in sorted({len(items[k]) for k in short}):
+            own = [(int(gram_codes(items[k], length)[0]), len(chosen) + at) for at, k in enumerate(short) if len(items[k]) == length]
+            self.short[length] = np.array([c for c, _ in sorted(own)], np.uint64), np.array([at for _, at in sorted(own)], np.int64)
         size = np.array([len(x) for x in self.items], np.int64)
         self.budget = np.maximum(0, np.minimum((size * EDIT_RATE).astype(np.int64), (size - Q) // Q))
         self.bound = size - Q + 1 - Q * self.budget
@@ -114,6 +130,31 @@ class ItemIndex:
 
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, begin, end) of the best region of each item in each document."""
+        return sorted(self.search_long(data, offs) + self.search_short(data, offs))
+
+    def search_short(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The first place of each item under Q bytes in each document where no word goes on at either end of it."""
+        out = []
+        word = _WORD[data]
+        cut = np.ones(len(data) + 1, bool)  # a word doesn't go on from the byte before to this one
+        cut[1 : len(data)] = ~(word[1:] & word[:-1])
+        cut[offs] = True
+        for length, (known, which) in self.short.items():
+            places = np.flatnonzero(cut[: max(0, len(data) - length + 1)] & cut[length:])
+            codes = gram_codes(data, length)[places]
+            low, high = np.searchsorted(known, codes, "left"), np.searchsorted(known, codes, "right")
+            some = np.flatnonzero(high > low)
+            doc = np.searchsorted(offs, places[some], "right") - 1
+            some, doc = (x[places[some] + length <= offs[doc + 1]] for x in (some, doc))
+            times = high[some] - low[some]
+            item, doc, begin = which[textkit.ranges(low[some], times)], np.repeat(doc, times), np.repeat(places[some], times)
+            _, first = np.unique(doc * len(self.ids) + item, return_index=True)
+            begin = begin[first] - offs[doc[first]]
+            out += zip(doc[first].tolist(), item[first].tolist(), [0] * len(first), begin.tolist(), (begin + length).tolist(), strict=True)
+        return out
+
+    def search_long(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The same for the items of Q bytes and more."""
         codes = qgram_codes(data)
         hit = np.flatnonzero(self.seen[codes >> np.uint64(64 - _FILTER_BITS)])
         if not len(hit) or not len(self.codes):
@@ -164,8 +205,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, distance, begin, stop): each document and item that has a region within the item's edit budget.
 
     begin and stop count bytes of the normalised text (see ``normalise``) and mark the region of
-    least distance, the first of equals.  Null texts and items match nothing, nor do items under
-    LEAST_BYTES.  Repeated rows are searched each.  No row is shuffled; the items of a pass are
+    least distance, the first of equals.  An item under Q bytes must stand there exactly and between
+    word bounds.  Null texts and items match nothing, nor do items of white space only.  Repeated
+    rows are searched each.  No row is shuffled; the items of a pass are
     broadcast, BLOCK_BYTES of text at most on the average.
     """
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text")).where("_text is not null")
