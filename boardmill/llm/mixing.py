@@ -112,7 +112,7 @@ def _slots(sources: DataFrame, block_rows: int) -> DataFrame:
 
 
 def temperature_weights(docs: DataFrame, source_col: str, power: float = 0.5) -> dict[str | None, float]:
-    """Each source's number of rows to a power; more than QUANTUM sources are an error."""
+    """The number of rows to a power of each source, or of QUANTUM + 1 of them if there are more."""
     counts = docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(QUANTUM + 1).collect()
     return {r.s: r.n**power for r in counts}
 
@@ -122,7 +122,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     ``weights`` must name every source that occurs, null included (others raise no error and
     get no rows), each above 0; without it a source's weight is the square root of its rows.
-    ``quantum`` rounds the weights to whole shares, see above.  Rows keep the order of the md5 of
+    ``quantum`` (QUANTUM at most) rounds the weights to whole shares, see above, unless there are
+    more sources than it has slots.  Rows keep the order of the md5 of
     their ids inside a source, rows that share an id in any order.  Slots of a source that has
     run out stay empty, so mix_position has gaps, and the task that makes the schedule passes
     them too.  No row is dropped; columns of ``docs`` with the names of results are replaced.
@@ -140,7 +141,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     before = before.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_order", id_col))).join(before, keys)
     placed = placed.withColumn("_place", F.col("_before") + F.col("_rank") - 1).withColumn("block", F.expr(f"_place div {block_rows}"))
-    if quantum is None:
+    rounded = None if quantum is None else temperature_weights(docs, source_col) if weights is None else weights
+    if rounded is None or len(rounded) > quantum:
         sources = rows.groupBy("_source", "_source_null").agg(F.count(F.lit(1)).alias("_n"))
         if weights is None:
             sources = sources.withColumn("_weight", F.pow("_n", F.lit(0.5)))
@@ -149,7 +151,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
             sources = named.join(sources, ["_source", "_source_null"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
         placed = placed.drop("slot").join(written(_slots(sources, block_rows), "slots"), ["_source", "_source_null", "block"])
     else:
-        shares = whole_shares(temperature_weights(docs, source_col) if weights is None else weights, quantum)
+        shares = whole_shares(rounded, quantum)
         listed = json.dumps([{"_s": s or "", "_s_null": s is None, "_share": shares[s], "_in_period": j, "_slot": slot} for s, j, slot in pfair_period(shares)])
         kind = "array<struct<_s:string,_s_null:boolean,_share:int,_in_period:int,_slot:int>>"
         table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))

@@ -3,7 +3,7 @@ from fractions import Fraction
 
 import pytest
 
-from boardmill.llm.mixing import BLOCK_ROWS, mix_sources, pfair_slots
+from boardmill.llm.mixing import BLOCK_ROWS, QUANTUM, mix_sources, pfair_slots
 
 
 @pytest.mark.parametrize("sources,slots", [(1, 50), (20, 6_000), (500, 6_000), (1_500, 4_000)])
@@ -32,7 +32,8 @@ def test_rows_follow_the_weights_over_many_periods(spark):
     assert max(abs(k + 1 - (t + 1) / 2) for k, t in enumerate(slots)) < 1
 
 
-def test_many_sources(spark):
+@pytest.mark.parametrize("quantum", [None, QUANTUM])
+def test_many_sources(spark, quantum):
     rows = [(k, f"domain{k % 1_200}") for k in range(2_500)] + [(None, None)]
-    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), quantum=quantum).collect()
     assert len(got) == len(rows) == len({r.mix_position for r in got})
