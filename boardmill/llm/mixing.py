@@ -32,6 +32,8 @@ BLOCK_ROWS = 16
 RANK_ROWS = 2_000
 #: Rows of a batch of the schedule.
 BATCH_ROWS = 1 << 16
+#: Sources without a weight that an error names at most.
+NAMED_MISSING = 20
 
 
 def whole_shares(weights: dict[str | None, float], quantum: int = QUANTUM) -> dict[str | None, int]:
@@ -120,8 +122,8 @@ def temperature_weights(docs: DataFrame, source_col: str, power: float = 0.5) ->
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, quantum: int | None = None) -> DataFrame:
     """``docs`` with block (from 0, in its source), slot and mix_position; to be read in order of mix_position.
 
-    ``weights`` must name every source that occurs, null included (others raise no error and
-    get no rows), each above 0; without it a source's weight is the square root of its rows.
+    ``weights`` must name every source that occurs, null included (one that it leaves out is an
+    error, one that doesn't occur isn't), each above 0; without it a source's weight is the square root of its rows.
     ``quantum`` (QUANTUM at most) rounds the weights to whole shares, see above, unless there are
     more sources than it has slots.  Rows keep the order of the md5 of
     their ids inside a source, rows that share an id in any order.  Slots of a source that has
@@ -131,6 +133,12 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     spark = docs.sparkSession
     if weights and not all(0 < w < math.inf for w in weights.values()):
         raise ValueError("weights must be above 0 and finite")
+    if weights is not None:
+        named = spark.createDataFrame([(s or "", s is None, float(x)) for s, x in weights.items()], "_source string, _source_null boolean, _weight double")
+        own = F.col(source_col).cast("string")
+        missing = docs.select(F.coalesce(own, F.lit("")).alias("_source"), own.isNull().alias("_source_null")).distinct().join(named, ["_source", "_source_null"], "left_anti")
+        if gone := missing.limit(NAMED_MISSING).collect():
+            raise ValueError(f"no weight for {', '.join(sorted('null' if r._source_null else repr(r._source) for r in gone))}{' and maybe more' if len(gone) == NAMED_MISSING else ''}")
     total = docs.count()
     digits = max(1, math.ceil(math.log(max(total, 1) / RANK_ROWS + 1, 16)))
     rows = docs.withColumn("_source", F.col(source_col).cast("string")).withColumn("_order", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
@@ -147,7 +155,6 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         if weights is None:
             sources = sources.withColumn("_weight", F.pow("_n", F.lit(0.5)))
         else:
-            named = spark.createDataFrame([(s or "", s is None, float(x)) for s, x in weights.items()], "_source string, _source_null boolean, _weight double")
             sources = named.join(sources, ["_source", "_source_null"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
         placed = placed.drop("slot").join(written(_slots(sources, block_rows), "slots"), ["_source", "_source_null", "block"])
     else:

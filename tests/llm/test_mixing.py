@@ -37,3 +37,11 @@ def test_many_sources(spark, quantum):
     rows = [(k, f"domain{k % 1_200}") for k in range(2_500)] + [(None, None)]
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), quantum=quantum).collect()
     assert len(got) == len(rows) == len({r.mix_position for r in got})
+
+
+@pytest.mark.parametrize("quantum", [None, QUANTUM])
+def test_sources_without_a_weight_are_an_error(spark, quantum):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "")], "doc_id long, source string")
+    with pytest.raises(ValueError, match="'', 'b', null"):
+        mix_sources(docs, {"a": 1.0}, quantum=quantum)
+    assert mix_sources(docs, {"a": 1.0, "b": 2.0, "": 1.0, None: 1.0, "unseen": 3.0}, quantum=quantum).count() == 4
