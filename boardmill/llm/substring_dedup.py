@@ -14,21 +14,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkit
-from .windows import Packed, first_of_equal, flagged_runs, merged, repeated_spans, super_kmers, with_spans
+from .windows import Packed, first_of_equal, flagged_runs, merged, repeated_spans, with_spans
 
 WINDOW = 50
 MINIMISER = 8
 
 
-def _hash_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _joined_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words, each with one space after it, starts and ends of the words in them, and each document's first."""
     starts, ends, first = textkit.word_bounds(data, offs)
-    return starts, ends, first, textkit.span_hash(data, starts, ends)
+    keep = ~textkit.SPACE[data]
+    length = ends - starts
+    at = np.cumsum(length + 1) - length - 1
+    out = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
+    out[textkit.ranges(at, length)] = data[keep]
+    return out, at, at + length, first
 
 
-def _sequence_hash(words: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * textkit.powers(textkit._WBASE, len(words)), out=total[1:])
-    return textkit.mix((total[stop] - total[begin]) * textkit.powers(textkit._WBASE_INV, len(words) + 1)[begin] + (stop - begin).astype(np.uint64))
+def _exact_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for equal words only: hashes find the words to compare."""
+    lead = first_of_equal([textkit.span_hash(raw, starts, ends), ends - starts], [])
+    differ = np.flatnonzero(~textkit.equal_spans(raw, starts, starts[lead], ends - starts))
+    if len(differ):
+        own: dict[bytes, int] = {}
+        for k in differ.tolist():
+            lead[k] = own.setdefault(raw[starts[k] : ends[k]].tobytes(), k)
+    return lead.astype(np.uint64)
 
 
 def duplicate_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -36,25 +47,15 @@ def duplicate_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     m = min(MINIMISER, window)
 
     def split(data: np.ndarray, offs: np.ndarray) -> tuple:
-        starts, ends, first, words = _hash_words(data, offs)
-        kmers = super_kmers(words, first, window, m)
-        own = _sequence_hash(words, kmers[1], kmers[1] + kmers[2] + window - 1)
-        return starts, ends, first, kmers, own
+        text, starts, ends, first = _joined_words(data, offs)
+        return text, starts, ends, first, textkit.rolling_hash(textkit.span_hash(text, starts, ends), m)
 
     def judge(got: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, _, _, count, _, size = got.fields
         offs = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=offs[1:])
-        codes, firsts, at = [], [0], 0
-        begin = 0
-        while begin < len(size):  # slices, so that the arrays over bytes stay small
-            end = max(begin + 1, int(np.searchsorted(offs, offs[begin] + textkit.SLICE_BYTES, "right")) - 1)
-            _, _, first, words = _hash_words(got.raw[offs[begin] : offs[end]], offs[begin : end + 1] - offs[begin])
-            codes.append(words)
-            firsts.extend((first[1:] + at).tolist())
-            at += len(words)
-            begin = end
-        words, first = np.concatenate(codes), np.array(firsts)
+        starts, ends, first = textkit.word_bounds(got.raw, offs)
+        words = _exact_codes(got.raw, starts, ends)
         place = textkit.ranges(first[:-1], count.astype(np.int64))
         keys = textkit.rolling_hash(words, window)[place]
         doc = np.repeat(ids, count)
@@ -76,7 +77,7 @@ def duplicate_word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         np.cumsum(count, out=bounds[1:])
         return flagged_runs(flag, bounds)
 
-    return repeated_spans(docs, id_col, text_col, window, split, judge, within_document=False)
+    return repeated_spans(docs, id_col, text_col, window, m, split, judge, within_document=False)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from . import textkit
 from .suffix_array import suffix_array
-from .windows import Packed, first_of_equal, flagged_runs, merged, repeated_spans, super_kmers, with_spans
+from .windows import Packed, first_of_equal, flagged_runs, merged, repeated_spans, with_spans
 
 WINDOW = 100
 MINIMISER = 12
@@ -33,9 +33,7 @@ def duplicate_byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def split(data: np.ndarray, offs: np.ndarray) -> tuple:
         place = np.arange(len(data) + 1)
-        kmers = super_kmers(textkit.BYTE_CODE[data], offs, window, m)
-        begin, stop = kmers[1], kmers[1] + kmers[2] + window - 1
-        return place[:-1], place[1:], offs, kmers, textkit.span_hash(data, begin, stop) if len(begin) else np.zeros(0, np.uint64)
+        return data, place[:-1], place[1:], offs, textkit.byte_run_hash(data, m)
 
     def judge(got: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, fps, place, count, mini, size = got.fields
@@ -52,6 +50,8 @@ def duplicate_byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         flag = np.zeros(bounds[-1], bool)
         lead = first_of_equal([_codes(got.raw, at, size), size], [ids, fps, place])
         repeat = lead != np.arange(len(lead))
+        k = np.flatnonzero(repeat)  # equal hashes: compare the bytes
+        repeat[k] = textkit.equal_spans(got.raw, at[k], at[lead[k]], size[k])
         flag[textkit.ranges(bounds[:-1][repeat], count[repeat].astype(np.int64))] = True
         # of each different string the earliest holder; those that share no side with another are done
         kinds = np.flatnonzero(~repeat)
@@ -71,7 +71,7 @@ def duplicate_byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         row, begin, last = flagged_runs(flag, bounds)
         return some[row], begin, last
 
-    return repeated_spans(docs, id_col, text_col, window, split, judge, within_document=True)
+    return repeated_spans(docs, id_col, text_col, window, m, split, judge, within_document=True)
 
 
 def _codes(raw: np.ndarray, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:

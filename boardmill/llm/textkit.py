@@ -14,10 +14,10 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_WBASE = 0xC2B2AE3D27D4EB4F
-_WBASE_INV = pow(_WBASE, -1, 1 << 64)
+_ODD = U64(0x9E3779B97F4A7C15)
+_PLACE = U64(0xC2B2AE3D27D4EB4F)
+#: Bytes of spans that are compared at once.
+COMPARE_BYTES = 4 << 20
 
 #: True for the bytes 0x20 and 0x09..0x0D.
 SPACE = np.zeros(256, bool)
@@ -25,25 +25,6 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: A-Z to a-z, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: One random 64-bit number for each byte value.
-BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + SLICE_BYTES // 4)
-        steps = np.full(size, base, U64)
-        steps[0] = 1
-        full = np.multiply.accumulate(steps)
-        if size <= 2 * SLICE_BYTES:
-            _powers[base] = full
-        have = full
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
@@ -98,21 +79,87 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; bytes after the end are 0."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _blocks(view: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of eight bytes of each span, the last one filled up with 0, their numbers in the span, and each span's first."""
+    count = (lengths + 7) >> 3
+    step = ranges(np.zeros(len(starts), np.int64), count)
+    value = view[np.repeat(starts, count) + 8 * step]
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(count, out=bounds[1:])
+    cut = np.flatnonzero(lengths & 7)
+    value[bounds[cut + 1] - 1] &= (U64(1) << ((lengths[cut] & 7) * 8).astype(U64)) - U64(1)
+    return value, step, bounds
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever the span stands."""
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_CODE[data] * powers(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_BASE_INV, len(data) + 1)[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each byte span, the same wherever the span stands.
+
+    Each block of eight bytes is scrambled together with its number before the blocks are summed,
+    so that no pattern of symbols makes spans collide.
+    """
+    lengths = (ends - starts).astype(np.int64)
+    value, step, bounds = _blocks(eights(data), np.asarray(starts, np.int64), lengths)
+    total = np.zeros(len(value) + 1, U64)
+    np.cumsum(mix(mix(value) + step.astype(U64) * _PLACE), out=total[1:])
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + lengths.astype(U64) * _ODD)
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + length] and data[b : b + length] are the same bytes, for each pair of spans."""
+    out = np.ones(len(a), bool)
+    if not len(a):
+        return out
+    view, total, at = eights(data), np.cumsum(lengths), 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + COMPARE_BYTES, "right")))
+        one, _, bounds = _blocks(view, a[at:end], lengths[at:end])
+        two, *_ = _blocks(view, b[at:end], lengths[at:end])
+        differ = np.zeros(len(one) + 1, np.int64)
+        np.cumsum(one != two, out=differ[1:])
+        out[at:end] = differ[bounds[1:]] == differ[bounds[:-1]]
+        at = end
+    return out
 
 
 def rolling_hash(codes: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``length`` successive codes (len(codes) - length + 1 of them)."""
-    n = len(codes)
-    if n < length:
+    """A 64-bit hash of every run of ``length`` successive codes (len(codes) - length + 1 of them).
+
+    Runs of 1, 2, 4, .. codes are scrambled in pairs; those that make up ``length`` are chained.
+    """
+    n = len(codes) - length + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    power, size, done, out = mix(codes + _ODD), 1, 0, None
+    while True:
+        if length & size:
+            part = power[done : done + n]
+            out = part.copy() if out is None else mix(out * _ODD + part)
+            done += size
+        if 2 * size > length:
+            return out
+        power = mix(power[:-size] * _PLACE + power[size:])
+        size *= 2
+
+
+def byte_run_hash(data: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``length`` successive bytes (len(data) - length + 1 of them)."""
+    n = len(data) - length + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(codes * powers(_WBASE, n), out=total[1:])
-    return mix((total[length:] - total[:-length]) * powers(_WBASE_INV, n)[: n - length + 1])
+    view = eights(data)
+    if length < 8:
+        return mix((view[:n] << U64(8 * (8 - length))) + U64(length))
+    out = mix(view[:n] + U64(length))
+    for at in [*range(8, length - 7, 8), length - 8][: (length - 1) // 8]:
+        out = mix(out * _ODD + view[at : at + n])
+    return out
 
 
 def sliding_argmin(hashes: np.ndarray, width: int) -> np.ndarray:

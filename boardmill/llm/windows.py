@@ -8,6 +8,12 @@ all equal windows meet there.
 Skew: before the shuffle each task keeps, of equal super-k-mers in ``FLUSH_BYTES`` of them, only
 what the smallest document holds, and marks the rest as repeated there and then.  A string that
 a third of all rows share so reaches its bucket once for each flush, not once for each row.
+Equal hashes are never enough for that: the strings themselves are compared.
+
+A minimiser that many different strings share is found by a count over all texts.  Windows around
+it go by the minimiser and half of what is beside it, to the one or the other side: equal windows
+have the same half on the same side, so they still meet, and a common word or phrase no longer
+brings all its surroundings into one bucket.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ FLUSH_BYTES = 24 << 20
 BUCKET_BYTES, BUCKETS_EACH = 5 << 20, 4
 #: Raw bytes of super-k-mers for each byte of text.
 GROWTH = 3.3
+#: Minimisers are counted in so many bins; those of a bin with HOT times the average's or a bucket's bytes are split.
+BINS, HOT = 1 << 14, 4
 MAX_ID = (1 << 63) - 1
 SPANS = "_id long, _fp long, begin long, stop long"
 #: doc_id, fingerprint, place of the first window in the document, windows, place of the minimiser, bytes
@@ -99,9 +107,8 @@ class Packed:
         return Packed(fields, np.frombuffer(data, np.uint8, offset=at))
 
 
-def super_kmers(symbols: np.ndarray, first: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows, place of the minimiser, its hash) of each super-k-mer."""
-    minis = textkit.rolling_hash(symbols, m)
+def super_kmers(minis: np.ndarray, first: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, windows, place of the minimiser, its hash) of each super-k-mer; minis hashes each m-run."""
     low = textkit.sliding_argmin(minis, window - m + 1)
     windows = np.maximum(0, np.diff(first) - window + 1)
     start = textkit.ranges(first[:-1], windows)
@@ -114,6 +121,26 @@ def super_kmers(symbols: np.ndarray, first: np.ndarray, window: int, m: int) ->
     return np.searchsorted(first, a, "right") - 1, a, count, mini[begin], minis[mini[begin]] if len(begin) else np.zeros(0, np.uint64)
 
 
+def split_hot(kmers: tuple[np.ndarray, ...], hot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, m: int) -> tuple[np.ndarray, ...]:
+    """The super-k-mers, those with minimisers of a hot bin cut in two, with a key that takes in half of one side."""
+    doc, a, count, mini, key = kmers
+    some = hot[(key >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)]
+    if not some.any():
+        return kmers
+    half = (window - m) // 2
+    whole = [x[~some] for x in kmers]
+    doc, a, count, mini = (x[some] for x in (doc, a, count, mini))
+    left = np.clip(mini - half + 1 - a, 0, count)  # windows with so much before the minimiser
+    parts = [whole]
+    for begin, n, low, high, salt in ((a, left, mini - half, mini + m - 1, 1), (a + left, count - left, mini, mini + m + half - 1, 2)):
+        own = np.flatnonzero(n)
+        code = textkit.span_hash(data, starts[low[own]], ends[high[own]])
+        parts.append([doc[own], begin[own], n[own], mini[own], textkit.mix(code + np.uint64(salt))])
+    out = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+    order = np.argsort(out[1], kind="stable")
+    return tuple(x[order] for x in out)
+
+
 def first_of_equal(keys: list[np.ndarray], order_by: list[np.ndarray]) -> np.ndarray:
     """For every row the place of the first row, in the given order, with the same keys."""
     n = len(keys[0])
@@ -134,18 +161,37 @@ def repeated_spans(
     id_col: str,
     text_col: str,
     window: int,
+    m: int,
     split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]],
     judge: Callable[[Packed], tuple[np.ndarray, np.ndarray, np.ndarray]],
     within_document: bool,
 ) -> DataFrame:
     """(_id, _fp, begin, stop) of runs of symbols that repeated windows cover.
 
-    ``split(bytes, offsets)`` gives byte starts and ends of the symbols, each document's first
-    symbol, the super-k-mers, and a hash of each super-k-mer's symbols.  ``judge`` gets a
-    bucket and returns rows, first and last flagged window of each flagged run.
-    ``within_document``: a window that stands earlier in the same document repeats as well.
+    ``split(bytes, offsets)`` gives the bytes that stand for the symbols, where each symbol starts
+    and ends in them, each document's first symbol, and a hash of each run of ``m`` symbols; equal
+    runs of symbols must be equal bytes.  ``judge`` gets a bucket and returns rows, first and last
+    flagged window of each flagged run.  ``within_document``: a window that stands earlier in the
+    same document repeats as well.
     """
     parts, buckets, apart = measure(docs, id_col, text_col)
+    texts_of = keyed(docs, id_col, text_col, apart)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for _, offs, data in textkit.slices(batches, "_text"):
+            _, starts, ends, first, minis = split(data, offs)
+            _, a, count, _, mini_hash = super_kmers(minis, first, window, m)
+            if len(a):
+                size = ends[a + count + window - 2] - starts[a]
+                total += np.bincount((mini_hash >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), size, BINS).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["bin", "size"])
+
+    bins = texts_of.select("_text").mapInArrow(weigh, "bin int, size long").groupBy("bin").agg(F.sum("size").alias("size")).collect()  # BINS rows at most
+    limit = HOT * max(BUCKET_BYTES, sum(r["size"] for r in bins) // BINS)
+    hot = np.zeros(BINS, bool)
+    hot[[r["bin"] for r in bins if r["size"] > limit]] = True
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
@@ -153,10 +199,12 @@ def repeated_spans(
 
         def flush() -> Iterator[pa.RecordBatch]:
             raw = b"".join(texts)
-            ids, fps, place, count, mini, begin, stop, own, mini_hash = (np.concatenate([h[k] for h in held]) for k in range(9))
+            ids, fps, place, count, mini, begin, stop, own, key = (np.concatenate([h[k] for h in held]) for k in range(9))
             texts.clear(), held.clear()
-            lead = first_of_equal([own], [ids, fps, place])
+            lead = first_of_equal([own, stop - begin, mini], [ids, fps, place])
             again = lead != np.arange(len(lead)) if within_document else ids[lead] < ids
+            k = np.flatnonzero(again)
+            again[k] = textkit.equal_spans(np.frombuffer(raw, np.uint8), begin[k], begin[lead[k]], (stop - begin)[k])
             if again.any():
                 # their spans take the same way, as super-k-mers without text and with a negative count;
                 # those that follow each other in a document are one
@@ -167,7 +215,7 @@ def repeated_spans(
                 none = np.zeros(len(k), np.int64)
                 yield rows([ids[k], fps[k], place[k], -run, none, none], textkit.mix((ids[k] ^ fps[k]).astype(np.uint64)) % np.uint64(buckets))
             k = np.flatnonzero(~again)
-            yield rows([ids[k], fps[k], place[k], count[k], mini[k], (stop - begin)[k]], textkit.mix(mini_hash[k]) % np.uint64(buckets), raw, begin[k], stop[k])
+            yield rows([ids[k], fps[k], place[k], count[k], mini[k], (stop - begin)[k]], textkit.mix(key[k]) % np.uint64(buckets), raw, begin[k], stop[k])
 
         def rows(fields: list[np.ndarray], bucket: np.ndarray, raw: bytes = b"", begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> pa.RecordBatch:
             order = np.argsort(bucket, kind="stable")
@@ -179,13 +227,14 @@ def repeated_spans(
 
         size = base = 0
         for batch, offs, data in textkit.slices(batches, "_text"):
-            starts, ends, first, (doc, a, count, mini, mini_hash), own = split(data, offs)
+            data, starts, ends, first, minis = split(data, offs)
+            doc, a, count, mini, key = split_hot(super_kmers(minis, first, window, m), hot, data, starts, ends, window, m)
             if not len(doc):
                 continue
             ids, fps = (np.asarray(batch.column(k))[doc] for k in (0, 1))
             begin, stop = starts[a], ends[a + count + window - 2]
             texts.append(data.tobytes())
-            held.append((ids, fps, a - first[doc], count, mini - a, begin + base, stop + base, own, mini_hash))
+            held.append((ids, fps, a - first[doc], count, mini - a, begin + base, stop + base, textkit.span_hash(data, begin, stop), key))
             base += len(data)
             size += int((stop - begin).sum())
             if size >= FLUSH_BYTES:
@@ -211,7 +260,7 @@ def repeated_spans(
                 out.append((ids[row], fps[row], place[row] + begin, place[row] + last + window))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(4)], ["_id", "_fp", "begin", "stop"])
 
-    packed = keyed(docs, id_col, text_col, apart).mapInArrow(pack, "bucket long, blob binary")
+    packed = texts_of.mapInArrow(pack, "bucket long, blob binary")
     return packed.repartition(parts, "bucket").mapInArrow(sort_out, SPANS)
 
 
