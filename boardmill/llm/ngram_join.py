@@ -14,6 +14,9 @@ the fragments.  Three such counts find the components of all links:
 3. per pair of documents in different components so far, of those documents that share the
    threshold's part of their sets with other components.  These sums are the exact overlaps,
    which complete the links.  Pairs inside a component need no count: they can't change it.
+   Before that, a document must have enough parts of its set in common, part for part, with
+   other components (see ``_parts_of``): documents made of common passages in ever new
+   combinations, which would meet nearly all others, are done by then.
 
 Documents with equal sets are one, in a flush of a task before the first shuffle and in every
 fragment after it.  Segments and partial counts travel packed, one row for each pair of task and
@@ -361,6 +364,63 @@ def _foreign(homes: int):
     return kernel
 
 
+def _levels(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of set sizes: the largest size of each, how many n-grams linked sets up to it may differ by, and its parts.
+
+    Sets that are linked are of one level or of neighbours.
+    """
+    top, differ = [0], [0]
+    while top[-1] < largest:
+        top.append((top[-1] + 1) * 100 // percent)
+        differ.append(2 * top[-1] * (100 - percent) // (100 + percent))
+    top.append((top[-1] + 1) * 100 // percent)
+    differ.append(2 * top[-1] * (100 - percent) // (100 + percent))
+    return np.array(top, np.int64), np.array(differ, np.int64), (np.array(differ, np.int64) + 1) * 3 // 2
+
+
+def _parts_of(percent: int, fragments: int):
+    """Document rows to rows whose grams are hashes of the set's parts, and whose n is how many of them must be shared.
+
+    A level's n-grams are cut at random into its parts, half as many again as n-grams that two
+    linked sets may differ by.  As a difference spoils one part, all but that number of a set's
+    parts that aren't empty are the same in a linked set.  Sets go by the parts of their own level and
+    of the next, where smaller and larger partners are.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                rows = batch.slice(at, 2_000)
+                n = np.asarray(rows.column(rows.schema.get_field_index("n"))).astype(np.int64)
+                raw = rows.column(rows.schema.get_field_index("grams")).to_pylist()
+                owner = np.repeat(np.arange(len(raw)), [len(r) // 10 for r in raw])
+                where = np.concatenate([np.frombuffer(r, "<i4", len(r) // 10) for r in raw]).astype(np.uint64)
+                keys = textkit.mix(np.concatenate([_unsix(r[len(r) // 10 * 4 :]) for r in raw]) + textkit.mix(where))
+                top, differ, parts = _levels(int(n.max()), percent)
+                need, found, of = np.full(len(raw), 1 << 30), [], []
+                for level in (np.searchsorted(top, n), np.searchsorted(top, n) + 1):
+                    count = parts[level]
+                    first = np.cumsum(count) - count
+                    part = ((keys >> np.uint64(32)) * count[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                    place = first[owner] + part
+                    held, sums = np.bincount(place, minlength=int(count.sum())), np.zeros(int(count.sum()), np.uint64)
+                    np.add.at(sums, place, textkit.mix(keys))
+                    some = np.flatnonzero(held)
+                    doc = np.searchsorted(first, some, "right") - 1
+                    found.append(textkit.mix(sums[some] + textkit.mix((level[doc] * (1 << 40) + some - first[doc]).astype(np.uint64))))
+                    of.append(doc)
+                    need = np.minimum(need, np.bincount(doc, minlength=len(raw)) - differ[level])
+                found, of = np.concatenate(found), np.concatenate(of)
+                order = np.argsort(of, kind="stable")
+                found, bounds = found[order], np.searchsorted(of[order], np.arange(len(raw) + 1)).tolist()
+                home = ((found >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype("<i4")
+                packed = [home[a:e].tobytes() + _six(found[a:e]) for a, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                named = [rows.column(rows.schema.get_field_index(c)) for c in ("_id", "_fp", "sum1", "component")]
+                yield pa.RecordBatch.from_arrays([*named[:2], pa.array(need).cast(pa.int32()), *named[2:], pa.array(packed, pa.binary())], ["_id", "_fp", "n", "sum1", "component", "grams"])
+
+    return kernel
+
+
 def _open(percent: int):
     """Packed partial counts of documents to those that reach the threshold's part."""
 
@@ -444,7 +504,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         placed = near.join(loose, mine, "left_semi").join(found.withColumnRenamed("node", "_node"), F.col("_id") == F.col("_node"), "left")
         placed = written(placed.select("_id", "_fp", "n", "sum1", F.coalesce("component", "_id").alias("component"), "grams"), "placed")
         columns = ["_fp", "n", "sum1", "component"]
-        left = placed.join(counted(placed, columns, _foreign(parts), _open(percent), "_open long, _open_fp long, foreign long"), mine)
+        open_rows = "_open long, _open_fp long, foreign long"
+        left = written(placed.join(counted(placed, columns, _foreign(parts), _open(percent), open_rows), mine).drop("_open", "_open_fp"), "open")
+        cut = written(left.select("_id", *columns, "grams").mapInArrow(_parts_of(percent, parts), "_id long, _fp long, n int, sum1 long, component long, grams binary"), "parts")
+        enough = counted(cut.where("n > 0"), columns, _foreign(parts), _open(100), open_rows).select("_open", "_open_fp").union(cut.where("n <= 0").select("_id", "_fp"))
+        left = left.join(enough.distinct(), mine, "left_semi")
         more = written(_linked(counted(left, [*columns, "foreign"], _across(percent, parts), _sums, PAIR), percent), "links")
         if not more.isEmpty():
             # the stars found so far and the new links are all that is needed
