@@ -438,37 +438,64 @@ def _open(percent: int):
     return kernel
 
 
-def _across(percent: int, homes: int):
+#: Counts of a stripe of documents against all others of a fragment, and meetings, that are held at once.
+STRIPE_COUNTS, STRIPE_MEETINGS = 8_000_000, 4_000_000
+
+
+def _stripes(grams: np.ndarray, owner: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(one, two, n-grams both have) of pairs of documents one < two, some documents ``one`` at a time."""
+    order = np.lexsort((owner, grams))
+    g, who = grams[order], owner[order]
+    begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[begin, len(g)])
+    ahead = np.repeat(begin + size, size) - np.arange(len(g)) - 1
+    entry = np.argsort(who, kind="stable")
+    entry = entry[ahead[entry] > 0]
+    first = np.searchsorted(who[entry], np.arange(total + 1))
+    bound = np.r_[0, np.cumsum(ahead[entry])][first]
+    a = 0
+    while a < total:
+        e = max(a + 1, min(int(np.searchsorted(bound, bound[a] + STRIPE_MEETINGS, "right")) - 1, a + STRIPE_COUNTS // total, total))
+        own = entry[first[a] : first[e]]
+        one = np.repeat(who[own] - a, ahead[own])
+        two = who[textkit.ranges(own + 1, ahead[own])]
+        count = np.bincount(one * total + two, minlength=1) if len(one) else np.zeros(1, np.int64)
+        met = np.flatnonzero(count)
+        yield met // total + a, met % total, count[met]
+        a = e
+
+
+def _near(percent: int):
+    """Packed segments to the documents that are as alike as a link asks to one of another component, in this fragment alone.
+
+    A linked pair is so in one fragment at least: were its overlaps less than the threshold's part
+    everywhere, their sum would be.
+    """
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, grams, owner in _fragments(batches, ["_id", "_fp", "n", "sum1", "component", "foreign"]):
             total = len(docs["n"])
-            order = np.argsort(grams, kind="stable")
-            g, who = grams[order], owner[order]
-            begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            size = np.diff(np.r_[begin, len(g)])
-            keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            # each holder meets those after it in its n-gram's list, some two million meetings at a time
-            ahead = np.repeat(begin + size, size) - np.arange(len(g)) - 1
-            bound = np.cumsum(ahead)
-            a = 0
-            while a < len(g):
-                e = max(a + 1, int(np.searchsorted(bound, (bound[a - 1] if a else 0) + 2_000_000)))
-                one = np.repeat(np.arange(a, e), ahead[a:e])
-                two = who[one + 1 + textkit.ranges(np.zeros(e - a, np.int64), ahead[a:e])]
-                one = who[one]
+            size, near = np.bincount(owner, minlength=total), np.zeros(total, bool)
+            for one, two, n in _stripes(grams, owner, total):
+                good = (docs["component"][one] != docs["component"][two]) & (100 * n >= percent * (size[one] + size[two] - n))
+                near[one[good]] = near[two[good]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(docs[c][near]) for c in ("_id", "_fp")], ["_open", "_open_fp"])
+
+    return kernel
+
+
+def _across(percent: int, homes: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, grams, owner in _fragments(batches, ["_id", "_fp", "n", "sum1", "component", "foreign"]):
+            for one, two, n in _stripes(grams, owner, len(docs["n"])):
                 # an overlap exceeds neither what one shares with other components nor the smaller set
                 most, sizes = np.minimum(docs["foreign"][one], docs["foreign"][two]), docs["n"][one] + docs["n"][two]
                 good = (docs["component"][one] != docs["component"][two]) & (100 * most >= percent * (sizes - most))
-                one, two = one[good], two[good]
-                new, n = np.unique(np.minimum(one, two) * total + np.maximum(one, two), return_counts=True)
-                keys, back = np.unique(np.r_[keys, new], return_inverse=True)
-                times = np.bincount(back, np.r_[times, n], len(keys)).astype(np.int64)
-                a = e
-            # the pair's order is that of (id, fp), so that all fragments name it alike
-            one, two = keys // total, keys % total
-            swap = (docs["_id"][one] > docs["_id"][two]) | ((docs["_id"][one] == docs["_id"][two]) & (docs["_fp"][one] > docs["_fp"][two]))
-            one, two = np.where(swap, two, one), np.where(swap, one, two)
-            yield _scatter(_home(docs["_id"][one], homes), homes, [docs["_id"][one], docs["_fp"][one], docs["n"][one], docs["_id"][two], docs["_fp"][two], docs["n"][two], times], COUNTS)
+                one, two, n = one[good], two[good], n[good]
+                # the pair's order is that of (id, fp), so that all fragments name it alike
+                swap = (docs["_id"][one] > docs["_id"][two]) | ((docs["_id"][one] == docs["_id"][two]) & (docs["_fp"][one] > docs["_fp"][two]))
+                one, two = np.where(swap, two, one), np.where(swap, one, two)
+                yield _scatter(_home(docs["_id"][one], homes), homes, [docs["_id"][one], docs["_fp"][one], docs["n"][one], docs["_id"][two], docs["_fp"][two], docs["n"][two], n], COUNTS)
 
     return kernel
 
@@ -508,7 +535,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         left = written(placed.join(counted(placed, columns, _foreign(parts), _open(percent), open_rows), mine).drop("_open", "_open_fp"), "open")
         cut = written(left.select("_id", *columns, "grams").mapInArrow(_parts_of(percent, parts), "_id long, _fp long, n int, sum1 long, component long, grams binary"), "parts")
         enough = counted(cut.where("n > 0"), columns, _foreign(parts), _open(100), open_rows).select("_open", "_open_fp").union(cut.where("n <= 0").select("_id", "_fp"))
-        left = left.join(enough.distinct(), mine, "left_semi")
+        left = written(left.join(enough.distinct(), mine, "left_semi"), "enough")
+        segments = left.select("_id", *columns, "foreign", "grams").mapInArrow(_cut_rows([*columns, "foreign"], parts), PACKED).repartition(parts, "bucket")
+        left = left.join(segments.mapInArrow(_near(percent), "_open long, _open_fp long").distinct(), mine, "left_semi")
         more = written(_linked(counted(left, [*columns, "foreign"], _across(percent, parts), _sums, PAIR), percent), "links")
         if not more.isEmpty():
             # the stars found so far and the new links are all that is needed
