@@ -10,15 +10,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .board import occupancy
+
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR"
 VARIATION_DEPTH = 12
 _LINES = [(0, 1), (0, -1), (1, 0), (-1, 0)]
 _DIAGONALS = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
 _KNIGHT = [(1, 2), (2, 1), (-1, 2), (-2, 1), (1, -2), (2, -1), (-1, -2), (-2, -1)]
-_RAYS = {"B": _DIAGONALS, "R": _LINES, "Q": _LINES + _DIAGONALS}
 _SAN = re.compile(r"^([KQRBN])?([a-h])?([1-8])?x?([a-h][1-8])(?:=?([QRBNqrbn]))?[+#]*$")
 _CASTLE = re.compile(r"^[O0]-[O0](-[O0])?[+#]*$")
 
@@ -34,34 +36,48 @@ def expand(placement: str) -> list[str] | None:
 
 def compress(board: list[str]) -> str:
     """The placement of 64 squares."""
-    return "/".join(re.sub(r"\.+", lambda m: str(len(m[0])), "".join(board[r * 8 : r * 8 + 8])) for r in range(8))
+    text = "".join(board)
+    text = "/".join([text[k : k + 8] for k in range(0, 64, 8)])
+    for n in range(8, 0, -1):
+        text = text.replace("." * n, str(n))
+    return text
 
 
 def _place(name: str) -> int:
     return (8 - int(name[1])) * 8 + "abcdefgh".index(name[0])
 
 
-def _steps(at: int, moves: list[tuple[int, int]], far: bool, board: list[str]) -> Iterator[int]:
+def _ray(at: int, step: tuple[int, int], far: int = 7) -> tuple[int, ...]:
+    """The squares from one square on in a direction, nearest first."""
     row, col = divmod(at, 8)
-    for dr, dc in moves:
-        r, c = row + dr, col + dc
-        while 0 <= r < 8 and 0 <= c < 8:
-            yield r * 8 + c
-            if not far or board[r * 8 + c] != ".":
-                break
-            r, c = r + dr, c + dc
+    line = [(row + step[0] * n, col + step[1] * n) for n in range(1, far + 1)]
+    return tuple(r * 8 + c for r, c in line if 0 <= r < 8 and 0 <= c < 8)
+
+
+_LINE_RAYS = [[r for d in _LINES if (r := _ray(k, d))] for k in range(64)]
+_DIAGONAL_RAYS = [[r for d in _DIAGONALS if (r := _ray(k, d))] for k in range(64)]
+_LEAPS = [[k for d in _KNIGHT for k in _ray(at, d, 1)] for at in range(64)]
+_BESIDE = [[k for d in _LINES + _DIAGONALS for k in _ray(at, d, 1)] for at in range(64)]
+#: From which squares a white (True) or black pawn attacks a square.
+_PAWN_FROM = {w: [[k for d in ((1 if w else -1, -1), (1 if w else -1, 1)) for k in _ray(at, d, 1)] for at in range(64)] for w in (True, False)}
+_RAYS_OF = {"B": [_DIAGONAL_RAYS], "R": [_LINE_RAYS], "Q": [_DIAGONAL_RAYS, _LINE_RAYS]}
+#: The bit of a square in a board's occupancy (a1 is bit 0).
+_BIT = [1 << ((7 - k // 8) * 8 + k % 8) for k in range(64)]
 
 
 def attackers(board: list[str], at: int, white: bool) -> list[int]:
     """The places of the pieces of one side that attack a square."""
-    own = str.upper if white else str.lower
-    out = [k for k in _steps(at, _KNIGHT, False, board) if board[k] == own("N")]
-    out += [k for k in _steps(at, _LINES + _DIAGONALS, False, board) if board[k] == own("K")]
-    for piece in "BRQ":
-        out += [k for k in _steps(at, _RAYS[piece], True, board) if board[k] == own(piece)]
-    behind = 1 if white else -1
-    row, col = divmod(at, 8)
-    out += [(row + behind) * 8 + c for c in (col - 1, col + 1) if 0 <= row + behind < 8 and 0 <= c < 8 and board[(row + behind) * 8 + c] == own("P")]
+    knight, king, pawn, bishop, rook, queen = "NKPBRQ" if white else "nkpbrq"
+    out = [k for k in _LEAPS[at] if board[k] == knight]
+    out += [k for k in _BESIDE[at] if board[k] == king]
+    out += [k for k in _PAWN_FROM[white][at] if board[k] == pawn]
+    for rays, piece in ((_LINE_RAYS, rook), (_DIAGONAL_RAYS, bishop)):
+        for ray in rays[at]:
+            for k in ray:
+                if (held := board[k]) != ".":
+                    if held == piece or held == queen:
+                        out.append(k)
+                    break
     return out
 
 
@@ -70,6 +86,15 @@ def in_check(board: list[str], white: bool) -> bool:
     return any(board[k] == king and attackers(board, k, not white) for k in range(64))
 
 
+@functools.lru_cache(maxsize=20_000)
+def _parsed(move: str) -> tuple | None:
+    """(piece, column, rank, target, promoted) of a move's text, ("O", long) of castling, None of anything else."""
+    if _CASTLE.match(move):
+        return ("O", move.count("-") == 2)
+    m = _SAN.match(move)
+    return m and (m[1] or "P", -1 if m[2] is None else "abcdefgh".index(m[2]), -1 if m[3] is None else 8 - int(m[3]), _place(m[4]), m[5])
+
+
 class Game:
     """A position that recorded moves are played on."""
 
@@ -79,6 +104,8 @@ class Game:
             raise ValueError("malformed placement")
         self.board, self.white, self.castling, self.number = board, white, set(castling) - {"-"}, number
         self.passing = _place(passing) if re.fullmatch("[a-h][36]", passing) else -1
+        self.occupied = sum(_BIT[k] for k in range(64) if board[k] != ".")
+        self.kings = {"K": board.index("K") if "K" in board else -1, "k": board.index("k") if "k" in board else -1}
 
     @staticmethod
     def of_fen(fen: str) -> Game:
@@ -89,76 +116,103 @@ class Game:
 
     def play(self, san: str) -> bool:
         """Plays a move; False, and nothing changes, if it isn't legal or not unique."""
-        tries = self._castle(san) if _CASTLE.match(san) else self._ordinary(san)
-        legal = [b for b in tries if not in_check(b[0], self.white)]
-        if len(legal) != 1:
+        move = _parsed(san)
+        if move is None or not (self._castle(move[1]) if move[0] == "O" else self._ordinary(*move)):
             return False
-        self.board, gone, self.passing = legal[0]
-        self.castling -= gone
         self.number += not self.white
         self.white = not self.white
         return True
 
-    def _castle(self, san: str) -> list[tuple[list[str], set[str], int]]:
-        long = san.count("-") == 2
+    def _castle(self, long: bool) -> bool:
         row = 56 if self.white else 0
         right = ("Q" if long else "K") if self.white else ("q" if long else "k")
         rook, king_to, rook_to = (row, row + 2, row + 3) if long else (row + 7, row + 6, row + 5)
-        king = row + 4
+        king, board = row + 4, self.board
         between = range(rook + 1, king) if long else range(king + 1, rook)
-        path = [king, (king + king_to) // 2, king_to]
-        if right not in self.castling or any(self.board[k] != "." for k in between) or any(attackers(self.board, k, not self.white) for k in path):
-            return []
-        board = self.board[:]
+        if right not in self.castling or any(board[k] != "." for k in between) or any(attackers(board, k, not self.white) for k in (king, (king + king_to) // 2, king_to)):
+            return False
+        board = self.board = board[:]
         board[king_to], board[rook_to] = board[king], board[rook]
         board[king] = board[rook] = "."
-        return [(board, set("KQ" if self.white else "kq"), -1)]
-
-    def _ordinary(self, san: str) -> list[tuple[list[str], set[str], int]]:
-        m = _SAN.match(san)
-        if not m:
-            return []
-        piece, column, rank, to, promoted = m[1] or "P", m[2], m[3], _place(m[4]), m[5]
-        own = str.upper if self.white else str.lower
-        letter = own(piece)
-        if self.board[to] != "." and self.board[to].isupper() == self.white:
-            return []
+        self.occupied = (self.occupied | _BIT[king_to] | _BIT[rook_to]) & ~(_BIT[king] | _BIT[rook])
+        self.kings = {**self.kings, "K" if self.white else "k": king_to}
+        self.castling -= set("KQ" if self.white else "kq")
+        self.passing = -1
+        return True
+
+    def _sources(self, letter: str, piece: str, to: int) -> list[int]:
+        board = self.board
+        if piece in "NK":
+            return [k for k in (_LEAPS if piece == "N" else _BESIDE)[to] if board[k] == letter]
         if piece == "P":
-            sources = self._pawn_sources(to)
-        elif piece in "KN":
-            sources = _steps(to, _KNIGHT if piece == "N" else _LINES + _DIAGONALS, False, self.board)
-        else:
-            sources = _steps(to, _RAYS[piece], True, self.board)
-        last = to // 8 in (0, 7)
-        if piece == "P" and last != bool(promoted) or piece != "P" and promoted:
-            return []
+            out = []
+            if board[to] == ".":
+                back = 8 if self.white else -8
+                if 0 <= to + back < 64:
+                    if board[to + back] == letter:
+                        out.append(to + back)
+                    elif board[to + back] == "." and to // 8 == (4 if self.white else 3) and board[to + 2 * back] == letter:
+                        out.append(to + 2 * back)
+            if board[to] != "." or to == self.passing:
+                out += [k for k in _PAWN_FROM[self.white][to] if board[k] == letter]
+            return out
         out = []
-        for at in sources:
-            if self.board[at] != letter or column and "abcdefgh"[at % 8] != column or rank and 8 - at // 8 != int(rank):
-                continue
-            board = self.board[:]
-            board[to], board[at] = own(promoted) if promoted else letter, "."
-            if piece == "P" and at % 8 != to % 8 and self.board[to] == ".":
-                board[to + (8 if self.white else -8)] = "."
-            passing = (at + to) // 2 if piece == "P" and abs(at - to) == 16 else -1
-            gone = {"K": set("KQ"), "k": set("kq")}.get(letter, set()) | {r for r, k in (("K", 63), ("Q", 56), ("k", 7), ("q", 0)) if k in (at, to)}
-            out.append((board, gone, passing))
+        for rays in _RAYS_OF[piece]:
+            for ray in rays[to]:
+                for k in ray:
+                    if (held := board[k]) != ".":
+                        if held == letter:
+                            out.append(k)
+                        break
         return out
 
-    def _pawn_sources(self, to: int) -> list[int]:
-        back = 8 if self.white else -8
-        out = []
-        if self.board[to] == ".":
-            one = to + back
-            if 0 <= one < 64:
-                if self.board[one] != ".":
-                    out.append(one)
-                elif to // 8 == (4 if self.white else 3):
-                    out.append(one + back)
-        if self.board[to] != "." or to == self.passing:
-            row = to // 8 + (1 if self.white else -1)
-            out += [row * 8 + c for c in (to % 8 - 1, to % 8 + 1) if 0 <= c < 8 and 0 <= row < 8]
-        return out
+    def _ordinary(self, piece: str, column: int, rank: int, to: int, promoted: str | None) -> bool:
+        board, white = self.board, self.white
+        letter = piece if white else piece.lower()
+        taken = board[to]
+        if (taken != "." and taken.isupper() == white) or (piece == "P" and (to < 8 or to > 55)) != bool(promoted):
+            return False
+        sources = [k for k in self._sources(letter, piece, to) if (column < 0 or k & 7 == column) and (rank < 0 or k >> 3 == rank)]
+        arriving = letter if promoted is None else promoted.upper() if white else promoted.lower()
+        king, found = "K" if white else "k", -1
+        for at in sources:
+            passed = to + (8 if white else -8) if piece == "P" and taken == "." and (at ^ to) & 7 else -1
+            held = board[passed] if passed >= 0 else "."
+            board[to], board[at] = arriving, "."
+            if passed >= 0:
+                board[passed] = "."
+            # a king that isn't on its recorded square (several kings) is looked for on the whole board
+            home = to if piece == "K" else self.kings[king]
+            safe = not (attackers(board, home, not white) if home >= 0 and board[home] == king and board.count(king) == 1 else in_check(board, white))
+            board[at], board[to] = letter, taken
+            if passed >= 0:
+                board[passed] = held
+            if safe:
+                if found >= 0:
+                    return False
+                found = at
+        if found < 0:
+            return False
+        at, board = found, board[:]
+        self.board = board
+        board[to], board[at] = arriving, "."
+        self.occupied = (self.occupied | _BIT[to]) & ~_BIT[at]
+        if piece == "P":
+            if taken == "." and (at ^ to) & 7:
+                gone = to + (8 if white else -8)
+                board[gone] = "."
+                self.occupied &= ~_BIT[gone]
+            self.passing = (at + to) >> 1 if abs(at - to) == 16 else -1
+        else:
+            self.passing = -1
+            if piece == "K":
+                self.kings = {**self.kings, king: to}
+                self.castling -= set("KQ" if white else "kq")
+        if self.castling:
+            for right, corner in (("K", 63), ("Q", 56), ("k", 7), ("q", 0)):
+                if corner == at or corner == to:
+                    self.castling.discard(right)
+        return True
 
 
 def main_line(movetext: str) -> str:
@@ -171,45 +225,85 @@ def main_line(movetext: str) -> str:
     return re.split(r"[()]", text, maxsplit=1)[0]
 
 
-def positions(movetext: str, setup: str | None = None) -> Iterator[tuple[int, str, int, bool]]:
+#: Buckets of the gate that a board's occupancy must pass.
+GATE_BITS = 20
+#: Rows of a batch of positions.
+BATCH_ROWS = 50_000
+
+
+def gate_of(occupied: int) -> int:
+    """The bucket of an occupancy."""
+    return (occupied ^ occupied >> 20 ^ occupied >> 40) & ((1 << GATE_BITS) - 1)
+
+
+def positions(movetext: str, setup: str | None = None, gate: bytes | None = None) -> Iterator[tuple[int, str, int, bool]]:
     """(ply, placement, move number, white to move) after each move, and of the set-up position (ply 0).
 
     The standard start isn't given; an illegal move ends the game; a bad set-up gives nothing.
+    With a ``gate``, a flag for each bucket, positions whose occupancy it doesn't let through are left out
+    before their placement is spelled.
     """
     try:
         game = Game.of_fen(setup) if setup else Game()
     except ValueError:
         return
-    if setup:
+    if setup and (gate is None or gate[gate_of(game.occupied)]):
         yield 0, compress(game.board), game.number, game.white
     ply = 0
     for token in main_line(movetext).replace(".", ". ").split():
         move = token.rstrip("!?")
-        if not (_SAN.match(move) or _CASTLE.match(move)):
+        if _parsed(move) is None:
             continue
         if not game.play(move):
             return
         ply += 1
-        yield ply, compress(game.board), game.number, game.white
+        if gate is None or gate[gate_of(game.occupied)]:
+            yield ply, compress(game.board), game.number, game.white
 
 
-@functools.lru_cache(maxsize=2_000)
-def _recorded(movetext: str, setup: str | None) -> tuple[tuple[int, str, int, bool], ...]:
-    """The positions of a game; archives hold many games twice, often close together."""
-    return tuple(positions(movetext, setup))
+def gate_for(wanted: DataFrame, placement: str = "placement") -> bytes:
+    """A flag for each bucket that one of the placements wanted falls into: of one size however many they are."""
+    mask = occupancy(placement)
+    bucket = mask.bitwiseXOR(F.shiftrightunsigned(mask, 20)).bitwiseXOR(F.shiftrightunsigned(mask, 40)).bitwiseAND(F.lit((1 << GATE_BITS) - 1).cast("bigint"))
+    flags = bytearray(1 << GATE_BITS)
+    for row in wanted.select(bucket.alias("bucket")).where("bucket is not null").distinct().collect():  # 2**GATE_BITS rows at most
+        flags[row.bucket] = 1
+    return bytes(flags)
 
 
-def replay(games: DataFrame, keys: list[str], movetext: str = "movetext", setup: str = "setup_fen") -> DataFrame:
-    """(keys, ply, placement, move_number, white_to_move) of all positions of all games; null movetext has none."""
-    kinds = dict(games.dtypes)
+def replay(games: DataFrame, keys: list[str], movetext: str = "movetext", setup: str = "setup_fen", wanted: DataFrame | None = None) -> DataFrame:
+    """(keys, ply, placement, move_number, white_to_move) of all positions of all games; null movetext has none.
 
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(*r[:-2], *p) for r in frame.itertuples(index=False) for p in _recorded(r[-2] or "", r[-1] or None)]
-            yield pd.DataFrame(rows, columns=[*keys, "ply", "placement", "move_number", "white_to_move"])
+    ``wanted`` has the placements that are looked for: others are left out, most of them by their
+    occupancy, while the game is replayed.
+    """
+    kinds = dict(games.dtypes)
+    gate = None if wanted is None else gate_for(wanted)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who: list[int] = []
+            found: list[tuple[int, str, int, bool]] = []
+
+            def flush(batch: pa.RecordBatch = batch, who: list[int] = who, found: list = found) -> pa.RecordBatch:
+                ply, placement, number, white = zip(*found, strict=True) if found else ((),) * 4
+                own = [batch.column(k).take(pa.array(who, pa.int64())) for k in range(len(keys))]
+                kind = (pa.int32(), pa.string(), pa.int32(), pa.bool_())
+                out = pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip((ply, placement, number, white), kind, strict=True))], [*keys, "ply", "placement", "move_number", "white_to_move"])
+                who.clear(), found.clear()
+                return out
+
+            for k, (text, fen) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
+                for position in positions(text or "", fen or None, gate):
+                    who.append(k)
+                    found.append(position)
+                if len(found) >= BATCH_ROWS:
+                    yield flush()
+            yield flush()
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ply int, placement string, move_number int, white_to_move boolean"])
-    return games.select(*keys, movetext, setup).mapInPandas(kernel, schema)
+    found = games.select(*keys, movetext, setup).mapInArrow(kernel, schema)
+    return found if wanted is None else found.join(wanted.select("placement"), "placement", "left_semi").select(*keys, "ply", "placement", "move_number", "white_to_move")
 
 
 # The flags of a position's faults and their texts.
