@@ -438,8 +438,8 @@ def _open(percent: int):
     return kernel
 
 
-#: Counts of a stripe of documents against all others of a fragment, and meetings, that are held at once.
-STRIPE_COUNTS, STRIPE_MEETINGS = 8_000_000, 4_000_000
+#: Meetings that are counted at once, counts that may be held for them, and pairs of an exchange's batch.
+STRIPE_MEETINGS, DENSE_COUNTS, BATCH_PAIRS = 4_000_000, 16_000_000, 1_000_000
 
 
 def _stripes(grams: np.ndarray, owner: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -455,47 +455,44 @@ def _stripes(grams: np.ndarray, owner: np.ndarray, total: int) -> Iterator[tuple
     bound = np.r_[0, np.cumsum(ahead[entry])][first]
     a = 0
     while a < total:
-        e = max(a + 1, min(int(np.searchsorted(bound, bound[a] + STRIPE_MEETINGS, "right")) - 1, a + STRIPE_COUNTS // total, total))
+        e = max(a + 1, int(np.searchsorted(bound, bound[a] + STRIPE_MEETINGS, "right")) - 1)
         own = entry[first[a] : first[e]]
-        one = np.repeat(who[own] - a, ahead[own])
-        two = who[textkit.ranges(own + 1, ahead[own])]
-        count = np.bincount(one * total + two, minlength=1) if len(one) else np.zeros(1, np.int64)
-        met = np.flatnonzero(count)
-        yield met // total + a, met % total, count[met]
+        if len(own):
+            key = np.repeat(who[own] - a, ahead[own]) * total + who[textkit.ranges(own + 1, ahead[own])]
+            if (e - a) * total <= min(DENSE_COUNTS, 8 * len(key)):  # many meetings of few documents: a count for each pair
+                count = np.bincount(key)
+                met = np.flatnonzero(count)
+                count = count[met]
+            else:
+                met, count = np.unique(key, return_counts=True)
+            yield met // total + a, met % total, count
         a = e
 
 
-def _near(percent: int):
-    """Packed segments to the documents that are as alike as a link asks to one of another component, in this fragment alone.
-
-    A linked pair is so in one fragment at least: were its overlaps less than the threshold's part
-    everywhere, their sum would be.
-    """
+def _across(percent: int, homes: int):
+    names = ["_id", "_fp", "n"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, grams, owner in _fragments(batches, ["_id", "_fp", "n", "sum1", "component", "foreign"]):
-            total = len(docs["n"])
-            size, near = np.bincount(owner, minlength=total), np.zeros(total, bool)
-            for one, two, n in _stripes(grams, owner, total):
-                good = (docs["component"][one] != docs["component"][two]) & (100 * n >= percent * (size[one] + size[two] - n))
-                near[one[good]] = near[two[good]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(docs[c][near]) for c in ("_id", "_fp")], ["_open", "_open_fp"])
-
-    return kernel
+            held: list[tuple[np.ndarray, ...]] = []
 
+            def flush(docs: dict = docs, held: list = held) -> pa.RecordBatch:
+                one, two, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+                held.clear()
+                # the pair's order is that of (id, fp), so that all fragments name it alike
+                swap = (docs["_id"][one] > docs["_id"][two]) | ((docs["_id"][one] == docs["_id"][two]) & (docs["_fp"][one] > docs["_fp"][two]))
+                one, two = np.where(swap, two, one), np.where(swap, one, two)
+                return _scatter(_home(docs["_id"][one], homes), homes, [*(docs[c][one] for c in names), *(docs[c][two] for c in names), n], COUNTS)
 
-def _across(percent: int, homes: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, grams, owner in _fragments(batches, ["_id", "_fp", "n", "sum1", "component", "foreign"]):
             for one, two, n in _stripes(grams, owner, len(docs["n"])):
                 # an overlap exceeds neither what one shares with other components nor the smaller set
                 most, sizes = np.minimum(docs["foreign"][one], docs["foreign"][two]), docs["n"][one] + docs["n"][two]
                 good = (docs["component"][one] != docs["component"][two]) & (100 * most >= percent * (sizes - most))
-                one, two, n = one[good], two[good], n[good]
-                # the pair's order is that of (id, fp), so that all fragments name it alike
-                swap = (docs["_id"][one] > docs["_id"][two]) | ((docs["_id"][one] == docs["_id"][two]) & (docs["_fp"][one] > docs["_fp"][two]))
-                one, two = np.where(swap, two, one), np.where(swap, one, two)
-                yield _scatter(_home(docs["_id"][one], homes), homes, [docs["_id"][one], docs["_fp"][one], docs["n"][one], docs["_id"][two], docs["_fp"][two], docs["n"][two], n], COUNTS)
+                held.append((one[good], two[good], n[good]))
+                if sum(len(h[0]) for h in held) >= BATCH_PAIRS:
+                    yield flush()
+            if held:
+                yield flush()
 
     return kernel
 
@@ -535,9 +532,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         left = written(placed.join(counted(placed, columns, _foreign(parts), _open(percent), open_rows), mine).drop("_open", "_open_fp"), "open")
         cut = written(left.select("_id", *columns, "grams").mapInArrow(_parts_of(percent, parts), "_id long, _fp long, n int, sum1 long, component long, grams binary"), "parts")
         enough = counted(cut.where("n > 0"), columns, _foreign(parts), _open(100), open_rows).select("_open", "_open_fp").union(cut.where("n <= 0").select("_id", "_fp"))
-        left = written(left.join(enough.distinct(), mine, "left_semi"), "enough")
-        segments = left.select("_id", *columns, "foreign", "grams").mapInArrow(_cut_rows([*columns, "foreign"], parts), PACKED).repartition(parts, "bucket")
-        left = left.join(segments.mapInArrow(_near(percent), "_open long, _open_fp long").distinct(), mine, "left_semi")
+        left = left.join(enough.distinct(), mine, "left_semi")
         more = written(_linked(counted(left, [*columns, "foreign"], _across(percent, parts), _sums, PAIR), percent), "links")
         if not more.isEmpty():
             # the stars found so far and the new links are all that is needed
