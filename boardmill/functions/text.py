@@ -72,35 +72,20 @@ def flat_caption(lines: Column | str, limit: int = 300) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
 
 
-# Phrases, folded, that say who moves.  Portuguese, English, Spanish, German, French.
-WHITE_PHRASES = [
-    r"brancas? jogam?",
-    r"jogam? (as )?brancas",
-    r"white to (move|play)",
-    r"white (moves|plays|mates|wins)",
-    r"juegan? (las )?blancas",
-    r"blancas juegan",
-    r"weiss (am zug|zieht|am zuge)",
-    r"les blancs jouent",
-    r"trait aux blancs",
-    r"lance das brancas",
-    r"vez das brancas",
+# Forms, folded, that say who moves, and the names of the sides in them.  Portuguese, English, German, Spanish, French.
+SIDE_FORMS = [
+    (["(as )?{s} (jogam|jogar|comecam|iniciam)", "jog(ada|ar|am|a) (das|dos|da|do|de|as|os) {s}", "(e a )?vez d[ao]s {s}", "{s} no lance"], "brancas", "(pretas|negras)"),
+    (["{s} to (move|play)", "{s} (plays|moves|begins|starts)"], "white", "black"),
+    (["{s} (am zug|zieht|beginnt|spielt|setzt)", "am zug ?: ?{s}"], "weiss?", "schwarz"),
+    (["juegan (las )?{s}", "{s} juegan", "turno de las {s}"], "blancas", "negras"),
+    (["(les )?{s} jouent", "trait aux {s}"], "blancs", "noirs"),
 ]
-BLACK_PHRASES = [
-    r"pretas? jogam?",
-    r"jogam? (as )?(pretas|negras)",
-    r"black to (move|play)",
-    r"black (moves|plays|mates|wins)",
-    r"juegan? (las )?negras",
-    r"negras juegan",
-    r"schwarz (am zug|zieht|am zuge)",
-    r"les noirs jouent",
-    r"trait aux noirs",
-    r"lance das (pretas|negras)",
-    r"vez das (pretas|negras)",
-]
-SUBORDINATORS = ["se", "caso", "quando", "if", "when", "si", "cuando", "wenn", "falls", "quand", "lorsque", "unless"]
-WHITE_GLYPHS, BLACK_GLYPHS = "□◻⬜", "■◼⬛"
+WHITE_PHRASES = [form.format(s=white) for forms, white, _ in SIDE_FORMS for form in forms]
+BLACK_PHRASES = [form.format(s=black) for forms, _, black in SIDE_FORMS for form in forms]
+# Words, folded, that make a supposition of the phrase after them.
+SUBORDINATORS = ["se", "if", "when", "wenn", "quando", "after", "depois", "apos", "because", "porque", "since", "although", "though", "embora", "caso", "que", "para", "wo", "als", "nachdem", "wie"]
+# Hollow squares and discs, filled ones.
+WHITE_GLYPHS, BLACK_GLYPHS = "◻□▫⬜◽⚪", "◼■▪⬛◾⚫"
 
 
 def _first_phrase(folded: Column, phrases: list[str]) -> Column:

@@ -9,6 +9,7 @@ from ..functions import geometry, score
 from ..functions.board import disputed_squares
 from .datasets import histogram
 from .similarity import BOX, merge_tiles, per_page
+from .similarity import _overlap as overlap
 
 MARGIN = 0.07
 CAPTION_WORDS = 25
@@ -62,21 +63,16 @@ def union_candidates(embedded: DataFrame, contour: DataFrame, page: list[str], m
 
 def predupe(boxes: DataFrame, page: list[str], most_iou: float = 0.9, relative_area: float = 0.02) -> DataFrame:
     """Boxes by falling score without near repeats and without those that are tiny beside the largest."""
-    import pandas as pd
 
-    from .similarity import _iou
+    def kernel(rows: list[dict]) -> list[tuple]:
+        size = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+        least, kept = relative_area * max(map(size, rows)), []
+        for r in sorted(rows, key=lambda r: (-r["score"], r["idx"])):
+            if size(r) >= least and not any(overlap(r, k) > most_iou for k in kept):
+                kept.append(r)
+        return [(r["idx"],) for r in kept]
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "idx"], ascending=[False, True])
-        box = frame[BOX].to_numpy(float)
-        size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        over, kept = _iou(box, box), []
-        for k in range(len(frame)):
-            if size[k] >= relative_area * size.max() and not any(over[k, j] > most_iou for j in kept):
-                kept.append(k)
-        return pd.DataFrame({"idx": frame.idx.iloc[kept].to_numpy()})
-
-    return boxes.join(per_page(boxes, page, kernel, f"idx {dict(boxes.dtypes)['idx']}"), [*page, "idx"], "left_semi")
+    return boxes.join(per_page(boxes.select(*page, "idx", "score", *BOX), page, kernel, f"idx {dict(boxes.dtypes)['idx']}"), [*page, "idx"], "left_semi")
 
 
 def box_state(saved: Column, confirmed: Column, fatal: Column, low: Column) -> Column:
@@ -222,10 +218,3 @@ def same_game_nearby(entries: DataFrame, book: list[str], position: str, games:
     near = entries.select(*book, position, games, chosen, F.explode(F.sequence(F.col(position) - radius, F.col(position) + radius)).alias("_p"))
     pairs = near.join(c, [*book, "_p"]).where((F.col("_p") != F.col(position)) & F.array_contains(F.col(games), F.col("_g")) & F.col(chosen).isNull())
     return pairs.groupBy(*book, position).agg(F.min_by("_g", F.struct(F.abs(F.col("_p") - F.col(position)), "_p")).alias("taken"))
-
-
-def sessions_of_gaps(df: DataFrame, key: list[str], order: str, gap: float) -> DataFrame:
-    """Rows with run: a new one starts where the order's value jumps by more than ``gap``."""
-    w = Window.partitionBy(*key).orderBy(order)
-    jump = F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("int"), F.lit(0))
-    return df.withColumn("_j", jump).withColumn("run", F.sum("_j").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_j")

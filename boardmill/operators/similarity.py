@@ -1,18 +1,20 @@
 """Nearest neighbours, box matching, run comparison and layout kernels.
 
-Greedy steps depend on order, so they run per page or placement, a bounded group, and sort their
-input themselves.  Everything else is joins and aggregates.
+Greedy steps depend on order, so they run per page or placement, a bounded group packed into one
+row, and sort their input themselves.  Everything else is joins and aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import statistics
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import geometry
 from .datasets import hamming
@@ -25,14 +27,16 @@ SUSPECT_SIDE = 72.0
 MAX_BOARDS = 12
 
 
-def nearest(samples: DataFrame, index: DataFrame, sample_key: str, row_key: str, group: str, words: str, max_distance: int | None = MAX_DISTANCE, margin: int = AMBIGUITY) -> DataFrame:
+def nearest(samples: DataFrame, index: DataFrame, sample_key: str, row_key: str, group: str, words: str, max_distance: int | None = MAX_DISTANCE, margin: int = AMBIGUITY, apart: bool = False) -> DataFrame:
     """(sample, row, group, distance, runner_up, ambiguous): the nearest index row, the lowest key of equals, and
     the least distance among other groups.
 
     With ``max_distance`` only rows that share one of ``max_distance + 1`` bands of bits can be
     near enough (pigeonhole), so the join is on bands; the runner-up is then exact up to
     max_distance + margin, which decides ambiguity.  Without it the samples are a stated query
-    set that every row is compared with, a block of bounded size at a time.
+    set that every row is compared with, a block of bounded size at a time: work in proportion to
+    samples times rows, and a pass over the index for each block.  ``apart``: a sample and a row
+    of the same key are the same and don't count.
     """
     s = samples.select(F.col(sample_key), F.col(words).alias("_a"))
     r = index.select(F.col(row_key), F.col(group), F.col(words).alias("_b"))
@@ -44,6 +48,8 @@ def nearest(samples: DataFrame, index: DataFrame, sample_key: str, row_key: str,
     else:
         bands = max_distance + margin
         pairs = _banded(s, "_a", bands).join(_banded(r, "_b", bands), ["_band", "_bits"]).drop("_band", "_bits").distinct()
+    if apart:
+        pairs = pairs.where(F.col(sample_key) != F.col(row_key))
     scored = pairs.select(sample_key, row_key, group, hamming(F.col("_a"), F.col("_b")).alias("distance"))
     per_group = scored.groupBy(sample_key, group).agg(F.min(F.struct("distance", row_key)).alias("_m"))
     w = Window.partitionBy(sample_key).orderBy(F.col("_m"))
@@ -57,41 +63,52 @@ def _banded(df: DataFrame, words: str, bands: int) -> DataFrame:
     """A row for each band: the hash of a share of the words' bits."""
     text = F.concat(*[F.lpad(F.bin(F.get(words, F.lit(k))), 64, "0") for k in range(4)])
     text = F.coalesce(text, F.array_join(F.transform(words, lambda x: F.lpad(F.bin(x), 64, "0")), ""))
-    width = F.ceil(F.length(text) / F.lit(bands + 1))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(bands)), lambda k: F.substr(text, (k * width + 1).cast("int"), width.cast("int")))
+    cut = lambda k: F.floor(k * F.length(text) / F.lit(bands + 1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(bands)), lambda k: F.substr(text, cut(k) + 1, cut(k + 1) - cut(k)))
     return df.select("*", F.posexplode(parts).alias("_band", "_bits"))
 
 
 def near_pairs(df: DataFrame, key: str, block: str, words: str, distance: int) -> DataFrame:
-    """Pairs of one block within ``distance`` bits."""
-    a, b = df.select(F.col(key).alias("a"), F.col(block), F.col(words).alias("_a")), df.select(F.col(key).alias("b"), F.col(block), F.col(words).alias("_b"))
-    pairs = a.join(b, block).where("a < b").withColumn("distance", hamming(F.col("_a"), F.col("_b")))
-    return pairs.where(F.col("distance") <= distance).select(block, "a", "b", "distance")
+    """Pairs of one block within ``distance`` bits: of ``distance + 1`` bands of bits they share one."""
+    banded = _banded(df.select(F.col(key).alias("_k"), F.col(block), F.col(words).alias("_w")), "_w", distance)
+    one, two = banded.withColumnsRenamed({"_k": "a", "_w": "_a"}), banded.withColumnsRenamed({"_k": "b", "_w": "_b"})
+    pairs = one.join(two, [block, "_band", "_bits"]).where("a < b").withColumn("distance", hamming(F.col("_a"), F.col("_b")))
+    return pairs.where(F.col("distance") <= distance).select(block, "a", "b", "distance").distinct()
 
 
-def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.maximum(0, np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]))
-    h = np.maximum(0, np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]))
-    area = lambda x: np.maximum(0, x[:, 2] - x[:, 0]) * np.maximum(0, x[:, 3] - x[:, 1])
-    union = area(a)[:, None] + area(b)[None, :] - w * h
-    return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
+BOX = ["x0", "y0", "x1", "y1"]
 
 
-BOX = ["x0", "y0", "x1", "y1"]
+def _overlap(a: dict, b: dict, of: str = "", to: str = "") -> float:
+    """Intersection over union of two rows' boxes, whose names begin with ``of`` and ``to``."""
+    ax0, ay0, ax1, ay1 = (a[of + c] for c in BOX)
+    bx0, by0, bx1, by1 = (b[to + c] for c in BOX)
+    w, h = min(ax1, bx1) - max(ax0, bx0), min(ay1, by1) - max(ay0, by0)
+    if w <= 0 or h <= 0:
+        return 0.0
+    whole = max(0.0, ax1 - ax0) * max(0.0, ay1 - ay0) + max(0.0, bx1 - bx0) * max(0.0, by1 - by0) - w * h
+    return w * h / whole if whole > 0 else 0.0
 
 
-def per_page(df: DataFrame, page: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``kernel`` on each page's rows, with the page's columns before its own."""
+def per_page(df: DataFrame, page: list[str], kernel: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """``kernel`` on each page's rows, with the page's columns before its own.
+
+    A page's rows, a bounded number, are packed into one by Spark, so an Arrow batch brings many
+    pages and none costs a call of its own.
+    """
     kinds = dict(df.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in page)
+    packed = df.groupBy(*page).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in page])).alias("_rows"))
+    full = StructType.fromDDL(", ".join([*(f"`{c}` {kinds[c]}" for c in page), schema]))
+    types = [to_arrow_type(f.dataType) for f in full.fields[len(page) :]]
 
-    def call(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = kernel(frame.reset_index(drop=True))
-        for c, v in reversed(list(zip(page, key, strict=True))):
-            out.insert(0, c, v)
-        return out
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [kernel(rows) for rows in batch.column(len(page)).to_pylist()]
+            own = pa.array([k for k, rows in enumerate(found) for _ in rows], pa.int64())
+            columns = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(len(page))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], full.names)
 
-    return df.groupBy(*page).applyInPandas(call, f"{head}, {schema}")
+    return packed.select(*page, "_rows").mapInArrow(call, full)
 
 
 def match_boxes(annotated: DataFrame, read: DataFrame, page: list[str], least: float = MATCH_IOU) -> DataFrame:
@@ -101,16 +118,15 @@ def match_boxes(annotated: DataFrame, read: DataFrame, page: list[str], least: f
     """
     both = annotated.select(*page, F.lit(0).alias("side"), "idx", *BOX).unionByName(read.select(*page, F.lit(1).alias("side"), "idx", *BOX))
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame.side == 0].sort_values("idx"), frame[frame.side == 1].sort_values("idx")
-        over = _iou(a[BOX].to_numpy(float).reshape(-1, 4), b[BOX].to_numpy(float).reshape(-1, 4))
-        ranked = sorted(((over[i, j], a.idx.iloc[i], b.idx.iloc[j]) for i, j in zip(*np.nonzero(over >= least), strict=True)), reverse=True)
+    def kernel(rows: list[dict]) -> list[tuple]:
+        one, two = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+        ranked = sorted(((value, a["idx"], b["idx"]) for a in one for b in two if (value := _overlap(a, b)) >= least), reverse=True)
         seen_a, seen_b, out = set(), set(), []
         for value, i, j in ranked:
             if i not in seen_a and j not in seen_b:
                 seen_a.add(i), seen_b.add(j)
                 out.append((i, j, value))
-        return pd.DataFrame(out, columns=["annotation", "reading", "iou"]).astype({"annotation": "int32", "reading": "int32", "iou": "float64"})
+        return out
 
     return per_page(both, page, kernel, "annotation int, reading int, iou double")
 
@@ -120,27 +136,23 @@ def diff_runs(before: DataFrame, after: DataFrame, key: list[str], page: list[st
     the gained one of largest overlap, the last of equals, and both become one moved row."""
     one, two = before.select(*key, *[F.col(c).alias(f"a_{c}") for c in (*BOX, "side_pt")]), after.select(*key, *[F.col(c).alias(f"b_{c}") for c in (*BOX, "side_pt")])
     odd = one.join(two, key, "full_outer").where("a_x0 is null or b_x0 is null")
-    fields = [f"{s}_{c}" for s in "ab" for c in (*BOX, "side_pt")]
+    none = (None,) * 4
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        lost = frame[frame.a_x0.notna()].sort_values(["a_y0", "a_x0"])
-        gained = frame[frame.b_x0.notna()].sort_values(["b_y0", "b_x0"])
-        one, two = lost[fields[:5]].to_numpy(float).reshape(-1, 5), gained[fields[5:]].to_numpy(float).reshape(-1, 5)
-        over = _iou(one[:, :4], two[:, :4]) if len(one) and len(two) else np.zeros((len(one), len(two)))
+    def kernel(rows: list[dict]) -> list[tuple]:
+        lost = sorted((r for r in rows if r["a_x0"] is not None), key=lambda r: (r["a_y0"], r["a_x0"]))
+        gained = sorted((r for r in rows if r["b_x0"] is not None), key=lambda r: (r["b_y0"], r["b_x0"]))
+        box = lambda r, s: tuple(r[s + c] for c in BOX)
         taken, out = set(), []
-        for i, row in enumerate(one.tolist()):
-            best = max(((over[i, j], j) for j in range(len(two)) if j not in taken and over[i, j] >= least), default=None)
+        for r in lost:
+            best = max(((value, j) for j, g in enumerate(gained) if j not in taken and (value := _overlap(r, g, "a_", "b_")) >= least), default=None)
             if best is None:
-                out.append(("lost", row[4] < suspect_below, *row[:4], *[None] * 4))
+                out.append(("lost", r["a_side_pt"] < suspect_below, *box(r, "a_"), *none))
             else:
                 taken.add(best[1])
-                out.append(("moved", row[4] < suspect_below, *row[:4], *two[best[1], :4].tolist()))
-        for j, row in enumerate(two.tolist()):
-            if j not in taken:
-                out.append(("gained", row[4] < suspect_below, *[None] * 4, *row[:4]))
-        return pd.DataFrame(out, columns=["change", "suspect", *fields[:4], *fields[5:9]]).astype(dict.fromkeys([*fields[:4], *fields[5:9]], float))
+                out.append(("moved", r["a_side_pt"] < suspect_below, *box(r, "a_"), *box(gained[best[1]], "b_")))
+        return out + [("gained", g["b_side_pt"] < suspect_below, *none, *box(g, "b_")) for j, g in enumerate(gained) if j not in taken]
 
-    return per_page(odd, page, kernel, "change string, suspect boolean, " + ", ".join(f"{c} double" for c in [*fields[:4], *fields[5:9]]))
+    return per_page(odd, page, kernel, "change string, suspect boolean, " + ", ".join(f"{s}_{c} double" for s in "ab" for c in BOX))
 
 
 def reading_order(boxes: DataFrame, page: list[str], mode: str = "column") -> DataFrame:
@@ -152,65 +164,57 @@ def reading_order(boxes: DataFrame, page: list[str], mode: str = "column") -> Da
     if mode == "row":
         return boxes.withColumn("position", F.row_number().over(Window.partitionBy(*page).orderBy("y0", "x0", "idx")) - 1).select(*page, "idx", "position")
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(c=(frame.x0 + frame.x1) / 2).sort_values(["c", "y0", "idx"])
-        reach = max(8.0, 0.55 * float(np.median(frame.x1 - frame.x0)))
-        columns: list[list[int]] = []
-        for k, c in enumerate(frame.c):
-            if columns and abs(c - float(np.mean([frame.c.iloc[j] for j in columns[-1]]))) <= reach:
-                columns[-1].append(k)
+    def kernel(rows: list[dict]) -> list[tuple]:
+        reach = max(8.0, 0.55 * statistics.median(r["x1"] - r["x0"] for r in rows))
+        columns: list[list[dict]] = []
+        total = 0.0
+        for r in sorted(rows, key=lambda r: ((r["x0"] + r["x1"]) / 2, r["y0"], r["idx"])):
+            centre = (r["x0"] + r["x1"]) / 2
+            if columns and abs(centre - total / len(columns[-1])) <= reach:
+                columns[-1].append(r)
+                total += centre
             else:
-                columns.append([k])
-        order = [k for col in columns for k in sorted(col, key=lambda k: (frame.y0.iloc[k], frame.x0.iloc[k], frame.idx.iloc[k]))]
-        return pd.DataFrame({"idx": frame.idx.iloc[order].to_numpy(), "position": np.arange(len(order), dtype="int32")})
+                columns.append([r])
+                total = centre
+        order = [r["idx"] for column in columns for r in sorted(column, key=lambda r: (r["y0"], r["x0"], r["idx"]))]
+        return [(idx, k) for k, idx in enumerate(order)]
 
     kind = dict(boxes.dtypes)["idx"]
-    return per_page(boxes, page, kernel, f"idx {kind}, position int")
+    return per_page(boxes.select(*page, "idx", *BOX), page, kernel, f"idx {kind}, position int")
 
 
 def suppress(boxes: DataFrame, page: list[str], floor: float = 0.06, relative: float = 0.25, most_iou: float = 0.25, most: int = MAX_BOARDS) -> DataFrame:
     """(page, idx, kept, reason): by falling score, rows under the floors go (low_score), then those that overlap a kept
     one (overlap), then those beyond ``most`` (limit)."""
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "idx"], ascending=[False, True])
-        box = frame[BOX].to_numpy(float)
-        over = _iou(box, box)
-        least = max(floor, relative * float(frame.score.iloc[0]))
-        kept: list[int] = []
-        reasons = []
-        for k in range(len(frame)):
-            if frame.score.iloc[k] < least:
-                reasons.append("low_score")
-            elif any(over[k, j] > most_iou for j in kept):
-                reasons.append("overlap")
-            elif len(kept) >= most:
-                reasons.append("limit")
-            else:
-                kept.append(k)
-                reasons.append("")
-        return pd.DataFrame({"idx": frame.idx.to_numpy(), "kept": [r == "" for r in reasons], "reason": reasons})
+    def kernel(rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (-r["score"], r["idx"]))
+        least = max(floor, relative * rows[0]["score"])
+        kept: list[dict] = []
+        out = []
+        for r in rows:
+            reason = "low_score" if r["score"] < least else "overlap" if any(_overlap(r, k) > most_iou for k in kept) else "limit" if len(kept) >= most else ""
+            if not reason:
+                kept.append(r)
+            out.append((r["idx"], not reason, reason))
+        return out
 
     kind = dict(boxes.dtypes)["idx"]
-    return per_page(boxes, page, kernel, f"idx {kind}, kept boolean, reason string")
+    return per_page(boxes.select(*page, "idx", "score", *BOX), page, kernel, f"idx {kind}, kept boolean, reason string")
 
 
 def merge_tiles(boxes: DataFrame, page: list[str], gap: float = 2.0) -> DataFrame:
     """(page, box, tiles): boxes that touch within ``gap`` of each other, directly or through others, as one."""
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        box = frame[BOX].to_numpy(float)
-        near = (np.maximum(box[:, None, 0], box[None, :, 0]) - np.minimum(box[:, None, 2], box[None, :, 2]) <= gap) & (np.maximum(box[:, None, 1], box[None, :, 1]) - np.minimum(box[:, None, 3], box[None, :, 3]) <= gap)
-        label = np.arange(len(box))
-        while True:
-            low = np.where(near, label[None, :], len(box)).min(axis=1)
-            if (low == label).all():
-                break
-            label = low
-        out = [(*box[label == k][:, :2].min(axis=0), *box[label == k][:, 2:].max(axis=0), int((label == k).sum())) for k in np.unique(label)]
-        return pd.DataFrame(out, columns=[*BOX, "tiles"]).astype({"tiles": "int32"})
+    def kernel(rows: list[dict]) -> list[tuple]:
+        groups: list[list[dict]] = []
+        for r in rows:
+            near = lambda o, r=r: max(r["x0"], o["x0"]) - min(r["x1"], o["x1"]) <= gap and max(r["y0"], o["y0"]) - min(r["y1"], o["y1"]) <= gap
+            touched = [g for g in groups if any(map(near, g))]
+            groups = [g for g in groups if g not in touched] + [[r, *(o for g in touched for o in g)]]
+        return [(min(r["x0"] for r in g), min(r["y0"] for r in g), max(r["x1"] for r in g), max(r["y1"] for r in g), len(g)) for g in groups]
 
-    return per_page(boxes, page, kernel, "x0 double, y0 double, x1 double, y1 double, tiles int")
+    return per_page(boxes.select(*page, *BOX), page, kernel, "x0 double, y0 double, x1 double, y1 double, tiles int")
 
 
 def lines_near(lines: DataFrame, boxes: DataFrame, page: list[str], radius: float = 60.0) -> DataFrame:
@@ -237,17 +241,17 @@ def assign_lines(lines: DataFrame, boxes: DataFrame, page: list[str], radius: fl
     pairs = near.groupBy(*page, "group_id", "idx").agg(F.min(F.struct("distance", "placement")).alias("_m")).select(*page, "group_id", "idx", "_m.distance", "_m.placement")
     pairs = pairs.join(dominant_side(near, page).withColumnRenamed("placement", "_dominant"), page, "left")
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+    def kernel(rows: list[dict]) -> list[tuple]:
         group_of: dict[int, int] = {}
         claimed: dict[int, int] = {}
-        first = frame[frame.placement == frame["_dominant"]].sort_values(["distance", "idx", "group_id"])
-        for r in first.itertuples():
-            if r.idx not in claimed and r.group_id not in group_of:
-                claimed[r.idx] = r.group_id
-                group_of[r.group_id] = r.idx
-        for r in frame.sort_values(["distance", "idx", "group_id"]).itertuples():
-            group_of.setdefault(r.group_id, r.idx)
-        return pd.DataFrame(sorted(group_of.items()), columns=["group_id", "idx"]).astype("int32")
+        rows = sorted(rows, key=lambda r: (r["distance"], r["idx"], r["group_id"]))
+        for r in rows:
+            if r["placement"] == r["_dominant"] and r["idx"] not in claimed and r["group_id"] not in group_of:
+                claimed[r["idx"]] = r["group_id"]
+                group_of[r["group_id"]] = r["idx"]
+        for r in rows:
+            group_of.setdefault(r["group_id"], r["idx"])
+        return sorted(group_of.items())
 
     return per_page(pairs, page, kernel, "group_id int, idx int")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import board, decode, replay, text
@@ -19,13 +19,13 @@ def _signatures(t: Tables) -> DataFrame:
     return t("embeddings").select("vec_id", "label", F.array(word).alias("words"))
 
 
-@query("label bigint, a bigint, b bigint, distance bigint", f"WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.s, y.s), lambda z: abs(z[1] - z[2]))) AS distance FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 12")
+@query("label bigint, a bigint, b bigint, distance bigint", f"WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.s, y.s), lambda z: abs(z[1] - z[2]))) AS distance FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 20")
 def near_dup_pairs(t: Tables) -> DataFrame:
     """Pairs of one label whose signatures differ in few bits."""
-    return similarity.near_pairs(_signatures(t), "vec_id", "label", "words", 12)
+    return similarity.near_pairs(_signatures(t), "vec_id", "label", "words", 20)
 
 
-_NEAREST_SQL = f"""WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.vec_id, y.vec_id AS row_id, y.label, list_sum(list_transform(list_zip(x.s, y.s), lambda z: abs(z[1] - z[2]))) AS d FROM v x, v y WHERE x.vec_id % 50 = 0 AND y.vec_id % 50 <> 0),
+_NEAREST_SQL = f"""WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.vec_id, y.vec_id AS row_id, y.label, list_sum(list_transform(list_zip(x.s, y.s), lambda z: abs(z[1] - z[2]))) AS d FROM v x, v y WHERE x.vec_id % 50 = 0 AND y.vec_id <> x.vec_id),
     b AS (SELECT vec_id, min((d, row_id)) AS m FROM p GROUP BY vec_id), c AS (SELECT p.vec_id, p.row_id, p.label, p.d FROM p JOIN b ON b.vec_id = p.vec_id AND (p.d, p.row_id) = b.m)
     SELECT c.vec_id, c.row_id, c.label, c.d AS distance, (SELECT min(q.d) FROM p q WHERE q.vec_id = c.vec_id AND q.label <> c.label) AS runner_up FROM c"""
 
@@ -34,16 +34,14 @@ _NEAREST_SQL = f"""WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.vec_id, y.vec_id
 def hamming_nn(t: Tables) -> DataFrame:
     """Queries (ids divisible by 50) against all other rows: nearest, and the nearest of another label."""
     v = _signatures(t)
-    index = v.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "row_id")
-    return similarity.nearest(v.where("vec_id % 50 = 0").drop("label"), index, "vec_id", "row_id", "label", "words", None)
+    return similarity.nearest(v.where("vec_id % 50 = 0").drop("label"), v.withColumnRenamed("vec_id", "row_id"), "vec_id", "row_id", "label", "words", None, apart=True)
 
 
-@query("vec_id bigint, row_id bigint, distance bigint", f"SELECT vec_id, row_id, distance FROM ({_NEAREST_SQL}) WHERE distance <= 9")
+@query("vec_id bigint, row_id bigint, distance bigint", f"SELECT vec_id, row_id, distance FROM ({_NEAREST_SQL}) WHERE distance <= 18")
 def hamming_nn_banded(t: Tables) -> DataFrame:
-    """The same within 9 bits, through bands that near rows must share."""
+    """The same within 18 bits, through bands that near rows must share."""
     v = _signatures(t)
-    index = v.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "row_id")
-    return similarity.nearest(v.where("vec_id % 50 = 0").drop("label"), index, "vec_id", "row_id", "label", "words", 9)
+    return similarity.nearest(v.where("vec_id % 50 = 0").drop("label"), v.withColumnRenamed("vec_id", "row_id"), "vec_id", "row_id", "label", "words", 18, apart=True)
 
 
 def _boxes(t: Tables) -> DataFrame:
@@ -132,54 +130,111 @@ def spatial_assign(t: Tables) -> DataFrame:
     return similarity.assign_lines(lines, b, ["page"])
 
 
-# Placements of well-known openings and broken ones.
-_FENS = [
-    "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR",
-    "r1bqkbnr/pppp1ppp/2n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R",
-    "8/8/8/8/8/8/8/8",
-    "k7/8/8/8/8/8/8/7K",
-    "r3k2r/8/8/8/8/8/8/R3K2R",
-    "PPPPPPPP/PPPPPPPP/8/8/8/8/8/K6k",
-    "rnbqkbnr/pppppppp/9/8/8/8/PPPPPPPP/RNBQKBNR",
-    "not a board",
-]
-_FEN_VALUES = ", ".join(f"('{f}')" for f in _FENS)
+# Ranks that made-up boards are put together from, one for each hex digit of a key's md5; one is malformed.
+_RANKS = ["8", "8", "8", "8", "pppppppp", "PPPPPPPP", "rnbqkbnr", "RNBQKBNR", "4k3", "3K4", "R3K2R", "r3k2r", "2q2Q2", "9", "1P1p1P1p", "n6N"]
+_RANKS_SQL = "[" + ", ".join(f"'{r}'" for r in _RANKS) + "]"
+_FENS_SQL = f"""SELECT o_orderkey, array_to_string(list_transform(range(1, 9), lambda i: {_RANKS_SQL}[position(md5(CAST(o_orderkey AS VARCHAR))[i] IN '0123456789abcdef')]), '/') AS fen FROM orders"""
 _SQUARES_SQL = "replace(replace(replace(replace(replace(replace(replace(replace(fen, '8', '........'), '7', '.......'), '6', '......'), '5', '.....'), '4', '....'), '3', '...'), '2', '..'), '1', '.')"
+_EXPANDED_SQL = f"SELECT o_orderkey, fen, {_SQUARES_SQL} AS x FROM ({_FENS_SQL})"
+_WHOLE_SQL = "regexp_matches(x, '^([.PNBRQKpnbrqk]{8}/){7}[.PNBRQKpnbrqk]{8}$')"
 
 
 def _fens(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.explode(F.array(*map(F.lit, _FENS))).alias("fen"))
+    """A made-up board for each order."""
+    digit = lambda k: F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), k, 1), 16, 10).cast("int")
+    return t("orders").select("o_orderkey", F.concat_ws("/", *[F.get(F.array(*map(F.lit, _RANKS)), digit(k)) for k in range(1, 9)]).alias("fen"))
 
 
-@query("fen string, squares string, again string, castling string", f"WITH f AS (SELECT fen, {_SQUARES_SQL} AS x FROM (VALUES {_FEN_VALUES}) v(fen)), s AS (SELECT fen, CASE WHEN regexp_matches(x, '^([.PNBRQKpnbrqk]{{8}}/){{7}}[.PNBRQKpnbrqk]{{8}}$') THEN replace(x, '/', '') END AS s FROM f) SELECT fen, s AS squares, CASE WHEN s IS NOT NULL THEN fen END AS again, CASE WHEN s IS NULL THEN NULL ELSE coalesce(nullif(CASE WHEN s[61] = 'K' AND s[64] = 'R' THEN 'K' ELSE '' END || CASE WHEN s[61] = 'K' AND s[57] = 'R' THEN 'Q' ELSE '' END || CASE WHEN s[5] = 'k' AND s[8] = 'r' THEN 'k' ELSE '' END || CASE WHEN s[5] = 'k' AND s[1] = 'r' THEN 'q' ELSE '' END, ''), '-') END AS castling FROM s")
+@query(
+    "o_orderkey bigint, fen string, squares string, again string, castling string",
+    f"""WITH s AS (SELECT o_orderkey, fen, CASE WHEN {_WHOLE_SQL} THEN replace(x, '/', '') END AS s FROM ({_EXPANDED_SQL}))
+    SELECT o_orderkey, fen, s AS squares, CASE WHEN s IS NOT NULL THEN fen END AS again,
+        CASE WHEN s IS NULL THEN NULL ELSE coalesce(nullif(
+            CASE WHEN s[61] = 'K' AND s[64] = 'R' THEN 'K' ELSE '' END || CASE WHEN s[61] = 'K' AND s[57] = 'R' THEN 'Q' ELSE '' END ||
+            CASE WHEN s[5] = 'k' AND s[8] = 'r' THEN 'k' ELSE '' END || CASE WHEN s[5] = 'k' AND s[1] = 'r' THEN 'q' ELSE '' END, ''), '-') END AS castling FROM s""",
+)
 def fen_roundtrip(t: Tables) -> DataFrame:
     """Placements to 64 squares and back, and what castling their home squares allow."""
     squares = board.square_text("fen")
-    return _fens(t).select("fen", squares.alias("squares"), board.fen_of_squares(squares).alias("again"), F.when(squares.isNotNull(), board.castling_rights("fen")).alias("castling"))
+    castling = F.when(squares.isNotNull(), board.castling_rights("fen"))
+    return _fens(t).select("o_orderkey", "fen", squares.alias("squares"), board.fen_of_squares(squares).alias("again"), castling.alias("castling"))
 
 
-@query("a string, b string, n bigint", f"WITH f AS (SELECT fen, {_SQUARES_SQL} AS x FROM (VALUES {_FEN_VALUES}) v(fen)), s AS (SELECT fen, replace(x, '/', '') AS s FROM f WHERE regexp_matches(x, '^([.PNBRQKpnbrqk]{{8}}/){{7}}[.PNBRQKpnbrqk]{{8}}$')) SELECT a.fen AS a, b.fen AS b, len(list_filter(range(1, 65), lambda k: a.s[k] <> b.s[k])) AS n FROM s a, s b WHERE a.fen < b.fen")
+@query(
+    "a bigint, b bigint, n bigint",
+    f"""WITH s AS (SELECT o_orderkey, replace(x, '/', '') AS s FROM ({_EXPANDED_SQL}) WHERE {_WHOLE_SQL})
+    SELECT a.o_orderkey AS a, b.o_orderkey AS b, len(list_filter(range(1, 65), lambda k: a.s[k] <> b.s[k])) AS n FROM s a JOIN s b ON b.o_orderkey = a.o_orderkey + 1""",
+)
 def disputed_squares(t: Tables) -> DataFrame:
-    """How many squares two placements dispute."""
+    """How many squares the boards of successive orders dispute."""
     f = _fens(t).where(board.is_syntactic("fen"))
-    return f.select(F.col("fen").alias("a")).join(f.select(F.col("fen").alias("b")), F.col("a") < F.col("b")).select("a", "b", F.size(board.disputed_squares("a", "b")).alias("n"))
+    one, two = f.select(F.col("o_orderkey").alias("a"), F.col("fen").alias("_a")), f.select(F.col("o_orderkey").alias("b"), F.col("fen").alias("_b"))
+    return one.join(two, F.col("b") == F.col("a") + 1).select("a", "b", F.size(board.disputed_squares("_a", "_b")).alias("n"))
 
 
-@query("fen string, status bigint, legal boolean, fatal boolean, legal_turn string")
+@query("o_orderkey bigint, status bigint, legal boolean, fatal boolean, legal_turn string")
 def position_legality(t: Tables) -> DataFrame:
     """Faults of positions and the side whose turn is legal."""
-    return replay.check_positions(_fens(t), "fen").select("fen", F.col("check.status").alias("status"), F.col("check.legal").alias("legal"), F.col("check.fatal").alias("fatal"), F.col("check.legal_turn").alias("legal_turn"))
+    c = replay.check_positions(_fens(t), "fen")
+    return c.select("o_orderkey", "check.status", "check.legal", "check.fatal", "check.legal_turn")
+
+
+_GAMES_SQL = f"""
+    WITH f AS (SELECT o_orderkey, f, md5(o_orderkey || 'w' || f) AS hw, md5(o_orderkey || 'b' || f) AS hb FROM orders, (SELECT unnest(range(8)) AS f)),
+    m AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY hw) AS wn, row_number() OVER (PARTITION BY o_orderkey ORDER BY hb) AS bn FROM f),
+    p AS (SELECT o_orderkey, ply, f, wn <= (ply + 1) // 2 AS w, bn <= ply // 2 AS b, hw[1] >= '8' AS w2, hb[1] >= '8' AS b2 FROM m, (SELECT unnest(range(1, 17)) AS ply)),
+    r AS (SELECT o_orderkey, ply,
+        string_agg(CASE WHEN b THEN '.' ELSE 'p' END, '' ORDER BY f) || '/' || string_agg(CASE WHEN b AND NOT b2 THEN 'p' ELSE '.' END, '' ORDER BY f) || '/' ||
+        string_agg(CASE WHEN b AND b2 THEN 'p' ELSE '.' END, '' ORDER BY f) || '/' || string_agg(CASE WHEN w AND w2 THEN 'P' ELSE '.' END, '' ORDER BY f) || '/' ||
+        string_agg(CASE WHEN w AND NOT w2 THEN 'P' ELSE '.' END, '' ORDER BY f) || '/' || string_agg(CASE WHEN w THEN '.' ELSE 'P' END, '' ORDER BY f) AS x
+        FROM p GROUP BY o_orderkey, ply),
+    c AS (SELECT o_orderkey, ply, 'rnbqkbnr/' || replace(replace(replace(replace(replace(replace(replace(replace(x,
+        '........', '8'), '.......', '7'), '......', '6'), '.....', '5'), '....', '4'), '...', '3'), '..', '2'), '.', '1') || '/RNBQKBNR' AS placement FROM r)"""
+
+
+def _pawn_moves(side: str) -> Column:
+    """The files in the order in which a side's pawns move: struct(hash, file)."""
+    return F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda f: F.struct(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(side), f.cast("string")).cast("binary")).alias("h"), f.alias("f"))))
+
+
+def _pawn_game(t: Tables) -> DataFrame:
+    """A game for each order, no two alike: both sides move their pawns, one or two steps, in an order of their own."""
+    file = lambda m: F.substr(F.lit("abcdefgh"), m.f + 1, F.lit(1))
+    white = lambda m: F.concat(file(m), F.when(m.h >= "8", "4").otherwise("3"))
+    black = lambda m: F.concat(file(m), F.when(m.h >= "8", "5").otherwise("6"))
+    note = F.when(F.col("o_orderkey") % 3 == 0, " {held} (1. Nf3 d5 (1... c5) 2. g3)").otherwise("")
+    pairs = F.zip_with("w", "b", lambda w, b: F.concat(white(w), F.lit(" "), black(b)))
+    numbered = F.transform(pairs, lambda m, k: F.concat((k + 1).cast("string"), F.lit(". "), m, F.when(k == 2, note).otherwise("")))
+    games = t("orders").select("o_orderkey", _pawn_moves("w").alias("w"), _pawn_moves("b").alias("b"))
+    return games.withColumn("movetext", F.concat_ws(" ", numbered))
+
+
+def _after_three_moves(games: DataFrame) -> DataFrame:
+    """The placements of the games after three moves of each side, spelled without replaying them."""
+    files = F.sequence(F.lit(0), F.lit(7))
 
+    def rank(moves: str, letter: str, stays: bool, far: bool) -> Column:
+        done = F.slice(moves, 1, 3)
+        there = lambda f: F.exists(done, lambda m: (m.f == f) & ((m.h >= "8") == F.lit(far)))
+        moved = lambda f: F.exists(done, lambda m: m.f == f)
+        return F.array_join(F.transform(files, lambda f: F.when(~moved(f) if stays else there(f), letter).otherwise(".")), "")
 
-@query("o_orderkey bigint, ply bigint, placement string, move_number bigint, white_to_move boolean")
+    ranks = [rank("b", "p", True, False), rank("b", "p", False, False), rank("b", "p", False, True), rank("w", "P", False, True), rank("w", "P", False, False), rank("w", "P", True, False)]
+    return games.select(board.fen_of_squares(F.concat(F.lit("rnbqkbnr"), *ranks, F.lit("RNBQKBNR"))).alias("placement")).distinct()
+
+
+@query(
+    "o_orderkey bigint, ply bigint, placement string, move_number bigint, white_to_move boolean",
+    f"""{_GAMES_SQL} SELECT o_orderkey, ply, placement, 1 + ply // 2 AS move_number, ply % 2 = 0 AS white_to_move
+    FROM c WHERE placement IN (SELECT placement FROM c WHERE ply = 6 AND o_orderkey % 50 = 0)""",
+)
 def replay_search(t: Tables) -> DataFrame:
-    """Games made of a few openings, replayed to the positions wanted."""
-    lines = ["1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Bxc6 dxc6 5. O-O", "1. d4 d5 2. c4 e6 3. Nc3 (3. Nf3 Nf6) Nf6 4. Bg5 Be7", "1. e4 c5 2. Nf3 d6 3. d4 cxd4 4. Nxd4 Nf6 5. Nc3 a6"]
-    games = t("orders").select("o_orderkey", F.get(F.array(*map(F.lit, lines)), (F.col("o_orderkey") % 3).cast("int")).alias("movetext"), F.lit(None).cast("string").alias("setup_fen"))
-    wanted = t.spark.range(1).select(F.explode(F.array(F.lit("r1bqkbnr/pppp1ppp/2n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R"), F.lit("rnbqkb1r/1p2pppp/p2p1n2/8/3NP3/2N5/PPP2PPP/R1BQKB1R"))).alias("placement"))
+    """All games replayed to the positions that those of every fiftieth order had after three moves of each side."""
+    games = _pawn_game(t)
+    wanted = _after_three_moves(games.where("o_orderkey % 50 = 0"))
     # replaying is all the work, so games of a few files are dealt to every core first
-    games = games.repartition(t.spark.sparkContext.defaultParallelism)
-    return replay.replay(games, ["o_orderkey"]).join(wanted, "placement", "left_semi")
+    dealt = games.select("o_orderkey", "movetext", F.lit(None).cast("string").alias("setup_fen")).repartition(t.spark.sparkContext.defaultParallelism)
+    return replay.replay(dealt, ["o_orderkey"], wanted=wanted)
 
 
 @query("vec_id bigint, squares string, changed bigint, solved boolean")
@@ -198,19 +253,43 @@ def text_fold(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.sha2(text.fold("text"), 256).alias("folded"))
 
 
-@query("name string, surname string", "SELECT name, surname FROM (VALUES ('Kasparov, Garry', 'kasparov'), ('J. R. Capablanca', 'capablanca'), ('Réti', 'reti'), ('A.', 'a.'), ('', ''), ('M. van der Wiel', 'van der wiel'), ('Müller–Groß, K', 'muller-gross')) v(name, surname)")
+_NAMES_SQL = """SELECT c_custkey, CASE c_custkey % 5
+    WHEN 0 THEN c_mktsegment || 'é, ' || c_name WHEN 1 THEN 'J. R. ' || c_mktsegment WHEN 2 THEN 'Groß–' || c_mktsegment || ' ,K'
+    WHEN 3 THEN 'A van  ' || c_mktsegment ELSE upper(substr(c_mktsegment, 1, 1)) || '.' END AS name FROM customer"""
+
+
+@query(
+    "c_custkey bigint, name string, surname string",
+    f"""WITH f AS (SELECT *, trim(split_part(replace(strip_accents(lower(replace(regexp_replace(name, '\\s+', ' ', 'g'), 'ß', 'ss'))), '–', '-'), ',', 1)) AS s FROM ({_NAMES_SQL}))
+    SELECT c_custkey, name, CASE WHEN regexp_full_match(s, '\\S+\\.') THEN s ELSE regexp_replace(s, '^((\\S+\\.|\\S) )+', '') END AS surname FROM f""",
+)
 def surname(t: Tables) -> DataFrame:
-    """Names to the folded surnames that are compared."""
-    names = ["Kasparov, Garry", "J. R. Capablanca", "Réti", "A.", "", "M. van der Wiel", "Müller–Groß, K"]
-    return t.spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", text.surname("name").alias("surname"))
+    """Names, made of customers' segments, to the folded surnames that are compared."""
+    k, s = F.col("c_custkey") % 5, F.col("c_mktsegment")
+    name = F.when(k == 0, F.concat(s, F.lit("é, "), F.col("c_name"))).when(k == 1, F.concat(F.lit("J. R. "), s)).when(k == 2, F.concat(F.lit("Groß–"), s, F.lit(" ,K")))
+    name = name.when(k == 3, F.concat(F.lit("A van  "), s)).otherwise(F.concat(F.upper(F.substring(s, 1, 1)), F.lit(".")))
+    return t("customer").select("c_custkey", name.alias("name")).withColumn("surname", text.surname("name"))
+
 
+# What the captions of parts say, and the side that each says is to move.
+_SAID = [("Brancas jogam", "w"), ("Jogada de pretas", "b"), ("If white to move, draw", None), ("Black to move and White to play", None), ("■", "b"), ("Weiß am Zug", "w"), ("White wins", None), ("◽ see below", "w")]
+_CAPTIONS_SQL = f"""SELECT p_partkey, p_partkey % 8 AS k, CASE WHEN p_partkey % 3 = 0 THEN p_size || '. ' || said ELSE said END || chr(10) ||
+    'Alekhine - ' || p_type || ', ' || p_brand || ' ' || (1900 + p_size) AS caption, said, side, p_type, p_brand, p_size
+    FROM part JOIN (VALUES {', '.join(f"({k}, '{s}', {'NULL' if c is None else repr(c)})" for k, (s, c) in enumerate(_SAID))}) v(k, said, side) ON v.k = p_partkey % 8"""
 
-@query("caption string, side string, exercise bigint, white string, black string, event string, year bigint", "SELECT * FROM (VALUES ('12. Brancas jogam', 'w', 12, NULL, NULL, NULL, NULL), ('Alekhine - Nimzowitsch, San Remo 1930', NULL, NULL, 'Alekhine', 'Nimzowitsch', 'Alekhine - Nimzowitsch, San Remo', 1930), ('If white to move, draw', NULL, NULL, NULL, NULL, NULL, NULL), ('Black to move and White to play', NULL, NULL, NULL, NULL, NULL, NULL), ('■', 'b', NULL, NULL, NULL, NULL, NULL)) v(caption, side, exercise, white, black, event, year)")
+
+@query(
+    "p_partkey bigint, caption string, side string, exercise bigint, white string, black string, event string, year bigint",
+    f"""SELECT p_partkey, caption, side, CASE WHEN p_partkey % 3 = 0 AND said <> '■' OR p_partkey % 3 = 0 THEN p_size END AS exercise, 'Alekhine' AS white, p_type AS black,
+    'Alekhine - ' || p_type || ', ' || p_brand AS event, 1900 + p_size AS year FROM ({_CAPTIONS_SQL})""",
+)
 def caption_parse(t: Tables) -> DataFrame:
-    """Captions to side, exercise number, players, event and year."""
-    captions = ["12. Brancas jogam", "Alekhine - Nimzowitsch, San Remo 1930", "If white to move, draw", "Black to move and White to play", "■"]
-    c = text.caption_context("caption")
-    return t.spark.range(1).select(F.explode(F.array(*map(F.lit, captions))).alias("caption")).withColumn("c", c).select("caption", "c.side", "c.exercise", "c.white", "c.black", "c.event", "c.year")
+    """Captions of two lines to side, exercise number, players, event and year."""
+    said = F.get(F.array(*[F.lit(s) for s, _ in _SAID]), (F.col("p_partkey") % 8).cast("int"))
+    first = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(". "), said)).otherwise(said)
+    second = F.concat(F.lit("Alekhine - "), F.col("p_type"), F.lit(", "), F.col("p_brand"), F.lit(" "), (F.col("p_size") + 1900).cast("string"))
+    captions = t("part").select("p_partkey", F.concat(first, F.lit("\n"), second).alias("caption"))
+    return captions.withColumn("c", text.caption_context("caption")).select("p_partkey", "caption", "c.side", "c.exercise", "c.white", "c.black", "c.event", "c.year")
 
 
 @query("event_id bigint, spelled string, share string", "SELECT event_id, replace(format('{:,}', event_id * 1000 + 7), ',', '.') AS spelled, replace(format('{:.1f}', CAST(event_id % 1000 AS DOUBLE) / 10), '.', ',') || '%' AS share FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, pages
 from .catalogue import Tables, query
-from .layout_queries import _BOXES_SQL, _FENS, _boxes
+from .layout_queries import _BOXES_SQL, _boxes, _fens
 
 
 @query("source string, total bigint, defaults bigint, resolved_share double", "SELECT source, count(*) AS total, count(*) FILTER (lang = 'en') AS defaults, (count(*) - count(*) FILTER (lang = 'en')) / count(*) AS resolved_share FROM documents GROUP BY ROLLUP (source)")
@@ -166,10 +166,10 @@ def census_pages(t: Tables) -> DataFrame:
     return n.select("n", F.array_join(pages.census_pages(F.col("n"), 5, 8, metrics.systematic_sample), ",").alias("sample"))
 
 
-@query("a string, b string, agreement double, collapsed boolean")
+@query("a bigint, b bigint, agreement double, collapsed boolean")
 def reading_agreement(t: Tables) -> DataFrame:
-    """How far two readings of a board agree."""
-    f = t.spark.range(1).select(F.explode(F.array(*map(F.lit, _FENS[:6]))).alias("fen"))
-    pairs = f.select(F.col("fen").alias("a")).join(f.select(F.col("fen").alias("b")), F.col("a") < F.col("b"))
-    s = pages.agreement(F.col("a"), F.col("b"))
-    return pairs.select("a", "b", s["agreement"].alias("agreement"), s["collapsed"].alias("collapsed"))
+    """How far the boards of successive orders agree."""
+    f = _fens(t)
+    one, two = f.select(F.col("o_orderkey").alias("a"), F.col("fen").alias("_a")), f.select(F.col("o_orderkey").alias("b"), F.col("fen").alias("_b"))
+    s = pages.agreement(F.col("_a"), F.col("_b"))
+    return one.join(two, F.col("b") == F.col("a") + 1).select("a", "b", s["agreement"].alias("agreement"), s["collapsed"].alias("collapsed"))
