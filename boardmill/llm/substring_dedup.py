@@ -32,13 +32,22 @@ def _joined_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _exact_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each word, the same for equal words only: hashes find the words to compare."""
-    lead = first_of_equal([textkit.span_hash(raw, starts, ends), ends - starts], [])
-    differ = np.flatnonzero(~textkit.equal_spans(raw, starts, starts[lead], ends - starts))
-    if len(differ):
-        own: dict[bytes, int] = {}
-        for k in differ.tolist():
-            lead[k] = own.setdefault(raw[starts[k] : ends[k]].tobytes(), k)
+    """A number for each word, the same for equal words only: hashes find the words to compare.
+
+    Words of one length up to eight bytes have equal hashes only if they are equal.
+    """
+    codes, length = textkit.span_hash(raw, starts, ends), ends - starts
+    order = np.argsort(codes)
+    ranked = codes[order]
+    begin = np.r_[True, ranked[1:] != ranked[:-1]] if len(order) else np.zeros(0, bool)
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))]
+    unlike = length != length[lead]
+    long = np.flatnonzero((length > 8) & ~unlike & (lead != np.arange(len(lead))))
+    unlike[long] = ~textkit.equal_spans(raw, starts[long], starts[lead[long]], length[long])
+    own: dict[bytes, int] = {}
+    for k in np.flatnonzero(unlike).tolist():
+        lead[k] = own.setdefault(raw[starts[k] : ends[k]].tobytes(), k)
     return lead.astype(np.uint64)
 
 
