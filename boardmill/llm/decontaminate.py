@@ -26,6 +26,8 @@ EDIT_RATE = 0.10
 BAND = 64
 #: Bytes of benchmark text that are searched for at once; more items make more passes over the documents.
 BLOCK_BYTES = 4 << 20
+#: Matches of q-grams that are held at once.
+POSTINGS = 1_000_000
 _FILTER_BITS = 20
 #: True for ASCII letters and digits and for the bytes of all other characters.
 _WORD = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
@@ -165,26 +167,45 @@ class ItemIndex:
         doc = np.searchsorted(offs, hit, "right") - 1
         whole = hit + Q <= offs[doc + 1]
         hit, at, doc = hit[whole], at[whole], doc[whole]
-        times = self.first[at + 1] - self.first[at]
-        posting = textkit.ranges(self.first[at], times)
-        item, doc = self.item[posting], np.repeat(doc, times)
-        diagonal = np.repeat(hit, times) - self.place[posting] - offs[doc] + (1 << 20)
-        band = diagonal // self.band
-        lower = diagonal % self.band < self.widest  # also in the band before, which reaches over
-        pairs, number = np.unique(doc * len(self.items) + item, return_inverse=True)
-        key = number * (1 << 36)
-        keys, count = np.unique(np.r_[key + band, (key + band - 1)[lower]], return_counts=True)
-        owner, band = pairs[keys >> 36], keys & ((1 << 36) - 1)
-        met = count >= self.bound[owner % len(self.items)]
+        pair, band, count = self.count_bands(hit, at, doc, offs)
+        met = count >= self.bound[pair % len(self.items)]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for pair, b in zip(owner[met].tolist(), band[met].tolist(), strict=True):
-            d, k = divmod(pair, len(self.items))
+        for own, b in zip(pair[met].tolist(), band[met].tolist(), strict=True):
+            d, k = divmod(own, len(self.items))
+            if (d, k) in best and best[d, k][0] == 0:
+                continue  # bands go upwards: what follows is no earlier
             low = b * self.band - (1 << 20)
             found = self.align(k, data[offs[d] : offs[d + 1]], low, low + self.band + self.widest - 1)
             if found and ((d, k) not in best or found < best[d, k]):
                 best[d, k] = found
         return [(d, k, *v) for (d, k), v in sorted(best.items())]
 
+    def count_bands(self, hit: np.ndarray, at: np.ndarray, doc: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document and item as one number, band, shared q-grams), in order.
+
+        A q-gram that both sides repeat has as many matches as the product of its places, so the
+        matches are made and counted POSTINGS at a time.
+        """
+        times = self.first[at + 1] - self.first[at]
+        bound = np.cumsum(times)
+        # one number for both: bands of texts up to 2 GB fit 25 bits, documents of a slice times items of a block the rest
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a = 0
+        while a < len(hit):
+            e = max(a + 1, int(np.searchsorted(bound, (bound[a - 1] if a else 0) + POSTINGS, "right")))
+            posting = textkit.ranges(self.first[at[a:e]], times[a:e])
+            own = np.repeat(doc[a:e], times[a:e])
+            pair = own * len(self.items) + self.item[posting]
+            diagonal = np.repeat(hit[a:e], times[a:e]) - self.place[posting] - offs[own] + (1 << 20)
+            band = diagonal // self.band
+            lower = diagonal % self.band < self.widest  # also in the band before, which reaches over
+            new, n = np.unique(np.r_[pair << 25 | band, (pair << 25 | band - 1)[lower]], return_counts=True)
+            both = np.r_[keys, new]
+            keys, back = np.unique(both, return_inverse=True)
+            counts = np.bincount(back, np.r_[counts, n], len(keys)).astype(np.int64)
+            a = e
+        return keys >> 25, keys & ((1 << 25) - 1), counts
+
     def align(self, k: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
         """(distance, begin, end) of item k on these diagonals, or None beyond its budget."""
         item, budget = self.items[k], int(self.budget[k])
@@ -236,5 +257,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no item contaminates; rows with a null id stay."""
-    leaks = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col] == F.col("_leak"), "left_anti")
+    # the anti join has the id alone on its other side, so no column of ``docs`` can clash
+    return docs.join(contaminated(docs, benchmark, id_col, text_col).select(id_col).distinct(), id_col, "left_anti")

@@ -1,9 +1,10 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-Only DataFrame functions.  Each step counts its groups with map-side partial aggregation and
-lets only rows of groups of two or more go on, so the full content is hashed for the rows that
-length and prefix could not tell apart.  No step gathers the rows of a group: a group is one
-row (smallest id, number of rows), joined back on its digest.
+Only DataFrame functions.  Each step counts its groups with map-side partial aggregation and lets
+only rows of groups of two or more go on.  Exchanges carry ids, lengths and hashes, never a text:
+the full content of the rows that length and prefix could not tell apart is read and hashed where
+the text is scanned.  No step gathers the rows of a group: a group is one row (smallest id, number
+of rows), joined back on its digest.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 PREFIX_CHARS = 128
+#: Flags by which a scan knows the groups that may be shared: of one size however many groups there are.
+FLAG_BITS = 18
 
 
 def normalised(text: Column) -> Column:
@@ -19,21 +24,68 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _norm, _len, _prefix) of every row."""
+    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
+    return rows.select("_id", "_norm", F.octet_length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix"))
+
+
+def _surviving(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of groups of two or more; the further key makes both sides of the join shuffle anew, so that Spark can
+    split a group that many rows share."""
+    alike = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, F.xxhash64(*keys).alias("_key"))
+    return rows.withColumn("_key", F.xxhash64(*keys)).join(alike, [*keys, "_key"], "left_semi").drop("_key")
+
+
+def _sized(full: DataFrame) -> DataFrame:
+    return full.groupBy("digest").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+
+
+def _flags(groups: DataFrame) -> Column:
+    """A row's flag: whether its (_len, _prefix) may be among these groups.  2**FLAG_BITS places are collected at most."""
+    place = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(1 << FLAG_BITS)).cast("int")
+    words = [0] * (1 << FLAG_BITS - 5)
+    for row in groups.select(place.alias("p")).distinct().collect():
+        words[row.p >> 5] |= 1 << (row.p & 31)
+    table = F.from_json(F.lit(str(words)), "array<bigint>")
+    return F.get(table, F.shiftright(place, 5)).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_len, _prefix), {1 << FLAG_BITS}) % 32 as int))")) != 0
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each text that two or more rows share: digest, keep_id, group_size.
 
-    Null ids count as rows but are never the smallest; a group of null ids only has keep_id null.
-    Empty and null texts are one group.  An empty table gives an empty result.
+    Only rows whose length and prefix another row has are hashed in full (and the few that a flag
+    can't tell from them).  Null ids count as rows but are never the smallest; a group of null ids
+    only has keep_id null.  Empty and null texts are one group.  An empty table gives an empty
+    result.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    rows = rows.select("_id", "_norm", F.octet_length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix"))
-    # lengths are counted from the prefix groups: one pass over the texts serves both steps
-    prefixes = rows.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    # the further key makes both sides of the join shuffle anew, so that Spark can split a prefix that many rows share
-    alike = prefixes.where("_n > 1").select("_len", "_prefix", F.xxhash64("_len", "_prefix").alias("_key"))
-    survivors = rows.withColumn("_key", F.xxhash64("_len", "_prefix")).join(alike, ["_len", "_prefix", "_key"], "left_semi")
-    full = survivors.select("_id", F.sha2("_norm", 256).alias("digest"))
-    return full.groupBy("digest").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    measured = _measured(docs, id_col, text_col)
+    sizes = written(measured.select("_id", "_len", "_prefix"), "sizes")
+    shared = written(_surviving(_surviving(sizes, ["_len"]), ["_len", "_prefix"]).select("_len", "_prefix").distinct(), "prefixes")
+    full = measured.where(_flags(shared)).select("_id", "_len", "_prefix", F.sha2("_norm", 256).alias("digest"))
+    return _sized(full.withColumn("_key", F.xxhash64("_len", "_prefix")).join(shared.withColumn("_key", F.xxhash64("_len", "_prefix")), ["_len", "_prefix", "_key"], "left_semi"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) of every row, see ``exact_dedup``.
+
+    As every row's digest is asked for, digests are computed once, with the lengths and prefix
+    hashes, and written; the refinement then works on that table alone.
+    """
+    measured = _measured(docs, id_col, text_col)
+    rows = written(measured.select("_id", "_len", "_prefix", F.sha2("_norm", 256).alias("digest")), "digests")
+    groups = _sized(_surviving(_surviving(rows, ["_len"]), ["_len", "_prefix"]))
+    found = _with_groups(rows.select("_id", "digest"), groups)
+    return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (_id, digest and others) with keep_id, group_size and kept."""
+    head = F.substring("digest", 1, 8).alias("_head")
+    joined = rows.select("*", head).join(groups.select("digest", head, F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_group_size")), ["digest", "_head"], "left")
+    joined = joined.withColumn("keep_id", F.when(F.col("_group_size").isNull(), F.col("_id")).otherwise(F.col("_keep_id")))
+    joined = joined.withColumn("group_size", F.coalesce("_group_size", F.lit(1)).cast("long")).withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")))
+    return joined.drop("_head", "_keep_id", "_group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,17 +94,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are equal when their normalised texts are (see ``normalised``); of equal rows the one
     with the smallest id is kept.  Rows that repeat both id and text are one row for ``kept``:
     they are all kept or all dropped.  A row with a null id is kept only if its text has no row
-    with an id.  Columns of ``docs`` keep their values; the four results are written over
-    columns of the same names.
+    with an id.  Columns of ``docs`` keep their values, whatever their names; the four results
+    take the place of columns of the same names.
     """
-    groups = duplicate_groups(docs, id_col, text_col).select(
-        F.col("digest").alias("_digest"), F.substring("digest", 1, 8).alias("_head"), F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_group_size")
-    )
-    hashed = docs.withColumn("text_sha256", F.sha2(normalised(F.col(text_col)), 256))
-    return (
-        hashed.join(groups, (F.col("text_sha256") == F.col("_digest")) & (F.substring("text_sha256", 1, 8) == F.col("_head")), "left")
-        .withColumn("keep_id", F.when(F.col("_digest").isNull(), F.col(id_col)).otherwise(F.col("_keep_id")))
-        .withColumn("group_size", F.coalesce("_group_size", F.lit(1)).cast("long"))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .drop("_digest", "_head", "_keep_id", "_group_size")
-    )
+    results = ["text_sha256", "keep_id", "group_size", "kept"]
+    rows = docs.select(F.col(id_col).alias("_id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"), F.struct(*docs.columns).alias("_row"))
+    found = _with_groups(rows, duplicate_groups(docs, id_col, text_col)).withColumnRenamed("digest", "text_sha256")
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in results]
+    return found.select(*own, *results)

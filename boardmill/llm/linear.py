@@ -3,6 +3,32 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Packed features of a fitted sample, in bytes, that come to the driver at most.
+TRAIN_BYTES = 256 << 20
+
+
+def bounded_sample(packed: DataFrame, order: list, most_bytes: int = TRAIN_BYTES) -> list:
+    """The rows of ``packed`` (a bounded number, features in its column packed) in this order, as far as their bytes go.
+
+    The sizes come first, so that the rows beyond the bound never leave the executors.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    keyed = packed.select(*[c.alias(k) for c, k in zip(order, keys, strict=True)], "*")
+    sizes = keyed.select(*keys, F.length("packed").alias("_size")).orderBy(*keys).collect()
+    room, last = most_bytes, None
+    for row in sizes:
+        room -= row["_size"]
+        if room < 0:
+            break
+        last = row
+    if last is None:
+        return []
+    edge = F.struct(*[F.lit(last[k]).cast(dict(keyed.dtypes)[k]).alias(k) for k in keys])
+    return keyed.where(F.struct(*keys) <= edge).orderBy(*keys).drop(*keys).collect()
+
 
 
 class Ftrl:

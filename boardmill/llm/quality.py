@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .linear import Ftrl, probabilities
+from .linear import Ftrl, bounded_sample, probabilities
 
 BITS = 17
 #: At most this many labelled rows are fitted, those with the smallest hash of their id.
@@ -70,7 +70,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(places, values, label) of the fitted rows; bounded by TRAIN_ROWS."""
+    """(places, values, label) of the fitted rows; bounded by TRAIN_ROWS, and by TRAIN_BYTES of features."""
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & (fold(id_col) != 0))
         .groupBy(F.col(id_col).alias("_id"))
@@ -89,7 +89,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 packed.append(at.astype("<i4").tobytes() + n.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_label"), pa.array(packed, pa.binary())], ["_id", "_label", "packed"])
 
-    found = texts.select("_id", "_label", "_text").mapInArrow(kernel, f"_id {dict(docs.dtypes)[id_col]}, _label int, packed binary").orderBy(F.xxhash64("_id"), "_id", "packed").limit(TRAIN_ROWS).collect()
+    found = texts.select("_id", "_label", "_text").mapInArrow(kernel, f"_id {dict(docs.dtypes)[id_col]}, _label int, packed binary")
+    found = bounded_sample(found.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("packed")).limit(TRAIN_ROWS), [F.xxhash64("_id"), F.col("_id"), F.xxhash64("packed")])
     out = []
     for r in found:
         half = len(r.packed) // 2

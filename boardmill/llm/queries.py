@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
-from .exact_dedup import exact_dedup
+from .exact_dedup import exact_groups
 from .langid import language_scores
 from .licenses import licence_paragraphs
 from .mixing import QUANTUM, mix_sources
@@ -41,8 +41,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
