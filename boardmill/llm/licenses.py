@@ -1,18 +1,25 @@
 """Licence scans: which licence family each paragraph names, in DataFrame functions only.
 
-A paragraph is a line.  Its features are the single words and pairs of successive words that
-hold a licence word (``ANCHORS``); the others say nothing about licences and have no weight.  A
-softmax regression over the families, a class for unknown licences and one for none is fitted
-on the fixed templates below, whole and cut down, and on fixed sentences of the last two
-classes.  A family is only kept if its probability reaches a limit calibrated on the templates;
-below it the paragraph is of an unknown licence.  Comparison with the family's templates, the
-part of a template's features that the paragraph has, confirms a prediction.
+A paragraph is a line, with the lines that it is hard-wrapped into joined again.  Its features are
+its words and pairs of successive words; letters and digits are words of their own, and the v of a
+version too (``GPLv3`` is ``gpl v 3``).  A softmax regression over the families, a class for unknown
+licences and one for none is fitted on the fixed texts below, with penalties that leave few n-grams
+a weight.  A family is only kept if its probability reaches a limit that is calibrated on names of
+known and unknown licences which that fit hasn't seen; below it the paragraph is of an unknown
+licence.  Comparison with the family's templates, the part of a template's features that the
+paragraph has, confirms a prediction.
+
+A paragraph none of whose n-grams speaks more for some licence than for none can't be anything
+else than ``none``, so the scan passes it over after a look at its words; that follows from the
+weights and loses nothing.
 """
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Callable
+import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,6 +29,10 @@ from .linear import Ftrl, probabilities
 
 UNKNOWN, NONE = "unknown", "none"
 CONFIRMED = 0.5
+#: Places of the table of weights.
+SHELVES = 4_096
+#: Characters of a line that may go on in the next one.
+WRAPPED = (40, 100)
 
 # Sentences by which licences are named or granted.
 TEMPLATES = {
@@ -59,6 +70,26 @@ TEMPLATES = {
     ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
+# Names of the families, with which they are cited.
+NAMES = {
+    "agpl": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL", "GNU Affero General Public License", "Affero GPL"],
+    "apache-2.0": ["Apache License", "Apache 2.0", "Apache-2.0", "Apache License, Version 2.0", "Apache2", "ASL 2.0"],
+    "bsd": ["BSD", "BSD License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "3-clause BSD"],
+    "cc-by": ["CC BY", "CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution", "Creative Commons Attribution 3.0"],
+    "cc-by-nc": ["CC BY-NC", "CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial"],
+    "cc-by-sa": ["CC BY-SA", "CC BY-SA 4.0", "CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike"],
+    "cc0": ["CC0", "CC0 1.0", "CC0-1.0", "CC0 Public Domain Dedication", "Creative Commons Zero"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0-or-later", "GNU GPL", "GNU General Public License"],
+    "isc": ["ISC", "ISC License", "ISC licence"],
+    "lgpl": ["LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1", "GNU LGPL", "GNU Lesser General Public License"],
+    "mit": ["MIT License", "MIT-License", "MIT licence", "MIT (Expat) License", "the MIT terms"],
+    "mpl-2.0": ["MPL", "MPL 2.0", "MPL-2.0", "Mozilla Public License", "Mozilla Public License 2.0"],
+}
+# Names of licences that are no family here.
+OTHER_NAMES = ["EPL-2.0", "Eclipse Public License", "CDDL", "Artistic License 2.0", "zlib License", "WTFPL", "Unlicense", "OFL-1.1", "SIL Open Font License", "PSF License", "OpenSSL License", "Ruby License", "Vim License",
+    "CPL", "Common Public License", "Academic Free License", "OSL-3.0", "Open Database License", "GFDL", "Beerware", "Microsoft Public License", "MS-PL", "a proprietary license", "a commercial license", "its own license", "our license", "the licence of the firm"]
+# How licences are cited.
+CITATIONS = ["Released under the {}.", "Licensed under {}.", "This work is licensed under the {}", "SPDX-License-Identifier: {}", "Distributed under the terms of the {}", "This module is {}", "License: {}", "Available under {}, see LICENSE", "published under the {} licence", "The {} applies.", "{} licence", "{}"]
 # Sentences that speak of a licence that is none of the above.
 UNKNOWN_SENTENCES = [
     "Licensed under the terms of the agreement between the parties.",
@@ -69,11 +100,18 @@ UNKNOWN_SENTENCES = [
     "Copyright the authors, license available on request.",
     "This software is licensed, not sold.",
     "See the license for the permissions.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+    "The licensee may not sublicense the work under this licence.",
 ]
 # Sentences with the same words that speak of no licence.
 NONE_SENTENCES = [
     "She renewed her driving license in the public office.",
+    "He lost his driver's licence at the party.",
+    "A driving license was found in the park.",
     "The license plate was found near the source of the river.",
+    "A fishing licence costs ten pounds a year.",
+    "The pub lost its licence to sell beer.",
+    "Poetic license allows this.",
     "The general spoke in public about the free press.",
     "They asked permission to copy the painting.",
     "The version of the story that he told was modified.",
@@ -81,91 +119,143 @@ NONE_SENTENCES = [
     "He studied at mit before the redistribution of land.",
     "Mit.",
     "Mit der Mit.",
-    "Die mit und das mit.",
+    "Sie kam mit dem Zug und das mit Freude.",
+    "Der Mann mit dem Hut ging mit der Frau.",
     "The apache rode out with a copy of the map.",
+    "The eclipse was seen by the public in the open.",
+    "A ruby of the first academic and artistic class.",
     "A work of attribution in the domain of the arts.",
     "The software of the loom was granted a second form.",
+    "This module is new and available, see the file.",
+    "It was released and distributed under the bridge in its own terms.",
+    "This work is done; this version applies to the file.",
+    "Published in 2004, version 2.0, section 3, clause 4.",
+    "Available on request under the conditions of the firm.",
 ]
-# Words that licence sentences turn on.
-ANCHORS = sorted(
-    "affero agpl apache attribution bsd cc cc0 clause commons compliance copyright creative distribute distributed domain foundation free "
-    "general gnu gpl granted hereby isc lesser lgpl library license licensed licence licenced licenses mit modification modify mozilla mpl nc noncommercial "
-    "permission permitted public redistribute redistribution released restriction rights sa sharealike software spdx unlicense".split()
-)
+# Words and numbers that any text may have.
+NONE_WORDS = "0 1 2 3 4 5 6 7 8 9 a all and any are as associated at be between binary by can charge common deal document documentation express fee file files firm following for form forms free from has have he hereby if in is it its kind later library may met module new no not of on one only open or our own parties person personal program provided public purpose see she sold source subject that the their they this to use v was we were with without work you your applies can code except agreement general international der die das mit und de la le les que el en un une zero vim ruby eclipse".split()
 
 
 def _words(text: str) -> list[str]:
-    return ["".join(w) for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
+    """Letters and digits apart, in lower case; must say the same as ``_word_column``."""
+    text = re.sub(r"([a-z])v(?=[0-9])", r"\1 v ", text.lower())
+    text = re.sub(r"([a-z])(?=[0-9])", r"\1 ", text)
+    return [w for w in re.split(r"[^a-z0-9]+", text) if w]
+
+
+def _word_column(text: Column) -> Column:
+    low = F.regexp_replace(F.regexp_replace(F.lower(text), "([a-z])v(?=[0-9])", "$1 v "), "([a-z])(?=[0-9])", "$1 ")
+    return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _grams(words: list[str]) -> set[str]:
-    anchors = set(ANCHORS)
-    return {w for w in words if w in anchors} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in anchors or b in anchors}
+    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
-def fit() -> dict:
-    """classes, the weights of each n-gram, bias, limit, and each template's n-grams."""
-    classes = [*sorted(TEMPLATES), UNKNOWN, NONE]
-    rows: list[tuple[set[str], str, bool]] = []
+def _examples() -> list[tuple[str, str, int]]:
+    """(text, class, part): parts 0 to 2 of the names and sentences, part 3 what is always fitted."""
+    rows = []
+    for name, names in [*NAMES.items(), (UNKNOWN, OTHER_NAMES)]:
+        rows += [(c.format(n), name, (k + j) % 3 if name != UNKNOWN else k % 3) for k, n in enumerate(names) for j, c in enumerate(CITATIONS)]
     for name, texts in [*TEMPLATES.items(), (UNKNOWN, UNKNOWN_SENTENCES), (NONE, NONE_SENTENCES)]:
         for text in texts:
             words = _words(text)
-            rows.append((_grams(words), name, False))
-            for k in range(len(words)):  # one word lost, or words lost at either end
-                rows.append((_grams(words[:k] + words[k + 1 :]), name, k % 3 == 0))
-    rows += [(set(), NONE, False)] * 20
-    terms = sorted({g for grams, *_ in rows for g in grams})
+            rows.append((text, name, 3))
+            rows += [(" ".join(words[:k] + words[k + 1 :]), name, 3) for k in range(0, len(words), 4)]  # a word lost
+            if len(words) > 12 and name != NONE:
+                rows += [(" ".join(words[k : k + 12]), name, 3) for k in range(0, len(words) - 11, 12)]
+    return rows + [("", NONE, 3)] * 20 + [(w, NONE, 3) for w in NONE_WORDS] * 3
+
+
+def _train(rows: list[tuple[str, str, int]], classes: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    model = Ftrl(len(place), len(classes), alpha=0.5, l1=0.02, l2=0.01)
+    vectors = [_vector(text, place) for text, *_ in rows]
+    targets = np.eye(len(classes))[[classes.index(name) for _, name, _ in rows]]
+    for epoch in range(8):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            model.learn(*vectors[k], targets[k])
+    return model.weights()
+
+
+def _vector(text: str, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    grams = _grams(_words(text))
+    known = sorted(place[g] for g in grams if g in place)
+    return np.array(known, int), np.full(len(known), 1 / np.sqrt(max(1, len(grams))))
+
+
+@functools.lru_cache(maxsize=1)
+def fit() -> dict:
+    """classes, the weights of each n-gram that has any, bias, limit, and each template's n-grams."""
+    classes, rows = [*sorted(TEMPLATES), UNKNOWN, NONE], _examples()
+    terms = sorted({g for text, *_ in rows for g in _grams(_words(text))})
     place = {g: k for k, g in enumerate(terms)}
-    model = Ftrl(len(terms), len(classes), alpha=0.5, l1=0.001, l2=0.01)
-    fitted = [r for r in rows if not r[2]]
-    eye = np.eye(len(classes))
-    vector = lambda grams: (np.array(sorted(place[g] for g in grams), int), np.full(len(grams), 1 / np.sqrt(max(1, len(grams)))))
-    for epoch in range(30):
-        for k in np.random.default_rng(epoch).permutation(len(fitted)):
-            model.learn(*vector(fitted[k][0]), eye[classes.index(fitted[k][1])])
-    weights, bias = model.weights()
-    sure = []
-    for grams, name, apart in rows:
-        if apart and name in TEMPLATES:
-            at, value = vector(grams)
+    # the limit: names of a third of the citations, and of a third of the other licences, by a model that hasn't seen them
+    weights, bias = _train([r for r in rows if r[2] != 0], classes, place)
+    right, wrong = [], []
+    for text, name, part in rows:
+        if part == 0:
+            at, value = _vector(text, place)
             p = probabilities((value @ weights[at] + bias)[None])[0]
-            if classes[int(p.argmax())] == name:
-                sure.append(p.max())
+            if classes[int(p.argmax())] not in (UNKNOWN, NONE):
+                (right if classes[int(p.argmax())] == name else wrong).append(float(p.max()))
+    levels = sorted({*right, *wrong, 0.0})
+    limit = min(levels, key=lambda x: (sum(v < x for v in right) + sum(v >= x for v in wrong), x))
+    weights, bias = _train(rows, classes, place)
+    used = np.abs(weights).sum(axis=1) > 0
     templates = [{"family": f, "grams": sorted(_grams(_words(t)))} for f, ts in TEMPLATES.items() for t in ts]
-    return {"classes": classes, "terms": terms, "weights": weights.round(9), "bias": bias.round(9), "limit": float(np.quantile(sure, 0.05)), "templates": templates}
+    return {"classes": classes, "terms": [t for t, u in zip(terms, used, strict=True) if u], "weights": weights[used].round(9), "bias": bias.round(9), "limit": float(limit), "templates": templates}
+
+
+def _cues(model: dict) -> list[str]:
+    """The words one of which a paragraph must have to be anything else than ``none``: of each n-gram that speaks for
+    some licence against none, the word that fewest other such n-grams need."""
+    none = model["classes"].index(NONE)
+    if (model["bias"] - model["bias"][none] > 0).any():
+        return []  # not the case with these texts: everything would have to be scored
+    margin = (model["weights"] - model["weights"][:, [none]]).max(axis=1)
+    strong = [t.split() for t, m in zip(model["terms"], margin, strict=True) if m > 0]
+    single = {t[0] for t in strong if len(t) == 1}
+    return sorted(single | {t[0] for t in strong if len(t) == 2 and not single & set(t)})
 
 
 def _constant(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps({"v": value})), f"struct<v:{kind}>")["v"]
 
 
-def _place(c: int) -> Callable[[Column], Column]:
-    return lambda w: w[c]
+def paragraphs(text: Column) -> Column:
+    """The lines of a text; a break after a line of WRAPPED characters that ends no sentence is a blank, unless the next line is empty."""
+    low, high = WRAPPED
+    return F.split(F.regexp_replace(text, f"(?<=(?:^|\\n)[^\\n]{{{low},{high}}})(?<![.!?:;])\\n(?=[^\\n])", " "), "\n")
 
 
 def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, paragraph, family, probability, similarity, confirmed, paragraph_text) of each paragraph that speaks of a licence.
 
-    ``paragraph`` counts the text's lines from 0.  family is ``unknown`` where the model sees a
-    licence that it can't tell.  Paragraphs without a licence word, or of class ``none``, and
-    null and empty texts give no row; repeated rows give theirs each.  Nothing is shuffled: the
-    model and the templates are constants of the plan.
+    ``paragraph`` counts the text's paragraphs (see ``paragraphs``) from 0.  family is ``unknown``
+    where the model sees a licence that it can't tell.  Paragraphs of class ``none``, and null and
+    empty texts, give no row; repeated rows give theirs each, rows with a null id too.  An empty
+    table gives an empty result.  Nothing is shuffled: the model and the templates are constants
+    of the plan.
     """
     model = fit()
-    k = len(model["classes"])
-    lines = docs.select(F.col(id_col).alias("_doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_par", "_line"))
-    lines = lines.withColumn("_words", F.split(F.lower("_line"), "[^a-z0-9]+")).where(F.exists("_words", lambda w: w.isin(ANCHORS)))
-    lines = lines.withColumn("_words", F.filter("_words", lambda w: w != ""))
-    pairs = F.zip_with("_words", F.slice(F.col("_words"), 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.filter(pairs, lambda p: p.b.isNotNull() & (p.a.isin(ANCHORS) | p.b.isin(ANCHORS)))
-    grams = F.array_distinct(F.concat(F.filter("_words", lambda w: w.isin(ANCHORS)), F.transform(pairs, lambda p: F.concat_ws(" ", p.a, p.b))))
-    weights = _constant({t: w.tolist() for t, w in zip(model["terms"], model["weights"], strict=True)}, "map<string,array<double>>")
-    # a sparse dot product: the weights of the n-grams that have any, class by class
-    found = F.filter(F.transform("_grams", lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull())
+    k, cues = len(model["classes"]), _cues(model)
+    lines = docs.select(F.col(id_col).alias("_doc"), F.posexplode(paragraphs(F.col(text_col))).alias("_par", "_line"))
+    lines = lines.withColumn("_words", _word_column(F.col("_line")))
+    if cues:
+        lines = lines.where(F.exists("_words", lambda w: w.isin(cues)))
+    pairs = F.zip_with("_words", F.slice(F.col("_words"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
+    grams = F.array_distinct(F.concat("_words", F.slice(pairs, F.lit(1), F.size("_words") - 1)))
+    # a sparse dot product: the weights of the n-grams that have any, found by a hash of the n-gram
+    shelves: list[list[dict]] = [[] for _ in range(SHELVES)]
+    for term, w in zip(model["terms"], model["weights"], strict=True):
+        shelves[zlib.crc32(term.encode()) % SHELVES].append({"g": term, "w": w.tolist()})
+    table = _constant(shelves, "array<array<struct<g:string,w:array<double>>>>")
+    shelf = lambda g: F.get(table, (F.crc32(g.cast("binary")) % SHELVES).cast("int"))
+    found = F.filter(F.transform("_grams", lambda g: F.get(F.filter(shelf(g), lambda x: x["g"] == g), F.lit(0))["w"]), lambda w: w.isNotNull())
     rows = lines.select("_doc", "_par", "_line", grams.alias("_grams")).withColumn("_found", found)
+    sums = F.aggregate("_found", F.array(*[F.lit(0.0)] * k), lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
     scale = F.sqrt(F.greatest(F.size("_grams"), F.lit(1)))
-    sums = [F.aggregate(F.transform("_found", _place(c)), F.lit(0.0), lambda acc, w: acc + w) / scale + F.lit(float(model["bias"][c])) for c in range(k)]
-    rows = rows.withColumn("_scores", F.array(*sums)).withColumn("_top", F.array_max("_scores"))
+    rows = rows.withColumn("_scores", F.zip_with(sums, F.array(*[F.lit(float(b)) for b in model["bias"]]), lambda x, y: x / scale + y)).withColumn("_top", F.array_max("_scores"))
     named = _constant(model["classes"], "array<string>")[(F.array_position("_scores", F.col("_top")) - 1).cast("int")]
     sure = F.lit(1.0) / F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("_top")))
     # exploding what isn't ``none`` instead of a filter, which the optimizer would expand below the projections
