@@ -92,6 +92,7 @@ OTHER_NAMES = ["EPL-2.0", "Eclipse Public License", "CDDL", "Artistic License 2.
 CITATIONS = ["Released under the {}.", "Licensed under {}.", "This work is licensed under the {}", "SPDX-License-Identifier: {}", "Distributed under the terms of the {}", "This module is {}", "License: {}", "Available under {}, see LICENSE", "published under the {} licence", "The {} applies.", "{} licence", "{}"]
 # Sentences that speak of a licence that is none of the above.
 UNKNOWN_SENTENCES = [
+    "All rights reserved.",
     "Licensed under the terms of the agreement between the parties.",
     "All rights reserved; no license is granted.",
     "This work is licensed to you for personal use only.",
@@ -132,8 +133,8 @@ NONE_SENTENCES = [
     "Published in 2004, version 2.0, section 3, clause 4.",
     "Available on request under the conditions of the firm.",
 ]
-# Words and numbers that any text may have.
-NONE_WORDS = "0 1 2 3 4 5 6 7 8 9 a all and any are as associated at be between binary by can charge common deal document documentation express fee file files firm following for form forms free from has have he hereby if in is it its kind later library may met module new no not of on one only open or our own parties person personal program provided public purpose see she sold source subject that the their they this to use v was we were with without work you your applies can code except agreement general international der die das mit und de la le les que el en un une zero vim ruby eclipse".split()
+# Words that any text may have; no feature consists of them alone.
+PLAIN = "a all and any are as at be between by can could das der die do each el en es et for from have has he her his how i if im in into is ist it its la las le les los may more must no not of on one only or other our own que see she so some such than that the their them then there these they this to two un und une up was we were what when which who will with without would you your".split()
 
 
 def _words(text: str) -> list[str]:
@@ -149,7 +150,8 @@ def _word_column(text: Column) -> Column:
 
 
 def _grams(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+    """The words and pairs of successive words that aren't plain words only."""
+    return {*(w for w in words if w not in PLAIN), *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a not in PLAIN or b not in PLAIN)}
 
 
 def _examples() -> list[tuple[str, str, int]]:
@@ -164,7 +166,7 @@ def _examples() -> list[tuple[str, str, int]]:
             rows += [(" ".join(words[:k] + words[k + 1 :]), name, 3) for k in range(0, len(words), 4)]  # a word lost
             if len(words) > 12 and name != NONE:
                 rows += [(" ".join(words[k : k + 12]), name, 3) for k in range(0, len(words) - 11, 12)]
-    return rows + [("", NONE, 3)] * 20 + [(w, NONE, 3) for w in NONE_WORDS] * 3
+    return rows + [("", NONE, 3)] * 20
 
 
 def _train(rows: list[tuple[str, str, int]], classes: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +217,7 @@ def _cues(model: dict) -> list[str]:
     margin = (model["weights"] - model["weights"][:, [none]]).max(axis=1)
     strong = [t.split() for t, m in zip(model["terms"], margin, strict=True) if m > 0]
     single = {t[0] for t in strong if len(t) == 1}
-    return sorted(single | {t[0] for t in strong if len(t) == 2 and not single & set(t)})
+    return sorted(single | {next(w for w in t if w not in PLAIN) for t in strong if not single & set(t)})
 
 
 def _constant(value: object, kind: str) -> Column:
@@ -225,7 +227,8 @@ def _constant(value: object, kind: str) -> Column:
 def paragraphs(text: Column) -> Column:
     """The lines of a text; a break after a line of WRAPPED characters that ends no sentence is a blank, unless the next line is empty."""
     low, high = WRAPPED
-    return F.split(F.regexp_replace(text, f"(?<=(?:^|\\n)[^\\n]{{{low},{high}}})(?<![.!?:;])\\n(?=[^\\n])", " "), "\n")
+    # the break first, so that what stands before it is looked at for breaks only
+    return F.split(F.regexp_replace(text, f"\\n(?<=(?:^|\\n)[^\\n]{{{low},{high}}}\\n)(?<![.!?:;]\\n)(?=[^\\n])", " "), "\n")
 
 
 def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,15 +246,17 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = lines.withColumn("_words", _word_column(F.col("_line")))
     if cues:
         lines = lines.where(F.exists("_words", lambda w: w.isin(cues)))
-    pairs = F.zip_with("_words", F.slice(F.col("_words"), 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.array_distinct(F.concat("_words", F.slice(pairs, F.lit(1), F.size("_words") - 1)))
+    pairs = F.zip_with("_words", F.slice(F.col("_words"), 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.filter(pairs, lambda p: p["b"].isNotNull() & ~(p["a"].isin(PLAIN) & p["b"].isin(PLAIN)))
+    grams = F.array_distinct(F.concat(F.filter("_words", lambda w: ~w.isin(PLAIN)), F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))))
     # a sparse dot product: the weights of the n-grams that have any, found by a hash of the n-gram
     shelves: list[list[dict]] = [[] for _ in range(SHELVES)]
     for term, w in zip(model["terms"], model["weights"], strict=True):
         shelves[zlib.crc32(term.encode()) % SHELVES].append({"g": term, "w": w.tolist()})
     table = _constant(shelves, "array<array<struct<g:string,w:array<double>>>>")
     shelf = lambda g: F.get(table, (F.crc32(g.cast("binary")) % SHELVES).cast("int"))
-    found = F.filter(F.transform("_grams", lambda g: F.get(F.filter(shelf(g), lambda x: x["g"] == g), F.lit(0))["w"]), lambda w: w.isNotNull())
+    known = F.filter("_grams", lambda g: g.isin(model["terms"]))
+    found = F.transform(known, lambda g: F.get(F.filter(shelf(g), lambda x: x["g"] == g), F.lit(0))["w"])
     rows = lines.select("_doc", "_par", "_line", grams.alias("_grams")).withColumn("_found", found)
     sums = F.aggregate("_found", F.array(*[F.lit(0.0)] * k), lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
     scale = F.sqrt(F.greatest(F.size("_grams"), F.lit(1)))
