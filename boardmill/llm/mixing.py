@@ -128,7 +128,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     more sources than it has slots.  Rows keep the order of the md5 of
     their ids inside a source, rows that share an id in any order.  Slots of a source that has
     run out stay empty, so mix_position has gaps, and the task that makes the schedule passes
-    them too.  No row is dropped; columns of ``docs`` with the names of results are replaced.
+    them too.  No row is dropped.  Columns of ``docs`` may have any names; those with the names of
+    results are replaced.
     """
     spark = docs.sparkSession
     if weights and not all(0 < w < math.inf for w in weights.values()):
@@ -141,13 +142,15 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
             raise ValueError(f"no weight for {', '.join(sorted('null' if r._source_null else repr(r._source) for r in gone))}{' and maybe more' if len(gone) == NAMED_MISSING else ''}")
     total = docs.count()
     digits = max(1, math.ceil(math.log(max(total, 1) / RANK_ROWS + 1, 16)))
-    rows = docs.withColumn("_source", F.col(source_col).cast("string")).withColumn("_order", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
+    # a row travels as one column, so that none of its columns meets one of these
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"), order.alias("_order"))
     rows = rows.withColumn("_range", F.substring("_order", 1, digits)).withColumn("_source_null", F.col("_source").isNull()).withColumn("_source", F.coalesce("_source", F.lit("")))
     keys = ["_source", "_source_null", "_range"]
     before = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_source", "_source_null").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    placed = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_order", id_col))).join(before, keys)
+    placed = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_order", "_id"))).join(before, keys)
     placed = placed.withColumn("_place", F.col("_before") + F.col("_rank") - 1).withColumn("block", F.expr(f"_place div {block_rows}"))
     rounded = None if quantum is None else temperature_weights(docs, source_col) if weights is None else weights
     if rounded is None or len(rounded) > quantum:
@@ -156,7 +159,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
             sources = sources.withColumn("_weight", F.pow("_n", F.lit(0.5)))
         else:
             sources = named.join(sources, ["_source", "_source_null"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-        placed = placed.drop("slot").join(written(_slots(sources, block_rows), "slots"), ["_source", "_source_null", "block"])
+        placed = placed.join(written(_slots(sources, block_rows), "slots"), ["_source", "_source_null", "block"])
     else:
         shares = whole_shares(rounded, quantum)
         listed = json.dumps([{"_s": s or "", "_s_null": s is None, "_share": shares[s], "_in_period": j, "_slot": slot} for s, j, slot in pfair_period(shares)])
@@ -169,4 +172,5 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         placed = placed.join(F.broadcast(slots), ["_source", "_source_null", "_in_period"])
         placed = placed.withColumn("slot", F.expr(f"(block div _share) * {quantum} + _slot"))
     placed = placed.withColumn("mix_position", F.expr(f"slot * {block_rows} + _place % {block_rows}"))
-    return placed.select(*[c for c in docs.columns if c not in ("block", "slot", "mix_position")], "block", "slot", "mix_position")
+    results = ["block", "slot", "mix_position"]
+    return placed.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in results], *results)
