@@ -24,20 +24,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.training_rows(docs, labels, "doc_id", "text", "quality"))
-    return quality.score(docs, model, docs.columns, name="_quality").where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    # the rows travel as one column, so that none of theirs meets the score
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return quality.score(rows, model, ["row"]).where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts the one with the smallest id."""
-    # the rows travel as one column, so that none of theirs meets a column of the result
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    return exact_dedup(rows).where("kept").select("_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return exact_dedup(rows).where("kept").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of shingle sets the one with the smallest id."""
-    extra = ngram_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("_drop"), "left_anti")
+    return docs.join(ngram_components(docs).where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
