@@ -11,12 +11,15 @@ text, and a sequence of tokens is a tokenisation exactly when every adjacent pai
 Texts run as many lanes at once through the dense transition table.  A lane is a chunk: it
 starts where no piece can span (before a run of spaces, beside a fallback character), so its
 state map is constant and chunk maps compose by a prefix sum of their counts.  Chunks longer
-than ``LANE_CHARS`` are cut further; the cuts' entry states are first guessed, then composed and
-corrected until every entry equals its predecessor's exit.
+than ``LANE_CHARS`` are cut further.  The map of such a lane, from entry state to exit state and
+count, is made for the entries that can occur: one from a run over the characters before it, every
+exit of the lane before, and, where that doesn't settle soon, every exit seen in its chunk.  Then the maps are composed by doubling: after k steps each entry
+knows the exit and count 2**k lanes on.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,9 @@ class PieceTransducer:
         for i in range(model.get_piece_size()):
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.rank[model.id_to_piece(i)] = -model.get_score(i)
+        probe = "ﬁ  Ａe\u0301 x"
+        if any(re.search(f"[^{_MARK}]{_MARK}", p) for p in self.rank) or model.normalize(probe) != (" " + probe).replace(" ", _MARK):
+            raise ValueError("only models without a normaliser and without pieces across words are counted")
         self.prefixes = {p[:k] for p in self.rank for k in range(len(p))}
         self.max_len = max(map(len, self.rank), default=1)
         self.own: dict[str, bool] = {}
@@ -156,14 +162,31 @@ class PieceTransducer:
         inner = np.flatnonzero(within > 0)
         if len(inner):
             entry[inner] = self.run(columns, lane[inner] - 64, np.full(len(inner), 64), np.zeros(len(inner), np.int32))[0]
-        exits, counts = self.run(columns, lane, size, entry)
-        while len(inner):
-            wrong = inner[entry[inner] != exits[inner - 1]]
-            if not len(wrong):
-                break
-            entry[wrong] = exits[wrong - 1]
-            exits[wrong], counts[wrong] = self.run(columns, lane[wrong], size[wrong], entry[wrong])
-        return np.bincount(owner, counts, len(starts)).astype(np.int64)
+        goes_on = np.r_[within[1:] > 0, False]
+        # the maps: (lane, entry state) as one number, with exit and count; exits are entries of the next lane
+        keys, exits, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.arange(len(lane), dtype=np.int64) << 32 | entry
+        rounds = 0
+        while len(new):
+            own = new >> 32
+            out, n = self.run(columns, lane[own], size[own], (new & 0xFFFFFFFF).astype(np.int32))
+            keys, exits, counts = np.r_[keys, new], np.r_[exits, out], np.r_[counts, n]
+            onward = goes_on[own]
+            new = np.setdiff1d(own[onward] + 1 << 32 | out[onward].astype(np.int64), keys)
+            rounds += 1
+            if rounds > 2 and len(new):  # all lanes of the chunk at once, so that states don't pass from lane to lane
+                chunk, state = np.unique(np.stack([owner[new >> 32], new & 0xFFFFFFFF]), axis=1)
+                first_lane = np.cumsum(pieces) - pieces
+                lanes = textkit.ranges(first_lane[chunk] + 1, pieces[chunk] - 1)
+                new = np.setdiff1d(lanes.astype(np.int64) << 32 | np.repeat(state, pieces[chunk] - 1), keys)
+        order = np.argsort(keys)
+        keys, exits, counts = keys[order], exits[order], counts[order]
+        own = keys >> 32
+        after = np.where(goes_on[own], np.searchsorted(keys, own + 1 << 32 | exits), len(keys))
+        after, counts = np.r_[after, len(keys)], np.r_[counts, 0]  # the last one stands for the end of a chunk
+        for _ in range(int(pieces.max() - 1).bit_length() if len(pieces) else 0):
+            counts, after = counts + counts[after], after[after]
+        return counts[np.searchsorted(keys, np.flatnonzero(within == 0).astype(np.int64) << 32)]
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text."""
