@@ -209,8 +209,8 @@ def _pawn_game(t: Tables) -> DataFrame:
     return games.withColumn("movetext", F.concat_ws(" ", numbered))
 
 
-def _after_three_moves(games: DataFrame) -> DataFrame:
-    """The placements of the games after three moves of each side, spelled without replaying them."""
+def _after_three_moves() -> Column:
+    """A game's placement after three moves of each side, spelled without replaying it."""
     files = F.sequence(F.lit(0), F.lit(7))
 
     def rank(moves: str, letter: str, stays: bool, far: bool) -> Column:
@@ -220,7 +220,7 @@ def _after_three_moves(games: DataFrame) -> DataFrame:
         return F.array_join(F.transform(files, lambda f: F.when(~moved(f) if stays else there(f), letter).otherwise(".")), "")
 
     ranks = [rank("b", "p", True, False), rank("b", "p", False, False), rank("b", "p", False, True), rank("w", "P", False, True), rank("w", "P", False, False), rank("w", "P", True, False)]
-    return games.select(board.fen_of_squares(F.concat(F.lit("rnbqkbnr"), *ranks, F.lit("RNBQKBNR"))).alias("placement")).distinct()
+    return board.fen_of_squares(F.concat(F.lit("rnbqkbnr"), *ranks, F.lit("RNBQKBNR")))
 
 
 @query(
@@ -231,7 +231,7 @@ def _after_three_moves(games: DataFrame) -> DataFrame:
 def replay_search(t: Tables) -> DataFrame:
     """All games replayed to the positions that those of every fiftieth order had after three moves of each side."""
     games = _pawn_game(t)
-    wanted = _after_three_moves(games.where("o_orderkey % 50 = 0"))
+    wanted = games.where("o_orderkey % 50 = 0").select(_after_three_moves().alias("placement")).distinct()
     # replaying is all the work, so games of a few files are dealt to every core first
     dealt = games.select("o_orderkey", "movetext", F.lit(None).cast("string").alias("setup_fen")).repartition(t.spark.sparkContext.defaultParallelism)
     return replay.replay(dealt, ["o_orderkey"], wanted=wanted)
