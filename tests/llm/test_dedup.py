@@ -104,7 +104,7 @@ def test_null_ids_are_last(spark):
     assert found == {(None, False), (2, True)}
 
 
-@pytest.mark.parametrize("name", ["op3_ngram_join", "op4_exact_dedup", "op5_substring_dedup", "op8_source_mixing"])
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op4_exact_dedup", "op5_substring_dedup", "op7_suffix_dedup", "op8_source_mixing"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
