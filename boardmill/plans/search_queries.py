@@ -77,11 +77,22 @@ def ambiguity_census(t: Tables) -> DataFrame:
     return search.ambiguity_census(counts, "p_brand")
 
 
-@query("key bigint, count bigint, was_new boolean", "SELECT p_partkey AS key, coalesce(n, 0) AS count, p_partkey % 2 = 1 AS was_new FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY l_partkey) ON l_partkey = p_partkey WHERE p_size <= 25")
+_ASKED_SQL = "SELECT p_partkey AS key FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey + 1000000000 FROM part WHERE p_size <= 25 AND p_partkey % 3 = 0"
+
+
+def _asked(t: Tables) -> DataFrame:
+    """Keys of small parts, and keys that no part has."""
+    own = t("part").where("p_size <= 25").select(F.col("p_partkey").alias("key"))
+    return own.union(own.where("key % 3 = 0").select(F.col("key") + 1_000_000_000))
+
+
+@query(
+    "key bigint, count bigint, was_new boolean",
+    f"SELECT key, coalesce(n, 0) AS count, key % 2 = 1 AS was_new FROM ({_ASKED_SQL}) LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) ON l_partkey = key",
+)
 def ask_ledger(t: Tables) -> DataFrame:
     """Only keys never asked are searched; every asked key is recorded, misses with count 0."""
-    rows = _positions(t).where("key % 3 <> 0")
-    asked = t("part").where("p_size <= 25").select(F.col("p_partkey").alias("key"))
+    rows, asked = _positions(t), _asked(t)
     before = asked.where("key % 2 = 0")
     found = search.inverted_search(rows, before, ["key"], ORDER)
     ledger = search.record_answers(found.limit(0), before, found, ["key"])
@@ -90,13 +101,17 @@ def ask_ledger(t: Tables) -> DataFrame:
     return ledger.join(new.withColumn("_new", F.lit(True)), "key", "left").select("key", "count", F.coalesce("_new", F.lit(False)).alias("was_new"))
 
 
-@query("answered bigint, asked bigint", "SELECT count(DISTINCT l_partkey) AS answered, (SELECT count(*) FROM part WHERE p_size <= 25) AS asked FROM lineitem WHERE l_partkey % 3 <> 0 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
+@query(
+    "answered bigint, asked bigint",
+    f"SELECT (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey IN (SELECT key FROM ({_ASKED_SQL}))) AS answered, (SELECT count(*) FROM ({_ASKED_SQL})) AS asked",
+)
 def ledger_answered(t: Tables) -> DataFrame:
     """How many asked keys were found."""
-    asked = t("part").where("p_size <= 25").select(F.col("p_partkey").alias("key"))
-    ledger = search.record_answers(search.inverted_search(_positions(t).limit(0), asked, ["key"], ORDER), asked, search.inverted_search(_positions(t).where("key % 3 <> 0"), asked, ["key"], ORDER), ["key"])
-    found = search.answered(asked, ledger, ["key"]).agg(F.count(F.lit(1)).alias("answered"))
-    return found.crossJoin(asked.agg(F.count(F.lit(1)).alias("asked")))
+    asked = _asked(t)
+    found = search.inverted_search(_positions(t), asked, ["key"], ORDER)
+    ledger = search.record_answers(found.limit(0), asked, found, ["key"])
+    answers = search.answered(asked, ledger, ["key"]).agg(F.count(F.lit(1)).alias("answered"))
+    return answers.crossJoin(asked.agg(F.count(F.lit(1)).alias("asked")))
 
 
 @query("o_orderstatus string, o_orderkey bigint", "WITH r AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders), q AS (SELECT greatest(1, 100 // count(DISTINCT o_orderstatus)) AS quota FROM orders) SELECT o_orderstatus, o_orderkey FROM r, q ORDER BY n > quota, o_orderstatus, n LIMIT 100")

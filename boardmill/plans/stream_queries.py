@@ -14,6 +14,8 @@ from .catalogue import Tables, query
 def _folder(t: Tables) -> str:
     spark = t.spark
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     return f"{(shared or spark.conf.get('spark.sql.warehouse.dir') + '-shared').rstrip('/')}/boardmill/scan-{uuid.uuid4().hex}"
 
 
