@@ -17,7 +17,11 @@ def _split_sql(key: str, salt: str = datasets.SPLIT_SALT) -> str:
     return f"CASE WHEN {bucket} < 10 THEN 'test' WHEN {bucket} < 20 THEN 'val' ELSE 'train' END"
 
 
-@query("doc_id string, split string", f"SELECT doc_id, {_split_sql('lead')} AS split FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, min(CAST(doc_id AS VARCHAR)) OVER (PARTITION BY text) AS lead FROM documents)")
+@query(
+    "doc_id string, split string",
+    f"""SELECT doc_id, {_split_sql('lead')} AS split FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, min(CAST(doc_id AS VARCHAR)) OVER (PARTITION BY text) AS lead
+        FROM documents)""",
+)
 def split_assign(t: Tables) -> DataFrame:
     """Splits by bucket of the smallest id that has the same text."""
     return datasets.compute_splits(t("documents"), "doc_id", [F.sha2("text", 256)])
@@ -38,27 +42,45 @@ def split_sticky(t: Tables) -> DataFrame:
     return datasets.sticky_splits(docs.where("doc_id % 10 <> 4"), "doc_id", "digest", old)
 
 
-@query("digest string, splits string", f"SELECT sha256(text) AS digest, string_agg(DISTINCT s, ',' ORDER BY s) AS splits FROM (SELECT text, {_split_sql('CAST(doc_id AS VARCHAR)')} AS s FROM documents) GROUP BY text HAVING count(DISTINCT s) > 1")
+@query(
+    "digest string, splits string",
+    f"""SELECT sha256(text) AS digest, string_agg(DISTINCT s, ',' ORDER BY s) AS splits
+        FROM (SELECT text, {_split_sql('CAST(doc_id AS VARCHAR)')} AS s
+        FROM documents) GROUP BY text HAVING count(DISTINCT s) > 1""",
+)
 def split_leaks(t: Tables) -> DataFrame:
     """Texts that stand in several splits when ids are split without regard to texts."""
     rows = t("documents").select(F.sha2("text", 256).alias("digest"), score.assign_split(F.col("doc_id").cast("string"), datasets.SPLIT_SALT).alias("split"))
     return datasets.split_leaks(rows, ["digest"])
 
 
-@query("c_mktsegment string, digest string", f"SELECT c_mktsegment, substr(sha256(string_agg(c_name || '=' || {_split_sql('c_name')}, chr(10) ORDER BY c_name)), 1, 16) AS digest FROM customer GROUP BY c_mktsegment")
+@query(
+    "c_mktsegment string, digest string",
+    f"""SELECT c_mktsegment, substr(sha256(string_agg(c_name || '=' || {_split_sql('c_name')}, chr(10)
+        ORDER BY c_name)), 1, 16) AS digest FROM customer GROUP BY c_mktsegment""",
+)
 def splits_digest(t: Tables) -> DataFrame:
     """One digest of the sorted name=split lines of each segment; a report over tables of names."""
     line = F.concat(F.col("c_name"), F.lit("="), score.assign_split("c_name", datasets.SPLIT_SALT))
     return t("customer").groupBy("c_mktsegment").agg(text.ordered_digest(line).alias("digest"))
 
 
-@query("train bigint, val bigint, test bigint", f"SELECT count(*) FILTER (s = 'train') AS train, count(*) FILTER (s = 'val') AS val, count(*) FILTER (s = 'test') AS test FROM (SELECT {_split_sql('CAST(doc_id AS VARCHAR)')} AS s FROM documents)")
+@query(
+    "train bigint, val bigint, test bigint",
+    f"""SELECT count(*) FILTER (s = 'train') AS train, count(*) FILTER (s = 'val') AS val, count(*) FILTER (s = 'test') AS test
+        FROM (SELECT {_split_sql('CAST(doc_id AS VARCHAR)')} AS s FROM documents)""",
+)
 def split_counts(t: Tables) -> DataFrame:
     """Rows of each split, zeros included."""
     return datasets.split_counts(t("documents").select(score.assign_split(F.col("doc_id").cast("string"), datasets.SPLIT_SALT).alias("split")))
 
 
-@query("doc_id bigint, source string", "SELECT d.doc_id, source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE lang = 'en' AND toxic = 1 AND contains(lower(concat_ws(' ', CAST(d.doc_id AS VARCHAR), text, source)), 'the an')")
+@query(
+    "doc_id bigint, source string",
+    """SELECT d.doc_id, source FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+        WHERE lang = 'en' AND toxic = 1 AND contains(lower(concat_ws(' ', CAST(d.doc_id AS VARCHAR),
+        text, source)), 'the an')""",
+)
 def filter_composite(t: Tables) -> DataFrame:
     """Several optional conditions, a flag from a join and a case-insensitive part of joined columns."""
     rows = t("documents").join(t("labels").select("doc_id", (F.col("toxic") == 1).alias("is_toxic")), "doc_id", "left")
@@ -77,38 +99,68 @@ def hist_class(t: Tables) -> DataFrame:
     return datasets.histogram(t("documents"), F.col("lang"))
 
 
-@query("value string, count bigint", "SELECT coalesce(nullif(CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END, ''), 'unregistered') AS value, count(*) AS count FROM documents GROUP BY 1")
+@query(
+    "value string, count bigint",
+    """SELECT coalesce(nullif(CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END, ''),
+        'unregistered') AS value, count(*) AS count FROM documents GROUP BY 1""",
+)
 def hist_source(t: Tables) -> DataFrame:
     """Documents of each source, those without one under a name of their own."""
     return datasets.histogram(t("documents"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("source")), missing="unregistered")
 
 
-@query("value string, count bigint", "SELECT CASE WHEN event_type = 'error' THEN 'net' WHEN event_type = 'signup' THEN 'second_opinion' WHEN user_id % 5 = 0 THEN 'queue' WHEN user_id % 7 = 0 THEN 'dataset' WHEN value > 50 THEN 'corrected' ELSE 'accepted' END AS value, count(*) AS count FROM events GROUP BY 1")
+@query(
+    "value string, count bigint",
+    """SELECT CASE WHEN event_type = 'error' THEN 'net' WHEN event_type = 'signup' THEN 'second_opinion' WHEN user_id % 5 = 0 THEN 'queue' WHEN user_id % 7 = 0 THEN 'dataset' WHEN value > 50 THEN 'corrected' ELSE 'accepted' END AS value,
+        count(*) AS count FROM events GROUP BY 1""",
+)
 def hist_route(t: Tables) -> DataFrame:
     """Events by the first route that applies."""
     c = F.col
     return datasets.histogram(t("events"), score.label_route(c("event_type") == "error", c("event_type") == "signup", c("user_id") % 5 == 0, c("user_id") % 7 == 0, c("value") > 50))
 
 
-@query("largest string, smallest string, ratio double, absent string, alert boolean", "WITH h AS (SELECT lang AS v, count(*) AS n FROM documents WHERE lang IN ('en','fr','de','es') GROUP BY lang) SELECT arg_max(v, (n, v)) AS largest, arg_min(v, (n, v)) AS smallest, max(n) / min(n) AS ratio, 'it' AS absent, true AS alert FROM h")
+@query(
+    "largest string, smallest string, ratio double, absent string, alert boolean",
+    """WITH h AS (SELECT lang AS v, count(*) AS n FROM documents WHERE lang IN ('en','fr','de','es')
+        GROUP BY lang) SELECT arg_max(v, (n, v)) AS largest, arg_min(v, (n, v)) AS smallest, max(n) / min(n) AS ratio, 'it' AS absent,
+        true AS alert FROM h""",
+)
 def imbalance(t: Tables) -> DataFrame:
     """Largest and smallest class, and classes that are missing."""
     return datasets.imbalance(datasets.histogram(t("documents"), F.col("lang")), ["en", "fr", "de", "es", "it"])
 
 
-@query("value string, count bigint, share double", "WITH h AS (SELECT props AS value, count(*) AS count FROM events GROUP BY props) SELECT value, count, CAST(count AS DOUBLE) / (SELECT sum(count) FROM h) AS share FROM h WHERE CAST(count AS DOUBLE) / (SELECT sum(count) FROM h) < 0.01")
+@query(
+    "value string, count bigint, share double",
+    """WITH h AS (SELECT props AS value, count(*) AS count FROM events
+        GROUP BY props) SELECT value, count, CAST(count AS DOUBLE) / (SELECT sum(count)
+        FROM h) AS share FROM h WHERE CAST(count AS DOUBLE) / (SELECT sum(count)
+        FROM h) < 0.01""",
+)
 def rare_classes(t: Tables) -> DataFrame:
     """Property values with less than a hundredth of the events."""
     return datasets.rare(datasets.histogram(t("events"), F.col("props")), 0.01)
 
 
-@query("value string, weight double", "WITH c AS (SELECT unnest(['click','view','error','refund']) AS value), h AS (SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IN ('click','view','error','refund') GROUP BY 1) SELECT c.value, coalesce(CAST((SELECT sum(n) FROM h) AS DOUBLE) / (4 * h.n), 0) AS weight FROM c LEFT JOIN h ON h.value = c.value")
+@query(
+    "value string, weight double",
+    """WITH c AS (SELECT unnest(['click','view','error','refund']) AS value),
+        h AS (SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IN ('click','view','error','refund')
+        GROUP BY 1) SELECT c.value, coalesce(CAST((SELECT sum(n) FROM h) AS DOUBLE) / (4 * h.n),
+        0) AS weight FROM c LEFT JOIN h ON h.value = c.value""",
+)
 def class_weights(t: Tables) -> DataFrame:
     """Balanced weights; an absent class weighs nothing."""
     return datasets.class_weights(datasets.histogram(t("events"), F.col("event_type")), ["click", "view", "error", "refund"])
 
 
-@query("doc_id bigint, first_source string, first_id bigint", "SELECT doc_id, CASE WHEN n > 1 THEN fs END AS first_source, CASE WHEN n > 1 THEN fi END AS first_id FROM (SELECT doc_id, row_number() OVER w AS n, first_value(source) OVER w AS fs, first_value(doc_id) OVER w AS fi FROM documents WINDOW w AS (PARTITION BY text ORDER BY source, doc_id))")
+@query(
+    "doc_id bigint, first_source string, first_id bigint",
+    """SELECT doc_id, CASE WHEN n > 1 THEN fs END AS first_source, CASE WHEN n > 1 THEN fi END AS first_id
+        FROM (SELECT doc_id, row_number() OVER w AS n, first_value(source) OVER w AS fs, first_value(doc_id) OVER w AS fi
+        FROM documents WINDOW w AS (PARTITION BY text ORDER BY source, doc_id))""",
+)
 def dup_pointer(t: Tables) -> DataFrame:
     """Each repeat of a text points to its first occurrence in (source, id) order."""
     rows = review.duplicate_pointers(t("documents").select("doc_id", "source", F.sha2("text", 256).alias("digest")), ["digest"], ["source", "doc_id"])
@@ -174,13 +226,21 @@ _ITEMS_SQL = """SELECT doc_id, doc_id // 10 AS page, doc_id % 10 AS diagram, con
     FROM (SELECT d.*, quality, toxic, d.doc_id % 5 <> 0 AS free, CAST(n_chars % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS conf FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id))"""
 
 
-@query("doc_id bigint, priority double, reasons string", f"SELECT doc_id, round(priority, 6) AS priority, array_to_string(reasons, ',') AS reasons FROM ({_ITEMS_SQL}) WHERE len(reasons) > 0 ORDER BY priority DESC, page, diagram LIMIT 200")
+@query(
+    "doc_id bigint, priority double, reasons string",
+    f"""SELECT doc_id, round(priority, 6) AS priority, array_to_string(reasons, ',') AS reasons
+        FROM ({_ITEMS_SQL}) WHERE len(reasons) > 0 ORDER BY priority DESC, page, diagram LIMIT 200""",
+)
 def priority_queue(t: Tables) -> DataFrame:
     """The 200 most urgent review items with their reasons."""
     return review.queue(_items(t), 200).select("doc_id", F.round("priority", 6).alias("priority"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("error_rate double", f"SELECT avg(CASE WHEN confidence < 0.8 OR len(list_filter(reasons, lambda r: regexp_matches(r, '^(illegal|sources|side)'))) > 0 THEN 1.0 ELSE 0.0 END) AS error_rate FROM ({_ITEMS_SQL})")
+@query(
+    "error_rate double",
+    f"""SELECT avg(CASE WHEN confidence < 0.8 OR len(list_filter(reasons, lambda r: regexp_matches(r, '^(illegal|sources|side)'))) > 0 THEN 1.0 ELSE 0.0 END) AS error_rate
+        FROM ({_ITEMS_SQL})""",
+)
 def error_rate(t: Tables) -> DataFrame:
     """The share of items below the gate or with a reason of certain kinds."""
     return review.error_rate(_items(t), F.col("confidence"), F.col("reasons"))
@@ -216,7 +276,11 @@ def audit_orphans(t: Tables) -> DataFrame:
     return datasets.orphans(t("documents"), t("labels"), "doc_id").select("doc_id")
 
 
-@query("violations string", "SELECT 'fatal,missing' || CASE WHEN (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM documents GROUP BY text)) > 0.1 * (SELECT count(*) FROM documents) THEN ',duplicates' ELSE '' END AS violations")
+@query(
+    "violations string",
+    """SELECT 'fatal,missing' || CASE WHEN (SELECT sum(n - 1) FROM (SELECT count(*) AS n
+        FROM documents GROUP BY text)) > 0.1 * (SELECT count(*) FROM documents) THEN ',duplicates' ELSE '' END AS violations""",
+)
 def audit_violations(t: Tables) -> DataFrame:
     """Which declared limits the tables break."""
     groups = t("documents").groupBy(F.sha2("text", 256)).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicates"), F.sum("n").alias("valid"))
@@ -232,27 +296,45 @@ def dedupe_keep_first(t: Tables) -> DataFrame:
     return tables.keep_first(t("documents").select("doc_id", F.sha2("text", 256).alias("digest")), ["digest"], ["doc_id"])
 
 
-@query("split string, before bigint, removed bigint, after bigint", "SELECT lang AS split, count(*) AS before, count(*) FILTER (doc_id <> f) AS removed, count(*) FILTER (doc_id = f) AS after FROM (SELECT lang, doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) GROUP BY lang")
+@query(
+    "split string, before bigint, removed bigint, after bigint",
+    """SELECT lang AS split, count(*) AS before, count(*) FILTER (doc_id <> f) AS removed, count(*) FILTER (doc_id = f) AS after
+        FROM (SELECT lang, doc_id, min(doc_id) OVER (PARTITION BY text) AS f
+        FROM documents) GROUP BY lang""",
+)
 def dedupe_summary(t: Tables) -> DataFrame:
     """What deduplication takes from each part."""
     return datasets.dedupe_summary(t("documents").select("doc_id", F.col("lang").alias("split"), F.sha2("text", 256).alias("digest")), ["digest"], "doc_id")
 
 
-@query("lang string, source string, samples bigint", f"SELECT lang, source, count(*) AS samples FROM documents WHERE {_split_sql('CAST(doc_id AS VARCHAR)')} = 'train' GROUP BY lang, source")
+@query(
+    "lang string, source string, samples bigint",
+    f"""SELECT lang, source, count(*) AS samples FROM documents WHERE {_split_sql('CAST(doc_id AS VARCHAR)')} = 'train'
+        GROUP BY lang, source""",
+)
 def contamination(t: Tables) -> DataFrame:
     """How many training rows each (language, source) holds."""
     splits = t("documents").select("doc_id", score.assign_split(F.col("doc_id").cast("string"), datasets.SPLIT_SALT).alias("split"))
     return datasets.training_pages(t("documents"), splits, "doc_id", ["lang", "source"])
 
 
-@query("doc_id bigint, lang string, source string, mark string", "SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 AND quality IS NOT NULL THEN 'q' || quality ELSE lang END AS lang, source, CASE WHEN d.doc_id % 3 = 0 AND quality IS NOT NULL THEN 't' || toxic END AS mark FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query(
+    "doc_id bigint, lang string, source string, mark string",
+    """SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 AND quality IS NOT NULL THEN 'q' || quality ELSE lang END AS lang, source,
+        CASE WHEN d.doc_id % 3 = 0 AND quality IS NOT NULL THEN 't' || toxic END AS mark
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+)
 def provenance_update(t: Tables) -> DataFrame:
     """UPDATE from a patch, only where a condition holds, adding a column."""
     patch = t("labels").select("doc_id", F.concat(F.lit("q"), "quality").alias("lang"), F.concat(F.lit("t"), "toxic").alias("mark"))
     return tables.update(t("documents"), patch, ["doc_id"], F.col("doc_id") % 3 == 0)
 
 
-@query("side string, doc_id bigint, reason string", "SELECT CASE WHEN l.doc_id IS NULL THEN 'source' ELSE 'quarantine' END AS side, d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'toxic' END AS reason FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id")
+@query(
+    "side string, doc_id bigint, reason string",
+    """SELECT CASE WHEN l.doc_id IS NULL THEN 'source' ELSE 'quarantine' END AS side, d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'toxic' END AS reason
+        FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id""",
+)
 def quarantine_move(t: Tables) -> DataFrame:
     """MOVE of some rows to another table with a reason."""
     docs = t("documents").select("doc_id", "lang")
@@ -260,7 +342,13 @@ def quarantine_move(t: Tables) -> DataFrame:
     return left.select(F.lit("source").alias("side"), "doc_id", F.lit(None).cast("string").alias("reason")).union(moved.select(F.lit("quarantine"), "doc_id", "reason"))
 
 
-@query("c_custkey bigint, c_acctbal double, c_mktsegment string", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, -1.0, 'NEW' FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 900000000 + c_custkey, -1.0, 'NEW' FROM customer WHERE c_custkey % 4 = 0")
+@query(
+    "c_custkey bigint, c_acctbal double, c_mktsegment string",
+    """SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0
+        UNION ALL SELECT c_custkey, -1.0, 'NEW' FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT 900000000 + c_custkey, -1.0, 'NEW' FROM customer
+        WHERE c_custkey % 4 = 0""",
+)
 def table_upsert(t: Tables) -> DataFrame:
     """UPSERT: rows with known keys are replaced, others added."""
     c = t("customer").select("c_custkey", "c_acctbal", "c_mktsegment")

@@ -20,7 +20,11 @@ def _scored(t: Tables) -> DataFrame:
 _BINS_SQL = f"SELECT lang, len(list_filter(range(1, 10), lambda k: k * {_STEP} < conf)) AS bin, count(*) AS n, avg(conf) AS mc, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS acc FROM ({_SCORED_SQL}) GROUP BY 1, 2"
 
 
-@query("lang string, bin bigint, count bigint, mean_confidence double, accuracy double", f"SELECT lang, bin, n AS count, round(mc, 9) AS mean_confidence, round(acc, 9) AS accuracy FROM ({_BINS_SQL})")
+@query(
+    "lang string, bin bigint, count bigint, mean_confidence double, accuracy double",
+    f"""SELECT lang, bin, n AS count, round(mc, 9) AS mean_confidence, round(acc, 9) AS accuracy
+        FROM ({_BINS_SQL})""",
+)
 def reliability(t: Tables) -> DataFrame:
     """Confidence bins with their mean confidence and accuracy."""
     r = metrics.reliability(_scored(t), "conf", "ok", 10, ["lang"])
@@ -33,13 +37,23 @@ def ece(t: Tables) -> DataFrame:
     return metrics.expected_calibration_error(_scored(t), "conf", "ok", 10, ["lang"]).select("lang", F.round("ece", 9).alias("ece"))
 
 
-@query("threshold double", f"SELECT min(k * CAST(0.05 AS DOUBLE)) AS threshold FROM (SELECT k, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS a FROM ({_SCORED_SQL}), range(0, 21) AS r(k) WHERE conf >= k * CAST(0.05 AS DOUBLE) GROUP BY k) WHERE a >= 0.86")
+@query(
+    "threshold double",
+    f"""SELECT min(k * CAST(0.05 AS DOUBLE)) AS threshold FROM (SELECT k, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS a
+        FROM ({_SCORED_SQL}), range(0, 21) AS r(k) WHERE conf >= k * CAST(0.05 AS DOUBLE)
+        GROUP BY k) WHERE a >= 0.86""",
+)
 def threshold(t: Tables) -> DataFrame:
     """The least threshold from which on the wanted share is right."""
     return metrics.confidence_for_accuracy(_scored(t), "conf", "ok", 0.86)
 
 
-@query("lang string, auc double", f"WITH s AS ({_SCORED_SQL}), r AS (SELECT lang, ok, rank() OVER w + (count(*) OVER (PARTITION BY lang, conf) - 1) / 2.0 AS rk FROM s WINDOW w AS (PARTITION BY lang ORDER BY conf)) SELECT lang, round((sum(rk) FILTER (ok) - count(*) FILTER (ok) * (count(*) FILTER (ok) + 1) / 2.0) / (count(*) FILTER (ok) * count(*) FILTER (NOT ok)), 9) AS auc FROM r GROUP BY lang")
+@query(
+    "lang string, auc double",
+    f"""WITH s AS ({_SCORED_SQL}), r AS (SELECT lang, ok, rank() OVER w + (count(*) OVER (PARTITION BY lang, conf) - 1) / 2.0 AS rk
+        FROM s WINDOW w AS (PARTITION BY lang ORDER BY conf)) SELECT lang, round((sum(rk) FILTER (ok) - count(*) FILTER (ok) * (count(*) FILTER (ok) + 1) / 2.0) / (count(*) FILTER (ok) * count(*) FILTER (NOT ok)),
+        9) AS auc FROM r GROUP BY lang""",
+)
 def auc(t: Tables) -> DataFrame:
     """The chance that a right row has the higher confidence, ties half."""
     return metrics.auc(_scored(t), "conf", F.col("ok"), ["lang"]).select("lang", F.round("auc", 9).alias("auc"))
@@ -67,7 +81,11 @@ def per_class(t: Tables) -> DataFrame:
     return metrics.per_class(metrics.confusion(_guessed(t), "lang", "guess"))
 
 
-@query("truth string, predicted string, count bigint", f"SELECT lang AS truth, {_GUESS} AS predicted, count(*) AS count FROM documents WHERE lang <> {_GUESS} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 3")
+@query(
+    "truth string, predicted string, count bigint",
+    f"""SELECT lang AS truth, {_GUESS} AS predicted, count(*) AS count
+        FROM documents WHERE lang <> {_GUESS} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 3""",
+)
 def top_confusions(t: Tables) -> DataFrame:
     """The three most frequent mistakes."""
     return metrics.top_confusions(metrics.confusion(_guessed(t), "lang", "guess"), 3)
@@ -93,19 +111,34 @@ def rounded_histogram(t: Tables) -> DataFrame:
     return metrics.rounded_histogram(t("part"), "p_retailprice", 10.0, ["p_brand"])
 
 
-@query("lang string, min double, p05 double, median double, max double", "SELECT lang, min(n_chars) AS min, round(quantile_cont(n_chars, 0.05), 6) AS p05, median(n_chars) AS median, max(n_chars) AS max FROM documents GROUP BY lang")
+@query(
+    "lang string, min double, p05 double, median double, max double",
+    """SELECT lang, min(n_chars) AS min, round(quantile_cont(n_chars, 0.05),
+        6) AS p05, median(n_chars) AS median, max(n_chars) AS max FROM documents
+        GROUP BY lang""",
+)
 def dist_summary(t: Tables) -> DataFrame:
     """Least, fifth percentile, median and largest."""
     return metrics.distribution(t("documents"), "n_chars", ["lang"]).withColumn("p05", F.round("p05", 6))
 
 
-@query("l_orderkey bigint, n bigint, low double, high double", "SELECT l_orderkey, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2 AND min(l_quantity) < 10 AND max(l_quantity) >= 10")
+@query(
+    "l_orderkey bigint, n bigint, low double, high double",
+    """SELECT l_orderkey, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high
+        FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2 AND min(l_quantity) < 10 AND max(l_quantity) >= 10""",
+)
 def mixed_pages(t: Tables) -> DataFrame:
     """Orders with small and large lines."""
     return metrics.mixed_groups(t("lineitem"), ["l_orderkey"], "l_quantity", 10.0)
 
 
-@query("l_orderkey bigint, first_suspect bigint, last_other bigint", "SELECT l_orderkey, min(l_linenumber) FILTER (l_quantity < 10) AS first_suspect, max(l_linenumber) FILTER (l_quantity >= 10) AS last_other FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity) AS l_linenumber FROM lineitem) GROUP BY l_orderkey HAVING min(l_linenumber) FILTER (l_quantity < 10) < max(l_linenumber) FILTER (l_quantity >= 10)")
+@query(
+    "l_orderkey bigint, first_suspect bigint, last_other bigint",
+    """SELECT l_orderkey, min(l_linenumber) FILTER (l_quantity < 10) AS first_suspect, max(l_linenumber) FILTER (l_quantity >= 10) AS last_other
+        FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_extendedprice, l_quantity) AS l_linenumber
+        FROM lineitem) GROUP BY l_orderkey HAVING min(l_linenumber) FILTER (l_quantity < 10) < max(l_linenumber) FILTER (l_quantity >= 10)""",
+)
 def shifted_pages(t: Tables) -> DataFrame:
     """Orders whose small lines aren't last."""
     return metrics.shifted_groups(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_extendedprice", "l_quantity"], F.col("l_quantity") < 10)
@@ -145,7 +178,12 @@ def systematic_sample(t: Tables) -> DataFrame:
     return pairs.select("n", "k", F.array_join(metrics.systematic_sample(F.col("n"), F.col("k")), ",").alias("sample"))
 
 
-@query("exact double, within_one double, square double", "WITH r AS (SELECT CASE WHEN doc_id % 2 = 0 AND lang = 'de' THEN 1 ELSE 0 END + CASE WHEN n_chars % 10 = 3 THEN 1 ELSE 0 END AS e FROM documents) SELECT avg(CASE WHEN e = 0 THEN 1.0 ELSE 0.0 END) AS exact, avg(CASE WHEN e <= 1 THEN 1.0 ELSE 0.0 END) AS within_one, (2 * count(*) - sum(e)) / (2.0 * count(*)) AS square FROM r")
+@query(
+    "exact double, within_one double, square double",
+    """WITH r AS (SELECT CASE WHEN doc_id % 2 = 0 AND lang = 'de' THEN 1 ELSE 0 END + CASE WHEN n_chars % 10 = 3 THEN 1 ELSE 0 END AS e
+        FROM documents) SELECT avg(CASE WHEN e = 0 THEN 1.0 ELSE 0.0 END) AS exact, avg(CASE WHEN e <= 1 THEN 1.0 ELSE 0.0 END) AS within_one,
+        (2 * count(*) - sum(e)) / (2.0 * count(*)) AS square FROM r""",
+)
 def board_accuracy(t: Tables) -> DataFrame:
     """Exact arrays, arrays with one mistake at most, right elements."""
     c = F.col
@@ -153,7 +191,13 @@ def board_accuracy(t: Tables) -> DataFrame:
     return metrics.board_accuracy(rows, "truth", "guess")
 
 
-@query("event_id bigint, fraction double, shown string", "SELECT event_id, round(CASE WHEN user_id % 10 = 0 THEN CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END WHEN user_id % 10 = 1 THEN 0.5 ELSE 1 / (1 + pow(10.0, -CAST(event_id % 801 - 400 AS DOUBLE) / 400)) END, 9) AS fraction, CASE WHEN user_id % 10 = 0 THEN CASE WHEN value > 50 THEN 'M3' ELSE '-M3' END WHEN user_id % 10 = 1 THEN '' ELSE replace(format('{:+.2f}', CAST(event_id % 801 - 400 AS DOUBLE) / 100), '.', ',') END AS shown FROM events")
+@query(
+    "event_id bigint, fraction double, shown string",
+    """SELECT event_id, round(CASE WHEN user_id % 10 = 0 THEN CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END WHEN user_id % 10 = 1 THEN 0.5 ELSE 1 / (1 + pow(10.0,
+        -CAST(event_id % 801 - 400 AS DOUBLE) / 400)) END, 9) AS fraction, CASE WHEN user_id % 10 = 0 THEN CASE WHEN value > 50 THEN 'M3' ELSE '-M3' END WHEN user_id % 10 = 1 THEN '' ELSE replace(format('{:+.2f}',
+        CAST(event_id % 801 - 400 AS DOUBLE) / 100), '.', ',') END AS shown
+        FROM events""",
+)
 def evaluation_scale(t: Tables) -> DataFrame:
     """Engine evaluations as a fraction and as text."""
     c = F.col

@@ -29,7 +29,11 @@ def batch_totals(t: Tables) -> DataFrame:
     return gallery.batch_totals(_batch(t))
 
 
-@query("label bigint, mean double", "SELECT label, round(avg(CASE WHEN vec_id % 4 = 0 THEN 0 ELSE vec_id % 100 / 100.0 END), 9) AS mean FROM embeddings GROUP BY label")
+@query(
+    "label bigint, mean double",
+    """SELECT label, round(avg(CASE WHEN vec_id % 4 = 0 THEN 0 ELSE vec_id % 100 / 100.0 END),
+        9) AS mean FROM embeddings GROUP BY label""",
+)
 def mean_confidence(t: Tables) -> DataFrame:
     """The mean confidence of all positions of a book; a quarter of them have none."""
     value = F.when(F.col("vec_id") % 4 != 0, (F.col("vec_id") % 100) / F.lit(100.0))
@@ -100,13 +104,21 @@ def match_diagrams(t: Tables) -> DataFrame:
     return found.select("o_orderkey", "games_matched")
 
 
-@query("vec_id bigint, score double", "SELECT vec_id, round(abs(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * CASE WHEN ((i - 1) // 8 + (i - 1) % 8) % 2 = 0 THEN 1 ELSE -1 END))) / 32, 6) AS score FROM embeddings")
+@query(
+    "vec_id bigint, score double",
+    """SELECT vec_id, round(abs(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * CASE WHEN ((i - 1) // 8 + (i - 1) % 8) % 2 = 0 THEN 1 ELSE -1 END))) / 32,
+        6) AS score FROM embeddings""",
+)
 def checker_score(t: Tables) -> DataFrame:
     """How chequered 64 means are."""
     return t("embeddings").select("vec_id", F.round(gallery.checker_score(F.col("embedding").cast("array<double>")), 6).alias("score"))
 
 
-@query("c_custkey bigint, status string", "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'skipped' END AS status FROM customer")
+@query(
+    "c_custkey bigint, status string",
+    """SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'skipped' END AS status
+        FROM customer""",
+)
 def books_to_run(t: Tables) -> DataFrame:
     """Books whose output is there already are skipped."""
     return gallery.to_run(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")

@@ -19,7 +19,12 @@ def _signatures(t: Tables) -> DataFrame:
     return t("embeddings").select("vec_id", "label", F.array(word).alias("words"))
 
 
-@query("label bigint, a bigint, b bigint, distance bigint", f"WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.s, y.s), lambda z: abs(z[1] - z[2]))) AS distance FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 20")
+@query(
+    "label bigint, a bigint, b bigint, distance bigint",
+    f"""WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.s,
+        y.s), lambda z: abs(z[1] - z[2]))) AS distance FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id)
+        SELECT * FROM p WHERE distance <= 20""",
+)
 def near_dup_pairs(t: Tables) -> DataFrame:
     """Pairs of one label whose signatures differ in few bits."""
     return similarity.near_pairs(_signatures(t), "vec_id", "label", "words", 20)
@@ -30,7 +35,11 @@ _NEAREST_SQL = f"""WITH v AS ({_SIGNATURE_SQL}), p AS (SELECT x.vec_id, y.vec_id
     SELECT c.vec_id, c.row_id, c.label, c.d AS distance, (SELECT min(q.d) FROM p q WHERE q.vec_id = c.vec_id AND q.label <> c.label) AS runner_up FROM c"""
 
 
-@query("vec_id bigint, row_id bigint, label bigint, distance bigint, runner_up bigint, ambiguous boolean", f"SELECT *, coalesce(runner_up - distance < 4, false) AS ambiguous FROM ({_NEAREST_SQL})")
+@query(
+    "vec_id bigint, row_id bigint, label bigint, distance bigint, runner_up bigint, ambiguous boolean",
+    f"""SELECT *, coalesce(runner_up - distance < 4, false) AS ambiguous
+        FROM ({_NEAREST_SQL})""",
+)
 def hamming_nn(t: Tables) -> DataFrame:
     """Queries (ids divisible by 50) against all other rows: nearest, and the nearest of another label."""
     v = _signatures(t)
@@ -54,7 +63,11 @@ def _boxes(t: Tables) -> DataFrame:
 _BOXES_SQL = "SELECT p_brand || '/' || p_size AS page, p_partkey AS idx, CAST(p_partkey * 37 % 400 AS DOUBLE) AS x0, CAST(p_partkey * 91 % 600 AS DOUBLE) AS y0, CAST(p_partkey * 37 % 400 + 40 + p_partkey % 80 AS DOUBLE) AS x1, CAST(p_partkey * 91 % 600 + 40 + p_partkey % 80 AS DOUBLE) AS y1 FROM part"
 
 
-@query("page string, idx bigint, position bigint", f"SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY y0, x0, idx) - 1 AS position FROM ({_BOXES_SQL})")
+@query(
+    "page string, idx bigint, position bigint",
+    f"""SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY y0, x0, idx) - 1 AS position
+        FROM ({_BOXES_SQL})""",
+)
 def reading_order_rows(t: Tables) -> DataFrame:
     """Boxes in rows."""
     return similarity.reading_order(_boxes(t), ["page"], "row")
@@ -66,7 +79,12 @@ def reading_order_columns(t: Tables) -> DataFrame:
     return similarity.reading_order(_boxes(t), ["page"])
 
 
-@query("page string, idx bigint, band bigint", f"WITH b AS (SELECT *, max(x1) OVER (PARTITION BY page ORDER BY x0, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ({_BOXES_SQL})) SELECT page, idx, sum(CASE WHEN x0 >= m THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x0, idx) AS band FROM b")
+@query(
+    "page string, idx bigint, band bigint",
+    f"""WITH b AS (SELECT *, max(x1) OVER (PARTITION BY page ORDER BY x0, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+        FROM ({_BOXES_SQL})) SELECT page, idx, sum(CASE WHEN x0 >= m THEN 1 ELSE 0 END) OVER (PARTITION BY page
+        ORDER BY x0, idx) AS band FROM b""",
+)
 def page_columns(t: Tables) -> DataFrame:
     """Boxes in columns that don't overlap."""
     return similarity.columns_of(_boxes(t), ["page"]).withColumnRenamed("column", "band")
@@ -115,7 +133,13 @@ def diff_runs_counts(t: Tables) -> DataFrame:
     return _runs(t).agg(F.count_if(F.col("change").isin("lost", "moved")).alias("lost"), F.count_if(F.col("change").isin("gained", "moved")).alias("gained"))
 
 
-@query("page string, point bigint, idx bigint", f"WITH b AS ({_BOXES_SQL}), p AS (SELECT page, idx AS point, x0 + 25 AS x, y0 + 25 AS y FROM b) SELECT p.page, p.point, arg_min(b.idx, ((x1 - x0) * (y1 - y0), b.idx)) AS idx FROM p JOIN b ON b.page = p.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2")
+@query(
+    "page string, point bigint, idx bigint",
+    f"""WITH b AS ({_BOXES_SQL}), p AS (SELECT page, idx AS point, x0 + 25 AS x, y0 + 25 AS y
+        FROM b) SELECT p.page, p.point, arg_min(b.idx, ((x1 - x0) * (y1 - y0),
+        b.idx)) AS idx FROM p JOIN b ON b.page = p.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1
+        GROUP BY 1, 2""",
+)
 def hit_test(t: Tables) -> DataFrame:
     """The smallest box under each point."""
     b = _boxes(t)
@@ -292,7 +316,12 @@ def caption_parse(t: Tables) -> DataFrame:
     return captions.withColumn("c", text.caption_context("caption")).select("p_partkey", "caption", "c.side", "c.exercise", "c.white", "c.black", "c.event", "c.year")
 
 
-@query("event_id bigint, spelled string, share string", "SELECT event_id, replace(format('{:,}', event_id * 1000 + 7), ',', '.') AS spelled, replace(format('{:.1f}', CAST(event_id % 1000 AS DOUBLE) / 10), '.', ',') || '%' AS share FROM events")
+@query(
+    "event_id bigint, spelled string, share string",
+    """SELECT event_id, replace(format('{:,}', event_id * 1000 + 7),
+        ',', '.') AS spelled, replace(format('{:.1f}', CAST(event_id % 1000 AS DOUBLE) / 10),
+        '.', ',') || '%' AS share FROM events""",
+)
 def number_formats(t: Tables) -> DataFrame:
     """Numbers with points between thousands and percentages with a comma."""
     return t("events").select("event_id", text.thousands(F.col("event_id") * 1000 + 7).alias("spelled"), text.percent((F.col("event_id") % 1000) / F.lit(1000.0)).alias("share"))

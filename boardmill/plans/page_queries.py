@@ -10,7 +10,11 @@ from .catalogue import Tables, query
 from .layout_queries import _BOXES_SQL, _boxes, _fens
 
 
-@query("source string, total bigint, defaults bigint, resolved_share double", "SELECT source, count(*) AS total, count(*) FILTER (lang = 'en') AS defaults, (count(*) - count(*) FILTER (lang = 'en')) / count(*) AS resolved_share FROM documents GROUP BY ROLLUP (source)")
+@query(
+    "source string, total bigint, defaults bigint, resolved_share double",
+    """SELECT source, count(*) AS total, count(*) FILTER (lang = 'en') AS defaults, (count(*) - count(*) FILTER (lang = 'en')) / count(*) AS resolved_share
+        FROM documents GROUP BY ROLLUP (source)""",
+)
 def sides_survey(t: Tables) -> DataFrame:
     """How many sides to move are resolved, per book and in total."""
     return pages.sides_survey(t("documents").withColumn("o", F.when(F.col("lang") == "en", "default").otherwise("text")), "source", "o")
@@ -28,7 +32,12 @@ def detection_census(t: Tables) -> DataFrame:
     return pages.detection_census(_boxes(t).withColumn("book", F.split_part("page", F.lit("/"), F.lit(1))).withColumn("trimmed", F.col("idx") % 3 == 0), "book")
 
 
-@query("reason string, count bigint", "SELECT reason, count(*) AS count FROM (SELECT CASE WHEN n_chars > 20000 THEN 'syntax' WHEN d.doc_id % 10 = 0 THEN 'split' WHEN lang = 'es' AND d.doc_id % 4 <> 0 THEN 'fatal' WHEN l.doc_id IS NULL THEN 'missing' END AS reason FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id) GROUP BY reason")
+@query(
+    "reason string, count bigint",
+    """SELECT reason, count(*) AS count FROM (SELECT CASE WHEN n_chars > 20000 THEN 'syntax' WHEN d.doc_id % 10 = 0 THEN 'split' WHEN lang = 'es' AND d.doc_id % 4 <> 0 THEN 'fatal' WHEN l.doc_id IS NULL THEN 'missing' END AS reason
+        FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)
+        GROUP BY reason""",
+)
 def training_scan(t: Tables) -> DataFrame:
     """Why rows don't train: one reason each, by order."""
     c = F.col
@@ -37,7 +46,12 @@ def training_scan(t: Tables) -> DataFrame:
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("outcome string, side string, count bigint", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN lang IN ('en', 'de') THEN 'fen' WHEN n_chars % 2 = 0 THEN 'legality' ELSE 'unknown' END AS outcome, CASE WHEN doc_id % 3 = 0 THEN 'w' WHEN lang = 'en' THEN 'w' WHEN lang = 'de' THEN 'b' WHEN n_chars % 2 = 0 THEN 'b' ELSE '' END AS side, count(*) AS count FROM documents GROUP BY 1, 2")
+@query(
+    "outcome string, side string, count bigint",
+    """SELECT CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN lang IN ('en', 'de') THEN 'fen' WHEN n_chars % 2 = 0 THEN 'legality' ELSE 'unknown' END AS outcome,
+        CASE WHEN doc_id % 3 = 0 THEN 'w' WHEN lang = 'en' THEN 'w' WHEN lang = 'de' THEN 'b' WHEN n_chars % 2 = 0 THEN 'b' ELSE '' END AS side,
+        count(*) AS count FROM documents GROUP BY 1, 2""",
+)
 def label_migration(t: Tables) -> DataFrame:
     """Sides from the column, the position text or proof, and how many of each."""
     c = F.col
@@ -45,7 +59,14 @@ def label_migration(t: Tables) -> DataFrame:
     return t("documents").select(m.alias("m")).groupBy("m.outcome", "m.side").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("conv_id bigint, side string", "WITH l AS (SELECT conv_id, CASE WHEN turn < 2 THEN 0 ELSE 1 END AS tier, CASE WHEN length(text) % 3 = 0 THEN 'w' WHEN length(text) % 3 = 1 THEN 'b' END AS side, turn % 2 = 0 AS printed FROM conversations), g AS (SELECT conv_id, tier, list_distinct(list(side)) AS s, list_distinct(list(CASE WHEN printed THEN side END)) AS p FROM l WHERE side IS NOT NULL GROUP BY conv_id, tier), o AS (SELECT conv_id, tier, CASE WHEN len(s) = 1 THEN s[1] WHEN len(p) = 1 THEN p[1] END AS side FROM g) SELECT conv_id, side FROM o QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY tier) = 1")
+@query(
+    "conv_id bigint, side string",
+    """WITH l AS (SELECT conv_id, CASE WHEN turn < 2 THEN 0 ELSE 1 END AS tier, CASE WHEN length(text) % 3 = 0 THEN 'w' WHEN length(text) % 3 = 1 THEN 'b' END AS side,
+        turn % 2 = 0 AS printed FROM conversations), g AS (SELECT conv_id, tier, list_distinct(list(side)) AS s, list_distinct(list(CASE WHEN printed THEN side END)) AS p
+        FROM l WHERE side IS NOT NULL GROUP BY conv_id, tier), o AS (SELECT conv_id, tier, CASE WHEN len(s) = 1 THEN s[1] WHEN len(p) = 1 THEN p[1] END AS side
+        FROM g) SELECT conv_id, side FROM o QUALIFY row_number() OVER (PARTITION BY conv_id
+        ORDER BY tier) = 1""",
+)
 def tier_side(t: Tables) -> DataFrame:
     """The side that the first tier which speaks agrees on."""
     size = F.length("text") % 3
@@ -53,7 +74,14 @@ def tier_side(t: Tables) -> DataFrame:
     return pages.tier_side(lines, ["conv_id"])
 
 
-@query("o_custkey bigint, o_orderkey bigint, side string, side_origin string", "WITH c AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'w' END AS side FROM orders), d AS (SELECT o_custkey, o_orderkey % 2 AS ocr, list_distinct(list(CASE WHEN o_totalprice > 200000 THEN 'w' ELSE 'b' END)) AS s FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2), k AS (SELECT o_custkey, arg_min(s[1], ocr) AS scope FROM d WHERE len(s) = 1 GROUP BY 1) SELECT c.o_custkey, o_orderkey, coalesce(side, scope) AS side, CASE WHEN side IS NOT NULL THEN 'caption' WHEN scope IS NOT NULL THEN 'page' END AS side_origin FROM c LEFT JOIN k ON k.o_custkey = c.o_custkey")
+@query(
+    "o_custkey bigint, o_orderkey bigint, side string, side_origin string",
+    """WITH c AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'w' END AS side
+        FROM orders), d AS (SELECT o_custkey, o_orderkey % 2 AS ocr, list_distinct(list(CASE WHEN o_totalprice > 200000 THEN 'w' ELSE 'b' END)) AS s
+        FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2), k AS (SELECT o_custkey, arg_min(s[1], ocr) AS scope
+        FROM d WHERE len(s) = 1 GROUP BY 1) SELECT c.o_custkey, o_orderkey, coalesce(side, scope) AS side, CASE WHEN side IS NOT NULL THEN 'caption' WHEN scope IS NOT NULL THEN 'page' END AS side_origin
+        FROM c LEFT JOIN k ON k.o_custkey = c.o_custkey""",
+)
 def page_scope(t: Tables) -> DataFrame:
     """What a page declares as one fills the sides that captions leave open."""
     c = F.col
@@ -62,7 +90,13 @@ def page_scope(t: Tables) -> DataFrame:
     return pages.page_scope(contexts, said, ["o_custkey"])
 
 
-@query("page bigint, diagrams string", "SELECT page, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d) AS diagrams FROM (SELECT DISTINCT doc_id // 7 - 1 AS page, n_chars % 5 - 1 AS d FROM documents WHERE source = 'src3' AND doc_id // 7 >= 1 AND n_chars % 5 >= 1) GROUP BY page")
+@query(
+    "page bigint, diagrams string",
+    """SELECT page, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d) AS diagrams
+        FROM (SELECT DISTINCT doc_id // 7 - 1 AS page, n_chars % 5 - 1 AS d
+        FROM documents WHERE source = 'src3' AND doc_id // 7 >= 1 AND n_chars % 5 >= 1)
+        GROUP BY page""",
+)
 def saved_diagrams(t: Tables) -> DataFrame:
     """One book's saved diagrams by page, from texts that count from 1."""
     labels = t("documents").select(F.col("source").alias("source_pdf"), F.expr("doc_id div 7").cast("string").alias("source_page"), (F.col("n_chars") % 5).cast("string").alias("source_diagram"))
@@ -84,7 +118,11 @@ def field_counters(t: Tables) -> DataFrame:
     return pages.field_counters(annotated, read, matches, ["page"])
 
 
-@query("page string, idx bigint, state string", f"SELECT page, idx, CASE WHEN idx % 4 = 0 THEN 'saved' WHEN idx % 3 = 0 THEN 'confirmed' WHEN idx % 5 = 0 THEN 'fatal' WHEN x0 < 100 THEN 'low' ELSE 'read' END AS state FROM ({_BOXES_SQL})")
+@query(
+    "page string, idx bigint, state string",
+    f"""SELECT page, idx, CASE WHEN idx % 4 = 0 THEN 'saved' WHEN idx % 3 = 0 THEN 'confirmed' WHEN idx % 5 = 0 THEN 'fatal' WHEN x0 < 100 THEN 'low' ELSE 'read' END AS state
+        FROM ({_BOXES_SQL})""",
+)
 def box_states(t: Tables) -> DataFrame:
     """The most telling state of each box, with flags from joins."""
     b = _boxes(t).select("page", "idx", "x0")
@@ -105,7 +143,13 @@ def union_candidates(t: Tables) -> DataFrame:
     return pages.union_candidates(b.where("idx % 2 = 0").withColumn("merged", F.col("idx") % 4 == 0), moved, ["page"])
 
 
-@query("page string, idx bigint, score double", f"SELECT page, idx, greatest(0, 1 - abs((x1 - x0) / (y1 - y0) - 1) / 0.2) AS score FROM (SELECT page, idx, x0, y0, x1, y1 + idx % 31 AS y1 FROM ({_BOXES_SQL})) WHERE (x1 - x0) * (y1 - y0) <= 0.7 * 15000 AND 100 + idx % 60 >= 120 AND abs((x1 - x0) / (y1 - y0) - 1) <= 0.2 AND least(x1 - x0, y1 - y0) >= 72")
+@query(
+    "page string, idx bigint, score double",
+    f"""SELECT page, idx, greatest(0, 1 - abs((x1 - x0) / (y1 - y0) - 1) / 0.2) AS score
+        FROM (SELECT page, idx, x0, y0, x1, y1 + idx % 31 AS y1 FROM ({_BOXES_SQL}))
+        WHERE (x1 - x0) * (y1 - y0) <= 0.7 * 15000 AND 100 + idx % 60 >= 120 AND abs((x1 - x0) / (y1 - y0) - 1) <= 0.2 AND least(x1 - x0,
+        y1 - y0) >= 72""",
+)
 def image_candidates(t: Tables) -> DataFrame:
     """Embedded images that may be boards."""
     b = _boxes(t).withColumn("y1", F.col("y1") + F.col("idx") % 31).withColumn("native_width", F.lit(100) + F.col("idx") % 60).withColumn("native_height", F.lit(500)).drop("score")
@@ -118,13 +162,22 @@ def predupe(t: Tables) -> DataFrame:
     return pages.predupe(_boxes(t), ["page"])
 
 
-@query("lang string, source string, n bigint", "SELECT lang, source, count(*) AS n FROM documents WHERE contains(source, 'src1') OR contains(source, 'c3') GROUP BY lang, source")
+@query(
+    "lang string, source string, n bigint",
+    """SELECT lang, source, count(*) AS n FROM documents WHERE contains(source, 'src1') OR contains(source, 'c3')
+        GROUP BY lang, source""",
+)
 def choose_books(t: Tables) -> DataFrame:
     """Books by parts of their names."""
     return pages.choose_books(t("documents"), "source", ["SRC1", "c3"]).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c_custkey bigint, o_orderkey bigint, move_number bigint, side string, verified boolean", "SELECT o_custkey AS c_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 40 ELSE 0 END AS move_number, CASE WHEN o_orderstatus = 'F' THEN 'w' ELSE '' END AS side, o_orderstatus = 'F' AS verified FROM orders WHERE o_custkey % 9 = 0")
+@query(
+    "c_custkey bigint, o_orderkey bigint, move_number bigint, side string, verified boolean",
+    """SELECT o_custkey AS c_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 40 ELSE 0 END AS move_number,
+        CASE WHEN o_orderstatus = 'F' THEN 'w' ELSE '' END AS side, o_orderstatus = 'F' AS verified
+        FROM orders WHERE o_custkey % 9 = 0""",
+)
 def search_by_name(t: Tables) -> DataFrame:
     """Games of some players, those with the position marked as verified."""
     games = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
@@ -132,13 +185,24 @@ def search_by_name(t: Tables) -> DataFrame:
     return pages.search_by_name(games, hits, F.col("c_custkey") % 9 == 0, ["o_orderkey"])
 
 
-@query("doc_id bigint, leader bigint, size bigint", "SELECT doc_id, min(doc_id) OVER w AS leader, count(*) OVER w AS size FROM documents WINDOW w AS (PARTITION BY text) QUALIFY count(*) OVER w > 1")
+@query(
+    "doc_id bigint, leader bigint, size bigint",
+    """SELECT doc_id, min(doc_id) OVER w AS leader, count(*) OVER w AS size
+        FROM documents WINDOW w AS (PARTITION BY text) QUALIFY count(*) OVER w > 1""",
+)
 def groups_by_origin(t: Tables) -> DataFrame:
     """Groups of two or more of one origin."""
     return pages.groups_of(t("documents").select("doc_id", F.sha2("text", 256).alias("digest")), ["digest"], "doc_id")
 
 
-@query("conv_id bigint, turn bigint, taken string", "WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, role, CASE WHEN length(text) % 4 = 0 THEN role END AS chosen FROM conversations) SELECT a.conv_id, a.turn, arg_min(b.chosen, (abs(a.n - b.n), b.n)) AS taken FROM e a JOIN e b ON b.conv_id = a.conv_id AND abs(a.n - b.n) BETWEEN 1 AND 3 AND b.chosen IN (a.role, 'assistant') WHERE a.chosen IS NULL GROUP BY a.conv_id, a.turn")
+@query(
+    "conv_id bigint, turn bigint, taken string",
+    """WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn) AS n, turn, role, CASE WHEN length(text) % 4 = 0 THEN role END AS chosen
+        FROM conversations) SELECT a.conv_id, a.turn, arg_min(b.chosen, (abs(a.n - b.n),
+        b.n)) AS taken FROM e a JOIN e b ON b.conv_id = a.conv_id AND abs(a.n - b.n) BETWEEN 1 AND 3 AND b.chosen IN (a.role,
+        'assistant') WHERE a.chosen IS NULL GROUP BY a.conv_id, a.turn""",
+)
 def neighbour_games(t: Tables) -> DataFrame:
     """Rows without a choice take the nearest neighbour's, if it is among their own."""
     rows = t("conversations").select("conv_id", "turn", F.row_number().over(_by_turn()).alias("n"), F.array("role", F.lit("assistant")).alias("games"), F.when(F.length("text") % 4 == 0, F.col("role")).alias("chosen"))
@@ -152,14 +216,25 @@ def _by_turn():
     return Window.partitionBy("conv_id").orderBy("turn")
 
 
-@query("name string, line string", "WITH r AS (SELECT lang AS name, count(*) AS n FROM documents GROUP BY lang) SELECT name, printf('| %s | %.4f | %+.4f |', name, CAST(n AS DOUBLE), CAST(n - (SELECT n FROM r WHERE name = 'en') AS DOUBLE)) AS line FROM r")
+@query(
+    "name string, line string",
+    """WITH r AS (SELECT lang AS name, count(*) AS n FROM documents GROUP BY lang)
+        SELECT name, printf('| %s | %.4f | %+.4f |', name, CAST(n AS DOUBLE),
+        CAST(n - (SELECT n FROM r WHERE name = 'en') AS DOUBLE)) AS line
+        FROM r""",
+)
 def markdown_report(t: Tables) -> DataFrame:
     """A table of results with the difference to one of them."""
     counts = t("documents").groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     return pages.markdown(counts, "name", "n", "en")
 
 
-@query("n bigint, sample string", "WITH p AS (SELECT unnest([1, 4, 30, 200]) AS n) SELECT n, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN 5 >= n THEN range(0, n) ELSE list_transform(range(1, 6), lambda i: CAST(round_even(n / CAST(6 AS DOUBLE) * i, 0) AS BIGINT)) END, range(0, least(n, 8))))), ',') AS sample FROM p")
+@query(
+    "n bigint, sample string",
+    """WITH p AS (SELECT unnest([1, 4, 30, 200]) AS n) SELECT n, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN 5 >= n THEN range(0,
+        n) ELSE list_transform(range(1, 6), lambda i: CAST(round_even(n / CAST(6 AS DOUBLE) * i, 0) AS BIGINT)) END, range(0,
+        least(n, 8))))), ',') AS sample FROM p""",
+)
 def census_pages(t: Tables) -> DataFrame:
     """Sampled pages and the first eight."""
     n = t.spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 4, 30, 200)))).alias("n"))

@@ -40,14 +40,25 @@ def merge_partials(t: Tables) -> DataFrame:
     return search.merge_partials(halves[0].unionByName(halves[1]), ["key"]).withColumn("hits", _hits())
 
 
-@query("l_suppkey bigint, l_returnflag string, l_orderkey bigint, l_linenumber bigint", "SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_suppkey % 7 = 0 AND l_returnflag <> 'N') WHERE r <= 40")
+@query(
+    "l_suppkey bigint, l_returnflag string, l_orderkey bigint, l_linenumber bigint",
+    """SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey,
+        l_returnflag ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem
+        WHERE l_suppkey % 7 = 0 AND l_returnflag <> 'N') WHERE r <= 40""",
+)
 def pair_search_capped(t: Tables) -> DataFrame:
     """Rows of the wanted pairs, 40 of each at most."""
     wanted = t("supplier").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.array(F.lit("A"), F.lit("R"))).alias("l_returnflag"))
     return search.pairs_capped(t("lineitem"), wanted, ["l_suppkey", "l_returnflag"], ["l_orderkey", "l_linenumber"])
 
 
-@query("one string, two string, lines bigint", "SELECT least(a.n_name, b.n_name) AS one, greatest(a.n_name, b.n_name) AS two, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey GROUP BY 1, 2")
+@query(
+    "one string, two string, lines bigint",
+    """SELECT least(a.n_name, b.n_name) AS one, greatest(a.n_name, b.n_name) AS two, count(*) AS lines
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+        JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = c_nationkey
+        JOIN nation b ON b.n_nationkey = s_nationkey GROUP BY 1, 2""",
+)
 def unordered_pair(t: Tables) -> DataFrame:
     """Lines between two nations whichever of them buys."""
     nation = t("nation")
@@ -70,7 +81,13 @@ def rerank_candidates(t: Tables) -> DataFrame:
     return kept.select("key", r["hits"].alias("hits"), r["sure"].alias("sure")).withColumn("hits", _hits())
 
 
-@query("p_brand string, bucket string, diagrams bigint, games bigint", "WITH n AS (SELECT p_brand, count(*) AS c FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand, p_partkey), b AS (SELECT p_brand, c, CASE WHEN c <= 1 THEN '1' WHEN c <= 2 THEN '2' WHEN c <= 5 THEN '3-5' WHEN c <= 20 THEN '6-20' WHEN c <= 100 THEN '21-100' ELSE '>100' END AS bucket FROM n) SELECT p_brand, bucket, count(*) AS diagrams, sum(c) AS games FROM b GROUP BY GROUPING SETS ((p_brand, bucket), (bucket))")
+@query(
+    "p_brand string, bucket string, diagrams bigint, games bigint",
+    """WITH n AS (SELECT p_brand, count(*) AS c FROM lineitem JOIN part ON p_partkey = l_partkey
+        GROUP BY p_brand, p_partkey), b AS (SELECT p_brand, c, CASE WHEN c <= 1 THEN '1' WHEN c <= 2 THEN '2' WHEN c <= 5 THEN '3-5' WHEN c <= 20 THEN '6-20' WHEN c <= 100 THEN '21-100' ELSE '>100' END AS bucket
+        FROM n) SELECT p_brand, bucket, count(*) AS diagrams, sum(c) AS games
+        FROM b GROUP BY GROUPING SETS ((p_brand, bucket), (bucket))""",
+)
 def ambiguity_census(t: Tables) -> DataFrame:
     """Keys by how many occurrences they have, per brand and in total."""
     counts = t("lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("count")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
@@ -114,13 +131,22 @@ def ledger_answered(t: Tables) -> DataFrame:
     return answers.crossJoin(asked.agg(F.count(F.lit(1)).alias("asked")))
 
 
-@query("o_orderstatus string, o_orderkey bigint", "WITH r AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders), q AS (SELECT greatest(1, 100 // count(DISTINCT o_orderstatus)) AS quota FROM orders) SELECT o_orderstatus, o_orderkey FROM r, q ORDER BY n > quota, o_orderstatus, n LIMIT 100")
+@query(
+    "o_orderstatus string, o_orderkey bigint",
+    """WITH r AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus
+        ORDER BY o_orderkey) AS n FROM orders), q AS (SELECT greatest(1, 100 // count(DISTINCT o_orderstatus)) AS quota
+        FROM orders) SELECT o_orderstatus, o_orderkey FROM r, q ORDER BY n > quota, o_orderstatus, n LIMIT 100""",
+)
 def fair_share(t: Tables) -> DataFrame:
     """A hundred rows, as evenly from the groups as they allow."""
     return search.fair_share(t("orders").select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], ["o_orderkey"], 100)
 
 
-@query("l_orderkey bigint, l_linenumber bigint, l_partkey bigint", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey")
+@query(
+    "l_orderkey bigint, l_linenumber bigint, l_partkey bigint",
+    """SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey
+        FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey""",
+)
 def first_position(t: Tables) -> DataFrame:
     """Each order's first returned line."""
     return search.first_position(t("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber", "l_partkey"])
@@ -176,7 +202,11 @@ def human_only(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"))
 
 
-@query("event_id bigint, value string, filled string", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'typed' ELSE event_type END AS value, CASE WHEN user_id % 3 = 0 THEN 'k' ELSE 'type,k' END AS filled FROM events")
+@query(
+    "event_id bigint, value string, filled string",
+    """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'typed' ELSE event_type END AS value, CASE WHEN user_id % 3 = 0 THEN 'k' ELSE 'type,k' END AS filled
+        FROM events""",
+)
 def restore_human(t: Tables) -> DataFrame:
     """Typed values go over filled ones and are no longer filled."""
     rows = t("events").select("event_id", F.create_map(F.lit("type"), "event_type").alias("headers"), F.array(F.lit("type"), F.lit("k")).alias("filled_fields"))
@@ -185,14 +215,27 @@ def restore_human(t: Tables) -> DataFrame:
     return r.select("event_id", F.col("headers")["type"].alias("value"), F.array_join("filled_fields", ",").alias("filled"))
 
 
-@query("conv_id bigint, turn bigint, neighbours string", "SELECT a.conv_id, a.turn, coalesce(string_agg(DISTINCT b.role, ',' ORDER BY b.role), '') AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) b ON b.conv_id = a.conv_id AND abs(a.n - b.n) BETWEEN 1 AND 3 GROUP BY a.conv_id, a.turn")
+@query(
+    "conv_id bigint, turn bigint, neighbours string",
+    """SELECT a.conv_id, a.turn, coalesce(string_agg(DISTINCT b.role, ','
+        ORDER BY b.role), '') AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn) AS n FROM conversations) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn) AS n FROM conversations) b ON b.conv_id = a.conv_id AND abs(a.n - b.n) BETWEEN 1 AND 3
+        GROUP BY a.conv_id, a.turn""",
+)
 def neighbour_keys(t: Tables) -> DataFrame:
     """The different keys of the rows up to three away."""
     rows = merges.neighbour_keys(t("conversations").withColumn("keys", F.array("role")), ["conv_id"], ["turn"], "keys")
     return rows.select("conv_id", "turn", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query("conv_id bigint, turn bigint, same_key_near bigint", "SELECT a.conv_id, a.turn, count(b.turn) AS same_key_near FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) b ON b.conv_id = a.conv_id AND abs(a.n - b.n) BETWEEN 1 AND 3 AND a.role = b.role GROUP BY a.conv_id, a.turn")
+@query(
+    "conv_id bigint, turn bigint, same_key_near bigint",
+    """SELECT a.conv_id, a.turn, count(b.turn) AS same_key_near FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn) AS n FROM conversations) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn) AS n FROM conversations) b ON b.conv_id = a.conv_id AND abs(a.n - b.n) BETWEEN 1 AND 3 AND a.role = b.role
+        GROUP BY a.conv_id, a.turn""",
+)
 def neighbours_with_key(t: Tables) -> DataFrame:
     """How many rows up to three away share the key."""
     return merges.neighbours_with_key(t("conversations"), ["conv_id"], ["turn"], "role")

@@ -19,7 +19,11 @@ def _folder(t: Tables) -> str:
     return f"{(shared or spark.conf.get('spark.sql.warehouse.dir') + '-shared').rstrip('/')}/boardmill/scan-{uuid.uuid4().hex}"
 
 
-@query("event_type string, n bigint, total double", "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total FROM events GROUP BY event_type")
+@query(
+    "event_type string, n bigint, total double",
+    """SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total
+        FROM events GROUP BY event_type""",
+)
 def resume_scan(t: Tables) -> DataFrame:
     """A stream of the files at hand into two sinks, asked twice: the second call finds nothing new."""
     folder = _folder(t)
