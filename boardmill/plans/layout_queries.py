@@ -90,19 +90,60 @@ def page_columns(t: Tables) -> DataFrame:
     return similarity.columns_of(_boxes(t), ["page"]).withColumnRenamed("column", "band")
 
 
-@query("page string, idx bigint, kept boolean, reason string")
+_SCORED_SQL = f"SELECT *, CAST(idx * 53 % 100 AS DOUBLE) / 100.0 AS score FROM ({_BOXES_SQL})"
+_IOU_SQL = """(greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))
+    / (({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0) + ({b}.x1 - {b}.x0) * ({b}.y1 - {b}.y0)
+    - greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))))"""
+
+
+def greedy_sql(refuse: str) -> str:
+    """(page, idx, reason) of scored boxes taken by falling score, each refused for a reason or kept; z.kept has those kept before."""
+    return f"""WITH RECURSIVE r AS (SELECT *, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS box, row_number() OVER (PARTITION BY page ORDER BY score DESC, idx) AS n, max(score) OVER (PARTITION BY page) AS top,
+        max((x1 - x0) * (y1 - y0)) OVER (PARTITION BY page) AS largest FROM ({_SCORED_SQL})),
+    z AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS idx, '' AS reason, [box][2:] AS kept FROM r WHERE n = 1
+        UNION ALL SELECT page, n, idx, reason, CASE WHEN reason = '' THEN list_append(kept, box) ELSE kept END
+            FROM (SELECT r.page, r.n, r.idx, r.box, z.kept, {refuse} AS reason FROM z JOIN r ON r.page = z.page AND r.n = z.n + 1))
+    SELECT page, idx, reason FROM z WHERE idx IS NOT NULL"""
+
+
+@query(
+    "page string, idx bigint, kept boolean, reason string",
+    "SELECT page, idx, reason = '' AS kept, reason FROM ("
+    + greedy_sql(
+        f"""CASE WHEN r.score < greatest(0.06, 0.25 * r.top) THEN 'low_score'
+        WHEN len(list_filter(z.kept, lambda k: {_IOU_SQL.format(a="r.box", b="k")} > 0.25)) > 0 THEN 'overlap' WHEN len(z.kept) >= 12 THEN 'limit' ELSE '' END"""
+    )
+    + ")",
+)
 def suppress_boxes(t: Tables) -> DataFrame:
     """Greedy suppression of overlapping boxes."""
     return similarity.suppress(_boxes(t), ["page"])
 
 
-@query("page string, x0 double, y0 double, x1 double, y1 double, tiles bigint")
+@query(
+    "page string, x0 double, y0 double, x1 double, y1 double, tiles bigint",
+    f"""WITH RECURSIVE b AS ({_BOXES_SQL}),
+    e AS (SELECT a.page, a.idx AS u, b.idx AS v FROM b a JOIN b ON b.page = a.page AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 2 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 2),
+    r AS (SELECT page, idx AS u, idx AS root FROM b UNION SELECT e.page, e.v, r.root FROM r JOIN e ON e.page = r.page AND e.u = r.u),
+    m AS (SELECT page, u, min(root) AS root FROM r GROUP BY page, u)
+    SELECT b.page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS tiles FROM b JOIN m ON m.page = b.page AND m.u = b.idx GROUP BY b.page, m.root""",
+)
 def tile_merge(t: Tables) -> DataFrame:
     """Touching boxes as one."""
     return similarity.merge_tiles(_boxes(t), ["page"])
 
 
-@query("page string, annotation bigint, reading bigint, iou double")
+@query(
+    "page string, annotation bigint, reading bigint, iou double",
+    f"""WITH RECURSIVE b AS ({_BOXES_SQL}),
+    m AS (SELECT page, idx + 1000000000 AS idx, x0 + idx % 13 AS x0, y0 + idx % 13 AS y0, x1 + idx % 13 AS x1, y1 + idx % 13 AS y1 FROM b),
+    p AS (SELECT b.page, b.idx AS a, m.idx AS c, {_IOU_SQL.format(a="b", b="m")} AS iou FROM b JOIN m ON m.page = b.page),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY iou DESC, a DESC, c DESC) AS n FROM p WHERE iou >= 0.5),
+    z AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS c, CAST(NULL AS DOUBLE) AS iou, false AS taken, CAST([] AS BIGINT[]) AS used FROM r
+        UNION ALL SELECT page, n, a, c, iou, free, CASE WHEN free THEN list_concat(used, [a, c]) ELSE used END
+            FROM (SELECT r.page, r.n, r.a, r.c, r.iou, z.used, NOT list_contains(z.used, r.a) AND NOT list_contains(z.used, r.c) AS free FROM z JOIN r ON r.page = z.page AND r.n = z.n + 1))
+    SELECT page, a AS annotation, c AS reading, iou FROM z WHERE taken""",
+)
 def iou_match(t: Tables) -> DataFrame:
     """Boxes against boxes moved a little, one to one."""
     b = _boxes(t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, pages
 from .catalogue import Tables, query
-from .layout_queries import _BOXES_SQL, _boxes, _fens
+from .layout_queries import _BOXES_SQL, _EXPANDED_SQL, _IOU_SQL, _WHOLE_SQL, _boxes, _fens, greedy_sql
 
 
 @query(
@@ -156,7 +156,15 @@ def image_candidates(t: Tables) -> DataFrame:
     return pages.image_candidates(b, ["page"], F.lit(15000.0))
 
 
-@query("page string, idx bigint")
+@query(
+    "page string, idx bigint",
+    "SELECT page, idx FROM ("
+    + greedy_sql(
+        f"""CASE WHEN (r.x1 - r.x0) * (r.y1 - r.y0) < 0.02 * r.largest THEN 'tiny'
+        WHEN len(list_filter(z.kept, lambda k: {_IOU_SQL.format(a="r.box", b="k")} > 0.9)) > 0 THEN 'overlap' ELSE '' END"""
+    )
+    + ") WHERE reason = ''",
+)
 def predupe(t: Tables) -> DataFrame:
     """Boxes without near repeats and tiny ones."""
     return pages.predupe(_boxes(t), ["page"])
@@ -241,7 +249,13 @@ def census_pages(t: Tables) -> DataFrame:
     return n.select("n", F.array_join(pages.census_pages(F.col("n"), 5, 8, metrics.systematic_sample), ",").alias("sample"))
 
 
-@query("a bigint, b bigint, agreement double, collapsed boolean")
+@query(
+    "a bigint, b bigint, agreement double, collapsed boolean",
+    f"""WITH s AS (SELECT o_orderkey, CASE WHEN {_WHOLE_SQL} THEN replace(x, '/', '') END AS s FROM ({_EXPANDED_SQL})),
+    d AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b, CASE WHEN a.s IS NOT NULL AND b.s IS NOT NULL THEN len(list_filter(range(1, 65), lambda k: a.s[k] <> b.s[k])) END AS n
+        FROM s a JOIN s b ON b.o_orderkey = a.o_orderkey + 1)
+    SELECT a, b, (64 - n) / 64 AS agreement, n > COLLAPSED_AT AS collapsed FROM d""".replace("COLLAPSED_AT", str(pages.COLLAPSED)),
+)
 def reading_agreement(t: Tables) -> DataFrame:
     """How far the boards of successive orders agree."""
     f = _fens(t)
