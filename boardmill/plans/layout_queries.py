@@ -73,7 +73,17 @@ def reading_order_rows(t: Tables) -> DataFrame:
     return similarity.reading_order(_boxes(t), ["page"], "row")
 
 
-@query("page string, idx bigint, position bigint")
+@query(
+    "page string, idx bigint, position bigint",
+    f"""WITH RECURSIVE b AS (SELECT *, (x0 + x1) / 2 AS c, greatest(8, 0.55 * median(x1 - x0) OVER (PARTITION BY page)) AS reach FROM ({_BOXES_SQL})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY c, y0, idx) AS n FROM b),
+    z AS (SELECT page, n, idx, x0, y0, 1 AS col, c AS total, 1 AS held FROM r WHERE n = 1
+        UNION ALL SELECT r.page, r.n, r.idx, r.x0, r.y0,
+            CASE WHEN abs(r.c - total / held) <= reach THEN col ELSE col + 1 END, CASE WHEN abs(r.c - total / held) <= reach THEN total + r.c ELSE r.c END,
+            CASE WHEN abs(r.c - total / held) <= reach THEN held + 1 ELSE 1 END
+            FROM z JOIN r ON r.page = z.page AND r.n = z.n + 1)
+    SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY col, y0, x0, idx) - 1 AS position FROM z""",
+)
 def reading_order_columns(t: Tables) -> DataFrame:
     """Boxes in columns that their centres make."""
     return similarity.reading_order(_boxes(t), ["page"])
@@ -158,7 +168,22 @@ def _runs(t: Tables) -> DataFrame:
     return similarity.diff_runs(keyed(b.where(k % 11 != 0)), keyed(after), ["page", "rx", "ry"], ["page"])
 
 
-@query("page string, change string, suspect boolean, a_x0 double, a_y0 double, b_x0 double, b_y0 double")
+@query(
+    "page string, change string, suspect boolean, a_x0 double, a_y0 double, b_x0 double, b_y0 double",
+    f"""WITH RECURSIVE b AS ({_BOXES_SQL}), o AS (SELECT * FROM b WHERE idx % 11 <> 0),
+    a AS (SELECT page, idx, x0 + d AS x0, y0 + d AS y0, x1 + d AS x1, y1 + d AS y1, x1 - x0 AS side FROM (SELECT *, CASE WHEN idx % 5 = 0 THEN 3 ELSE 0 END AS d FROM b WHERE idx % 7 <> 0)),
+    l AS (SELECT o.*, x1 - x0 AS side, row_number() OVER (PARTITION BY page ORDER BY y0, x0) AS n FROM o ANTI JOIN a USING (page, x0, y0)),
+    g AS (SELECT a.*, row_number() OVER (PARTITION BY page ORDER BY y0, x0) AS j FROM a ANTI JOIN o USING (page, x0, y0)),
+    c AS (SELECT l.page, l.n, list({{'iou': {_IOU_SQL.format(a="l", b="g")}, 'j': g.j}} ORDER BY {_IOU_SQL.format(a="l", b="g")} DESC, g.j DESC) AS found
+        FROM l JOIN g ON g.page = l.page AND {_IOU_SQL.format(a="l", b="g")} >= 0.5 GROUP BY l.page, l.n),
+    r AS (SELECT l.page, l.n, c.found FROM l LEFT JOIN c ON c.page = l.page AND c.n = l.n),
+    z AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS j, CAST([] AS BIGINT[]) AS used FROM r
+        UNION ALL SELECT page, n, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+            FROM (SELECT r.page, r.n, z.used, list_filter(r.found, lambda f: NOT list_contains(z.used, f.j))[1].j AS pick FROM z JOIN r ON r.page = z.page AND r.n = z.n + 1))
+    SELECT l.page, CASE WHEN z.j IS NULL THEN 'lost' ELSE 'moved' END AS change, l.side < 72 AS suspect, l.x0 AS a_x0, l.y0 AS a_y0, g.x0 AS b_x0, g.y0 AS b_y0
+        FROM l JOIN z ON z.page = l.page AND z.n = l.n LEFT JOIN g ON g.page = z.page AND g.j = z.j
+    UNION ALL SELECT g.page, 'gained', g.side < 72, NULL, NULL, g.x0, g.y0 FROM g ANTI JOIN (SELECT page, j FROM z WHERE j IS NOT NULL) USING (page, j)""",
+)
 def diff_runs(t: Tables) -> DataFrame:
     """Boxes lost, gained and moved between two runs."""
     return _runs(t)
@@ -302,14 +327,22 @@ def replay_search(t: Tables) -> DataFrame:
     return replay.replay(dealt, ["o_orderkey"], wanted=wanted)
 
 
-@query("vec_id bigint, squares string, changed bigint, solved boolean")
+@query(
+    "vec_id bigint, squares string, changed bigint, solved boolean",
+    """SELECT vec_id, repeat('.', i) || 'K' || repeat('.', j - i - 1) || 'k' || repeat('.', 63 - j) AS squares, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END AS changed, true AS solved
+    FROM (SELECT vec_id, CAST(vec_id % 24 + 8 AS INTEGER) AS i, CAST(vec_id % 23 + 33 AS INTEGER) AS j FROM embeddings)""",
+)
 def decode_board(t: Tables) -> DataFrame:
-    """Boards from made-up class probabilities, changed as little as legality asks."""
-    start = "".join("." if c == "." else c for c in "rnbqkbnrpppppppp" + "." * 32 + "PPPPPPPPRNBQKBNR")
-    best = F.transform(F.split(F.lit(start), ""), lambda s: s)
-    p = F.flatten(F.transform(F.filter(best, lambda s: s != ""), lambda s, k: F.transform(F.array(*map(F.lit, board.LETTERS)), lambda c: F.when((c == s) & ~((s == "K") & (F.col("vec_id") % 2 == 0)), 0.8).when((c == "Q") & (s == "K") & (F.col("vec_id") % 2 == 0), 0.5).otherwise(0.01))))
-    rows = t("embeddings").select("vec_id", p.alias("p"))
-    return decode.decode_boards(rows, ["vec_id"], "p")
+    """Boards of two kings from class probabilities; every other white king was read as a queen, and comes back."""
+    i, j, misread = F.col("vec_id") % 24 + 8, F.col("vec_id") % 23 + 33, F.col("vec_id") % 2 == 0
+    true = lambda k: F.when(k == i, "K").when(k == j, "k").otherwise(".")
+
+    def chance(k: Column, c: Column) -> Column:
+        seen = F.when((true(k) == "K") & misread, "Q").otherwise(true(k))
+        return F.when(c == seen, F.when(seen == "Q", 0.5).otherwise(0.8)).when(c == true(k), 0.4).otherwise(0.01)
+
+    p = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.transform(F.array(*map(F.lit, board.LETTERS)), lambda c: chance(k, c))))
+    return decode.decode_boards(t("embeddings").select("vec_id", p.alias("p")), ["vec_id"], "p")
 
 
 @query("doc_id bigint, folded string", "SELECT doc_id, sha256(lower(strip_accents(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g'))))) AS folded FROM documents")
