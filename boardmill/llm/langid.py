@@ -129,7 +129,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
     packed = texts.select("_id", "_lang", "_text").mapInArrow(kernel, f"_id {dict(docs.dtypes)[id_col]}, _lang string, packed binary")
     order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("packed")]
     rows = []
-    for r in bounded_sample(packed.orderBy(*order).limit(TRAIN_ROWS), order):
+    for r in bounded_sample(packed, order, TRAIN_ROWS):
         if half := len(r.packed) // 2:
             k = np.frombuffer(r.packed, "<f4", offset=half).astype(float)
             at = np.frombuffer(r.packed, "<i4", half // 4)

@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 TRAIN_BYTES = 256 << 20
 
 
-def bounded_sample(packed: DataFrame, order: list, most_bytes: int = TRAIN_BYTES) -> list:
-    """The rows of ``packed`` (a bounded number, features in its column packed) in this order, as far as their bytes go.
+def bounded_sample(packed: DataFrame, order: list, most_rows: int, most_bytes: int = TRAIN_BYTES) -> list:
+    """The first rows of ``packed`` (features in its column packed) in this order, as far as rows and their bytes go.
 
-    The sizes come first, so that the rows beyond the bound never leave the executors.
+    The sizes come first, so that features beyond the bound never leave the executors; what is
+    within it comes a partition at a time.
     """
     keys = [f"_k{i}" for i in range(len(order))]
     keyed = packed.select(*[c.alias(k) for c, k in zip(order, keys, strict=True)], "*")
-    sizes = keyed.select(*keys, F.length("packed").alias("_size")).orderBy(*keys).collect()
     room, last = most_bytes, None
-    for row in sizes:
+    for row in keyed.select(*keys, F.length("packed").alias("_size")).orderBy(*keys).limit(most_rows).collect():
         room -= row["_size"]
         if room < 0:
             break
@@ -27,8 +27,8 @@ def bounded_sample(packed: DataFrame, order: list, most_bytes: int = TRAIN_BYTES
     if last is None:
         return []
     edge = F.struct(*[F.lit(last[k]).cast(dict(keyed.dtypes)[k]).alias(k) for k in keys])
-    return keyed.where(F.struct(*keys) <= edge).orderBy(*keys).drop(*keys).collect()
-
+    found = sorted(keyed.where(F.struct(*keys) <= edge).toLocalIterator(), key=lambda r: tuple((r[k] is not None, r[k]) for k in keys))
+    return found[:most_rows]
 
 
 class Ftrl:

@@ -90,7 +90,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_label"), pa.array(packed, pa.binary())], ["_id", "_label", "packed"])
 
     found = texts.select("_id", "_label", "_text").mapInArrow(kernel, f"_id {dict(docs.dtypes)[id_col]}, _label int, packed binary")
-    found = bounded_sample(found.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("packed")).limit(TRAIN_ROWS), [F.xxhash64("_id"), F.col("_id"), F.xxhash64("packed")])
+    found = bounded_sample(found, [F.xxhash64("_id"), F.col("_id"), F.xxhash64("packed")], TRAIN_ROWS)
     out = []
     for r in found:
         half = len(r.packed) // 2

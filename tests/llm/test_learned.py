@@ -92,8 +92,9 @@ def test_few_rows_and_very_long_texts(spark):
 
 def test_samples_are_bounded_in_bytes(spark):
     packed = spark.createDataFrame([(k, b"x" * 100) for k in range(50)], "_id long, packed binary")
-    got = linear.bounded_sample(packed, [F.xxhash64("_id"), F.col("_id")], 1_000)
-    assert len(got) == 10 and len(linear.bounded_sample(packed, [F.col("_id")], 99)) == 0 and len(linear.bounded_sample(packed, [F.col("_id")])) == 50
+    got = linear.bounded_sample(packed, [F.xxhash64("_id"), F.col("_id")], 50, 1_000)
+    assert len(got) == 10 and len(linear.bounded_sample(packed, [F.col("_id")], 50, 99)) == 0
+    assert [r._id for r in linear.bounded_sample(packed, [F.col("_id")], 7)] == list(range(7)) and len(linear.bounded_sample(packed, [F.col("_id")], 60)) == 50
 
 
 def test_repeated_grams_are_counted_in_parts(monkeypatch):
