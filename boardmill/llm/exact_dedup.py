@@ -66,16 +66,19 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _sized(full.withColumn("_key", F.xxhash64("_len", "_prefix")).join(shared.withColumn("_key", F.xxhash64("_len", "_prefix")), ["_len", "_prefix", "_key"], "left_semi"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) of every row, see ``exact_dedup``.
+def _digested(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, digest) of every row, and the groups of equal ones.
 
-    As every row's digest is asked for, digests are computed once, with the lengths and prefix
+    Where every row's digest is asked for, digests are computed once, with the lengths and prefix
     hashes, and written; the refinement then works on that table alone.
     """
-    measured = _measured(docs, id_col, text_col)
-    rows = written(measured.select("_id", "_len", "_prefix", F.sha2("_norm", 256).alias("digest")), "digests")
-    groups = _sized(_surviving(_surviving(rows, ["_len"]), ["_len", "_prefix"]))
-    found = _with_groups(rows.select("_id", "digest"), groups)
+    rows = written(_measured(docs, id_col, text_col).select("_id", "_len", "_prefix", F.sha2("_norm", 256).alias("digest")), "digests")
+    return rows.select("_id", "digest"), _sized(_surviving(_surviving(rows, ["_len"]), ["_len", "_prefix"]))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) of every row, see ``exact_dedup``."""
+    found = _with_groups(*_digested(docs, id_col, text_col))
     return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
@@ -99,6 +102,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     results = ["text_sha256", "keep_id", "group_size", "kept"]
     rows = docs.select(F.col(id_col).alias("_id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"), F.struct(*docs.columns).alias("_row"))
-    found = _with_groups(rows, duplicate_groups(docs, id_col, text_col)).withColumnRenamed("digest", "text_sha256")
+    found = _with_groups(rows, _digested(docs, id_col, text_col)[1]).withColumnRenamed("digest", "text_sha256")
     own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in results]
     return found.select(*own, *results)

@@ -87,6 +87,25 @@ def test_exact_dedup(spark):
     assert len(got) == len(rows)
 
 
+def test_duplicate_groups(spark):
+    """The refinement that hashes only what length and prefix leave, against counting."""
+    import re
+    from collections import Counter
+
+    from boardmill.llm.exact_dedup import duplicate_groups
+
+    rows = corpus.rows() + [(9_000 + k, "p" * 200 + "xyz"[k % 3] + "q" * 50, "en", "s", 0) for k in range(7)]
+    texts = Counter(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in pairs(rows))
+    got = duplicate_groups(frame(spark, rows)).collect()
+    assert sorted(r.group_size for r in got) == sorted(n for n in texts.values() if n > 1)
+    first = {}
+    for i, t in pairs(rows):
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        first[key] = min(first.get(key, i), i)
+    assert {r.keep_id for r in got} == {first[t] for t, n in texts.items() if n > 1}
+    assert duplicate_groups(frame(spark, rows).limit(0)).count() == 0
+
+
 EDGES = [(1, None, None, None, None), (1, None, None, None, None), (None, "a b c", None, None, None), (None, "a b c", None, None, None), (5, "", "en", "s", 0), (2, "a b c", "en", "s", 5), (2, "x " * 120, "en", "s", 5), (3, "x " * 120, "en", "s", 5)]
 
 
