@@ -8,7 +8,7 @@ At most ``MAX_CHANGES`` squares may differ from their most probable class, each
 Every change costs something, so a cheapest board changes only squares of a side, or kings, that
 break a rule or that other changes could make break one.  Those squares are taken one after
 another; a table holds the least cost of each tally (changes and pieces of each class, packed into
-one number), all its rows at once as arrays.
+one number), all its rows at once as arrays; rows that cost more than an allowed board go.
 """
 
 from __future__ import annotations
@@ -74,13 +74,13 @@ def _options(loss: np.ndarray, best: np.ndarray) -> list[list[int]]:
 
 
 def _touched(best: np.ndarray, options: list[list[int]]) -> tuple[list[int], list[str]]:
-    """The squares that a cheapest board may change, and the kings that are missing."""
+    """The squares that a cheapest board may change, beside those that only take a missing king, and the kings that are missing."""
     counts = np.bincount(best, minlength=13)
     missing = [s[5] for s in _SIDES if not counts[_CLASS[s[5]]]]
     edge = {int(k) for k in _EDGE if LETTERS[best[k]] in "Pp"}
     groups = [([6 + 6 * side], 1 - int(counts[6 + 6 * side])) for side in (0, 1)]
     groups += [(list(range(1 + 6 * side, 6 + 6 * side)), MAX_PAWNS - int(_load(counts, side))) for side in (0, 1)]
-    squares = set(range(64)) if missing else set(edge)
+    squares = set(edge)
     grown = True
     while grown:  # classes that are over their limit, or may come to be by what goes into them
         grown = False
@@ -104,7 +104,8 @@ def decode_board(probabilities: np.ndarray) -> tuple[str, float, int, bool]:
     if not _faults(counts, edge.sum()):
         return letters(best), 0.0, 0, True
     options = _options(loss, best)
-    squares, missing = _touched(best, options)
+    free, missing = _touched(best, options)
+    squares = list(range(64)) if missing else free
     kings = [_CLASS[m] for m in missing]
     # a tally: counts of the 13 classes, changes, and pawns left on the edge
     tally = np.r_[counts, 0, edge.sum()][None, :].astype(np.int8)
@@ -113,7 +114,7 @@ def decode_board(probabilities: np.ndarray) -> tuple[str, float, int, bool]:
     for k in squares:
         grown, costs, came, took = [tally], [cost], [np.arange(len(tally))], [np.full(len(tally), best[k])]
         room = np.flatnonzero(tally[:, 13] < MAX_CHANGES)
-        for c in dict.fromkeys([*options[k], *(x for x in kings if x != best[k])]):
+        for c in dict.fromkeys([*(options[k] if k in free else ()), *(x for x in kings if x != best[k])]):
             new = tally[room].copy()
             new[:, best[k]] -= 1
             new[:, c] += 1
@@ -124,6 +125,10 @@ def decode_board(probabilities: np.ndarray) -> tuple[str, float, int, bool]:
         key = tally.astype(np.int64) @ weight
         order = np.lexsort((cost, key))
         order = order[np.r_[True, np.diff(key[order]) != 0]]
+        # a tally stands for a whole board, the squares to come unchanged; what costs more than an allowed one can't be cheapest
+        allowed = _faults(tally[order, :13].astype(int), tally[order, 14]) == 0
+        if allowed.any():
+            order = order[cost[order] <= cost[order][allowed].min()]
         if len(order) > MAX_TALLIES:
             order = order[np.argsort(cost[order], kind="stable")[:MAX_TALLIES]]
         tally, cost = tally[order], cost[order]
