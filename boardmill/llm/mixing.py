@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .storage import written
 
 QUANTUM = 1_000
+#: Slots of a period whose shares are next to the weights: a source is one block and 1 / FINE_QUANTUM of the slots from its weight at most.
+FINE_QUANTUM = 1 << 14
 BLOCK_ROWS = 16
 #: Rows of a source whose places are counted together, on the average.
 RANK_ROWS = 2_000
@@ -51,6 +53,22 @@ def whole_shares(weights: dict[str | None, float], quantum: int = QUANTUM) -> di
     return shares
 
 
+def nearest_shares(weights: dict[str | None, float], quantum: int) -> dict[str | None, int]:
+    """Shares of ``quantum`` slots nearest to the weights, by largest remainder; a share that would be 0 is 1 at the largest's cost."""
+    if len(weights) > quantum:
+        raise ValueError(f"{len(weights)} sources don't fit {quantum} slots")
+    names, total = sorted(weights, key=lambda s: (s is None, s or "")), math.fsum(weights.values())
+    exact = {s: quantum * weights[s] / total for s in names}
+    shares = {s: max(1, math.floor(exact[s])) for s in names}
+    left = quantum - sum(shares.values())
+    for s in sorted(names, key=lambda s: shares[s] - exact[s])[: max(0, left)]:
+        shares[s] += 1
+    while names and (over := sum(shares.values()) - quantum) > 0:
+        top = max(names, key=lambda s: shares[s])
+        shares[top] -= min(over, max(1, shares[top] // 2))
+    return shares
+
+
 def pfair_period(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
     """(source, block of the period from 0, slot) of one period; the shares sum to its length."""
     quantum = sum(shares.values())
@@ -113,19 +131,20 @@ def _slots(sources: DataFrame, block_rows: int) -> DataFrame:
     return sources.select("_source", "_source_null", "_n", "_weight").repartition(1).mapInArrow(kernel, "_source string, _source_null boolean, block long, slot long")
 
 
-def temperature_weights(docs: DataFrame, source_col: str, power: float = 0.5) -> dict[str | None, float]:
-    """The number of rows to a power of each source, or of QUANTUM + 1 of them if there are more."""
-    counts = docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(QUANTUM + 1).collect()
+def temperature_weights(docs: DataFrame, source_col: str, power: float = 0.5, most: int = QUANTUM) -> dict[str | None, float]:
+    """The number of rows to a power of each source, or of ``most`` + 1 of them if there are more."""
+    counts = docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
     return {r.s: r.n**power for r in counts}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, quantum: int | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, quantum: int | None = None, nearest: bool = False) -> DataFrame:
     """``docs`` with block (from 0, in its source), slot and mix_position; to be read in order of mix_position.
 
     ``weights`` must name every source that occurs, null included (one that it leaves out is an
     error, one that doesn't occur isn't), each above 0; without it a source's weight is the square root of its rows.
-    ``quantum`` (QUANTUM at most) rounds the weights to whole shares, see above, unless there are
-    more sources than it has slots.  Rows keep the order of the md5 of
+    ``quantum`` rounds the weights to whole shares, see above, unless there are
+    more sources than it has slots; ``nearest`` takes the shares next to the weights instead of those
+    of ``whole_shares``.  Rows keep the order of the md5 of
     their ids inside a source, rows that share an id in any order.  Slots of a source that has
     run out stay empty, so mix_position has gaps, and the task that makes the schedule passes
     them too.  No row is dropped.  Columns of ``docs`` may have any names; those with the names of
@@ -152,7 +171,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     before = before.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_order", "_id"))).join(before, keys)
     placed = placed.withColumn("_place", F.col("_before") + F.col("_rank") - 1).withColumn("block", F.expr(f"_place div {block_rows}"))
-    rounded = None if quantum is None else temperature_weights(docs, source_col) if weights is None else weights
+    rounded = None if quantum is None else temperature_weights(docs, source_col, most=quantum) if weights is None else weights
     if rounded is None or len(rounded) > quantum:
         sources = rows.groupBy("_source", "_source_null").agg(F.count(F.lit(1)).alias("_n"))
         if weights is None:
@@ -161,7 +180,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
             sources = named.join(sources, ["_source", "_source_null"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
         placed = placed.join(written(_slots(sources, block_rows), "slots"), ["_source", "_source_null", "block"])
     else:
-        shares = whole_shares(rounded, quantum)
+        shares = nearest_shares(rounded, quantum) if nearest else whole_shares(rounded, quantum)
         listed = json.dumps([{"_s": s or "", "_s_null": s is None, "_share": shares[s], "_in_period": j, "_slot": slot} for s, j, slot in pfair_period(shares)])
         kind = "array<struct<_s:string,_s_null:boolean,_share:int,_in_period:int,_slot:int>>"
         table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))

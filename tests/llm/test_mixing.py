@@ -3,7 +3,7 @@ from fractions import Fraction
 
 import pytest
 
-from boardmill.llm.mixing import BLOCK_ROWS, QUANTUM, mix_sources, pfair_slots
+from boardmill.llm.mixing import BLOCK_ROWS, FINE_QUANTUM, QUANTUM, mix_sources, nearest_shares, pfair_slots
 
 
 @pytest.mark.parametrize("sources,slots", [(1, 50), (20, 6_000), (500, 6_000), (1_500, 4_000)])
@@ -45,3 +45,20 @@ def test_sources_without_a_weight_are_an_error(spark, quantum):
     with pytest.raises(ValueError, match="'', 'b', null"):
         mix_sources(docs, {"a": 1.0}, quantum=quantum)
     assert mix_sources(docs, {"a": 1.0, "b": 2.0, "": 1.0, None: 1.0, "unseen": 3.0}, quantum=quantum).count() == 4
+
+
+@pytest.mark.parametrize("sources", [1, 20, 900])
+def test_nearest_shares(sources):
+    weights = {f"s{k}": float(k % 17 + 1) for k in range(sources)} | {None: 1e-9}
+    shares, total = nearest_shares(weights, FINE_QUANTUM), sum(weights.values())
+    assert sum(shares.values()) == FINE_QUANTUM and min(shares.values()) == 1
+    assert all(abs(shares[s] - FINE_QUANTUM * w / total) <= 2 for s, w in weights.items())
+
+
+def test_fine_quantum_follows_the_weights(spark):
+    rows = [(k, "big") for k in range(20_000)] + [(100_000 + k, f"s{k % 19:02}") for k in range(20_000)]
+    weights = {"big": 19.0} | {f"s{k:02}": 1.0 for k in range(19)}
+    df = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, quantum=FINE_QUANTUM, nearest=True)
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    slots = sorted(r.slot for r in df.select("source", "slot").distinct().collect() if r.source == "big")
+    assert max(abs(k + 1 - (t + 1) / 2) for k, t in enumerate(slots)) < 1 + len(slots) * 2 / FINE_QUANTUM
