@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from boardmill.llm import quality
 from boardmill.llm.decontaminate import decontaminated
 from boardmill.llm.exact_dedup import exact_dedup
-from boardmill.llm.mixing import mix_sources
+from boardmill.llm.mixing import FINE_QUANTUM, mix_sources
 from boardmill.llm.ngram_join import ngram_components
 from boardmill.llm.storage import written
 
@@ -47,7 +47,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their places in the mixed order."""
-    return mix_sources(docs)
+    return mix_sources(docs, quantum=FINE_QUANTUM, nearest=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
