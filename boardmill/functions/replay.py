@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .board import occupancy
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR"
@@ -262,12 +263,17 @@ def positions(movetext: str, setup: str | None = None, gate: bytes | None = None
 
 
 def gate_for(wanted: DataFrame, placement: str = "placement") -> bytes:
-    """A flag for each bucket that one of the placements wanted falls into: of one size however many they are."""
+    """A flag for each bucket that one of the placements wanted falls into: of one size however many they are.
+
+    Runs a job at once, which brings 2**GATE_BITS rows to the driver at most.  ``wanted`` should be a stored table, as
+    the occupancy spells its column many times over.
+    """
     mask = occupancy(placement)
     bucket = mask.bitwiseXOR(F.shiftrightunsigned(mask, 20)).bitwiseXOR(F.shiftrightunsigned(mask, 40)).bitwiseAND(F.lit((1 << GATE_BITS) - 1).cast("bigint"))
     flags = bytearray(1 << GATE_BITS)
-    for row in wanted.select(bucket.alias("bucket")).where("bucket is not null").distinct().collect():  # 2**GATE_BITS rows at most
-        flags[row.bucket] = 1
+    for row in wanted.select(bucket.alias("bucket")).distinct().collect():  # a filter on the bucket would be spelled out in every rank
+        if row.bucket is not None:
+            flags[row.bucket] = 1
     return bytes(flags)
 
 
@@ -275,9 +281,11 @@ def replay(games: DataFrame, keys: list[str], movetext: str = "movetext", setup:
     """(keys, ply, placement, move_number, white_to_move) of all positions of all games; null movetext has none.
 
     ``wanted`` has the placements that are looked for: others are left out, most of them by their
-    occupancy, while the game is replayed.
+    occupancy, while the game is replayed.  They are written to the shared folder and their
+    gate is made (see ``gate_for``) when this is called, not when the result is read.
     """
     kinds = dict(games.dtypes)
+    wanted = None if wanted is None else staged(wanted.select("placement").distinct(), "wanted")
     gate = None if wanted is None else gate_for(wanted)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

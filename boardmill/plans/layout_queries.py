@@ -278,7 +278,7 @@ _GAMES_SQL = f"""
         string_agg(CASE WHEN b AND b2 THEN 'p' ELSE '.' END, '' ORDER BY f) || '/' || string_agg(CASE WHEN w AND w2 THEN 'P' ELSE '.' END, '' ORDER BY f) || '/' ||
         string_agg(CASE WHEN w AND NOT w2 THEN 'P' ELSE '.' END, '' ORDER BY f) || '/' || string_agg(CASE WHEN w THEN '.' ELSE 'P' END, '' ORDER BY f) AS x
         FROM p GROUP BY o_orderkey, ply),
-    c AS (SELECT o_orderkey, ply, 'rnbqkbnr/' || replace(replace(replace(replace(replace(replace(replace(replace(x,
+    c AS MATERIALIZED (SELECT o_orderkey, ply, 'rnbqkbnr/' || replace(replace(replace(replace(replace(replace(replace(replace(x,
         '........', '8'), '.......', '7'), '......', '6'), '.....', '5'), '....', '4'), '...', '3'), '..', '2'), '.', '1') || '/RNBQKBNR' AS placement FROM r)"""
 
 

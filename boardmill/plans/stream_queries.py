@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import fresh_folder
 from ..streaming import incremental
 from .catalogue import Tables, query
 
 
-def _folder(t: Tables) -> str:
-    spark = t.spark
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir') + '-shared').rstrip('/')}/boardmill/scan-{uuid.uuid4().hex}"
-
-
 @query(
     "event_type string, n bigint, total double",
     """SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total
@@ -26,7 +17,7 @@ def _folder(t: Tables) -> str:
 )
 def resume_scan(t: Tables) -> DataFrame:
     """A stream of the files at hand into two sinks, asked twice: the second call finds nothing new."""
-    folder = _folder(t)
+    folder = fresh_folder(t.spark, "scan")
     schema = t("events").schema
     stream = incremental.scan(t.spark, f"{t.folder}/events.parquet*", schema)
     sinks = [incremental.batch_sink(f"{folder}/rows"), incremental.batch_sink(f"{folder}/progress")]
