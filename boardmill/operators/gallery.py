@@ -100,11 +100,6 @@ def match_diagrams(diagrams: DataFrame, games: DataFrame, key: list[str], pair:
     return joined.groupBy(*key).agg(F.count_distinct(game_key).cast("int").alias("games_matched"), F.array_sort(F.collect_set(candidate)).alias("candidates"))
 
 
-def game_at(games: DataFrame, lookups: DataFrame, file: str = "file", offset: str = "offset") -> DataFrame:
-    """The look-ups with the game that starts at their offset of their file, nulls where none does."""
-    return lookups.join(games, [file, offset], "left")
-
-
 def duplicates_touching(df: DataFrame, wanted: DataFrame, key: str, block: str, words: str, distance: int) -> DataFrame:
     """(leader, key) of near-duplicate groups that hold a wanted key; blocks without a wanted key aren't compared."""
     blocks = df.join(wanted.select(key).distinct(), key, "left_semi").select(block).distinct()

@@ -71,12 +71,6 @@ def fair_share(df: DataFrame, group: list[str], order: list[str], limit: int) ->
     return tiered.orderBy("_late", *group, "_in_group").limit(limit).drop("_late", "_quota", "_in_group")
 
 
-def lookup_pair(games: DataFrame, white: str, black: str, one: str, two: str, order: list[str], limit: int = GAMES_PER_PAIR) -> DataFrame:
-    """Games of two surnames in either colour, with a fair share for each colouring."""
-    some = games.where(((F.col(white) == one) & (F.col(black) == two)) | ((F.col(white) == two) & (F.col(black) == one)))
-    return fair_share(some, [white, black], order, limit)
-
-
 def match_positions(diagrams: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
     """Diagrams with their answer: count, candidates and the first candidate."""
     return diagrams.join(index, key).withColumn("best", F.get("hits", F.lit(0)))

@@ -23,12 +23,18 @@ def read_games(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     first = F.regexp_replace(F.col("_r"), "^﻿?\\s*\\[Event ", "")
     record = F.concat(F.lit("[Event "), first)
     raw = raw.where(F.trim(F.regexp_replace("_r", "﻿", "")) != "").select("file", record.alias("_r"))
-    parts = raw.withColumn("_head", F.regexp_extract("_r", r"^((?:\s*\[[^\n]*\n?)+)", 1))
+    return parsed_records(raw, ["file"])
+
+
+def parsed_records(raw: DataFrame, keep: list[str], record: str = "_r") -> DataFrame:
+    """(keep, headers, setup_fen, movetext, white, black) of rows with the text of one record each; a null text gives nulls."""
+    parts = raw.withColumn("_head", F.regexp_extract(record, r"^((?:\s*\[[^\n]*\n?)+)", 1))
     entries = F.transform(F.regexp_extract_all("_head", F.lit(r'(\[\w+\s+"(?:[^"\\]|\\.)*"\])'), 1), lambda e: F.struct(F.regexp_extract(e, r"\[(\w+)", 1).alias("key"), F.regexp_replace(F.regexp_extract(e, r'"((?:[^"\\]|\\.)*)"', 1), r"\\(.)", "$1").alias("value")))
     firsts = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, F.lit(1), k), lambda o: o["key"] == e["key"]))
     parts = parts.withColumn("_all", F.map_from_entries(firsts))
-    moves = F.regexp_replace(F.substr("_r", F.length("_head") + 1), r"^\s+|\s+$", "")
-    return parts.select("file", kept_headers(F.col("_all")).alias("headers"), F.try_element_at("_all", F.lit("FEN")).alias("setup_fen"), moves.alias("movetext"), surname(F.coalesce(F.try_element_at("_all", F.lit("White")), F.lit(""))).alias("white"), surname(F.coalesce(F.try_element_at("_all", F.lit("Black")), F.lit(""))).alias("black"))
+    moves = F.regexp_replace(F.substr(record, F.length("_head") + 1), r"^\s+|\s+$", "")
+    player = lambda h: F.when(F.col(record).isNotNull(), surname(F.coalesce(F.try_element_at("_all", F.lit(h)), F.lit(""))))
+    return parts.select(*keep, kept_headers(F.col("_all")).alias("headers"), F.try_element_at("_all", F.lit("FEN")).alias("setup_fen"), moves.alias("movetext"), player("White").alias("white"), player("Black").alias("black"))
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pgn") -> DataFrame:

@@ -36,12 +36,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_name_index(games: DataFrame, path: str) -> None:
-    """(white, black, file, record) clustered by the unordered pair, so that a look-up reads few row groups."""
-    pair = F.xxhash64(F.least("white", "black"), F.greatest("white", "black"))
-    games.withColumn("pair", pair).repartitionByRange("pair").sortWithinPartitions("pair").write.mode("overwrite").parquet(path)
-
-
 # The columns of census and rejection files.
 CENSUS_COLUMNS = ["pdf", "page", "index", "source", "side_pt", "native_width", "native_height", "trimmed", "detector_score", "texture", "x0", "y0", "x1", "y1"]
 REJECTION_COLUMNS = ["pdf", "page", "reason", "score", "checker", "side_pt", "x0", "y0", "x1", "y1"]

@@ -66,9 +66,6 @@ def test_hash_index_grows_by_book(spark, tmp_path):
 
 
 def test_look_ups(spark):
-    games = spark.createDataFrame([("f", 0, "e4"), ("f", 90, "d4")], "file string, offset long, movetext string")
-    asked = spark.createDataFrame([("f", 90), ("f", 91)], "file string, offset long")
-    assert {(r.offset, r.movetext) for r in gallery.game_at(games, asked).collect()} == {(90, "d4"), (91, None)}
     rows = spark.createDataFrame([("a", "p", [0]), ("b", "p", [1]), ("c", "q", [0]), ("d", "q", [0]), ("e", "p", [-1])], "name string, block string, words array<long>")
     got = gallery.duplicates_touching(rows, spark.createDataFrame([("b",)], "name string"), "name", "block", "words", 2)
     assert {(r.leader, r.name) for r in got.collect()} == {("a", "a"), ("a", "b")}
