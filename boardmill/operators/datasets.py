@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import assign_split, safe_ratio
 
 SPLIT_SALT = "boardmill-splits-1"
-DUPLICATE_DISTANCE = 3
 DUPLICATE_SHARE = 0.10
 IMBALANCE_RATIO = 20.0
 RARE_SHARE = 0.005
@@ -129,32 +127,6 @@ def dedupe_summary(rows: DataFrame, group: list[str], key: str) -> DataFrame:
     return marked.groupBy("split").agg(F.count(F.lit(1)).alias("before"), F.count_if("_removed").alias("removed"), F.count_if(~F.col("_removed")).alias("after"))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two arrays of 64-bit words."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-
-
-def near_duplicate_groups(df: DataFrame, key: str, block: str, words: str, distance: int = DUPLICATE_DISTANCE) -> DataFrame:
-    """(leader, key) of groups of two or more: in a block (equal placement) each row, in key order, joins the first
-    leader within ``distance`` bits or becomes one.  Order-dependent, so one bounded block is one call."""
-
-    def lead(frame: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[str, int]] = []
-        out = []
-        for name, value in sorted(zip(frame[key].tolist(), (int.from_bytes(b"".join((int(w) & (2**64 - 1)).to_bytes(8, "big") for w in ws), "big") for ws in frame[words]), strict=True)):
-            own = next((n for n, v in leaders if (v ^ value).bit_count() <= distance), None)
-            if own is None:
-                leaders.append((name, value))
-                own = name
-            out.append((own, name))
-        return pd.DataFrame(out, columns=["leader", key])
-
-    kind = dict(df.dtypes)[key]
-    rows = df.groupBy(block).applyInPandas(lead, f"leader {kind}, {key} {kind}")
-    sized = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(sized, "leader")
-
-
 def training_pages(labels: DataFrame, splits: DataFrame, key: str, page: list[str]) -> DataFrame:
     """How many training samples each page holds."""
     return labels.join(splits.where("split = 'train'").select(key), key).groupBy(*page).agg(F.count(F.lit(1)).alias("samples"))

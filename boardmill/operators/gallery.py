@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import replay
-from .datasets import near_duplicate_groups
 
 # Headers that a game never gives to an annotation.
 RESERVED_HEADERS = ["FEN", "SetUp"]
@@ -100,13 +99,6 @@ def match_diagrams(diagrams: DataFrame, games: DataFrame, key: list[str], pair:
     return joined.groupBy(*key).agg(F.count_distinct(game_key).cast("int").alias("games_matched"), F.array_sort(F.collect_set(candidate)).alias("candidates"))
 
 
-def duplicates_touching(df: DataFrame, wanted: DataFrame, key: str, block: str, words: str, distance: int) -> DataFrame:
-    """(leader, key) of near-duplicate groups that hold a wanted key; blocks without a wanted key aren't compared."""
-    blocks = df.join(wanted.select(key).distinct(), key, "left_semi").select(block).distinct()
-    groups = near_duplicate_groups(df.join(blocks, block, "left_semi"), key, block, words, distance)
-    return groups.join(groups.join(wanted.select(key).distinct(), key, "left_semi").select("leader").distinct(), "leader", "left_semi")
-
-
 def patch_index(index: DataFrame, saved: DataFrame, source: str, key: list[str]) -> DataFrame:
     """An index of one book with the saved diagrams of that book, each once; a saved one replaces its key's row."""
     own = saved.where(F.col("source_pdf") == source).select(*index.columns)

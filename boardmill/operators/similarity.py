@@ -17,11 +17,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions import geometry
-from .datasets import hamming
+from ..functions.bits import WORD, band, band_hashes, flips, hamming, word_count
+from ..sources.staging import forget, stage, staged
 
 MAX_DISTANCE, AMBIGUITY = 6, 4
-#: Rows of the query set that are broadcast at once when every index row is compared.
-QUERY_BLOCK = 1_000
+#: Bits of a band whose values are looked up, and how many of them are flipped at most in each round.
+BAND_BITS, FLIP_STEPS = 16, (2, 4, 6)
 MATCH_IOU = 0.5
 SUSPECT_SIDE = 72.0
 MAX_BOARDS = 12
@@ -31,48 +32,91 @@ def nearest(samples: DataFrame, index: DataFrame, sample_key: str, row_key: str,
     """(sample, row, group, distance, runner_up, ambiguous): the nearest index row, the lowest key of equals, and
     the least distance among other groups.
 
-    With ``max_distance`` only rows that share one of ``max_distance + 1`` bands of bits can be
+    With ``max_distance`` only rows that share one of ``max_distance + margin`` bands of bits can be
     near enough (pigeonhole), so the join is on bands; the runner-up is then exact up to
-    max_distance + margin, which decides ambiguity.  Without it the samples are a stated query
-    set that every row is compared with, a block of bounded size at a time: work in proportion to
-    samples times rows, and a pass over the index for each block.  ``apart``: a sample and a row
-    of the same key are the same and don't count.
+    max_distance + margin - 1, which decides ambiguity.  Without it the search grows, see
+    ``_growing``, and the runner-up is exact.  ``apart``: a sample and a row of the same key are the
+    same and don't count.
     """
-    s = samples.select(F.col(sample_key), F.col(words).alias("_a"))
-    r = index.select(F.col(row_key), F.col(group), F.col(words).alias("_b"))
+    s = samples.select(F.col(sample_key).alias("_s"), F.col(words).alias("_a"))
+    r = index.select(F.col(row_key).alias("_r"), F.col(group).alias("_g"), F.col(words).alias("_b"))
     if max_distance is None:
-        blocks = max(1, -(-s.count() // QUERY_BLOCK))
-        place = F.pmod(F.xxhash64(sample_key), F.lit(blocks))
-        parts = [r.join(F.broadcast(s.where(place == k))) for k in range(blocks)]
-        pairs = reduce(DataFrame.unionByName, parts)
+        ranked = _growing(s, r, apart)
     else:
-        bands = max_distance + margin
-        pairs = _banded(s, "_a", bands).join(_banded(r, "_b", bands), ["_band", "_bits"]).drop("_band", "_bits").distinct()
-    if apart:
-        pairs = pairs.where(F.col(sample_key) != F.col(row_key))
-    scored = pairs.select(sample_key, row_key, group, hamming(F.col("_a"), F.col("_b")).alias("distance"))
-    per_group = scored.groupBy(sample_key, group).agg(F.min(F.struct("distance", row_key)).alias("_m"))
-    w = Window.partitionBy(sample_key).orderBy(F.col("_m"))
-    ranked = per_group.withColumn("_n", F.row_number().over(w)).withColumn("runner_up", F.lead("_m.distance").over(w))
-    best = ranked.where("_n = 1").select(sample_key, F.col(f"_m.{row_key}").alias(row_key), group, F.col("_m.distance").alias("distance"), "runner_up")
-    best = best.withColumn("ambiguous", F.coalesce(F.col("runner_up") - F.col("distance") < margin, F.lit(False)))
-    return best if max_distance is None else best.where(F.col("distance") <= max_distance)
-
-
-def _banded(df: DataFrame, words: str, bands: int) -> DataFrame:
-    """A row for each band: the hash of a share of the words' bits."""
-    text = F.concat(*[F.lpad(F.bin(F.get(words, F.lit(k))), 64, "0") for k in range(4)])
-    text = F.coalesce(text, F.array_join(F.transform(words, lambda x: F.lpad(F.bin(x), 64, "0")), ""))
-    cut = lambda k: F.floor(k * F.length(text) / F.lit(bands + 1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(bands)), lambda k: F.substr(text, cut(k) + 1, cut(k + 1) - cut(k)))
-    return df.select("*", F.posexplode(parts).alias("_band", "_bits"))
+        count, bands = word_count(r, "_b"), max_distance + margin
+        cut = lambda df, w: df.withColumn("_band", F.explode(F.array_distinct(band_hashes(F.col(w), count, bands))))
+        ranked = _two_best(_met(cut(s, "_a").join(cut(r, "_b"), "_band"), apart))
+    other = F.lead("_m.distance").over(Window.partitionBy("_s").orderBy("_n"))
+    best = ranked.withColumn("runner_up", other).where("_n = 1")
+    found = best.select(F.col("_s").alias(sample_key), F.col("_m.row").alias(row_key), F.col("_g").alias(group), F.col("_m.distance").alias("distance"), "runner_up")
+    found = found.withColumn("ambiguous", F.coalesce(F.col("runner_up") - F.col("distance") < margin, F.lit(False)))
+    return found if max_distance is None else found.where(F.col("distance") <= max_distance)
+
+
+def _met(pairs: DataFrame, apart: bool) -> DataFrame:
+    """(_s, _g, _m): of each sample and group the least (distance, row)."""
+    some = pairs.where("_s != _r") if apart else pairs
+    return some.groupBy("_s", "_g").agg(F.min(F.struct(hamming(F.col("_a"), F.col("_b")).alias("distance"), F.col("_r").alias("row"))).alias("_m"))
+
+
+def _two_best(met: DataFrame) -> DataFrame:
+    """The two nearest groups of each sample, numbered by _n; no others can be its nearest or its runner-up."""
+    return met.withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy("_m", "_g"))).where("_n <= 2")
+
+
+def _growing(samples: DataFrame, index: DataFrame, apart: bool) -> DataFrame:
+    """The two nearest groups of each sample, by multi-index hashing with a growing radius.
+
+    Bits are cut into bands of BAND_BITS.  A row within m * (f + 1) - 1 bits of a sample, m the
+    number of bands, differs in f bits at most in one of them, so looking up each band's values
+    with up to f bits flipped finds it.  A round adds flips, and only samples whose two groups aren't
+    within the radius yet go on.  Those that are left after FLIP_STEPS, or need only one group's
+    distance where the index has no other, are compared with all distinct rows, dealt by a salt.
+    """
+    spark = index.sparkSession
+    own = samples.select(F.col("_s").alias("_r")).distinct().withColumn("_own", F.col("_r"))
+    # equal rows of a group act alike but for a sample's own key
+    marked = index.join(own, "_r", "left") if apart else index.withColumn("_own", F.lit(None))
+    rows = staged(marked.groupBy("_b", "_g", "_own").agg(F.min("_r").alias("_r")).drop("_own"), "index")
+    count = word_count(rows, "_b")
+    bands = [band(F.col(w), k, min(k + BAND_BITS, WORD * count)) for w in ("_a", "_b") for k in range(0, WORD * count, BAND_BITS)]
+    m = len(bands) // 2
+    values = lambda parts: F.array(*[p[0].cast("int") for p in parts])
+    cut = rows.select("*", F.posexplode(values(bands[m:])).alias("_band", "_bits"))
+    waiting, path = stage(samples, "waiting")
+    done: list[DataFrame] = []
+    least, best = 0, None
+    single = rows.select("_g").distinct().limit(2).count() < 2
+    for most in FLIP_STEPS:
+        masks = F.explode(F.array(*map(F.lit, flips(BAND_BITS, most, least))))
+        probes = waiting.select("*", F.posexplode(values(bands[:m])).alias("_band", "_own")).select("_s", "_a", "_band", "_own", masks.alias("_mask"))
+        probes = probes.withColumn("_bits", F.col("_own").bitwiseXOR(F.col("_mask")).cast("int")).drop("_own", "_mask")
+        met = _met(probes.join(cut, ["_band", "_bits"]), apart)
+        if best is not None:
+            met = met.unionByName(best.select("_s", "_g", "_m")).groupBy("_s", "_g").agg(F.min("_m").alias("_m"))
+        best = staged(_two_best(met), "best")
+        radius = m * (most + 1) - 1
+        proved = best.where((F.col("_n") == (1 if single else 2)) & (F.col("_m.distance") <= radius)).select("_s")
+        done.append(best.join(proved, "_s", "left_semi"))
+        left, left_path = stage(waiting.join(proved, "_s", "left_anti"), "waiting")
+        forget(spark, path)
+        waiting, path, least = left, left_path, most + 1
+        best = best.join(proved, "_s", "left_anti")
+        if waiting.isEmpty():
+            break
+    else:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = waiting.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        done.append(_two_best(_met(dealt.join(rows.withColumn("_salt", F.pmod(F.xxhash64("_b", "_g"), F.lit(tasks)).cast("int")), "_salt"), apart)))
+    return reduce(DataFrame.unionByName, done)
 
 
 def near_pairs(df: DataFrame, key: str, block: str, words: str, distance: int) -> DataFrame:
     """Pairs of one block within ``distance`` bits: of ``distance + 1`` bands of bits they share one."""
-    banded = _banded(df.select(F.col(key).alias("_k"), F.col(block), F.col(words).alias("_w")), "_w", distance)
+    count = word_count(df, words)
+    banded = df.select(F.col(key).alias("_k"), F.col(block), F.col(words).alias("_w"), F.explode(F.array_distinct(band_hashes(F.col(words), count, distance + 1))).alias("_band"))
     one, two = banded.withColumnsRenamed({"_k": "a", "_w": "_a"}), banded.withColumnsRenamed({"_k": "b", "_w": "_b"})
-    pairs = one.join(two, [block, "_band", "_bits"]).where("a < b").withColumn("distance", hamming(F.col("_a"), F.col("_b")))
+    pairs = one.join(two, [block, "_band"]).where("a < b").withColumn("distance", hamming(F.col("_a"), F.col("_b")))
     return pairs.where(F.col("distance") <= distance).select(block, "a", "b", "distance").distinct()
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardmill.functions import replay
-from boardmill.operators import gallery, similarity
+from boardmill.operators import gallery, leaders, similarity
 from boardmill.sources import sinks
 
 
@@ -67,7 +67,7 @@ def test_hash_index_grows_by_book(spark, tmp_path):
 
 def test_look_ups(spark):
     rows = spark.createDataFrame([("a", "p", [0]), ("b", "p", [1]), ("c", "q", [0]), ("d", "q", [0]), ("e", "p", [-1])], "name string, block string, words array<long>")
-    got = gallery.duplicates_touching(rows, spark.createDataFrame([("b",)], "name string"), "name", "block", "words", 2)
+    got = leaders.duplicates_touching(rows, spark.createDataFrame([("b",)], "name string"), "name", "block", "words", 2)
     assert {(r.leader, r.name) for r in got.collect()} == {("a", "a"), ("a", "b")}
 
 
