@@ -181,14 +181,16 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         placed = placed.join(written(_slots(sources, block_rows), "slots"), ["_source", "_source_null", "block"])
     else:
         shares = nearest_shares(rounded, quantum) if nearest else whole_shares(rounded, quantum)
-        listed = json.dumps([{"_s": s or "", "_s_null": s is None, "_share": shares[s], "_in_period": j, "_slot": slot} for s, j, slot in pfair_period(shares)])
-        kind = "array<struct<_s:string,_s_null:boolean,_share:int,_in_period:int,_slot:int>>"
-        table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))
-        share = table.select(F.col("_s").alias("_source"), F.col("_s_null").alias("_source_null"), "_share").distinct()
+        # the period by slot, as numbers of sources and of their blocks: short literals, as every text of the plan holds them
+        period, names = pfair_period(shares), sorted(shares, key=lambda s: (s is None, s or ""))
+        number = {s: k for k, s in enumerate(names)}
+        folded = lambda values, kind: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+        share = spark.range(1).select(F.inline(folded([{"_source": s or "", "_source_null": s is None, "_share": shares[s], "_k": number[s]} for s in names], "array<struct<_source:string,_source_null:boolean,_share:int,_k:int>>")))
         placed = placed.join(F.broadcast(share), ["_source", "_source_null"])  # ``quantum`` rows at most
         placed = placed.withColumn("_in_period", F.expr("cast(block % _share as int)"))
-        slots = table.select(F.col("_s").alias("_source"), F.col("_s_null").alias("_source_null"), "_in_period", "_slot")
-        placed = placed.join(F.broadcast(slots), ["_source", "_source_null", "_in_period"])
+        turns = F.arrays_zip(folded([number[s] for s, _, _ in period], "array<int>").alias("_k"), folded([j for _, j, _ in period], "array<int>").alias("_in_period"))
+        slots = spark.range(1).select(F.posexplode(turns).alias("_slot", "_turn")).select("_slot", "_turn._k", "_turn._in_period")
+        placed = placed.join(F.broadcast(slots), ["_k", "_in_period"])
         placed = placed.withColumn("slot", F.expr(f"(block div _share) * {quantum} + _slot"))
     placed = placed.withColumn("mix_position", F.expr(f"slot * {block_rows} + _place % {block_rows}"))
     results = ["block", "slot", "mix_position"]

@@ -70,7 +70,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(places, values, label) of the fitted rows; bounded by TRAIN_ROWS, and by TRAIN_BYTES of features."""
+    """(places, counts, label) of the fitted rows, as views of what came packed; bounded by TRAIN_ROWS, and by TRAIN_BYTES of features."""
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & (fold(id_col) != 0))
         .groupBy(F.col(id_col).alias("_id"))
@@ -94,8 +94,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     out = []
     for r in found:
         half = len(r.packed) // 2
-        n = np.frombuffer(r.packed, "<f4", offset=half).astype(float)
-        out.append((np.frombuffer(r.packed, "<i4", half // 4), n * (MASS / max(n.sum(), 1)), r._label))
+        out.append((np.frombuffer(r.packed, "<i4", half // 4), np.frombuffer(r.packed, "<f4", offset=half), r._label))
     return out
 
 
@@ -104,7 +103,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, flo
     model = Ftrl(1 << BITS, 1, alpha=0.3, l1=0.02, l2=0.1)
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
-            model.learn(rows[k][0], rows[k][1], np.array([rows[k][2]], float))
+            places, n, label = rows[k]
+            n = n.astype(float)
+            model.learn(places, n * (MASS / max(n.sum(), 1)), np.array([label], float))
     weights, bias = model.weights()
     return weights[:, 0].astype(np.float32), float(bias[0])
 
