@@ -9,6 +9,8 @@ of rows), joined back on its digest.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ def normalised(text: Column) -> Column:
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _norm, _len, _prefix) of every row."""
-    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    return rows.select("_id", "_norm", F.octet_length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix"))
+    """(_id, _raw, _norm, _len, _prefix) of every row; _raw is a hash of the text as it is."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_raw"), normalised(F.col(text_col)).alias("_norm"))
+    return rows.select("_id", "_raw", "_norm", F.octet_length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix"))
 
 
 def _surviving(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,14 +43,27 @@ def _sized(full: DataFrame) -> DataFrame:
     return full.groupBy("digest").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
-def _flags(groups: DataFrame) -> Column:
-    """A row's flag: whether its (_len, _prefix) may be among these groups.  2**FLAG_BITS places are collected at most."""
-    place = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(1 << FLAG_BITS)).cast("int")
+def _flags(groups: DataFrame, keys: list[str] | None = None) -> Column:
+    """A row's flag: whether its keys, (_len, _prefix) if not named, may be among these groups.  2**FLAG_BITS places are collected at most."""
+    keys = keys or ["_len", "_prefix"]
+    spot = F.pmod(F.xxhash64(*keys), F.lit(1 << FLAG_BITS)).cast("int")
     words = [0] * (1 << FLAG_BITS - 5)
-    for row in groups.select(place.alias("p")).distinct().collect():
+    for row in groups.select(spot.alias("p")).distinct().collect():
         words[row.p >> 5] |= 1 << (row.p & 31)
-    table = F.from_json(F.lit(str(words)), "array<bigint>")
-    return F.get(table, F.shiftright(place, 5)).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_len, _prefix), {1 << FLAG_BITS}) % 32 as int))")) != 0
+    table = F.from_json(F.lit(json.dumps(words, separators=(",", ":"))), "array<bigint>")
+    bit = F.call_function("shiftright", F.get(table, F.shiftright(spot, 5)), F.pmod(spot, F.lit(32)))
+    return bit.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _raw, digest) of the rows that length and prefix couldn't tell from another row; only these texts are hashed
+    in full, and the few that a flag can't tell from them.  _raw is a hash of the text as it is."""
+    measured = _measured(docs, id_col, text_col)
+    sizes = written(measured.select("_len", "_prefix"), "sizes")
+    shared = written(_surviving(_surviving(sizes, ["_len"]), ["_len", "_prefix"]).distinct(), "prefixes")
+    full = measured.where(_flags(shared)).select("_id", "_raw", "_len", "_prefix", F.sha2("_norm", 256).alias("digest"))
+    keyed = full.withColumn("_key", F.xxhash64("_len", "_prefix"))
+    return keyed.join(shared.withColumn("_key", F.xxhash64("_len", "_prefix")), ["_len", "_prefix", "_key"], "left_semi").select("_id", "_raw", "digest")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,11 +74,24 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     only has keep_id null.  Empty and null texts are one group.  An empty table gives an empty
     result.
     """
-    measured = _measured(docs, id_col, text_col)
-    sizes = written(measured.select("_id", "_len", "_prefix"), "sizes")
-    shared = written(_surviving(_surviving(sizes, ["_len"]), ["_len", "_prefix"]).select("_len", "_prefix").distinct(), "prefixes")
-    full = measured.where(_flags(shared)).select("_id", "_len", "_prefix", F.sha2("_norm", 256).alias("digest"))
-    return _sized(full.withColumn("_key", F.xxhash64("_len", "_prefix")).join(shared.withColumn("_key", F.xxhash64("_len", "_prefix")), ["_len", "_prefix", "_key"], "left_semi"))
+    return _sized(_survivors(docs, id_col, text_col))
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, unchanged, without a digest of every text.
+
+    Rows that repeat both id and text are all kept or all dropped.  Rows that no flag of a copy
+    speaks for pass the scan; the others, copies and what shares a flag with one, are joined with
+    the copies by id and text hash.
+    """
+    survivors = written(_survivors(docs, id_col, text_col), "survivors")
+    groups = _sized(survivors).select("digest", F.col("keep_id").alias("_keep"), F.substring("digest", 1, 8).alias("_head"))
+    found = survivors.withColumn("_head", F.substring("digest", 1, 8)).join(groups, ["digest", "_head"])
+    gone = written(found.where(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "_raw").distinct(), "copies")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_raw"))
+    flag = _flags(gone, ["_id", "_raw"])
+    mine = own.where(flag).join(gone.alias("g"), own["_raw"].eqNullSafe(F.col("g._raw")) & own["_id"].eqNullSafe(F.col("g._id")), "left_anti")
+    return own.where(~flag).select("_row").unionByName(mine.select("_row")).select("_row.*")
 
 
 def _digested(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
