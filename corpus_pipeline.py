@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boardmill.llm import quality
 from boardmill.llm.decontaminate import decontaminated
-from boardmill.llm.exact_dedup import exact_dedup
+from boardmill.llm.exact_dedup import first_copies
 from boardmill.llm.mixing import FINE_QUANTUM, mix_sources
 from boardmill.llm.ngram_join import ngram_components
 from boardmill.llm.storage import written
@@ -31,8 +31,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts the one with the smallest id."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    return exact_dedup(rows).where("kept").select("row.*")
+    return first_copies(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
