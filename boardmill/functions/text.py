@@ -114,10 +114,9 @@ def side_symbol(text: Column | str) -> Column:
 
 
 def side_of_line(text: Column | str, caption_like: Column) -> Column:
-    """Who moves by a line: anywhere in a caption; in a paragraph only what the line opens with."""
+    """Who moves by a line: by a symbol, else a phrase, anywhere in a caption; in a paragraph only by a phrase that opens the line."""
     phrase = side_phrase(text)
-    opens = F.startswith(F.regexp_replace(fold(text), r"^[^\p{L}]+", ""), phrase["evidence"])
-    return F.coalesce(F.when(caption_like | opens, phrase), F.when(caption_like, side_symbol(text)))
+    return F.coalesce(F.when(caption_like, side_symbol(text)), F.when(caption_like | F.startswith(fold(text), phrase["evidence"]), phrase))
 
 
 def exercise_number(text: Column | str) -> Column:

@@ -88,7 +88,7 @@ def _growing(samples: DataFrame, index: DataFrame, apart: bool) -> DataFrame:
     least, best = 0, None
     single = rows.select("_g").distinct().limit(2).count() < 2
     for most in FLIP_STEPS:
-        masks = F.explode(F.array(*map(F.lit, flips(BAND_BITS, most, least))))
+        masks = F.explode(F.from_json(F.lit(str(flips(BAND_BITS, most, least))), "array<int>"))  # one folded literal
         probes = waiting.select("*", F.posexplode(values(bands[:m])).alias("_band", "_own")).select("_s", "_a", "_band", "_own", masks.alias("_mask"))
         probes = probes.withColumn("_bits", F.col("_own").bitwiseXOR(F.col("_mask")).cast("int")).drop("_own", "_mask")
         met = _met(probes.join(cut, ["_band", "_bits"]), apart)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import library
 from ..sources import archive
 from ..sources.staging import fresh_folder
 from .catalogue import Tables, query
@@ -62,3 +63,21 @@ def name_index_lookup(t: Tables) -> DataFrame:
     archive.write_name_index(t.spark, folder, index)
     asked = t("orders").where("o_custkey % 7 = 0").select(F.concat(F.lit("P"), F.col("o_custkey") % 30).alias("a"), F.concat(F.lit("Q"), F.col("o_orderkey") % 20).alias("b"))
     return _order_key(archive.lookup_games(archive.open_name_index(t.spark, folder, index), asked, "a", "b", limit=LIMIT))
+
+
+@query(
+    "book string, status string, games bigint, broken boolean",
+    """SELECT CAST(b AS VARCHAR) AS book, CASE WHEN b = 3 THEN 'failed' WHEN b = 5 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN b IN (3, 5) THEN 0 ELSE n END AS games, b = 3 AS broken
+        FROM (SELECT o_orderkey % 8 AS b, count(*) AS n FROM orders GROUP BY 1)""",
+)
+def library_report(t: Tables) -> DataFrame:
+    """A library of eight books, of which one has a file that can't be read and one was run before."""
+    folder = fresh_folder(t.spark, "library")
+    record = F.concat(F.lit('[Event "order '), F.col("o_orderkey"), F.lit('"]\n[White "A"]\n[Black "B"]\n\n1. e4 *\n'))
+    t("orders").select((F.col("o_orderkey") % 8).alias("book"), record.alias("value")).repartition("book").write.partitionBy("book").text(folder)
+    files = archive.archive_files(t.spark, folder).select("path", "length")
+    gone = files.where("path like '%book=3/%'").limit(1).select(F.concat("path", F.lit(".gone")).alias("path"), "length")
+    done = t("orders").where("o_orderkey % 8 = 5").select(F.lit("5").alias("book")).distinct()
+    games, report = library.library_batch(files.union(gone), done, F.regexp_extract("path", r"/book=([^/]*)/", 1))
+    read = games.groupBy("book").agg(F.count(F.lit(1)).alias("_n"))
+    return report.join(read, "book", "left").select("book", "status", F.coalesce("_n", F.lit(0)).alias("games"), F.col("error").isNotNull().alias("broken"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import score, text
-from ..operators import datasets, review, tables
+from ..operators import datasets, paging, review, tables
 from .catalogue import Tables, query
 
 _BUCKET = "CAST(('0x' || substr(sha256('{salt}:' || {key}), 1, 8)) AS BIGINT) % 100"
@@ -93,6 +95,19 @@ def page_slice(t: Tables) -> DataFrame:
     return tables.page_of(t("orders"), ["o_orderkey"], 2, 500)
 
 
+@query(
+    "page bigint, l_orderkey bigint, l_linenumber bigint, l_extendedprice double, l_partkey bigint",
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k, count(*) OVER () AS n FROM lineitem)
+        SELECT k // 50 AS page, l_orderkey, l_linenumber, l_extendedprice, l_partkey FROM r WHERE k // 50 IN (0, n // 100, (n - 1) // 50)""",
+)
+def deep_pages(t: Tables) -> DataFrame:
+    """The first page of all line items by price, one from the middle and the last one."""
+    order = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    ordered = paging.OrderedTable(t("lineitem"), order)
+    numbers = sorted({0, ordered.total // 100, max(0, (ordered.total - 1) // 50)})
+    return reduce(DataFrame.unionByName, [ordered.page(n, 50).withColumn("page", F.lit(n)) for n in numbers])
+
+
 @query("value string, count bigint", "SELECT lang AS value, count(*) AS count FROM documents GROUP BY lang")
 def hist_class(t: Tables) -> DataFrame:
     """Documents of each class."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import score
-from ..operators import metrics, similarity
+from ..operators import metrics, scoring, similarity
+from ..sources.staging import fresh_folder
 from .catalogue import Tables, query
 
 _SCORED_SQL = "SELECT d.doc_id, lang, CAST(n_chars % 101 AS DOUBLE) / 100 AS conf, quality = 1 AS ok, quality, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
@@ -204,3 +208,35 @@ def evaluation_scale(t: Tables) -> DataFrame:
     mate = F.when(c("user_id") % 10 == 0, F.when(c("value") > 50, 3).otherwise(-3))
     cp = F.when(c("user_id") % 10 > 1, (c("event_id") % 801 - 400).cast("double"))
     return t("events").select("event_id", F.round(score.advantage(cp, mate), 9).alias("fraction"), score.evaluation_text(cp, mate).alias("shown"))
+
+
+_WHOLE_SQL = "list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))"
+_WEIGHT_SQL = "CAST((i * 7 + j * 3) % 11 - 5 AS DOUBLE)"
+
+
+@query(
+    "vec_id bigint, a double, b double, c double, best bigint",
+    f"""WITH v AS (SELECT vec_id, {_WHOLE_SQL} AS x FROM embeddings),
+        s AS (SELECT vec_id, j, list_sum(list_transform(range(64), lambda i: x[i + 1] * {_WEIGHT_SQL})) AS one, list_sum(list_transform(range(64), lambda i: x[64 - i] * {_WEIGHT_SQL})) AS two
+            FROM v, (SELECT unnest(range(3)) AS j)),
+        w AS (SELECT vec_id, max(one) AS one, max(two) AS two FROM s GROUP BY vec_id)
+        SELECT s.vec_id, max((one_ + two_) / 2) FILTER (j = 0) AS a, max((one_ + two_) / 2) FILTER (j = 1) AS b, max((one_ + two_) / 2) FILTER (j = 2) AS c, max(CASE WHEN w.two > w.one THEN 1 ELSE 0 END) AS best
+        FROM (SELECT vec_id, j, one AS one_, two AS two_ FROM s) s JOIN w ON w.vec_id = s.vec_id GROUP BY s.vec_id""",
+)
+def scored_views(t: Tables) -> DataFrame:
+    """A linear model's answers to each vector and to the vector turned round, averaged, and the view it is surer of."""
+    i, j = np.indices((64, 3))
+    saved, name = io.BytesIO(), fresh_folder(t.spark, "weights") + ".npy"
+    np.save(saved, ((i * 7 + j * 3) % 11 - 5).astype(float))
+    place = t.spark._jvm.org.apache.hadoop.fs.Path(name)
+    out = place.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(saved.getvalue()))
+    out.close()
+    t.spark.sparkContext.addFile(name)
+    model, whole = name.rsplit("/", 1)[-1], t("embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double")).alias("x"))
+    own, turned, same = list(range(64)), list(range(63, -1, -1)), [0, 1, 2]
+    both = scoring.scored(whole, ["vec_id"], "x", model, scoring.linear, 3, [(own, same), (turned, same)])
+    views = [scoring.scored(whole, ["vec_id"], "x", model, scoring.linear, 3, [(p, same)]).select("vec_id", F.col("scores").alias(f"_v{k}")) for k, p in enumerate((own, turned))]
+    _, best = scoring.best_view(["_v0", "_v1"])
+    joined = both.join(views[0], "vec_id").join(views[1], "vec_id")
+    return joined.select("vec_id", *[F.get("scores", F.lit(k)).alias(c) for k, c in enumerate("abc")], best.alias("best"))

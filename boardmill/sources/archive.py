@@ -90,10 +90,11 @@ def read_archive(spark: SparkSession, paths: str | list[str], split_bytes: int =
     with the error's text and nulls instead of ending the job, and the other ranges are read.
     Empty files, and bytes before a file's first record, give no row.
     """
-    return _scanned(archive_files(spark, paths), split_bytes, keep_errors)
+    return scan_files(archive_files(spark, paths), split_bytes, keep_errors)
 
 
-def _scanned(files: DataFrame, split_bytes: int, keep_errors: bool) -> DataFrame:
+def scan_files(files: DataFrame, split_bytes: int = SPLIT_BYTES, keep_errors: bool = False) -> DataFrame:
+    """``read_archive`` of files that are listed already, as (path, length)."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = files.where("length > 0").select("path", F.explode(starts).alias("start"))
     tasks = max(1, ranges.count())
@@ -183,7 +184,7 @@ def write_name_index(spark: SparkSession, paths: str | list[str], index: str, sp
     that was broken off leaves the index before it in place.
     """
     files = archive_files(spark, paths)
-    games = _scanned(files, split_bytes, False).where("white != '' and black != ''")
+    games = scan_files(files, split_bytes, False).where("white != '' and black != ''")
     rows = games.select(pair_hash(F.col("white"), F.col("black")).alias("pair"), "path", "offset")
     build = f"rows-{uuid.uuid4().hex}"
     order = ["bucket", "pair", "path", "offset"]

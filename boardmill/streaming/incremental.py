@@ -29,10 +29,14 @@ def scan(spark: SparkSession, folder: str, schema: T.StructType, files_each: int
 def run_available(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
     """Runs what is there now, batch by batch, into all sinks; a later call goes on after the last finished batch.
 
-    A batch that failed half-way is given again with the same number, so sinks write by it.
+    A batch that failed half-way is given again with the same number, so sinks write by it.  A
+    single sink gets the batch as it is, in one pass; several share a kept copy.
     """
 
     def feed(batch: DataFrame, number: int) -> None:
+        if len(sinks) == 1:
+            sinks[0](batch, number)
+            return
         batch = batch.persist()
         try:
             for sink in sinks:

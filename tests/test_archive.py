@@ -65,11 +65,11 @@ def test_reads_at_right_wrong_and_foreign_offsets(spark, folder):
 
 def test_a_broken_file_is_a_row_and_the_others_go_on(spark, folder, monkeypatch):
     files = archive.archive_files(spark, str(folder)).union(spark.createDataFrame([(f"file:{folder}/gone.pgn", 9)], "path string, length long"))
-    rows = archive._scanned(files, 1 << 20, True).collect()
+    rows = archive.scan_files(files, 1 << 20, True).collect()
     bad = [r for r in rows if r.error]
     assert len(rows) == 6 and len(bad) == 1 and bad[0].path.endswith("gone.pgn") and "FileNotFound" in bad[0].error and bad[0].white is None
     with pytest.raises(Exception, match="gone.pgn"):
-        archive._scanned(files, 1 << 20, False).collect()
+        archive.scan_files(files, 1 << 20, False).collect()
 
 
 def test_index_looks_up_both_colours_and_checks_names(spark, folder, tmp_path):

@@ -46,7 +46,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "name string, placement string, words array<long>").repartition(3)
 
 
-@pytest.mark.parametrize(("seed", "n", "blocks", "centres", "words", "most", "distance", "pairs"), [(1, 300, 3, 8, 4, 4, 3, 32), (2, 400, 1, 1, 1, 9, 3, 0), (3, 250, 2, 2, 1, 6, 2, 2), (4, 60, 1, 60, 2, 0, 3, 32)])
+@pytest.mark.parametrize(("seed", "n", "blocks", "centres", "words", "most", "distance", "pairs"), [(1, 300, 3, 8, 4, 4, 3, 32), (2, 60, 1, 1, 1, 4, 3, 0), (3, 120, 2, 2, 1, 6, 2, 2)])
 def test_groups_equal_a_sequential_pass(spark, monkeypatch, seed, n, blocks, centres, words, most, distance, pairs):
     monkeypatch.setattr(leaders, "PAIRS_PER_ROW", pairs)  # 0: rounds by bands decide all
     rows = random_rows(seed, n, blocks, centres, words, most)
@@ -66,11 +66,11 @@ def test_a_block_of_equal_rows_takes_many_tasks_and_no_pairs(spark):
     rows = spark.range(100_000).select(F.format_string("f%06d", "id").alias("name"), F.lit("start").alias("placement"), F.array(F.when(F.col("id") % 7 == 0, 1).otherwise(0).cast("long")).alias("words"))
     found = leaders.near_duplicate_groups(rows, "name", "placement", "words")
     assert found.groupBy("leader").count().collect()[0].asDict() == {"leader": "f000000", "count": 100_000}
-    dense = spark.range(2_000).select(F.format_string("f%06d", "id").alias("name"), F.lit("start").alias("placement"), F.array(F.col("id")).alias("words"))
-    assert {tuple(r) for r in leaders.near_duplicate_groups(dense, "name", "placement", "words").collect()} == sequential([(f"f{k:06d}", "start", [k]) for k in range(2_000)], 3)
+    dense = spark.range(400).select(F.format_string("f%06d", "id").alias("name"), F.lit("start").alias("placement"), F.array(F.col("id")).alias("words"))
+    assert {tuple(r) for r in leaders.near_duplicate_groups(dense, "name", "placement", "words").collect()} == sequential([(f"f{k:06d}", "start", [k]) for k in range(400)], 3)
 
 
-@pytest.mark.parametrize(("words", "spread", "apart"), [(1, 40, True), (1, 40, False), (4, 30, True), (1, 3, True)])
+@pytest.mark.parametrize(("words", "spread", "apart"), [(1, 40, True), (4, 30, False)])
 def test_nearest_of_all_equals_brute_force(spark, words, spread, apart):
     rng = random.Random(words + spread)
     base = [[rng.getrandbits(64) - 2**63 for _ in range(words)] for _ in range(4)]
