@@ -11,15 +11,17 @@ from ..sources.staging import fresh_folder
 class OrderedTable:
     """A table dealt to ranges of an order, written to a folder for each range, with the rows of every range counted.
 
-    The order must be total for pages to be the same on every call.  Equal and null values of the order's first
+    Without ``ranges`` Spark chooses how many by their bytes.  The order must be total for pages to be
+    the same on every call.  Equal and null values of the order's first
     columns may stand in one range, so one that many rows share should be followed by others.
     """
 
-    def __init__(self, df: DataFrame, order: list[Column | str], path: str | None = None):
+    def __init__(self, df: DataFrame, order: list[Column | str], path: str | None = None, ranges: int | None = None):
         spark = df.sparkSession
         self.order, self.columns = order, df.columns
         self.path = path or fresh_folder(spark, "ordered")
-        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct(*df.columns).alias("row"), F.spark_partition_id().alias("part"))
+        dealt = df.repartitionByRange(*order) if ranges is None else df.repartitionByRange(ranges, *order)
+        ranged = dealt.sortWithinPartitions(*order).select(F.struct(*df.columns).alias("row"), F.spark_partition_id().alias("part"))
         ranged.write.partitionBy("part").parquet(self.path)
         self.table = spark.read.schema(ranged.schema).parquet(self.path)
         counts = self.table.groupBy("part").count().orderBy("part").collect()  # one row for each range

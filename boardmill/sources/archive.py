@@ -38,7 +38,7 @@ _BOM = b"\xef\xbb\xbf"
 
 
 def archive_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, length) of the files; only listed, their content isn't read."""
+    """(path, length) of the files that aren't empty; only listed, their content isn't read."""
     return spark.read.format("binaryFile").load(paths).select("path", "length")
 
 
