@@ -88,23 +88,31 @@ SUBORDINATORS = ["se", "if", "when", "wenn", "quando", "after", "depois", "apos"
 WHITE_GLYPHS, BLACK_GLYPHS = "◻□▫⬜◽⚪", "◼■▪⬛◾⚫"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is spelled, and computed, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _first_phrase(folded: Column, phrases: list[str]) -> Column:
     """(place, evidence) of the earliest phrase that no subordinator stands before, null if there is none."""
-    found = []
-    for p in phrases:
-        at = F.regexp_instr(folded, F.lit(f"\\b({p})\\b"))
-        before = F.element_at(F.split(F.rtrim(F.substring(folded, F.lit(1), at - 1)), " "), -1)
-        found.append(F.when((at > 0) & ~before.isin(SUBORDINATORS), F.struct(at.cast("int").alias("place"), F.regexp_extract(folded, f"\\b({p})\\b", 1).alias("evidence"))))
-    return F.array_min(F.array_compact(F.array(*found)))
+
+    def found(phrase: str) -> Column:
+        pattern = f"\\b({phrase})\\b"
+
+        def judged(at: Column) -> Column:
+            before = F.element_at(F.split(F.rtrim(F.substring(folded, F.lit(1), at - 1)), " "), -1)
+            return F.when((at > 0) & ~before.isin(SUBORDINATORS), F.struct(at.cast("int").alias("place"), F.regexp_extract(folded, pattern, 1).alias("evidence")))
+
+        return let(F.regexp_instr(folded, F.lit(pattern)), judged)
+
+    return F.array_min(F.array_compact(F.array(*map(found, phrases))))
 
 
 def side_phrase(text: Column | str) -> Column:
     """struct(side, evidence): who moves by the earliest phrase; null if none, or if both sides are named."""
-    folded = fold(text)
-    w, b = _first_phrase(folded, WHITE_PHRASES), _first_phrase(folded, BLACK_PHRASES)
-    return F.when(w.isNotNull() & b.isNull(), F.struct(F.lit("w").alias("side"), w["evidence"].alias("evidence"))).when(
-        b.isNotNull() & w.isNull(), F.struct(F.lit("b").alias("side"), b["evidence"].alias("evidence"))
-    )
+    both = lambda folded: F.struct(_first_phrase(folded, WHITE_PHRASES).alias("w"), _first_phrase(folded, BLACK_PHRASES).alias("b"))
+    said = lambda p: F.when(p["w"].isNotNull() & p["b"].isNull(), F.struct(F.lit("w").alias("side"), p["w"]["evidence"].alias("evidence"))).when(p["b"].isNotNull() & p["w"].isNull(), F.struct(F.lit("b").alias("side"), p["b"]["evidence"].alias("evidence")))
+    return let(let(fold(text), both), said)
 
 
 def side_symbol(text: Column | str) -> Column:
@@ -115,8 +123,8 @@ def side_symbol(text: Column | str) -> Column:
 
 def side_of_line(text: Column | str, caption_like: Column) -> Column:
     """Who moves by a line: by a symbol, else a phrase, anywhere in a caption; in a paragraph only by a phrase that opens the line."""
-    phrase = side_phrase(text)
-    return F.coalesce(F.when(caption_like, side_symbol(text)), F.when(caption_like | F.startswith(fold(text), phrase["evidence"]), phrase))
+    phrase = let(side_phrase(text), lambda p: F.when(caption_like | F.startswith(fold(text), p["evidence"]), p))
+    return F.coalesce(F.when(caption_like, side_symbol(text)), phrase)
 
 
 def exercise_number(text: Column | str) -> Column:

@@ -41,11 +41,14 @@ def _parsed(lines: DataFrame, page: list[str]) -> DataFrame:
 def _side(tier: Column) -> Column:
     """struct(side, evidence, origin, confidence) that a tier's lines agree on; where they don't, that of its text layer if
     it agrees with itself.  Of equal sides the text layer's first line is named."""
-    spoken = F.transform(F.filter(tier, lambda r: r["side"].isNotNull()), lambda r: F.struct(r["side"]["side"].alias("side"), r["side"]["evidence"].alias("evidence"), r["origin"].alias("origin"), r["confidence"].alias("confidence")))
-    printed = F.filter(spoken, lambda r: r["origin"] == "text")
     sides = lambda rows: F.size(F.array_distinct(F.transform(rows, lambda r: r["side"])))
-    first = F.coalesce(F.get(printed, F.lit(0)), F.get(spoken, F.lit(0)))
-    return F.when(sides(spoken) == 1, first).when(sides(printed) == 1, F.get(printed, F.lit(0)))
+
+    def decided(spoken: Column) -> Column:
+        printed = F.filter(spoken, lambda r: r["origin"] == "text")
+        first = F.coalesce(F.get(printed, F.lit(0)), F.get(spoken, F.lit(0)))
+        return F.when(sides(spoken) == 1, first).when(sides(printed) == 1, F.get(printed, F.lit(0)))
+
+    return text.let(F.transform(F.filter(tier, lambda r: r["side"].isNotNull()), lambda r: F.struct(r["side"]["side"].alias("side"), r["side"]["evidence"].alias("evidence"), r["origin"].alias("origin"), r["confidence"].alias("confidence"))), decided)
 
 
 def _first(rows: Column, field: str, good=None) -> Column:
@@ -120,13 +123,11 @@ def page_contexts(lines: DataFrame, boxes: DataFrame, page: list[str], margins:
     found = diagram_lines(lines, boxes, page, radius)
     if numbers is not None:
         found = found.join(numbers.select(*page, F.col("number").alias("_number")), page, "left")
-    some = F.exists("lines", lambda r: r["primary"])
     said = lambda rows: F.transform(rows, lambda r: r["said"])
-    first = said(F.filter("lines", lambda r: r["primary"] | ~some))
-    rest = said(F.filter("lines", lambda r: ~r["primary"] & some))
-    captions = F.filter(said(F.col("lines")), lambda r: r["caption"])
+    found = found.withColumn("_led", F.exists("lines", lambda r: r["primary"]))
+    found = found.withColumn("_first", said(F.filter("lines", lambda r: r["primary"] | ~F.col("_led")))).withColumn("_rest", said(F.filter("lines", lambda r: ~r["primary"] & F.col("_led"))))
     number = F.col("_number") if numbers is not None else F.lit(None)
-    found = found.withColumn("_side", F.coalesce(_side(first), _side(rest))).withColumn("_captions", captions)
+    found = found.withColumn("_side", F.coalesce(_side(F.col("_first")), _side(F.col("_rest")))).withColumn("_captions", F.filter(said(F.col("lines")), lambda r: r["caption"]))
     players, dated = _first(F.col("_captions"), "players"), _first(F.col("_captions"), "dated")
     out = found.select(
         *page,
