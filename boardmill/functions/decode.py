@@ -94,7 +94,11 @@ def _touched(best: np.ndarray, options: list[list[int]]) -> tuple[list[int], lis
 
 
 def decode_board(probabilities: np.ndarray) -> tuple[str, float, int, bool]:
-    """(64 squares, cost, changed squares, solved): the cheapest allowed board; else the one with the fewest broken rules."""
+    """(64 squares, cost, changed squares, solved): the cheapest allowed board; else the one with the fewest broken rules.
+
+    Cheapest as long as no more than MAX_TALLIES tallies are open at once; beyond that only the cheapest of them are
+    gone on with, so a cheaper board, or the only allowed one, may be missed.
+    """
     p = np.log(np.maximum(np.asarray(probabilities, float).reshape(64, 13), 1e-12))
     best = p.argmax(axis=1)
     loss = p.max(axis=1, keepdims=True) - p
