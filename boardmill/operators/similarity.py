@@ -269,9 +269,16 @@ def lines_near(lines: DataFrame, boxes: DataFrame, page: list[str], radius: floa
     return pairs.select(*page, "line", "group_id", "idx", F.col("_r.distance").alias("distance"), F.col("_r.side").alias("placement"))
 
 
-def dominant_side(near: DataFrame, page: list[str]) -> DataFrame:
-    """(page, placement): the side on which groups stand by most diagrams, then nearest; above before below."""
-    votes = near.where("placement in ('above', 'below')").groupBy(*page, "placement").agg(F.count_distinct("idx").alias("_n"), F.avg("distance").alias("_d"))
+def group_relations(near: DataFrame, page: list[str]) -> DataFrame:
+    """(page, group_id, idx, distance, placement): a group of lines stands to a diagram as its nearest line does, of equals the first."""
+    nearest = F.min(F.struct("distance", "line", "placement")).alias("_m")
+    return near.groupBy(*page, "group_id", "idx").agg(nearest).select(*page, "group_id", "idx", "_m.distance", "_m.placement")
+
+
+def dominant_side(groups: DataFrame, page: list[str]) -> DataFrame:
+    """(page, placement): the side on which groups stand by most diagrams, then by the nearest groups of each diagram; above before below."""
+    nearest = groups.where("placement in ('above', 'below')").groupBy(*page, "placement", "idx").agg(F.min("distance").alias("_d"))
+    votes = nearest.groupBy(*page, "placement").agg(F.count(F.lit(1)).alias("_n"), F.avg("_d").alias("_d"))
     return votes.groupBy(*page).agg(F.min_by("placement", F.struct(-F.col("_n"), "_d", "placement")).alias("placement"))
 
 
@@ -281,9 +288,8 @@ def assign_lines(lines: DataFrame, boxes: DataFrame, page: list[str], radius: fl
     First groups on the page's dominant side claim diagrams, each side once, by (distance,
     diagram, group); then the groups left go to their nearest diagram.
     """
-    near = lines_near(lines, boxes, page, radius)
-    pairs = near.groupBy(*page, "group_id", "idx").agg(F.min(F.struct("distance", "placement")).alias("_m")).select(*page, "group_id", "idx", "_m.distance", "_m.placement")
-    pairs = pairs.join(dominant_side(near, page).withColumnRenamed("placement", "_dominant"), page, "left")
+    pairs = group_relations(lines_near(lines, boxes, page, radius), page)
+    pairs = pairs.join(dominant_side(pairs, page).withColumnRenamed("placement", "_dominant"), page, "left")
 
     def kernel(rows: list[dict]) -> list[tuple]:
         group_of: dict[int, int] = {}

@@ -212,7 +212,22 @@ def hit_test(t: Tables) -> DataFrame:
     return similarity.hit_test(b, b.select("page", F.col("idx").alias("point"), (F.col("x0") + 25).alias("x"), (F.col("y0") + 25).alias("y")), ["page"])
 
 
-@query("page string, group_id bigint, idx bigint")
+@query(
+    "page string, group_id bigint, idx bigint",
+    f"""WITH b AS ({_BOXES_SQL}), l AS (SELECT page, idx AS line, idx % 100000 AS g, x0, y1 + 4 AS y0, x1, y1 + 14 AS y1 FROM b),
+        r AS (SELECT b.page, l.line, l.g, b.idx, greatest(0, b.x0 - l.x1, l.x0 - b.x1) AS dx, greatest(0, b.y0 - l.y1, l.y0 - b.y1) AS dy,
+            greatest(0, least(l.x1, b.x1) - greatest(l.x0, b.x0)) / least(l.x1 - l.x0, b.x1 - b.x0) >= 0.25 AS across, greatest(0, least(l.y1, b.y1) - greatest(l.y0, b.y0)) / least(l.y1 - l.y0, b.y1 - b.y0) >= 0.25 AS along,
+            l.y1 <= b.y0 AS up, l.y0 >= b.y1 AS down, l.x1 <= b.x0 AS before, l.x0 >= b.x1 AS after FROM b JOIN l ON l.page = b.page),
+        n AS (SELECT page, line, g, idx, sqrt(dx * dx + dy * dy) AS d, CASE WHEN dx = 0 AND dy = 0 THEN 'overlapping' WHEN across AND up THEN 'above' WHEN across AND down THEN 'below' WHEN along AND before THEN 'left' WHEN along AND after THEN 'right' END AS side FROM r),
+        q AS (SELECT page, g, idx, min((d, line, side)) AS m FROM n WHERE side IS NOT NULL AND d <= 60 GROUP BY ALL),
+        p AS (SELECT page, g, idx, m[1] AS d, m[3] AS side FROM q),
+        v AS (SELECT page, side, count(*) AS n, avg(d) AS d FROM (SELECT page, side, idx, min(d) AS d FROM p WHERE side IN ('above', 'below') GROUP BY ALL) GROUP BY ALL),
+        w AS (SELECT page, arg_min(side, (-n, d, side)) AS side FROM v GROUP BY page),
+        c AS (SELECT p.page, list({{'d': d, 'idx': idx, 'g': g}} ORDER BY d, idx, g) AS cs FROM p JOIN w ON w.page = p.page AND w.side = p.side GROUP BY p.page),
+        t AS (SELECT page, unnest(list_reduce(list_prepend([], list_transform(cs, lambda z: [z])), lambda acc, z: CASE WHEN len(list_filter(acc, lambda y: y.idx = z[1].idx OR y.g = z[1].g)) = 0 THEN list_concat(acc, z) ELSE acc END)) AS z FROM c),
+        h AS (SELECT page, z.g AS g, z.idx AS idx FROM t)
+        SELECT page, g AS group_id, idx FROM h UNION ALL SELECT p.page, p.g, arg_min(p.idx, (p.d, p.idx)) FROM p ANTI JOIN h ON h.page = p.page AND h.g = p.g GROUP BY p.page, p.g""",
+)
 def spatial_assign(t: Tables) -> DataFrame:
     """Lines under and over boxes, each group to one box."""
     b, k = _boxes(t), F.col("idx")

@@ -73,16 +73,19 @@ def plain_assignment(lines, boxes, radius=60.0):
     out = {}
     for page in {n[0] for n in near}:
         own = [n for n in near if n[0] == page]
+        pairs = {}
+        for _, line, group, idx, distance, side in own:
+            pairs[group, idx] = min(pairs.get((group, idx), (1e9,)), (distance, line, side))
         votes = []
         for side in ("above", "below"):
-            some = [n for n in own if n[5] == side]
-            if some:
-                votes.append((-len({n[3] for n in some}), sum(n[4] for n in some) / len(some), side))
+            nearest = {}
+            for (_, idx), (distance, _, own_side) in pairs.items():
+                if own_side == side:
+                    nearest[idx] = min(nearest.get(idx, 1e9), distance)
+            if nearest:
+                votes.append((-len(nearest), sum(nearest.values()) / len(nearest), side))
         best = min(votes)[2] if votes else None
-        pairs = {}
-        for _, _, group, idx, distance, side in own:
-            pairs[group, idx] = min(pairs.get((group, idx), (1e9, "")), (distance, side))
-        ranked = sorted((d, idx, group, side) for (group, idx), (d, side) in pairs.items())
+        ranked = sorted((d, idx, group, side) for (group, idx), (d, _, side) in pairs.items())
         claimed = set()
         for _, idx, group, side in ranked:
             if side == best and idx not in claimed and (page, group) not in out:

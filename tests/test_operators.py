@@ -227,7 +227,7 @@ def test_lines_to_diagrams(spark):
     diagrams = frame(spark, [(0, 0, 100, 100, 200, 200), (0, 1, 100, 250, 200, 350)])
     lines = spark.createDataFrame([(0, 0, 7, 100.0, 204.0, 200.0, 214.0), (0, 1, 8, 100.0, 354.0, 200.0, 364.0), (0, 2, 9, 100.0, 366.0, 200.0, 372.0), (0, 3, 5, 600.0, 0.0, 700.0, 9.0)], "page int, line int, group_id int, x0 double, y0 double, x1 double, y1 double")
     assert sorted((r.group_id, r.idx) for r in similarity.assign_lines(lines, diagrams, ["page"]).collect()) == [(7, 0), (8, 1), (9, 1)]
-    assert similarity.dominant_side(similarity.lines_near(lines, diagrams, ["page"]), ["page"]).first().placement == "below"
+    assert similarity.dominant_side(similarity.group_relations(similarity.lines_near(lines, diagrams, ["page"]), ["page"]), ["page"]).first().placement == "below"
 
 
 def test_reading_order_columns(spark):
