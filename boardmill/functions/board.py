@@ -25,6 +25,12 @@ def fen_turn(fen: Column | str) -> Column:
     return F.when(turn.isin("w", "b"), turn).otherwise("")
 
 
+def resolved_side(side: Column | str, fen: Column | str) -> Column:
+    """The stored side if it is 'w' or 'b', else the FEN's, else ''."""
+    stored = _col(side)
+    return F.when(stored.isin("w", "b"), stored).otherwise(fen_turn(fen))
+
+
 def with_turn(fen: Column | str, turn: Column | str) -> Column:
     """A FEN whose second field is ``turn``."""
     parts = F.split(F.trim(_col(fen)), " ")

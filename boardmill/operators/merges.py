@@ -100,3 +100,21 @@ def neighbours_with_key(df: DataFrame, book: list[str], order: list[str], key: s
     w = Window.partitionBy(*book).orderBy(*order)
     near = sum(((F.coalesce((F.lag(key, d).over(w) == F.col(key)).cast("int"), F.lit(0)) + F.coalesce((F.lead(key, d).over(w) == F.col(key)).cast("int"), F.lit(0))) for d in range(1, radius + 1)), F.lit(0))
     return df.withColumn("same_key_near", near)
+
+
+def recover_provenance(annotations: DataFrame, matches: DataFrame, key: list[str]) -> DataFrame:
+    """Annotations with filled_fields for those that a game filled before that column was kept.
+
+    They have filled_from and no filled_fields.  The fields that equal what their match says come from it;
+    one that a person has changed since differs and stays theirs.  Both sides have move_number,
+    side_to_move and headers, the matches one row for each key.
+    """
+    m = matches.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_m_{c}") for c in ("move_number", "side_to_move", "headers")])
+    rows = annotations.join(m, key, "left")
+    filled = F.coalesce("filled_fields", F.array().cast("array<string>"))
+    legacy = F.col("_hit").isNotNull() & (F.coalesce("filled_from", F.lit("")) != "") & (F.size(filled) == 0)
+    alike = [F.when(F.col(c).eqNullSafe(F.col(f"_m_{c}")), F.lit(c)) for c in ("move_number", "side_to_move")]
+    own = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+    same = F.map_filter(F.coalesce("_m_headers", F.create_map().cast("map<string,string>")), lambda k, v: (v != "") & F.coalesce(F.try_element_at(own, k) == v, F.lit(False)))
+    names = F.concat(F.array_compact(F.array(*alike)), F.transform(F.array_sort(F.map_keys(same)), lambda k: F.concat(F.lit("header:"), k)))
+    return rows.withColumn("filled_fields", F.when(legacy, names).otherwise(F.col("filled_fields"))).select(*annotations.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import gallery
+from ..functions import board
+from ..operators import gallery, merges
 from .catalogue import Tables, query
 from .layout_queries import _GAMES_SQL, _after_three_moves, _pawn_game
 
@@ -134,3 +135,26 @@ def patch_index(t: Tables) -> DataFrame:
     index = t("part").where("p_partkey % 2 = 0").select("p_partkey", F.lit("old").alias("name"))
     saved = t("part").select("p_partkey", F.lit("new").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "book").otherwise("other").alias("source_pdf"))
     return gallery.patch_index(index, saved, "book", ["p_partkey"])
+
+
+@query(
+    "o_orderkey bigint, filled string, side string",
+    """WITH a AS (SELECT o_orderkey AS k, o_custkey % 5 AS move, CASE o_orderkey % 3 WHEN 0 THEN 'w' WHEN 1 THEN 'b' END AS side, o_orderkey % 4 = 0 AS known, o_orderkey % 7 <> 0 AS filled, o_orderstatus AS event, o_orderpriority AS site FROM orders),
+        m AS (SELECT o_orderkey AS k, 2 AS move, CASE o_orderkey % 2 WHEN 0 THEN 'w' END AS side, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS event, '1-URGENT' AS site FROM orders WHERE o_orderkey % 11 <> 0)
+        SELECT a.k AS o_orderkey, CASE WHEN known THEN 'known' WHEN filled AND m.k IS NOT NULL THEN concat_ws(',', CASE WHEN a.move = m.move THEN 'move_number' END,
+            CASE WHEN a.side IS NOT DISTINCT FROM m.side THEN 'side_to_move' END, CASE WHEN m.event <> '' AND a.event = m.event THEN 'header:Event' END, CASE WHEN a.site = m.site THEN 'header:Site' END) ELSE '' END AS filled,
+            coalesce(a.side, CASE WHEN a.k % 2 = 0 THEN 'b' ELSE '' END) AS side
+        FROM a LEFT JOIN m ON m.k = a.k""",
+)
+def recovered_fields(t: Tables) -> DataFrame:
+    """Fields of old annotations that their match gave, and the side that a label resolves to."""
+    o, k = t("orders"), F.col("o_orderkey")
+    side = F.when(k % 3 == 0, "w").when(k % 3 == 1, "b")
+    headers = lambda event, site: F.create_map(F.lit("Event"), event, F.lit("Site"), site)
+    known = F.when(k % 4 == 0, F.array(F.lit("known"))).otherwise(F.array().cast("array<string>"))
+    annotations = o.select("o_orderkey", (F.col("o_custkey") % 5).alias("move_number"), side.alias("side_to_move"), headers(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("headers"), F.when(k % 7 != 0, "game").otherwise("").alias("filled_from"), known.alias("filled_fields"))
+    event = F.when(k % 5 == 0, "").otherwise(F.col("o_orderstatus"))
+    matches = o.where(k % 11 != 0).select("o_orderkey", F.lit(2).cast("long").alias("move_number"), F.when(k % 2 == 0, "w").alias("side_to_move"), headers(event, F.lit("1-URGENT")).alias("headers"))
+    found = merges.recover_provenance(annotations, matches, ["o_orderkey"])
+    fen = F.when(k % 2 == 0, "8/8/8/8/8/8/8/8 b - - 0 1").otherwise("8/8/8/8/8/8/8/8 x")
+    return found.select("o_orderkey", F.array_join("filled_fields", ",").alias("filled"), board.resolved_side(F.coalesce("side_to_move", F.lit("")), fen).alias("side"))

@@ -169,3 +169,13 @@ def test_the_gate_s_plan_stays_small(spark, tmp_path, monkeypatch):
     assert replay.replay(games, ["k"], wanted=rows).count() == 0
     plan = seen[0].select(board.occupancy("placement"))._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000 and "regexp_replace" not in plan
+
+
+def test_provenance_of_old_rows_is_recovered(spark):
+    kind = "k int, move_number int, side_to_move string, headers map<string,string>, filled_from string, filled_fields array<string>"
+    rows = [(1, 5, "w", {"White": "Tal", "Black": "typed"}, "g", []), (2, 5, "w", {"White": "Tal"}, "", []), (3, 5, "w", {}, "g", ["side_to_move"]), (4, None, "b", None, "g", None), (5, 5, "w", {}, "g", [])]
+    matches = [(k, None if k == 4 else 5, "w", {"White": "Tal", "Black": "Koblenz", "Event": ""}) for k in (1, 2, 3, 4)]
+    got = merges.recover_provenance(spark.createDataFrame(rows, kind), spark.createDataFrame(matches, "k int, move_number int, side_to_move string, headers map<string,string>"), ["k"])
+    assert {r.k: r.filled_fields for r in got.collect()} == {1: ["move_number", "side_to_move", "header:White"], 2: [], 3: ["side_to_move"], 4: ["move_number"], 5: []}
+    sides = values(spark, [("w", "x b"), ("", "x b"), ("z", "x"), (None, None)], "s string, f string", board.resolved_side("s", "f"))
+    assert sides[:3] == ["w", "b", ""] and not sides[3]
