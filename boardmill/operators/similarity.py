@@ -23,6 +23,8 @@ from ..sources.staging import forget, stage, staged
 MAX_DISTANCE, AMBIGUITY = 6, 4
 #: Bits of a band whose values are looked up, and how many of them are flipped at most in each round.
 BAND_BITS, FLIP_STEPS = 16, (2, 4, 6)
+#: Pairs of samples and distinct rows up to which all are compared at once, which costs less than the rounds.
+FEW_PAIRS = 1 << 22
 MATCH_IOU = 0.5
 SUSPECT_SIDE = 72.0
 MAX_BOARDS = 12
@@ -70,8 +72,8 @@ def _growing(samples: DataFrame, index: DataFrame, apart: bool) -> DataFrame:
     Bits are cut into bands of BAND_BITS.  A row within m * (f + 1) - 1 bits of a sample, m the
     number of bands, differs in f bits at most in one of them, so looking up each band's values
     with up to f bits flipped finds it.  A round adds flips, and only samples whose two groups aren't
-    within the radius yet go on.  Those that are left after FLIP_STEPS, or need only one group's
-    distance where the index has no other, are compared with all distinct rows, dealt by a salt.
+    within the radius yet go on; where the index has one group, one is enough.  Those that are left
+    after FLIP_STEPS, and all where pairs are few, are compared with all distinct rows, dealt by a salt.
     """
     spark = index.sparkSession
     own = samples.select(F.col("_s").alias("_r")).distinct().withColumn("_own", F.col("_r"))
@@ -87,7 +89,8 @@ def _growing(samples: DataFrame, index: DataFrame, apart: bool) -> DataFrame:
     done: list[DataFrame] = []
     least, best = 0, None
     single = rows.select("_g").distinct().limit(2).count() < 2
-    for most in FLIP_STEPS:
+    few = samples.count() * rows.count() <= FEW_PAIRS
+    for most in () if few else FLIP_STEPS:
         masks = F.explode(F.from_json(F.lit(str(flips(BAND_BITS, most, least))), "array<int>"))  # one folded literal
         probes = waiting.select("*", F.posexplode(values(bands[:m])).alias("_band", "_own")).select("_s", "_a", "_band", "_own", masks.alias("_mask"))
         probes = probes.withColumn("_bits", F.col("_own").bitwiseXOR(F.col("_mask")).cast("int")).drop("_own", "_mask")

@@ -70,8 +70,9 @@ def test_a_block_of_equal_rows_takes_many_tasks_and_no_pairs(spark):
     assert {tuple(r) for r in leaders.near_duplicate_groups(dense, "name", "placement", "words").collect()} == sequential([(f"f{k:06d}", "start", [k]) for k in range(400)], 3)
 
 
-@pytest.mark.parametrize(("words", "spread", "apart"), [(1, 40, True), (4, 30, False)])
-def test_nearest_of_all_equals_brute_force(spark, words, spread, apart):
+@pytest.mark.parametrize(("words", "spread", "apart", "few"), [(1, 40, True, 0), (4, 30, False, 0), (1, 40, True, 1 << 30)])
+def test_nearest_of_all_equals_brute_force(spark, monkeypatch, words, spread, apart, few):
+    monkeypatch.setattr(similarity, "FEW_PAIRS", few)
     rng = random.Random(words + spread)
     base = [[rng.getrandbits(64) - 2**63 for _ in range(words)] for _ in range(4)]
     rows = [(k, f"g{k % 3}", noisy(rng, rng.choice(base), spread)) for k in range(160)] + [(k, "g1", list(base[0])) for k in range(160, 190)]
@@ -87,7 +88,8 @@ def test_nearest_of_all_equals_brute_force(spark, words, spread, apart):
     assert got == want
 
 
-def test_nearest_with_one_group_or_no_row(spark):
+def test_nearest_with_one_group_or_no_row(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW_PAIRS", 0)
     index = spark.createDataFrame([(1, "g", [0]), (2, "g", [2**63 - 1])], "row long, book string, words array<long>")
     samples = spark.createDataFrame([(7, [1]), (8, [2**62 - 1]), (9, [-1])], "sample long, words array<long>")
     find = lambda i: {r.sample: (r.row, r.distance, r.runner_up, r.ambiguous) for r in similarity.nearest(samples, i, "sample", "row", "book", "words", None).collect()}
@@ -96,7 +98,8 @@ def test_nearest_with_one_group_or_no_row(spark):
     assert find(index.limit(0)) == {}
 
 
-def test_search_has_no_nested_loop(spark):
+def test_search_has_no_nested_loop(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW_PAIRS", 0)
     rng = random.Random(9)
     index = spark.createDataFrame([(k, f"g{k % 3}", [rng.getrandbits(63)]) for k in range(50)], "row long, book string, words array<long>")
     found = similarity.nearest(index.select(F.col("row").alias("sample"), "words"), index, "sample", "row", "book", "words", None, apart=True)
