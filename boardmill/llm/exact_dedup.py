@@ -43,9 +43,8 @@ def _sized(full: DataFrame) -> DataFrame:
     return full.groupBy("digest").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
-def _flags(groups: DataFrame, keys: list[str] | None = None) -> Column:
-    """A row's flag: whether its keys, (_len, _prefix) if not named, may be among these groups.  2**FLAG_BITS places are collected at most."""
-    keys = keys or ["_len", "_prefix"]
+def _flags(groups: DataFrame, keys: list[str]) -> Column:
+    """A row's flag: whether its keys may be among these groups.  2**FLAG_BITS places are collected at most."""
     spot = F.pmod(F.xxhash64(*keys), F.lit(1 << FLAG_BITS)).cast("int")
     words = [0] * (1 << FLAG_BITS - 5)
     for row in groups.select(spot.alias("p")).distinct().collect():
@@ -59,11 +58,12 @@ def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _raw, digest) of the rows that length and prefix couldn't tell from another row; only these texts are hashed
     in full, and the few that a flag can't tell from them.  _raw is a hash of the text as it is."""
     measured = _measured(docs, id_col, text_col)
-    sizes = written(measured.select("_len", "_prefix"), "sizes")
-    shared = written(_surviving(_surviving(sizes, ["_len"]), ["_len", "_prefix"]).distinct(), "prefixes")
-    full = measured.where(_flags(shared)).select("_id", "_raw", "_len", "_prefix", F.sha2("_norm", 256).alias("digest"))
-    keyed = full.withColumn("_key", F.xxhash64("_len", "_prefix"))
-    return keyed.join(shared.withColumn("_key", F.xxhash64("_len", "_prefix")), ["_len", "_prefix", "_key"], "left_semi").select("_id", "_raw", "digest")
+    sizes = written(measured.select("_len", "_prefix", "_raw"), "sizes")
+    alive = written(_surviving(_surviving(sizes, ["_len"]), ["_len", "_prefix"]).distinct(), "alive")
+    # the flag asks for the hash of the text as it is alone, so that other texts aren't even normalised again
+    full = measured.where(_flags(alive, ["_raw"])).select("_id", "_raw", "_len", "_prefix", F.sha2("_norm", 256).alias("digest"))
+    shared = alive.select("_len", "_prefix", F.xxhash64("_len", "_prefix").alias("_key")).distinct()
+    return full.withColumn("_key", F.xxhash64("_len", "_prefix")).join(shared, ["_len", "_prefix", "_key"], "left_semi").select("_id", "_raw", "digest")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
