@@ -5,9 +5,10 @@ its words and pairs of successive words; letters and digits are words of their o
 version too (``GPLv3`` is ``gpl v 3``).  A softmax regression over the families, a class for unknown
 licences and one for none is fitted on the fixed texts below, with penalties that leave few n-grams
 a weight.  A family is only kept if its probability reaches a limit that is calibrated on names of
-known and unknown licences which that fit hasn't seen; below it the paragraph is of an unknown
-licence.  Comparison with the family's templates, the part of a template's features that the
-paragraph has, confirms a prediction.
+known and unknown licences, whole names in all citations, which that fit hasn't seen; below it the paragraph is of an unknown
+licence.  Comparison with templates, the part of a template's features that the paragraph has,
+confirms a prediction if the family's best template fits well, and better than any other family's
+or any of the licences that are no family here.  An SPDX identifier is read whole and decides.
 
 A paragraph none of whose n-grams speaks more for some licence than for none can't be anything
 else than ``none``, so the scan passes it over after a look at its words; that follows from the
@@ -29,6 +30,8 @@ from .linear import Ftrl, probabilities
 
 UNKNOWN, NONE = "unknown", "none"
 CONFIRMED = 0.5
+#: By so much a family's best template must fit better than any other family's.
+MARGIN = 0.02
 #: Places of the table of weights.
 SHELVES = 4_096
 #: Characters of a line that may go on in the next one.
@@ -36,7 +39,12 @@ WRAPPED = (40, 100)
 
 # Sentences by which licences are named or granted.
 TEMPLATES = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPL.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "agpl": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "Licensed under the AGPL.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -61,7 +69,12 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the LGPL.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "Licensed under the LGPL.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -70,6 +83,33 @@ TEMPLATES = {
     ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
+# Sentences by which licences that are no family here are granted; they are compared like templates.
+OTHER_TEMPLATES = [
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software.",
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "This software is provided 'as-is', without any express or implied warranty; permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+]
+# Identifiers of the families after SPDX-License-Identifier, as whole words.
+IDENTIFIERS = {
+    "agpl": "agpl-[0-9.]+(-only|-or-later|\\+)?",
+    "apache-2.0": "apache-2\\.0",
+    "bsd": "bsd-[0-4]-clause",
+    "cc-by": "cc-by-[0-9.]+",
+    "cc-by-nc": "cc-by-nc-[0-9.]+",
+    "cc-by-sa": "cc-by-sa-[0-9.]+",
+    "cc0": "cc0-[0-9.]+",
+    "gpl": "gpl-[0-9.]+(-only|-or-later|\\+)?",
+    "isc": "isc",
+    "lgpl": "lgpl-[0-9.]+(-only|-or-later|\\+)?",
+    "mit": "mit(-0)?",
+    "mpl-2.0": "mpl-2\\.0(-no-copyleft-exception)?",
+}
 # Names of the families, with which they are cited.
 NAMES = {
     "agpl": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL", "GNU Affero General Public License", "Affero GPL"],
@@ -82,14 +122,15 @@ NAMES = {
     "gpl": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0-or-later", "GNU GPL", "GNU General Public License"],
     "isc": ["ISC", "ISC License", "ISC licence"],
     "lgpl": ["LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1", "GNU LGPL", "GNU Lesser General Public License"],
-    "mit": ["MIT License", "MIT-License", "MIT licence", "MIT (Expat) License", "the MIT terms"],
+    "mit": ["MIT License", "MIT-License", "MIT-Lizenz", "MIT", "MIT licence", "MIT (Expat) License", "the MIT terms"],
     "mpl-2.0": ["MPL", "MPL 2.0", "MPL-2.0", "Mozilla Public License", "Mozilla Public License 2.0"],
 }
 # Names of licences that are no family here.
 OTHER_NAMES = ["EPL-2.0", "Eclipse Public License", "CDDL", "Artistic License 2.0", "zlib License", "WTFPL", "Unlicense", "OFL-1.1", "SIL Open Font License", "PSF License", "OpenSSL License", "Ruby License", "Vim License",
-    "CPL", "Common Public License", "Academic Free License", "OSL-3.0", "Open Database License", "GFDL", "Beerware", "Microsoft Public License", "MS-PL", "a proprietary license", "a commercial license", "its own license", "our license", "the licence of the firm"]
+    "CC BY-ND 4.0", "CC BY-ND", "CC-BY-ND-4.0", "CC BY-NC-SA 4.0", "CC BY-NC-SA", "CC-BY-NC-SA-4.0", "CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0", "Creative Commons Attribution-NoDerivatives", "Creative Commons Attribution-NonCommercial-ShareAlike",
+    "Boost Software License", "BSL-1.0", "EUPL-1.2", "EUPL", "European Union Public Licence", "CeCILL", "CPL", "Common Public License", "Academic Free License", "OSL-3.0", "Open Database License", "GFDL", "Beerware", "Microsoft Public License", "MS-PL", "a proprietary license", "its own license", "the licence of the firm"]
 # How licences are cited.
-CITATIONS = ["Released under the {}.", "Licensed under {}.", "This work is licensed under the {}", "SPDX-License-Identifier: {}", "Distributed under the terms of the {}", "This module is {}", "License: {}", "Available under {}, see LICENSE", "published under the {} licence", "The {} applies.", "{} licence", "{}"]
+CITATIONS = ["Released under the {}.", "Licensed under {}.", "This work is licensed under the {}", "SPDX-License-Identifier: {}", "Distributed under the terms of the {}", "This module is {}", "License: {}", "Available under {}, see LICENSE", "published under the {} licence", "The {} applies.", "{} licence", "{}", "Dieses Werk steht unter der {}.", "Lizenziert unter {}", "publié sous licence {}", "bajo la licencia {}"]
 # Sentences that speak of a licence that is none of the above.
 UNKNOWN_SENTENCES = [
     "All rights reserved.",
@@ -118,6 +159,11 @@ NONE_SENTENCES = [
     "The version of the story that he told was modified.",
     "The commons were open to the public and the creative class was free.",
     "He studied at mit before the redistribution of land.",
+    "He has a commercial license for the truck.",
+    "A licence for the car is needed in this town.",
+    "She left the meeting of the club.",
+    *[f"{who} {x} {what}" for x in ("BSD", "MIT", "ISC", "GPL", "MPL", "LGPL") for who, what in (("She left the", "meeting."), ("He works at", "in the town."))],
+    "They came with the boost of the wind.",
     "Mit.",
     "Mit der Mit.",
     "Sie kam mit dem Zug und das mit Freude.",
@@ -158,8 +204,8 @@ def _examples() -> list[tuple[str, str, int]]:
     """(text, class, part): parts 0 to 2 of the names and sentences, part 3 what is always fitted."""
     rows = []
     for name, names in [*NAMES.items(), (UNKNOWN, OTHER_NAMES)]:
-        rows += [(c.format(n), name, (k + j) % 3 if name != UNKNOWN else k % 3) for k, n in enumerate(names) for j, c in enumerate(CITATIONS)]
-    for name, texts in [*TEMPLATES.items(), (UNKNOWN, UNKNOWN_SENTENCES), (NONE, NONE_SENTENCES)]:
+        rows += [(c.format(n), name, k % 3) for k, n in enumerate(names) for c in CITATIONS]
+    for name, texts in [*TEMPLATES.items(), (UNKNOWN, UNKNOWN_SENTENCES + OTHER_TEMPLATES), (NONE, NONE_SENTENCES)]:
         for text in texts:
             words = _words(text)
             rows.append((text, name, 3))
@@ -191,7 +237,7 @@ def fit() -> dict:
     classes, rows = [*sorted(TEMPLATES), UNKNOWN, NONE], _examples()
     terms = sorted({g for text, *_ in rows for g in _grams(_words(text))})
     place = {g: k for k, g in enumerate(terms)}
-    # the limit: names of a third of the citations, and of a third of the other licences, by a model that hasn't seen them
+    # the limit: a third of the names of every family, and of the other licences, in all citations, by a model that has seen none of these names
     weights, bias = _train([r for r in rows if r[2] != 0], classes, place)
     right, wrong = [], []
     for text, name, part in rows:
@@ -201,10 +247,10 @@ def fit() -> dict:
             if classes[int(p.argmax())] not in (UNKNOWN, NONE):
                 (right if classes[int(p.argmax())] == name else wrong).append(float(p.max()))
     levels = sorted({*right, *wrong, 0.0})
-    limit = min(levels, key=lambda x: (sum(v < x for v in right) + sum(v >= x for v in wrong), x))
+    limit = min(levels, key=lambda x: (sum(v < x for v in right) + sum(v >= x for v in wrong), -x))  # of equally good ones the strictest
     weights, bias = _train(rows, classes, place)
     used = np.abs(weights).sum(axis=1) > 0
-    templates = [{"family": f, "grams": sorted(_grams(_words(t)))} for f, ts in TEMPLATES.items() for t in ts]
+    templates = [{"family": f, "grams": sorted(_grams(_words(t)))} for f, ts in [*TEMPLATES.items(), (UNKNOWN, OTHER_TEMPLATES)] for t in ts]
     return {"classes": classes, "terms": [t for t, u in zip(terms, used, strict=True) if u], "weights": weights[used].round(9), "bias": bias.round(9), "limit": float(limit), "templates": templates}
 
 
@@ -235,7 +281,7 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, paragraph, family, probability, similarity, confirmed, paragraph_text) of each paragraph that speaks of a licence.
 
     ``paragraph`` counts the text's paragraphs (see ``paragraphs``) from 0.  family is ``unknown``
-    where the model sees a licence that it can't tell.  Paragraphs of class ``none``, and null and
+    where the model sees a licence that it can't tell, and never confirmed.  Paragraphs of class ``none``, and null and
     empty texts, give no row; repeated rows give theirs each, rows with a null id too.  An empty
     table gives an empty result.  Nothing is shuffled: the model and the templates are constants
     of the plan.
@@ -267,7 +313,16 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = F.filter(F.array(F.struct(named.alias("_class"), sure.alias("probability"))), lambda h: h["_class"] != NONE)
     rows = rows.select("*", F.inline(hits))
     rows = rows.withColumn("family", F.when(F.col("probability") >= model["limit"], F.col("_class")).otherwise(UNKNOWN))
-    own = F.filter(_constant(model["templates"], "array<struct<family:string,grams:array<string>>>"), lambda t: t["family"] == F.col("family"))
-    shares = F.transform(own, lambda t: F.size(F.array_intersect(t["grams"], F.col("_grams"))) / F.size(t["grams"]))
-    rows = rows.withColumn("similarity", F.coalesce(F.array_max(shares), F.lit(0.0)))
-    return rows.select(F.col("_doc").alias(id_col), F.col("_par").alias("paragraph"), "family", "probability", "similarity", (F.col("similarity") >= CONFIRMED).alias("confirmed"), F.col("_line").alias("paragraph_text"))
+    # an identifier is read whole: what isn't one of a family's is of another licence, whatever it begins with
+    identifier = F.lower(F.regexp_extract("_line", r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", 1))
+    alone = ~F.col("_line").rlike(r"(?i)SPDX-License-Identifier:\s*\S+\s+(OR|AND|WITH)\s")
+    rows = rows.withColumn("_id", F.coalesce(*[F.when(identifier.rlike(f"^({pattern})$"), F.lit(name)) for name, pattern in IDENTIFIERS.items()], F.when(identifier != "", UNKNOWN)))
+    rows = rows.withColumn("family", F.coalesce("_id", "family"))
+    # a template's share of n-grams that the paragraph has, of the predicted family and of all others
+    shares = F.transform(_constant(model["templates"], "array<struct<family:string,grams:array<string>>>"), lambda t: F.struct(t["family"].alias("f"), (F.size(F.array_intersect(t["grams"], F.col("_grams"))) / F.size(t["grams"])).alias("s")))
+    rows = rows.withColumn("_shares", shares)
+    most = lambda keep: F.coalesce(F.array_max(F.transform(F.filter("_shares", keep), lambda t: t["s"])), F.lit(0.0))
+    rows = rows.withColumn("similarity", most(lambda t: t["f"] == F.col("family"))).withColumn("_rival", most(lambda t: t["f"] != F.col("family")))
+    fits = F.coalesce(alone & (F.col("_id") == F.col("family")), (F.col("similarity") >= CONFIRMED) & (F.col("similarity") - F.col("_rival") >= MARGIN))
+    confirmed = (F.col("family") != UNKNOWN) & fits
+    return rows.select(F.col("_doc").alias(id_col), F.col("_par").alias("paragraph"), "family", "probability", "similarity", confirmed.alias("confirmed"), F.col("_line").alias("paragraph_text"))

@@ -1,6 +1,7 @@
 """Licence scans on texts that are no templates: wrapped, unlisted, odd rows."""
 
 import random
+import re
 import textwrap
 
 import numpy as np
@@ -38,6 +39,39 @@ SEEN_NOWHERE = [
 ]
 
 
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+AGPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"
+#: (text, family or None for no row, confirmed)
+TOLD_APART = [
+    (LGPL, "lgpl", True),
+    (AGPL, "agpl", True),
+    (GPL, "gpl", True),
+    (MIT, "mit", True),
+    (BOOST, "unknown", False),
+    ("This is free and unencumbered software released into the public domain.", "unknown", False),
+    ("SPDX-License-Identifier: CC-BY-ND-4.0", "unknown", False),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "unknown", False),
+    ("SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by-nc", True),
+    ("// SPDX-License-Identifier: GPL-2.0+", "gpl", True),
+    ("SPDX-License-Identifier: LGPL-3.0-only", "lgpl", True),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "mit", False),
+    ("SPDX-License-Identifier: Frob-1.0", "unknown", False),
+    ("Released under CC BY-NC-SA 4.0", "unknown", False),
+    ("EUPL-1.2", "unknown", False),
+    ("Dieses Werk steht unter der MIT-Lizenz.", "mit", False),
+    ("He has a commercial license for the truck.", None, False),
+    ("She left the BSD meeting.", None, False),
+]
+
+
+def test_licences_with_shared_words_are_told_apart(spark):
+    got = {r.doc_id: (r.family, r.confirmed) for r in scanned(spark, [(k, t) for k, (t, _, _) in enumerate(TOLD_APART)])}
+    wrong = [(t[:60], got.get(k)) for k, (t, family, sure) in enumerate(TOLD_APART) if got.get(k) != (None if family is None else (family, sure)) and not (sure is False and family not in (None, "unknown") and got.get(k, ("",))[0] == family)]
+    assert not wrong
+    assert not [t for k, (t, _, sure) in enumerate(TOLD_APART) if got.get(k, ("", False))[1] and TOLD_APART[k][1] == "unknown"]
+
+
 def scanned(spark, rows):
     return licence_paragraphs(spark.createDataFrame(rows, DOC)).collect()
 
@@ -79,7 +113,11 @@ def test_scores_equal_a_plain_version(spark):
         p = probabilities((model["weights"][at].sum(axis=0) / np.sqrt(max(1, len(grams))) + model["bias"])[None])[0]
         name = model["classes"][int(p.argmax())]
         if name != licenses.NONE:
-            want.add((k, name if p.max() >= model["limit"] else licenses.UNKNOWN, round(float(p.max()), 6)))
+            named = re.search(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", line, re.I)
+            family = name if p.max() >= model["limit"] else licenses.UNKNOWN
+            if named:
+                family = next((f for f, i in licenses.IDENTIFIERS.items() if re.fullmatch(i, named[1].lower())), licenses.UNKNOWN)
+            want.add((k, family, round(float(p.max()), 6)))
     got = scanned(spark, list(enumerate(lines)))
     assert {(r.doc_id, r.family, round(r.probability, 6)) for r in got} == want and len(want) > 30
 
