@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardmill.functions import board, decode, replay, score, text
-from boardmill.operators import datasets, leaders, merges, metrics, review, search, similarity, tables
+from boardmill.operators import leaders as near_leaders
+from boardmill.operators import merges, metrics, review, search, similarity, tables
 from boardmill.sources import records, sinks
 from boardmill.streaming import incremental
 
@@ -199,7 +200,7 @@ def test_near_duplicates_and_nearest(spark):
                 leaders.append((name, w))
             groups.setdefault(lead or name, []).append(name)
         want |= {(g, n) for g, ns in groups.items() if len(ns) > 1 for n in ns}
-    assert {tuple(r) for r in leaders.near_duplicate_groups(df, "name", "placement", "words").collect()} == want and want
+    assert {tuple(r) for r in near_leaders.near_duplicate_groups(df, "name", "placement", "words").collect()} == want and want
     samples = df.select(F.col("name").alias("sample"), "words")
     index = df.withColumnRenamed("name", "row")
     for most in (None, 6):
