@@ -104,3 +104,20 @@ def test_search_has_no_nested_loop(spark, monkeypatch):
     index = spark.createDataFrame([(k, f"g{k % 3}", [rng.getrandbits(63)]) for k in range(50)], "row long, book string, words array<long>")
     found = similarity.nearest(index.select(F.col("row").alias("sample"), "words"), index, "sample", "row", "book", "words", None, apart=True)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 50
+
+
+def test_nearest_by_blocks_and_by_narrow_bands(spark, monkeypatch):
+    """Several blocks on both sides; neither search multiplies samples by flipped bits or by bands of a few bits."""
+    monkeypatch.setattr(similarity, "SAMPLE_BLOCK", 7)
+    monkeypatch.setattr(similarity, "ROW_BLOCK", 20)
+    rng = random.Random(5)
+    base = [[rng.getrandbits(64) - 2**63] for _ in range(3)]
+    rows = [(k, None if k % 4 == 3 else k % 4, noisy(rng, rng.choice(base), 30)) for k in range(120)]
+    index = spark.createDataFrame([*rows, (500, 1, None), (501, 1, [None])], "row long, book int, words array<long>")
+    samples = index.where("row % 5 = 0").select(F.col("row").alias("sample"), "words")
+    want = {k: min((ham(w, v), r) for r, _, v in rows if r != k) for k, _, w in rows if k % 5 == 0}
+    for most in (None, 18):
+        found = similarity.nearest(samples, index, "sample", "row", "book", "words", most, apart=True)
+        assert {r.sample: (r.distance, r.row) for r in found.collect()} == {k: m for k, m in want.items() if most is None or m[0] <= most}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "_mask" not in plan and "_band" not in plan
