@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, score
 from ..functions.board import disputed_squares
 from .datasets import histogram
-from .similarity import BOX, merge_tiles, per_page
-from .similarity import _overlap as overlap
+from .similarity import BOX, by_page, merge_tiles, per_page
+from .similarity import _overlaps as overlaps
 
 MARGIN = 0.07
 CAPTION_WORDS = 25
@@ -54,25 +55,37 @@ def merged_images(boxes: DataFrame, page: list[str], least: int = 2) -> DataFram
 
 def union_candidates(embedded: DataFrame, contour: DataFrame, page: list[str], most_iou: float = 0.5, inside: float = 0.7) -> DataFrame:
     """Embedded boxes and the contour boxes that don't show the same region (merged boxes: are mostly inside)."""
-    e = embedded.select(*page, F.struct(*BOX).alias("_e"), F.coalesce("merged", F.lit(False)).alias("_merged"))
-    c = contour.withColumn("_c", F.struct(*BOX))
+    # equal boxes show the same region, so only different ones meet
+    e = embedded.select(*page, F.struct(*BOX).alias("_e"), F.coalesce("merged", F.lit(False)).alias("_merged")).distinct()
+    c = contour.select(*page, F.struct(*BOX).alias("_c")).distinct()
     same = (geometry.iou(F.col("_c"), F.col("_e")) > most_iou) | (F.col("_merged") & (geometry.containment(F.col("_c"), F.col("_e")) >= inside))
-    taken = c.join(e, page).where(same).select(*page, "idx").distinct()
-    return embedded.unionByName(contour.join(taken, [*page, "idx"], "left_anti"), allowMissingColumns=True)
+    taken = by_page(c, page).join(by_page(e, page), page).where(same).select(*page, "_c").distinct()
+    left = contour.withColumn("_c", F.struct(*BOX)).join(taken, [*page, "_c"], "left_anti").select(*contour.columns)
+    return embedded.unionByName(left, allowMissingColumns=True)
 
 
 def predupe(boxes: DataFrame, page: list[str], most_iou: float = 0.9, relative_area: float = 0.02) -> DataFrame:
-    """Boxes by falling score without near repeats and without those that are tiny beside the largest."""
+    """Boxes by falling score without near repeats and without those that are tiny beside the largest.
+
+    Of equal boxes with an area only the first can stay, so the others aren't compared.
+    """
 
     def kernel(rows: list[dict]) -> list[tuple]:
         size = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
         least, kept = relative_area * max(map(size, rows)), []
+        held = np.empty((len(rows), 4))
         for r in sorted(rows, key=lambda r: (-r["score"], r["idx"])):
-            if size(r) >= least and not any(overlap(r, k) > most_iou for k in kept):
+            if size(r) < least:
+                continue
+            held[len(kept)] = [r[c] for c in BOX]
+            if not (overlaps(held[len(kept) : len(kept) + 1], held[: len(kept)]) > most_iou).any():
                 kept.append(r)
         return [(r["idx"],) for r in kept]
 
-    return boxes.join(per_page(boxes.select(*page, "idx", "score", *BOX), page, kernel, f"idx {dict(boxes.dtypes)['idx']}"), [*page, "idx"], "left_semi")
+    real = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & F.lit(most_iou < 1)
+    once = boxes.select(*page, "idx", "score", *BOX).withColumn("_own", F.when(~real, F.col("idx")))
+    once = once.groupBy(*page, *BOX, "_own").agg(F.min(F.struct((-F.col("score")).alias("_s"), "idx", "score")).alias("_m")).select(*page, "_m.idx", "_m.score", *BOX)
+    return boxes.join(per_page(once, page, kernel, f"idx {dict(boxes.dtypes)['idx']}"), [*page, "idx"], "left_semi")
 
 
 def box_state(saved: Column, confirmed: Column, fatal: Column, low: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from boardmill.operators import leaders, similarity
+from boardmill.operators import leaders, pages, similarity
 
 MASK = 2**64 - 1
 
@@ -121,3 +121,25 @@ def test_nearest_by_blocks_and_by_narrow_bands(spark, monkeypatch):
         assert {r.sample: (r.distance, r.row) for r in found.collect()} == {k: m for k, m in want.items() if most is None or m[0] <= most}
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "_mask" not in plan and "_band" not in plan
+
+
+def test_equal_boxes_meet_once(spark):
+    """Many copies of few boxes: as many pairs as different boxes have, and the results of the sequential rules."""
+    rng = random.Random(3)
+    shapes = [(float(x), float(y), x + 60.0, y + 60.0) for x, y in ((rng.randrange(80), rng.randrange(80)) for _ in range(6))]
+    rows = [(0, k, *shapes[k % 6], (k * 53 % 100) / 100) for k in range(90)]
+    boxes = spark.createDataFrame(rows, "page int, idx int, x0 double, y0 double, x1 double, y1 double, score double")
+    over = lambda a, b: similarity._overlap(dict(zip(similarity.BOX, a, strict=True)), dict(zip(similarity.BOX, b, strict=True)))
+    used, want = set(), []
+    for value, a, b in sorted(((over(r[2:6], s[2:6]), r[1], s[1] + 1000) for r in rows for s in rows if s[1] % 3), reverse=True):
+        if value >= similarity.MATCH_IOU and not {a, b} & used:
+            used |= {a, b}
+            want.append((a, b, value))
+    read = boxes.where("idx % 3 != 0").withColumn("idx", F.col("idx") + 1000)
+    assert sorted(map(tuple, similarity.match_boxes(boxes, read, ["page"]).drop("page").collect())) == sorted(want)
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[6], r[1])):
+        if not any(over(r[2:6], k[2:6]) > 0.9 for k in kept):
+            kept.append(r)
+    assert sorted(r.idx for r in pages.predupe(boxes, ["page"]).collect()) == sorted(k[1] for k in kept)
+    assert similarity.equal_boxes(boxes, ["page"]).count() == len(set(shapes))
