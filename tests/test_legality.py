@@ -2,6 +2,7 @@
 
 import random
 
+from boardmill.functions import replay
 from boardmill.functions.replay import status
 from boardmill.operators import similarity
 
@@ -106,3 +107,20 @@ def test_assignment_equals_a_plain_version(spark):
     a = spark.createDataFrame(flat(lines), "page int, line int, group_id int, x0 double, y0 double, x1 double, y1 double")
     got = {(r.page, r.group_id): r.idx for r in similarity.assign_lines(a, b, ["page"]).collect()}
     assert got == plain_assignment(lines, boxes) and len(got) > 30
+
+
+def test_a_game_ends_where_no_wanted_placement_can_follow():
+    text = "1. e4 e5 2. Nf3 Nc6 3. d4 exd4 4. Nxd4 Nf6 5. Nc3 Bb4 {x} (5... Bc5) 6. Nxc6 bxc6"
+    whole = list(replay.positions(text))
+    assert len(whole) == 12 and list(replay.positions(text)) == whole and len(replay._openings) >= 3
+    kept = [p for p in whole if p[1].split("/")[6].count("P") >= 7]
+    assert list(replay.positions(text, least=(0, 7, 0))) == kept and len(kept) == 4
+    assert [p[0] for p in replay.positions(text, least=(31, 0, 0))] == list(range(1, 7))
+    # a pawn that a malformed set-up has behind its home rank may still come there
+    assert len(list(replay.positions("1. e2 e6 2. e4", "4k3/4p3/8/8/8/8/8/K3P3 w - - 0 1", least=(0, 1, 0)))) == 4
+
+
+def test_shared_openings_keep_their_castling_rights():
+    one = list(replay.positions("1. Nf3 Nf6 2. g3 g6 3. Bg2 Bg7 4. Kf1 O-O"))
+    two = list(replay.positions("1. Nf3 Nf6 2. g3 g6 3. Bg2 Bg7 4. O-O Kf8"))
+    assert len(one) == len(two) == 8
