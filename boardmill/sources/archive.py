@@ -28,6 +28,8 @@ from .records import fingerprint, parsed_records
 
 SPLIT_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
+#: Bytes first read of a record that is looked up; each further read takes four times as many, up to CHUNK_BYTES.
+LOOKUP_BYTES = 1 << 12
 #: Records, and bytes of them, of an Arrow batch at most.
 BATCH_RECORDS, BATCH_BYTES = 10_000, 8 << 20
 INDEX_VERSION = 1
@@ -49,13 +51,18 @@ def _opened(path: str) -> pa.NativeFile:
     return system.open_input_file(place)
 
 
-def _records(handle: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of the records that begin in [start, end); the last may go on behind the end."""
+def _records(handle: pa.NativeFile, start: int, end: int, first: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of the records that begin in [start, end); the last may go on behind the end.
+
+    ``first`` is the number of bytes to begin with where few are wanted.
+    """
+    size = min(first or CHUNK_BYTES, CHUNK_BYTES)
     base = max(0, start - 1)  # the line break before a record may be the last byte of the range before
     handle.seek(base)
     held, own, searched = b"", None, 0
     while True:
-        chunk = handle.read(CHUNK_BYTES)
+        chunk = handle.read(size)
+        size = min(4 * size, CHUNK_BYTES)
         if start == 0 and not base and not held:  # the file's first record has no line break before it
             lead = len(_BOM) if chunk.startswith(_BOM) else 0
             own = lead if chunk[lead : lead + len(_MARK)] == _MARK else None
@@ -97,7 +104,9 @@ def scan_files(files: DataFrame, split_bytes: int = SPLIT_BYTES, keep_errors: bo
     """``read_archive`` of files that are listed already, as (path, length)."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = files.where("length > 0").select("path", F.explode(starts).alias("start"))
-    tasks = max(1, ranges.count())
+    # a task for each range while they are few, then one for SPLIT_BYTES of them: small ranges don't make a task each
+    count = ranges.count()
+    tasks = max(1, min(count, max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-count * split_bytes // SPLIT_BYTES))))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +174,7 @@ def _record_at(handle: pa.NativeFile, at: int) -> bytes | None:
     lead = handle.read(1) if at else b"\n"
     if handle.read(len(_MARK)) != _MARK or lead not in (b"\n", _BOM[-1:]):
         return None
-    return next(_records(handle, at, at + 1), (at, None))[1] if lead == b"\n" else next(_records(handle, 0, at + 1), (at, None))[1]
+    return next(_records(handle, at, at + 1, LOOKUP_BYTES), (at, None))[1] if lead == b"\n" else next(_records(handle, 0, at + 1, LOOKUP_BYTES), (at, None))[1]
 
 
 def pair_hash(white: Column, black: Column) -> Column:

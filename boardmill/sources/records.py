@@ -29,8 +29,11 @@ def read_games(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parsed_records(raw: DataFrame, keep: list[str], record: str = "_r") -> DataFrame:
     """(keep, headers, setup_fen, movetext, white, black) of rows with the text of one record each; a null text gives nulls."""
     parts = raw.withColumn("_head", F.regexp_extract(record, r"^((?:\s*\[[^\n]*\n?)+)", 1))
-    entries = F.transform(F.regexp_extract_all("_head", F.lit(r'(\[\w+\s+"(?:[^"\\]|\\.)*"\])'), 1), lambda e: F.struct(F.regexp_extract(e, r"\[(\w+)", 1).alias("key"), F.regexp_replace(F.regexp_extract(e, r'"((?:[^"\\]|\\.)*)"', 1), r"\\(.)", "$1").alias("value")))
-    firsts = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, F.lit(1), k), lambda o: o["key"] == e["key"]))
+    tags = lambda k: F.regexp_extract_all("_head", F.lit(r'\[(\w+)\s+"((?:[^"\\]|\\.)*)"\]'), F.lit(k))
+    parts = parts.withColumn("_names", tags(1)).withColumn("_values", tags(2))
+    plain = lambda v: F.when(F.contains(v, F.lit("\\")), F.regexp_replace(v, r"\\(.)", "$1")).otherwise(v)
+    entries = F.zip_with("_names", "_values", lambda n, v: F.struct(n.alias("key"), plain(v).alias("value")))
+    firsts = F.filter(entries, lambda e, k: F.array_position(F.col("_names"), e["key"]) == k + 1)
     parts = parts.withColumn("_all", F.map_from_entries(firsts))
     moves = F.regexp_replace(F.substr(record, F.length("_head") + 1), r"^\s+|\s+$", "")
     player = lambda h: F.when(F.col(record).isNotNull(), surname(F.coalesce(F.try_element_at("_all", F.lit(h)), F.lit(""))))

@@ -122,3 +122,31 @@ def test_plans_read_buckets_and_no_whole_files(spark, folder, tmp_path):
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") and "PushedFilters: [In(pair" in plan
     listed = archive.read_archive(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in listed
+
+
+def test_small_ranges_don_t_make_a_task_each_and_lookups_read_little(spark, tmp_path):
+    import pyarrow as pa
+
+    text = "".join(f'[Event "{k}"]\n[White "A \\"B\\" C"]\n[White "late"]\n[Black "Q"]\n\n1. e4 *\n\n' for k in range(300))
+    (tmp_path / "a.pgn").write_text(text)
+    found = archive.read_archive(spark, str(tmp_path), split_bytes=64)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(int(r.headers["Event"]) for r in found.collect()) == list(range(300)) and {r.headers["White"] for r in found.collect()} == {'A "B" C'}
+
+    class Counted:
+        def __init__(self):
+            self.inner, self.bytes = pa.BufferReader(text.encode()), 0  # counted below
+
+        def size(self):
+            return self.inner.size()
+
+        def seek(self, at):
+            return self.inner.seek(at)
+
+        def read(self, n):
+            got = self.inner.read(n)
+            self.bytes += len(got)
+            return got
+
+    handle = Counted()
+    assert archive._record_at(handle, 0).startswith(b'[Event "0"]') and handle.bytes <= 2 * archive.LOOKUP_BYTES
