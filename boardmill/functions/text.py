@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +19,14 @@ def _col(c: Column | str) -> Column:
 
 def fold(text: Column | str) -> Column:
     """Text for comparison: ß as ss, Latin marks removed, every dash as '-', spaces collapsed, lower case."""
-    c = F.regexp_replace(_col(text), "ß", "ss")
-    c = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _MARKED, _PLAIN)
-    c = F.regexp_replace(c, f"[{_DASHES}]", "-")
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    even = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+    def folded(c: Column) -> Column:
+        bare = F.translate(F.regexp_replace(F.regexp_replace(c, "ß", "ss"), r"\p{Mn}+", ""), _MARKED, _PLAIN)
+        # there is nothing to replace in a text of ASCII
+        return F.when(F.octet_length(c) == F.char_length(c), even(c)).otherwise(even(F.regexp_replace(bare, f"[{_DASHES}]", "-")))
+
+    return let(_col(text), folded)
 
 
 def surname(name: Column | str) -> Column:
@@ -80,8 +86,9 @@ SIDE_FORMS = [
     (["juegan (las )?{s}", "{s} juegan", "turno de las {s}"], "blancas", "negras"),
     (["(les )?{s} jouent", "trait aux {s}"], "blancs", "noirs"),
 ]
-WHITE_PHRASES = [form.format(s=white) for forms, white, _ in SIDE_FORMS for form in forms]
-BLACK_PHRASES = [form.format(s=black) for forms, _, black in SIDE_FORMS for form in forms]
+# what a language's phrases of a side all contain, and the phrases
+WHITE_PHRASES = [([white.removesuffix("s?")], [form.format(s=white) for form in forms]) for forms, white, _ in SIDE_FORMS]
+BLACK_PHRASES = [(black.strip("()").split("|"), [form.format(s=black) for form in forms]) for forms, _, black in SIDE_FORMS]
 # Words, folded, that make a supposition of the phrase after them.
 SUBORDINATORS = ["se", "if", "when", "wenn", "quando", "after", "depois", "apos", "because", "porque", "since", "although", "though", "embora", "caso", "que", "para", "wo", "als", "nachdem", "wie"]
 # Hollow squares and discs, filled ones.
@@ -93,8 +100,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _first_phrase(folded: Column, phrases: list[str]) -> Column:
-    """(place, evidence) of the earliest phrase that no subordinator stands before, null if there is none."""
+def _first_phrase(folded: Column, phrases: list[tuple[list[str], list[str]]]) -> Column:
+    """(place, evidence) of the earliest phrase that no subordinator stands before, null if there is none.
+
+    A language's phrases are only looked for where the side's name is.
+    """
 
     def found(phrase: str) -> Column:
         pattern = f"\\b({phrase})\\b"
@@ -105,7 +115,9 @@ def _first_phrase(folded: Column, phrases: list[str]) -> Column:
 
         return let(F.regexp_instr(folded, F.lit(pattern)), judged)
 
-    return F.array_min(F.array_compact(F.array(*map(found, phrases))))
+    named = lambda names: reduce(Column.__or__, [F.contains(folded, F.lit(n)) for n in names])
+    least = lambda some: F.array_min(F.array_compact(F.array(*some)))
+    return least(F.when(named(names), least(map(found, some))) for names, some in phrases)
 
 
 def side_phrase(text: Column | str) -> Column:
@@ -133,7 +145,7 @@ def exercise_number(text: Column | str) -> Column:
     bare = F.regexp_extract(c, r"^\(?#?(\d{1,4})[.)]?$", 1)
     prefix = F.regexp_extract(c, r"(?i)^(?:n[º°o]\.?|no\.?|nr\.?|diagram[am]?e?|exerc[ií]cio|problem[a]?|fig\.?)\s*(\d{1,4})\b", 1)
     opening = F.regexp_extract(c, r"^\(?#?(\d{1,4})[.)]\s+\D", 1)
-    loose = F.regexp_extract(F.translate(c, "OolI", "0011"), r"^(\d{1,4})[.)]$", 1)
+    loose = F.when(F.length(c) <= 7, F.regexp_extract(F.translate(c, "OolI", "0011"), r"^(\d{1,4})[.)]$", 1))
     return F.coalesce(*[F.nullif(x, F.lit("")).try_cast("int") for x in (bare, prefix, opening, loose)])
 
 
@@ -144,21 +156,30 @@ def without_number(text: Column | str) -> Column:
 
 def players(text: Column | str) -> Column:
     """struct(white, black) of 'A - B' at a line's end: capitalised names, no move, no year, no side phrase; or null."""
-    c = without_number(text)
     pattern = r"(\p{Lu}[\p{L}.'’ ,]*?)\s+[-–—]\s+(\p{Lu}[\p{L}.'’ ]*?)(?:\s*[,(].*)?$"
-    w, b = F.trim(F.regexp_extract(c, pattern, 1)), F.trim(F.regexp_extract(c, pattern, 2))
     move = r"^[KQRBNTDCA]?[a-h]?[1-8]?x?[a-h][1-8]"
-    good = (w != "") & (b != "") & ~w.rlike(move) & ~b.rlike(move) & ~w.rlike(r"\d{4}") & side_phrase(text).isNull()
-    return F.when(good, F.struct(w.alias("white"), b.alias("black")))
+
+    def judged(p: Column) -> Column:
+        w, b = p["white"], p["black"]
+        good = (w != "") & (b != "") & ~w.rlike(move) & ~b.rlike(move) & ~w.rlike(r"\d{4}")
+        return F.when(good, F.when(side_phrase(text).isNull(), p))
+
+    named = let(without_number(text), lambda c: F.struct(F.trim(F.regexp_extract(c, pattern, 1)).alias("white"), F.trim(F.regexp_extract(c, pattern, 2)).alias("black")))
+    # most lines have no dash between spaces
+    return F.when(_col(text).rlike(r"\s[-–—]\s"), let(named, judged))
 
 
 def event_year(text: Column | str) -> Column:
     """struct(event, year): a year from 1500 to 2099 and the text before it, else after it."""
-    c = F.trim(_col(text))
-    year = F.regexp_extract(c, r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", 1)
-    before = F.trim(F.regexp_replace(F.regexp_extract(c, r"^(.*?)(?<!\d)(?:1[5-9]\d\d|20\d\d)(?!\d)", 1), r"[\s,;(–-]+$", ""))
-    after = F.trim(F.regexp_replace(F.regexp_extract(c, r"(?<!\d)(?:1[5-9]\d\d|20\d\d)(?!\d)(.*)$", 1), r"^[\s,;)–-]+", ""))
-    return F.when(year != "", F.struct(F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit(""))).alias("event"), year.cast("int").alias("year")))
+    century = r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)"
+
+    def said(c: Column) -> Column:
+        before = F.trim(F.regexp_replace(F.regexp_extract(c, r"^(.*?)(?<!\d)(?:1[5-9]\d\d|20\d\d)(?!\d)", 1), r"[\s,;(–-]+$", ""))
+        after = F.trim(F.regexp_replace(F.regexp_extract(c, r"(?<!\d)(?:1[5-9]\d\d|20\d\d)(?!\d)(.*)$", 1), r"^[\s,;)–-]+", ""))
+        year = F.regexp_extract(c, century, 1).cast("int").alias("year")
+        return F.when(c.rlike(century), F.struct(F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit(""))).alias("event"), year))
+
+    return let(F.trim(_col(text)), said)
 
 
 def caption_context(caption: Column | str, page_number: Column | None = None) -> Column:
@@ -169,14 +190,20 @@ def caption_context(caption: Column | str, page_number: Column | None = None) ->
     exercise = F.get(F.filter(F.transform(lines, exercise_number), lambda n: n.isNotNull() & (F.lit(True) if page_number is None else ~n.eqNullSafe(page_number))), F.lit(0))
     pair = F.get(F.filter(F.transform(lines, players), lambda p: p.isNotNull()), F.lit(0))
     dated = F.get(F.filter(F.transform(lines, event_year), lambda e: e.isNotNull()), F.lit(0))
-    return F.struct(side["side"].alias("side"), side["evidence"].alias("evidence"), exercise.alias("exercise"), pair["white"].alias("white"), pair["black"].alias("black"), dated["event"].alias("event"), dated["year"].alias("year"))
+    # each part is bound once, or every field of the result would search the caption again
+    parts = F.struct(side.alias("side"), exercise.alias("exercise"), pair.alias("pair"), dated.alias("dated"))
+    fields = {"side": "side", "evidence": "side", "white": "pair", "black": "pair", "event": "dated", "year": "dated"}
+    order = ["side", "evidence", "exercise", "white", "black", "event", "year"]
+    return let(parts, lambda p: F.struct(*[(p[fields[n]][n] if n in fields else p[n]).alias(n) for n in order]))
 
 
 def caption_pair(caption: Column | str) -> Column:
     """The folded surnames of a caption's players as an unordered pair, or null."""
-    p = players(caption)
-    w, b = surname(p["white"]), surname(p["black"])
-    return F.when(p.isNotNull() & (w != "") & (b != ""), unordered_pair(w, b))
+    def pair(p: Column) -> Column:
+        w, b = surname(p["white"]), surname(p["black"])
+        return F.when(p.isNotNull() & (w != "") & (b != ""), unordered_pair(w, b))
+
+    return let(players(caption), pair)
 
 
 def thousands(value: Column | str) -> Column:
