@@ -1,13 +1,15 @@
 """What a page's text says about each of its diagrams: captions in two tiers, and the page's own declaration.
 
-Lines are parsed where they are scanned.  They and the diagrams' boxes meet in one exchange by
-page; relations, votes, claims and tiers are then windows, aggregates and array functions of a
-page's rows, which are a bounded number, so nothing is shuffled again.
+A page's lines and its boxes are packed before they travel and meet as one row.  Relations, votes, claims and tiers
+are array functions of that row, which is of bounded size: nothing is shuffled, sorted or multiplied by the boxes again.
+Only lines that belong to a diagram are parsed, each once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -17,25 +19,30 @@ from .similarity import BOX
 RADIUS = 60.0
 
 
-def _parsed(lines: DataFrame, page: list[str]) -> DataFrame:
-    """(page, _for, _group, _line): the lines with what each says by itself; a paragraph says less than a caption."""
-    short = F.col("block_words") <= CAPTION_WORDS
+def _packed(lines: DataFrame, page: list[str]) -> DataFrame:
+    """(page, _lines): the lines of each page, in order."""
+    own = (F.col("diagram") if "diagram" in lines.columns else F.lit(None)).cast("long")
+    group = F.struct(F.coalesce(own, F.lit(-1).cast("long")).alias("of"), F.col("group_id").cast("long").alias("id"))
+    row = F.struct("line", "text", "origin", F.col("confidence").cast("double").alias("confidence"), "block_words", own.alias("own"), group.alias("group"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    return lines.dropna(subset=page).groupBy(*page).agg(F.array_sort(F.collect_list(row)).alias("_lines"))
+
+
+def _said(line: Column) -> Column:
+    """What a line says by itself; a paragraph says less than a caption."""
+    short, words = line["block_words"] <= CAPTION_WORDS, line["text"]
     said = {
-        "line": F.col("line"),
-        "text": F.col("text"),
-        "origin": F.col("origin"),
-        "confidence": F.col("confidence").cast("double"),
+        "line": line["line"],
+        "text": words,
+        "origin": line["origin"],
+        "confidence": line["confidence"],
         "caption": short,
-        "side": text.side_of_line("text", short),
-        "exercise": F.when(short, text.exercise_number("text")),
-        "players": F.when(short, text.players("text")),
-        "dated": F.when(short, text.event_year("text")),
-        **{c: F.col(c).cast("double") for c in BOX},
+        "side": text.side_of_line(words, short),
+        "exercise": F.when(short, text.exercise_number(words)),
+        "players": F.when(short, text.players(words)),
+        "dated": F.when(short, text.event_year(words)),
+        **{c: line[c] for c in BOX},
     }
-    whole = F.struct(*[v.alias(k) for k, v in said.items()])
-    own = F.col("diagram") if "diagram" in lines.columns else F.lit(None)
-    group = F.struct(F.coalesce(own.cast("long"), F.lit(-1).cast("long")).alias("of"), F.col("group_id").cast("long").alias("id"))
-    return lines.select(*page, own.cast("long").alias("_for"), group.alias("_group"), whole.alias("_line"))
+    return F.struct(*[v.alias(k) for k, v in said.items()])
 
 
 def _side(tier: Column) -> Column:
@@ -57,10 +64,44 @@ def _first(rows: Column, field: str, good=None) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull() if good is None else v.isNotNull() & good(v)), F.lit(0))
 
 
-def _claims(rows: Column, dominant: Column) -> Column:
-    """struct(boxes, groups, pairs): groups on the dominant side claim diagrams by (distance, diagram, group), each once."""
-    some = F.filter(rows, lambda r: r["placement"] == dominant)
-    order = F.array_sort(F.array_distinct(F.transform(some, lambda r: F.struct(r["nearest"].alias("d"), r["idx"].alias("idx"), r["group"].alias("group")))))
+def _firsts(rows: Column, *key: str) -> Column:
+    """The first row of each key; the key's fields come first in the rows."""
+    same = lambda a, b: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in key])
+    return text.let(F.array_sort(rows), lambda s: F.filter(s, lambda r, n: (n == 0) | ~same(F.get(s, n - 1), r)))
+
+
+def _near(lines: Column, boxes: Column, radius: float) -> Column:
+    """A row for each line and box within the radius, by the line's group and the diagram."""
+
+    def row(line: Column, at: Column, box: Column) -> Column:
+        values = {"group": line["group"], "idx": box["idx"], "r": geometry.relation(line, box), "line": line["line"], "y0": line["y0"], "at": at, "own": line["own"]}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    pairs = F.flatten(F.transform(boxes, lambda b: F.transform(lines, lambda line, at: row(line, at, b))))
+    near = F.filter(pairs, lambda p: p["r"]["distance"] <= radius)
+    return F.transform(near, lambda p: F.struct(p["group"], p["idx"], p["r"]["distance"].alias("distance"), p["line"], p["r"]["side"].alias("side"), p["y0"], p["at"], p["own"]))
+
+
+def _heard(near: Column, boxes: Column) -> Column:
+    """Lines that were read for one diagram count on their page if no line of the text layer is near that diagram."""
+    spoken = F.transform(F.filter(near, lambda r: r["own"].isNull()), lambda r: r["idx"])
+    silent = F.array_except(F.transform(boxes, lambda b: b["idx"]), spoken)
+    return text.let(silent, lambda some: F.filter(near, lambda r: r["own"].isNull() | F.array_contains(some, r["own"])))
+
+
+def _dominant(votes: Column) -> Column:
+    """Above or below, where more diagrams have their nearest group, or have it nearer; null if none has."""
+    of = lambda side: F.transform(F.filter(votes, lambda v: v["side"] == side), lambda v: v["distance"])
+    mean = lambda d: F.try_divide(F.aggregate(d, F.lit(0.0), lambda a, x: a + x), F.size(d))
+    n, m = F.size(of("above")), F.size(of("below"))
+    above = (n > m) | ((n == m) & (mean(of("above")) <= mean(of("below"))))
+    return F.when(F.size(votes) > 0, F.when(above, "above").otherwise("below"))
+
+
+def _claims(stands: Column, dominant: Column) -> Column:
+    """struct(idx, group): groups on the dominant side claim diagrams by (distance, diagram, group), each once."""
+    some = F.filter(stands, lambda s: s["side"] == dominant)
+    order = F.array_sort(F.transform(some, lambda s: F.struct(s["distance"], s["idx"], s["group"])))
     pair = "struct<idx:bigint,group:struct<of:bigint,id:bigint>>"
     none = F.array().cast(f"array<{pair}>")
 
@@ -71,39 +112,53 @@ def _claims(rows: Column, dominant: Column) -> Column:
     return F.aggregate(order, none, claim)
 
 
+def _owners(pairs: Column, homes: Column) -> Column:
+    """struct(idx, group, primary): the diagram that each group goes to: the one that it claims, else the nearest."""
+    owner = lambda r, primary: F.struct(r["idx"].alias("idx"), r["group"].alias("group"), F.lit(primary).alias("primary"))
+    rest = F.filter(homes, lambda h: ~F.exists(pairs, lambda p: p["group"] == h["group"]))
+    return F.concat(F.transform(pairs, lambda p: owner(p, True)), F.transform(rest, lambda h: owner(h, False)))
+
+
+def _met(lines: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
+    """(page, _all, _boxes, _lines) of every page that has boxes."""
+    idx = F.col("idx").cast("long")
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in page])  # lines never meet the others
+    box = F.when(known, F.struct(idx.alias("idx"), *[F.col(c).cast("double").alias(c) for c in BOX]))
+    placed = boxes.groupBy(*page).agg(F.collect_set(idx).alias("_all"), F.collect_list(box).alias("_boxes"))
+    return placed.join(_packed(lines, page), page, "left")
+
+
+def _diagrams(met: DataFrame, radius: float) -> DataFrame:
+    """The pages' other columns, idx and lines of every diagram of ``_met``'s rows."""
+    kept = [c for c in met.columns if c not in ("_all", "_boxes", "_lines")]
+    col = F.col
+    met = met.withColumn("_near", _near(F.coalesce("_lines", F.array()), col("_boxes"), radius))
+    met = met.withColumn("_near", _heard(col("_near"), col("_boxes")))
+    # a group stands to a diagram as its nearest line does
+    met = met.withColumn("_stands", _firsts(col("_near"), "group", "idx"))
+    beside = F.filter("_stands", lambda s: s["side"].isin("above", "below"))
+    votes = _firsts(F.transform(beside, lambda s: F.struct(s["side"], s["idx"], s["distance"])), "side", "idx")
+    homes = _firsts(F.transform("_stands", lambda s: F.struct(s["group"], s["distance"], s["idx"])), "group")
+    met = met.withColumn("_votes", votes).withColumn("_homes", homes)
+    met = met.withColumn("_pairs", text.let(_dominant(col("_votes")), lambda side: _claims(col("_stands"), side)))
+    met = met.withColumn("_owners", _owners(col("_pairs"), col("_homes")))
+
+    def of_diagram(i: Column) -> Column:
+        rows = lambda o: F.transform(F.filter("_near", lambda r: (r["idx"] == i) & (r["group"] == o["group"])), lambda r: F.struct((~o["primary"]).alias("other"), r["distance"], r["y0"], r["line"], r["at"]))
+        return F.array_sort(F.flatten(F.transform(F.filter("_owners", lambda o: o["idx"] == i), rows)))
+
+    found = met.select(*kept, "_lines", F.inline(F.transform("_all", lambda i: F.struct(i.alias("idx"), of_diagram(i).alias("_own")))))
+    picked = F.transform("_own", lambda r: F.struct((~r["other"]).alias("primary"), F.get("_lines", r["at"]).alias("line")))
+    said = F.transform(picked, lambda r: F.struct(r["primary"], _said(r["line"]).alias("said")))
+    return found.select(*kept, "idx", said.alias("lines"))
+
+
 def diagram_lines(lines: DataFrame, boxes: DataFrame, page: list[str], radius: float = RADIUS) -> DataFrame:
     """(page, idx, lines) of every diagram: its parsed lines, its own caption's (``primary``) first, then by distance, height and number.
 
     See ``page_contexts`` for the columns.  A group of lines goes to one diagram as a whole.
     """
-    placed = boxes.select(*page, F.col("idx").cast("long").alias("idx"), F.struct(*[F.col(c).cast("double").alias(c) for c in BOX]).alias("_box"))
-    near = placed.join(_parsed(lines, page), page, "left")
-    near = near.withColumn("_r", geometry.relation(F.col("_line"), F.col("_box")))
-    near = near.withColumn("_r", F.when(F.col("_r.distance") <= radius, F.col("_r")))
-    # lines that were read for one diagram count on its page if no line of the text layer is near that diagram
-    by_box, by_page = Window.partitionBy(*page, "idx"), Window.partitionBy(*page)
-    near = near.withColumn("_silent", ~F.coalesce(F.max(F.col("_r").isNotNull() & F.col("_for").isNull()).over(by_box), F.lit(False)))
-    silent = F.collect_set(F.when(F.col("_silent"), F.col("idx"))).over(by_page)
-    near = near.withColumn("_r", F.when(F.col("_for").isNull() | F.array_contains(silent, F.col("_for")), F.col("_r")))
-    # a group stands to a diagram as its nearest line does
-    by_group = Window.partitionBy(*page, "_group", "idx")
-    nearest = F.min(F.when(F.col("_r").isNotNull(), F.struct("_r.distance", F.col("_line.line").alias("line"), F.col("_r.side").alias("side")))).over(by_group)
-    near = near.withColumn("_g", nearest)
-    home = F.min(F.when(F.col("_g").isNotNull(), F.struct("_g.distance", "idx"))).over(Window.partitionBy(*page, "_group"))
-    vote = F.min(F.col("_g.distance")).over(Window.partitionBy(*page, "_g.side", "idx"))
-    once = F.row_number().over(Window.partitionBy(*page, "_g.side", "idx").orderBy("_g.distance"))
-    near = near.withColumn("_home", home["idx"]).withColumn("_vote", F.when((once == 1) & F.col("_g.side").isin("above", "below"), vote))
-    row = F.struct("idx", F.col("_group").alias("group"), F.col("_home").alias("home"), F.col("_g.distance").alias("nearest"), F.col("_g.side").alias("placement"), F.col("_r.distance").alias("distance"), F.col("_line").alias("line"))
-    votes = [x for side in ("above", "below") for x in (F.count(F.when(F.col("_g.side") == side, F.col("_vote"))).alias(f"_n_{side}"), F.avg(F.when(F.col("_g.side") == side, F.col("_vote"))).alias(f"_d_{side}"))]
-    packed = near.groupBy(*page).agg(F.collect_set("idx").alias("_all"), F.collect_list(F.when(F.col("_r").isNotNull(), row)).alias("_rows"), *votes)
-    above = (F.col("_n_above") > F.col("_n_below")) | ((F.col("_n_above") == F.col("_n_below")) & (F.col("_d_above") <= F.col("_d_below")))
-    side = F.when(F.col("_n_above") + F.col("_n_below") > 0, F.when(above, "above").otherwise("below"))
-    packed = packed.withColumn("_pairs", _claims(F.col("_rows"), side)).withColumn("idx", F.explode("_all"))
-    chosen = lambda r: F.exists(F.col("_pairs"), lambda p: (p["idx"] == r["idx"]) & (p["group"] == r["group"]))
-    taken = lambda r: F.exists(F.col("_pairs"), lambda p: p["group"] == r["group"])
-    own = F.filter("_rows", lambda r: (r["idx"] == F.col("idx")) & (chosen(r) | (~taken(r) & (r["home"] == r["idx"]))))
-    ordered = F.array_sort(F.transform(own, lambda r: F.struct((~chosen(r)).alias("other"), r["distance"].alias("distance"), r["line"]["y0"].alias("y0"), r["line"]["line"].alias("line"), r["line"].alias("said"))))
-    return packed.select(*page, "idx", F.transform(ordered, lambda r: F.struct((~r["other"]).alias("primary"), r["said"].alias("said"))).alias("lines"))
+    return _diagrams(_met(lines, boxes, page), radius)
 
 
 def page_contexts(lines: DataFrame, boxes: DataFrame, page: list[str], margins: DataFrame | None = None, numbers: DataFrame | None = None, radius: float = RADIUS) -> DataFrame:
@@ -120,39 +175,41 @@ def page_contexts(lines: DataFrame, boxes: DataFrame, page: list[str], margins:
     declaration, or OCR's where the text layer has none; a layer that names both sides ends it.
     A diagram without lines has an empty caption and nulls.  Pages may be null; such rows match nothing.
     """
-    found = diagram_lines(lines, boxes, page, radius)
+    met = _met(lines, boxes, page)
     if numbers is not None:
-        found = found.join(numbers.select(*page, F.col("number").alias("_number")), page, "left")
+        met = met.join(numbers.select(*page, F.col("number").alias("_number")), page, "left")
+    if margins is not None:
+        met = met.join(_declared(margins, page), page, "left")
+    found = _diagrams(met, radius)
     said = lambda rows: F.transform(rows, lambda r: r["said"])
     found = found.withColumn("_led", F.exists("lines", lambda r: r["primary"]))
     found = found.withColumn("_first", said(F.filter("lines", lambda r: r["primary"] | ~F.col("_led")))).withColumn("_rest", said(F.filter("lines", lambda r: ~r["primary"] & F.col("_led"))))
     number = F.col("_number") if numbers is not None else F.lit(None)
     found = found.withColumn("_side", F.coalesce(_side(F.col("_first")), _side(F.col("_rest")))).withColumn("_captions", F.filter(said(F.col("lines")), lambda r: r["caption"]))
     players, dated = _first(F.col("_captions"), "players"), _first(F.col("_captions"), "dated")
-    out = found.select(
+    side = {"side": F.col("_side.side"), "evidence": F.col("_side.evidence"), "side_origin": F.col("_side.origin"), "side_confidence": F.coalesce("_side.confidence", F.lit(1.0))}
+    if margins is not None:
+        scope = F.col("_scope")
+        filled = {"side": scope["_s"]["side"], "evidence": scope["_s"]["evidence"], "side_origin": F.concat(scope["origin"], F.lit("-page-scope")), "side_confidence": scope["confidence"]}
+        side = {c: F.when(F.col("_side.side").isNull() & scope.isNotNull(), filled[c]).otherwise(v) for c, v in side.items()}
+    return found.select(
         *page,
         "idx",
         F.array_join(F.transform(said(F.col("lines")), lambda r: r["text"]), "\n").alias("caption"),
-        F.col("_side.side").alias("side"),
-        F.col("_side.evidence").alias("evidence"),
-        F.col("_side.origin").alias("side_origin"),
-        F.coalesce("_side.confidence", F.lit(1.0)).alias("side_confidence"),
+        *[v.alias(c) for c, v in side.items()],
         _first(F.col("_captions"), "exercise", lambda n: ~n.eqNullSafe(number)).alias("exercise"),
         players["white"].alias("white"),
         players["black"].alias("black"),
         dated["event"].alias("event"),
         dated["year"].alias("year"),
     )
-    return out if margins is None else _scoped(out, margins, page)
 
 
-def _scoped(contexts: DataFrame, margins: DataFrame, page: list[str]) -> DataFrame:
+def _declared(margins: DataFrame, page: list[str]) -> DataFrame:
+    """(page, _scope): the side that a page's margin declares."""
     declared = margins.withColumn("_s", text.side_of_line("text", F.lit(True))).where("_s is not null")
     row = F.struct("line", "_s", "origin", F.col("confidence").cast("double").alias("confidence"))
     layers = declared.groupBy(*page).agg(*[F.array_sort(F.collect_list(F.when(F.col("origin") == o, row))).alias(f"_{o}") for o in ("text", "ocr")])
     speaking = F.when(F.size("_text") > 0, F.col("_text")).otherwise(F.col("_ocr"))
     agreed = F.size(F.array_distinct(F.transform(speaking, lambda r: r["_s"]["side"]))) == 1
-    scope = layers.select(*page, F.when(agreed, F.get(speaking, F.lit(0))).alias("_scope"))
-    joined = contexts.join(scope, page, "left").withColumn("_fill", F.col("side").isNull() & F.col("_scope").isNotNull())
-    values = {"side": F.col("_scope._s.side"), "evidence": F.col("_scope._s.evidence"), "side_origin": F.concat("_scope.origin", F.lit("-page-scope")), "side_confidence": F.col("_scope.confidence")}
-    return joined.withColumns({c: F.when(F.col("_fill"), v).otherwise(F.col(c)) for c, v in values.items()}).select(*contexts.columns)
+    return layers.select(*page, F.when(agreed, F.get(speaking, F.lit(0))).alias("_scope"))

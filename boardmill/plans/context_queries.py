@@ -17,8 +17,9 @@ _LAID = """x AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_or
 
 def _laid_out(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines, boxes and margin lines of a page for each order."""
-    line = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)").cast("long")
-    x = t("lineitem").select(F.col("l_orderkey").alias("page"), line.alias("line"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("block_words"))
+    line = F.expr("row_number() over (partition by page order by l_linenumber, l_partkey, l_suppkey, l_quantity)").cast("long")
+    x = t("lineitem").withColumnRenamed("l_orderkey", "page").withColumn("line", line)  # dealt by page once, as the boxes are
+    x = x.select("page", "line", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("block_words"))
     y = 60.0 + (F.col("s") * 37 + F.col("line") * 91) % 620
     text = F.get(F.array(*map(F.lit, _TEXTS)), ((F.col("p") + F.col("line")) % 6).cast("int"))
     lines = x.select("page", "line", F.expr("line div 2").alias("group_id"), text.alias("text"), (80.0 + F.col("p") % 60).alias("x0"), y.alias("y0"), (180.0 + F.col("p") % 60).alias("x1"), (y + 10).alias("y1"), "block_words", F.lit("text").alias("origin"), F.lit(1.0).alias("confidence"))

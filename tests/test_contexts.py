@@ -2,6 +2,7 @@
 
 import pytest
 
+import __spark_entry__ as entry
 from boardmill.operators.contexts import page_contexts
 
 LINES = "page int, line int, group_id int, text string, x0 double, y0 double, x1 double, y1 double, block_words int, origin string, confidence double, diagram int"
@@ -97,3 +98,21 @@ def test_lines_meet_their_page_in_one_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2  # the lines' and the boxes'
+
+
+def test_pages_travel_packed_and_are_not_sorted_by_diagram(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["diagram_contexts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3  # the line items, the boxes and the margins
+    assert plan.count("Window ") == 1  # the numbers of the lines
+
+
+def test_equal_numbers_null_pages_and_repeated_diagrams(spark):
+    twice = [line(3, 0, "No. 5", 80), line(3, 0, "White to move", 80), line(3, 1, "Black to move", 205)]
+    lost = [line(0, 0, "White to move", 80, page=None), line(1, 1, "Black to move", 80, page=None)]
+    rows = page_contexts(*[spark.createDataFrame(r, s) for r, s in ((twice + lost, LINES), ([box(0, 100), box(1, 250), box(0, 100, page=None), box(4, 300, page=None)], BOXES))], ["page"]).collect()
+    got = {(r.page, r.idx): (r.caption, r.side, r.exercise) for r in rows}
+    assert got == {(1, 0): ("No. 5\nWhite to move", "w", 5), (1, 1): ("Black to move", "b", None), (None, 0): ("", None, None), (None, 4): ("", None, None)}
