@@ -29,12 +29,13 @@ def capped(df: DataFrame, key: list[str], order: list[Column | str], most: int =
 def inverted_search(positions: DataFrame, targets: DataFrame, key: list[str], order: list[str], most: int = HITS_KEPT) -> DataFrame:
     """For every target that occurs: key, count of all occurrences and the first ``most`` as an ordered array.
 
-    The count never comes from the list.
+    The count never comes from the list.  Every counted key has a list; the outer join lets Spark leave the lists
+    away, with their sorts, where only counts are asked for.  Occurrences are counted before they meet the targets:
+    a counted key is one row to sort; Spark puts targets that it broadcasts below the count.
     """
-    found = within(positions, targets, key)
-    counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("count"))
-    kept = capped(found, key, order, most).groupBy(*key)
-    return counts.join(kept.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("hits")), key)
+    counts = within(positions.groupBy(*key).agg(F.count(F.lit(1)).alias("count")), targets, key)
+    kept = capped(within(positions, targets, key), key, order, most).groupBy(*key)
+    return counts.join(kept.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("hits")), key, "left")
 
 
 def merge_partials(parts: DataFrame, key: list[str], most: int = HITS_KEPT) -> DataFrame:

@@ -398,3 +398,19 @@ def test_page_operators(spark):
     assert (got.agreement, got.collapsed) == (0.75, True)
     with pytest.raises(Exception, match="illegal position"):
         spark.range(1).select(pages.validated_update(F.lit("8/8"), F.lit("w"), F.lit(True), F.lit(True), F.lit(False))).collect()
+
+
+def test_occurrences_are_counted_before_they_meet_targets_and_unused_lists_are_left_away(spark):
+    positions = spark.createDataFrame([(k % 3, k) for k in range(120)] + [(None, 1)], "key int, n int")
+    asked = spark.createDataFrame([(1,), (2,), (7,), (None,)], "key int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.inverted_search(positions, asked, ["key"], ["n"])
+        counts = found.select("key", "count")
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.key, r["count"], len(r.hits), r.hits[0].n) for r in found.collect()) == [(1, 40, 32, 1), (2, 40, 32, 2)]
+        assert sorted(map(tuple, counts.collect())) == [(1, 40), (2, 40)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Window" not in plan and plan.count("Join") == 1
+    assert plan.index("LeftSemi") < plan.index("partial_count")  # the count is below the join
