@@ -44,9 +44,11 @@ def archive_offsets(t: Tables) -> DataFrame:
     """Every record of an archive read again by its offset; one byte further on no record begins."""
     found = archive.read_archive(t.spark, _archive(t), split_bytes=1 << 17)
     again = archive.games_at(found.select("path", "offset", F.col("movetext").alias("scanned"), F.col("white").alias("w")))
-    beside = archive.games_at(found.select("path", (F.col("offset") + 1).alias("offset"))).select("path", (F.col("offset") - 1).alias("offset"), F.col("movetext").isNotNull().cast("long").alias("between"))
     same = (F.col("scanned") == F.col("movetext")) & (F.col("w") == F.col("white"))
-    return _order_key(again).withColumn("same", same).join(beside, ["path", "offset"])
+    # a record travels with its second look-up, so that nothing is joined
+    game = F.struct("o_orderkey", "white", "black", "movetext", same.alias("same")).alias("game")
+    beside = archive.games_at(_order_key(again).select("path", (F.col("offset") + 1).alias("beside"), game), offset="beside")
+    return beside.select("game.*", F.col("movetext").isNotNull().cast("long").alias("between"))
 
 
 @query(

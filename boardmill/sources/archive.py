@@ -56,8 +56,8 @@ def _records(handle: pa.NativeFile, start: int, end: int, first: int | None = No
 
     ``first`` is the number of bytes to begin with where few are wanted.
     """
-    size = min(first or CHUNK_BYTES, CHUNK_BYTES)
     base = max(0, start - 1)  # the line break before a record may be the last byte of the range before
+    size = min(first or end - base + LOOKUP_BYTES, CHUNK_BYTES)  # a small range and its last record's end
     handle.seek(base)
     held, own, searched = b"", None, 0
     while True:
@@ -73,17 +73,17 @@ def _records(handle: pa.NativeFile, start: int, end: int, first: int | None = No
                 own = None
             if base + at + 1 >= end:
                 return
-            own, held, base = base + at + 1, held[at + 1 :], base + at + 1
-            searched = 0
+            own, searched = base + at + 1, at + 1
         if not chunk:
             if own is not None:
                 yield own, held[own - base :]
             return
         searched = max(0, len(held) - len(_MARK))
-        if own is None:
-            if base + searched >= end:
-                return
-            held, base, searched = held[searched:], base + searched, 0
+        if own is None and base + searched >= end:
+            return
+        # what lies before is left away once for a chunk, not for each record
+        done = searched if own is None else own - base
+        held, base, searched = held[done:], base + done, searched - done
 
 
 def _texts(raw: list[bytes | None]) -> pa.Array:
@@ -96,6 +96,9 @@ def read_archive(spark: SparkSession, paths: str | list[str], split_bytes: int =
     With ``keep_errors`` there is one more column, error: a range that can't be read gives one row
     with the error's text and nulls instead of ending the job, and the other ranges are read.
     Empty files, and bytes before a file's first record, give no row.
+
+    To Spark these rows, and those of ``games_at`` on them, look as small as the list of ranges, so that a
+    join may send them whole to every task: stage them first, or carry what belongs to a record along.
     """
     return scan_files(archive_files(spark, paths), split_bytes, keep_errors)
 

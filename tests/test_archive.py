@@ -150,3 +150,34 @@ def test_small_ranges_don_t_make_a_task_each_and_lookups_read_little(spark, tmp_
 
     handle = Counted()
     assert archive._record_at(handle, 0).startswith(b'[Event "0"]') and handle.bytes <= 2 * archive.LOOKUP_BYTES
+
+
+def test_offsets_are_read_again_without_a_join(spark):
+    import __spark_entry__
+
+    read = __spark_entry__.queries()["archive_offsets"](spark, "/root/testdata/sf0.001")
+    assert read.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    # the scan looks as small to Spark as its list of ranges, so a join would send it whole to the driver and every task
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_small_ranges_read_little():
+    import pyarrow as pa
+
+    raw = text(GAMES * 10_000).encode()
+
+    class Counted:
+        def __init__(self):
+            self.inner, self.bytes = pa.BufferReader(raw), 0
+
+        def seek(self, at):
+            return self.inner.seek(at)
+
+        def read(self, n):
+            got = self.inner.read(n)
+            self.bytes += len(got)
+            return got
+
+    handle = Counted()
+    assert len(list(archive._records(handle, 10_000, 20_000))) > 100 and handle.bytes <= 10_000 + 2 * archive.LOOKUP_BYTES
