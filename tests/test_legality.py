@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from boardmill.functions import replay
 from boardmill.functions.replay import status
 from boardmill.operators import similarity
@@ -109,6 +111,39 @@ def test_assignment_equals_a_plain_version(spark):
     assert got == plain_assignment(lines, boxes) and len(got) > 30
 
 
+def test_crowded_pages_are_assigned_without_rows_of_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    # equal boxes and lines, groups of several lines, and results handed back after each page
+    box = lambda w, h: (x := float(rng.randrange(0, 20) * 15), y := float(rng.randrange(0, 20) * 15), x + w, y + h)
+    boxes = [(p, k, box(rng.choice([40.0, 60.0]), 60.0)) for p in range(3) for k in range(120)]
+    lines = [(p, k, k % 70, box(50.0, 8.0)) for p in range(3) for k in range(200)]
+    flat = lambda rows: [(*r[:-1], *r[-1]) for r in rows]
+    b = spark.createDataFrame(flat(boxes), "page int, idx int, x0 double, y0 double, x1 double, y1 double")
+    a = spark.createDataFrame(flat(lines), "page int, line int, group_id int, x0 double, y0 double, x1 double, y1 double")
+    monkeypatch.setattr(similarity, "FEW_ROWS", 1)
+    monkeypatch.setattr(similarity, "FEW_PAIRS", 8 * 120 * 7)
+    found = similarity.assign_lines(a, b, ["page"])
+    got = {(r.page, r.group_id): r.idx for r in found.collect()}
+    assert got == plain_assignment(lines, boxes) and len(got) == 210
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_relations_in_blocks_equal_the_columns(spark, monkeypatch):
+    rng = random.Random(10)
+    box = lambda: (x := rng.uniform(0, 200), y := rng.uniform(0, 200), x + rng.uniform(-5, 60), y + rng.uniform(-5, 30))
+    one, two = [box() for _ in range(60)] + [(5.0, 5.0, None, 9.0)], [box() for _ in range(40)] + [(0.0, 0.0, 0.0, 0.0)]
+    kind = "x0 double, y0 double, x1 double, y1 double"
+    a = spark.createDataFrame([(0, k, k, *r) for k, r in enumerate(one)], f"page int, line int, group_id int, {kind}")
+    b = spark.createDataFrame([(0, k, *r) for k, r in enumerate(two)], f"page int, idx int, {kind}")
+    want = sorted((r.line, r.idx, r.distance, r.placement) for r in similarity.lines_near(a, b, ["page"]).collect())
+    for pairs in (8, 8 * 41 * 9, 1 << 22):
+        monkeypatch.setattr(similarity, "FEW_PAIRS", pairs)
+        got = zip(*(x.tolist() for x in similarity._relations(np.array(one, float), np.array(two, float), 60.0)), strict=True)
+        assert sorted((i, j, d, similarity._SIDES[side]) for i, j, d, side in got) == want
+    assert len({r[3] for r in want}) == 5
+
+
 def test_a_game_ends_where_no_wanted_placement_can_follow():
     text = "1. e4 e5 2. Nf3 Nc6 3. d4 exd4 4. Nxd4 Nf6 5. Nc3 Bb4 {x} (5... Bc5) 6. Nxc6 bxc6"
     whole = list(replay.positions(text))
